@@ -16,7 +16,7 @@ __all__ = [
     "col_of", "safe_div", "eps_ratio", "log1p_clip", "signed_log1p", "cyclical",
     "weekday0", "null_safe_flag", "clip", "logistic", "clip_prob", "direction_label",
     "three_way_label", "regime_code", "strip_suffix", "extract_timestamp_text",
-    "to_double", "nan_to_null", "to_date_safe", "weighted_index",
+    "safe_corr", "to_double", "nan_to_null", "to_date_safe", "weighted_index",
 ]
 
 
@@ -122,6 +122,15 @@ def extract_timestamp_text(c, pattern: str = r"(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}
     return F.when(v != "", v)
 
 
+def safe_corr(a, b) -> Column:
+    """Pearson correlation over pairwise-complete rows; a constant side gives
+    NULL instead of raising (``corr`` divides by zero under ANSI mode).
+    Usable as an aggregate or with ``.over(window)``: returns the pieces."""
+    a, b = col_of(a), col_of(b)
+    both = a.isNotNull() & b.isNotNull()
+    return F.when(both, a), F.when(both, b)
+
+
 def to_double(c) -> Column:
     """Text → double, malformed → NULL (never raises under ANSI)."""
     return F.expr(f"try_cast({c} as double)") if isinstance(c, str) else c.try_cast("double")

@@ -1,3 +1,3 @@
 """Imports every query module so that all queries are registered."""
 
-from tidewater.plans import q_calendar  # noqa: F401
+from tidewater.plans import q_calendar, q_features  # noqa: F401

@@ -21,15 +21,15 @@ MODEL_MULTIPLIERS = {"m1": 37, "m2": 101, "m3": 613}
 
 
 def _cents_avg(c: str) -> F.Column:
-    """avg(c) in thousands, computed from an exact integer cent sum."""
+    """avg(c) / 1024, from an exact integer cent sum (binary scale: no decimal rounding ties)."""
     cents = F.sum(F.round(F.col(c) * 100).cast("long")).cast("double")
-    return cents / F.count(F.lit(1)) / F.lit(100000.0)
+    return cents / F.count(F.lit(1)) / F.lit(102400.0)
 
 
 def daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(series_id, date, close, n_orders): one series per order priority.
 
-    ``close`` is the average order value (in thousands) of the day.
+    ``close`` is the average order value of the day divided by 1024.
     """
     o = read_table(spark, sf_dir, "orders")
     return (o.groupBy(F.col("o_orderpriority").alias("series_id"),
