@@ -90,7 +90,7 @@ rolled AS (
 
 
 @register("weekend_roll", with_(ROLL_SQL) + """
-SELECT mode, date, sum(n) AS n_events, sum(s) AS severity_sum FROM rolled GROUP BY 1, 2""", dbl="severity_sum")
+SELECT mode, date, CAST(sum(n) AS BIGINT) AS n_events, sum(s) AS severity_sum FROM rolled GROUP BY 1, 2""", dbl="severity_sum")
 def q_weekend_roll(spark, sf):
     ev = inputs.event_log(spark, sf)
     # pre-aggregate per day first (map-side combine), then move and re-aggregate

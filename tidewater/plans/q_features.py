@@ -231,7 +231,7 @@ def q_regime_codes(spark, sf):
 
 
 @register("cyclical_encoding", with_(RETURNS) + """
-SELECT series_id, date, year(date) AS year,
+SELECT series_id, date, CAST(year(date) AS INTEGER) AS year,
        sin(2 * pi() * CAST(isodow(date) - 1 AS DOUBLE) / 5.0) AS day_of_week_sin,
        cos(2 * pi() * CAST(isodow(date) - 1 AS DOUBLE) / 5.0) AS day_of_week_cos,
        sin(2 * pi() * CAST(month(date) - 1 AS DOUBLE) / 12.0) AS month_sin,
