@@ -1,3 +1,3 @@
 """Imports every query module so that all queries are registered."""
 
-from tidewater.plans import q_backtest, q_calendar, q_evaluate, q_features, q_prep, q_profile, q_sources  # noqa: F401
+from tidewater.plans import q_backtest, q_calendar, q_evaluate, q_features, q_prep, q_profile, q_sources, q_stream  # noqa: F401
