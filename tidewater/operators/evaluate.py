@@ -136,6 +136,9 @@ def threshold_sweep(df: DataFrame, group: Sequence[str], label="target", score="
     threshold — O(rows + groups*n) work, independent of the grid size.
     """
     group = list(group)
+    if not group:
+        out = threshold_sweep(df.withColumn("__g", F.lit(1)), ["__g"], label, score, lo, hi, n, zero_division)
+        return out.drop("__g")
     step = (hi - lo) / (n - 1)
 
     def grid(j):
@@ -181,6 +184,9 @@ def confidence_curve(df: DataFrame, group: Sequence[str], margins: Sequence[floa
     skipped below ``min_rows`` rows.  Rows are bucketed by how many margins
     they pass; suffix sums over that bucket give the counts per margin."""
     group = list(group)
+    if not group:
+        out = confidence_curve(df.withColumn("__g", F.lit(1)), ["__g"], margins, label, score, min_rows, threshold)
+        return out.drop("__g")
     ms = sorted(float(m) for m in margins)
     arr = F.array(*[F.lit(m) for m in ms])
     dist = F.abs(F.col(score) - F.lit(threshold))
