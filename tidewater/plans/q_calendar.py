@@ -104,7 +104,8 @@ def q_weekend_roll(spark, sf):
 
 @register("event_daily_agg", """
 WITH daily AS (
-  SELECT CAST(ts AS DATE) AS date, count(*) AS n_events, avg(value) AS severity_mean,
+  SELECT CAST(ts AS DATE) AS date, count(*) AS n_events,
+         CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100.0 AS severity_mean,
          sum(value) AS severity_sum, count(DISTINCT user_id) AS n_users
   FROM events GROUP BY 1),
 cal AS (SELECT * FROM (
@@ -114,7 +115,10 @@ SELECT c.date, d.n_events, d.severity_mean, d.severity_sum, d.n_users
 FROM cal c LEFT JOIN daily d USING (date)""", dbl="severity_mean severity_sum")
 def q_event_daily_agg(spark, sf):
     ev = inputs.event_log(spark, sf)
-    daily = ev.groupBy("date").agg(F.count(F.lit(1)).alias("n_events"), F.avg("severity").alias("severity_mean"),
+    # mean from an exact integer-cent sum: identical doubles in every engine
+    cents = F.sum(F.round(F.col("severity") * 100).cast("long")).cast("double")
+    daily = ev.groupBy("date").agg(F.count(F.lit(1)).alias("n_events"),
+                                   (cents / F.count(F.lit(1)) / F.lit(100.0)).alias("severity_mean"),
                                    F.sum("severity").alias("severity_sum"),
                                    F.count_distinct("user_id").alias("n_users"))
     bounds = daily.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
