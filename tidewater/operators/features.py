@@ -143,8 +143,7 @@ def macd(df: DataFrame, price: str, fast: int = 12, slow: int = 26, signal: int
          keys="series_id", order="date", bucket="month") -> DataFrame:
     """MACD line, signal, histogram and cross flag, shifted ``shift`` rows."""
     keys = _k(keys)
-    d = ewm_mean(df, price, "__ef", alpha_from_span(fast), keys, order, bucket)
-    d = ewm_mean(d, price, "__es", alpha_from_span(slow), keys, order, bucket)
+    d = ewm_mean(df, price, {"__ef": alpha_from_span(fast), "__es": alpha_from_span(slow)}, None, keys, order, bucket)
     d = d.withColumn("__macd", F.col("__ef") - F.col("__es"))
     d = ewm_mean(d, "__macd", "__sig", alpha_from_span(signal), keys, order, bucket)
     w = series_window(keys, order)

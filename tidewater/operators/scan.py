@@ -13,12 +13,17 @@
 
 ``prefix_sum`` applies the same idea to running sums over any monotone
 bucket expression (used for global ranks and ECDFs).
+
+Both scans read their partitioned input twice (summary and join back), so
+that input is persisted (MEMORY_AND_DISK; lost blocks are recomputed from
+lineage) rather than recomputed from the source.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,53 +40,65 @@ def _keys(keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
-def ewm_mean(df: DataFrame, x: str, out: str, alpha: float, keys="series_id", order: str = "date",
+def ewm_mean(df: DataFrame, x: str, out, alpha: float | None = None, keys="series_id", order: str = "date",
              bucket="month") -> DataFrame:
-    """Exponentially weighted mean with ``adjust=False``.
+    """Exponentially weighted means with ``adjust=False``.
 
-    Rows with NULL ``x`` get NULL and do not advance the recursion
+    ``out`` is a column name (with ``alpha``) or a dict ``{out: alpha}``: all
+    smoothings of the same input share one scan (one sort, one summary, one
+    fold).  Rows with NULL ``x`` get NULL and do not advance the recursion
     (pandas ``ignore_na=True``).  ``bucket`` must be fine enough that
     ``(1-alpha)^-(rows per bucket)`` stays finite (a month of daily rows is
     far from the limit for any span >= 1).
     """
     keys = _keys(keys)
-    a = float(alpha)
-    if a >= 1.0:
-        return df.withColumn(out, F.col(x).cast("double"))
-    q = 1.0 - a
-    base = df.withColumn("__b", time_bucket(order, bucket)).withColumn("__ok", F.col(x).isNotNull())
+    specs = dict(out) if isinstance(out, dict) else {out: alpha}
+    direct = {o: a for o, a in specs.items() if a >= 1.0}
+    specs = {o: float(a) for o, a in specs.items() if a < 1.0}
+    d = df.withColumns({o: F.col(x).cast("double") for o in direct})
+    if not specs:
+        return d
+    names = list(specs)
+    base = d.withColumn("__b", time_bucket(order, bucket)).withColumn("__ok", F.col(x).isNotNull())
     wb = Window.partitionBy(*keys, "__b", "__ok").orderBy(order)
-    k = F.row_number().over(wb) - 1
-    base = base.withColumn("__k", F.when(F.col("__ok"), k))
+    base = base.withColumn("__k", F.when(F.col("__ok"), F.row_number().over(wb) - 1))
     wrun = wb.rowsBetween(Window.unboundedPreceding, 0)
-    # zero-start response inside the bucket
-    base = base.withColumn(
-        "__resp", F.when(F.col("__ok"), F.pow(F.lit(q), F.col("__k")) *
-                      F.sum(F.lit(a) * F.col(x) * F.pow(F.lit(q), -F.col("__k"))).over(wrun)))
+    # zero-start response inside the bucket, one per smoothing
+    base = base.withColumns({
+        f"__resp{i}": F.when(F.col("__ok"), F.pow(F.lit(1.0 - a), F.col("__k")) *
+                             F.sum(F.lit(a) * F.col(x) * F.pow(F.lit(1.0 - a), -F.col("__k"))).over(wrun))
+        for i, a in enumerate(specs.values())})
+    # read twice (bucket summaries and the final join): materialise once instead of re-running the input
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)
     ok = base.where("__ok")
+    last = F.max(F.struct("__k", *[F.col(f"__resp{i}").alias(f"r{i}") for i in range(len(names))]))
     summ = ok.groupBy(*keys, "__b").agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.max(F.struct("__k", "__resp")).getField("__resp").alias("__rlast"),
+        F.count(F.lit(1)).alias("__n"), last.alias("__rlast"),
         F.min(F.struct(F.col(order), F.col(x).cast("double").alias("__x"))).alias("__first"))
-    # fold per key over its (time-ordered) bucket summaries
+    # fold per key over its time-ordered bucket summaries (size ~ time span / bucket)
     arr = summ.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
         F.col("__b"), F.col("__n"), F.col("__rlast"), F.col("__first")))).alias("__summ"))
-    init = F.struct(F.lit(None).cast("double").alias("s"),
-                    F.array().cast("array<struct<b:" + summ.schema["__b"].dataType.simpleString() +
-                                   ",s:double>>").alias("acc"))
+    btype = summ.schema["__b"].dataType.simpleString()
+    sfields = ",".join(f"s{i}:double" for i in range(len(names)))
+    init = F.struct(*[F.lit(None).cast("double").alias(f"s{i}") for i in range(len(names))],
+                    F.array().cast(f"array<struct<b:{btype},{sfields}>>").alias("acc"))
 
     def step(st, e):
-        s_in = F.coalesce(st["s"], e["__first"]["__x"])
-        nxt = F.pow(F.lit(q), e["__n"]) * s_in + e["__rlast"]
-        return F.struct(nxt.alias("s"), F.array_append(st["acc"], F.struct(e["__b"].alias("b"),
-                                                                             s_in.alias("s"))).alias("acc"))
+        s_in = [F.coalesce(st[f"s{i}"], e["__first"]["__x"]) for i in range(len(names))]
+        nxt = [(F.pow(F.lit(1.0 - a), e["__n"]) * s_in[i] + e["__rlast"][f"r{i}"]).alias(f"s{i}")
+               for i, a in enumerate(specs.values())]
+        entry = F.struct(e["__b"].alias("b"), *[s_in[i].alias(f"s{i}") for i in range(len(names))])
+        return F.struct(*nxt, F.array_append(st["acc"], entry).alias("acc"))
 
     states = arr.select(*keys, F.explode(F.aggregate("__summ", init, step)["acc"]).alias("__st")) \
-        .select(*keys, F.col("__st.b").alias("__b"), F.col("__st.s").alias("__state"))
+        .select(*keys, F.col("__st.b").alias("__b"),
+                *[F.col(f"__st.s{i}").alias(f"__state{i}") for i in range(len(names))])
     res = base.join(states, keys + ["__b"], "left")
-    res = res.withColumn(out, F.when(F.col("__ok"),
-                                     F.pow(F.lit(q), F.col("__k") + 1) * F.col("__state") + F.col("__resp")))
-    return res.drop("__b", "__ok", "__k", "__resp", "__state")
+    res = res.withColumns({
+        o: F.when(F.col("__ok"), F.pow(F.lit(1.0 - a), F.col("__k") + 1) * F.col(f"__state{i}") + F.col(f"__resp{i}"))
+        for i, (o, a) in enumerate(specs.items())})
+    return res.drop("__b", "__ok", "__k", *[f"__resp{i}" for i in range(len(names))],
+                    *[f"__state{i}" for i in range(len(names))])
 
 
 def prefix_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
@@ -99,6 +116,8 @@ def prefix_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket:
     frame = wl.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     for o, c in sums.items():
         d = d.withColumn(f"__loc_{o}", F.coalesce(F.sum(c).over(frame), F.lit(0)))
+    # read twice (bucket totals and the carry join): materialise once
+    d = d.persist(StorageLevel.MEMORY_AND_DISK)
     tot = d.groupBy(*keys, "__pb").agg(*[F.sum(c).alias(f"__tot_{o}") for o, c in sums.items()])
     wt = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("__pb") \
         .rowsBetween(Window.unboundedPreceding, -1)

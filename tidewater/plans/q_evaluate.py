@@ -126,7 +126,7 @@ SELECT Split, CAST(row_number() OVER (PARTITION BY Split ORDER BY F1_macro DESC,
        Model, F1_macro, Accuracy, AUC
 FROM m JOIN a USING (Model, Split)""", dbl="F1_macro Accuracy AUC")
 def q_leaderboard(spark, sf):
-    p = inputs.predictions(spark, sf)
+    p = inputs.reuse(inputs.predictions(spark, sf))
     m = ev.classification_metrics(p, G).join(ev.roc_auc(p, G), G)
     w = Window.partitionBy("Split").orderBy(F.col("F1_macro").desc(), F.col("Accuracy").desc(),
                                             F.col("AUC").desc_nulls_last(), "Model")
@@ -146,7 +146,7 @@ a AS ({auc_sql('e', 'Ensemble, Split')})
 SELECT Ensemble, Split, N, Accuracy, F1_macro, AUC FROM m JOIN a USING (Ensemble, Split)""",
           dbl="Accuracy F1_macro AUC")
 def q_ensemble_average(spark, sf):
-    p = inputs.predictions(spark, sf)
+    p = inputs.reuse(inputs.predictions(spark, sf))
     va = ev.roc_auc(p.where(F.col("Split") == "val"), ["Model"])
     w = Window.orderBy(F.col("AUC").desc_nulls_last(), "Model")  # one row per model: tiny
     top = va.withColumn("__r", F.row_number().over(w)).where("__r <= 2").select(F.lit("ENS_TOP2").alias("Ensemble"), "Model")

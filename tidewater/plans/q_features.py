@@ -115,7 +115,7 @@ SELECT series_id, date,
        lag(m - sig) OVER ({W}) AS macd_hist, lag(CAST(m > sig AS DOUBLE)) OVER ({W}) AS macd_cross
 FROM macd_raw""", dbl="macd macd_signal macd_hist macd_cross")
 def q_ewm_macd(spark, sf):
-    p = inputs.daily_panel(spark, sf).select("series_id", "date", "close")
+    p = inputs.reuse(inputs.daily_panel(spark, sf).select("series_id", "date", "close"))
     return finish(ft.macd(p, "close").select("series_id", "date", "macd", "macd_signal", "macd_hist", "macd_cross"))
 
 

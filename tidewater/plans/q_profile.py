@@ -45,7 +45,7 @@ SELECT feature, n, n_out,
        outlier_pct_z
 FROM c""", dbl="outlier_pct_iqr outlier_pct_z")
 def q_outliers_iqr(spark, sf):
-    lg = inputs.feature_long(spark, sf)
+    lg = inputs.reuse(inputs.feature_long(spark, sf))
     return finish(qa.iqr_outliers(lg).join(qa.zscore_outliers(lg), "feature"))
 
 
@@ -102,8 +102,8 @@ FROM (SELECT series_id, date, count(*) AS c FROM fm GROUP BY 1, 2)
 UNION ALL
 SELECT 'forward_columns_in_features', 'features', 0.0, 'OK'""", dbl="value")
 def q_quality_report(spark, sf):
-    fm = inputs.feature_matrix(spark, sf)
-    lg = long_all(spark, sf)
+    fm = inputs.reuse(inputs.feature_matrix(spark, sf))
+    lg = qa.to_long(fm, ["series_id", "date", "split", "direction"], FEATS, keep_nulls=True)
     rows = fm.groupBy(F.col("split").alias("subject")).agg(F.count(F.lit(1)).cast("double").alias("value")) \
         .select(F.lit("rows").alias("check"), "subject", "value", F.lit("OK").alias("status"))
     miss = lg.groupBy(F.col("feature").alias("subject")).agg(F.count_if(F.col("value").isNull()).alias("value"))
@@ -250,7 +250,7 @@ SELECT feature, signal_score, stability_score, research_score, relation,
        CAST(row_number() OVER (ORDER BY MI DESC, feature) AS INTEGER) AS rank_mi
 FROM sc2""", dbl="signal_score stability_score research_score")
 def q_feature_score(spark, sf):
-    lg = inputs.feature_long(spark, sf)
+    lg = inputs.reuse(inputs.feature_long(spark, sf))
     tr = lg.where(F.col("split") == "train")
     assoc = (st.pearson_spearman(tr, ["feature"], "value", "direction").select("feature", "spearman")
              .join(st.binned_mi(tr, ["feature"], "value", "direction", 10), "feature")

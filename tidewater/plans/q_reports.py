@@ -80,7 +80,7 @@ FROM c""", dbl="spearman_r abs_r")
 def q_corr_top_pairs(spark, sf):
     """T-02/R03/O04: pairwise-complete Spearman matrix (upper triangle) ranked by |rho|."""
     fm = inputs.feature_matrix(spark, sf).where(F.col("split") == "train")
-    pr = rs.feature_pairs(fm, ["series_id", "date"], FE)
+    pr = inputs.reuse(rs.feature_pairs(fm, ["series_id", "date"], FE))
     rx = st.average_ranks(pr, ["f1", "f2"], "x").select("f1", "f2", "x", F.col("avg_rank").alias("rx"))
     ry = st.average_ranks(pr, ["f1", "f2"], "y").select("f1", "f2", "y", F.col("avg_rank").alias("ry"))
     j = pr.join(rx, ["f1", "f2", "x"]).join(ry, ["f1", "f2", "y"])
@@ -116,7 +116,7 @@ FROM daily d JOIN bh ON d.series_id = bh.series_id AND d.target_date = bh.target
           dbl="equity_momentum equity_buy_hold")
 def q_strategy_comparison(spark, sf):
     """Equity curves of two strategies aligned on the target date (not row position)."""
-    b = inputs.backtest_input(spark, sf)
+    b = inputs.reuse(inputs.backtest_input(spark, sf))
     mo = bt.simulate(b, ["series_id"], "date", "predicted_return", "actual_return", THRESHOLD, COST) \
         .select("series_id", "target_date", F.lit("momentum").alias("strategy"), "equity")
     bh = bt.buy_and_hold(b, ["series_id"], "date", "actual_return", COST) \
@@ -146,7 +146,7 @@ SELECT series_id, avg(abs(yhat - y)) AS MAE, sqrt(avg((yhat - y) * (yhat - y)))
 FROM t GROUP BY 1""", dbl="MAE RMSE R2 MAPE DirAcc resid_mean resid_std")
 def q_regression_metrics(spark, sf):
     """B01 + E10/E11: calibration fitted on val, applied to test; error metrics and residual profile."""
-    b = inputs.backtest_input(spark, sf)
+    b = inputs.reuse(inputs.backtest_input(spark, sf))
     val = b.where((F.col("target_date") >= F.lit(inputs.TRAIN_END).cast("date")) &
                   (F.col("target_date") < F.lit(inputs.VAL_END).cast("date")))
     cal = bt.calibrate_linear(val, ["series_id"], "predicted_return", "actual_return")
@@ -180,7 +180,7 @@ SELECT Model, best_threshold, mf.F1_macro AS F1_fixed, mb.F1_macro AS F1_val_bes
 FROM mb JOIN mf USING (Model)""", dbl="best_threshold F1_fixed F1_val_best delta_F1")
 def q_threshold_diagnostics(spark, sf):
     """Test F1-macro at the fixed 0.5 threshold vs at the validation-best threshold."""
-    p = inputs.predictions(spark, sf)
+    p = inputs.reuse(inputs.predictions(spark, sf))
     best = ev.best_threshold(ev.threshold_sweep(p.where(F.col("Split") == "val"), ["Model"]), ["Model"])
     test = p.where(F.col("Split") == "test").join(best.select("Model", "best_threshold"), "Model")
     mb = ev.classification_metrics(test, ["Model"], threshold=F.col("best_threshold")) \
