@@ -246,3 +246,170 @@ def feature_scores(assoc: DataFrame) -> DataFrame:
     return d.select("feature", "signal_score", "stability_score", "research_score", "relation",
                     F.row_number().over(w1).alias("rank_research"), F.row_number().over(w2).alias("rank_spearman"),
                     F.row_number().over(w3).alias("rank_mi"))
+
+
+# ----------------------------------------------------------------- series tests
+# KPSS level-stationarity critical values (10%, 5%, 2.5%, 1%).
+KPSS_CRITICAL = {0.10: 0.347, 0.05: 0.463, 0.025: 0.574, 0.01: 0.739}
+# Dickey-Fuller (constant, no trend) asymptotic critical values (1%, 5%, 10%).
+ADF_CRITICAL = {0.01: -3.43, 0.05: -2.86, 0.10: -2.57}
+
+
+def kpss_level(df: DataFrame, x: str, keys: Sequence[str] = ("series_id",), order: str = "date") -> DataFrame:
+    """T-14: KPSS level statistic per series.
+
+    e = x - mean, S_t = cumulative sum of e, eta = sum(S_t^2) / n^2 / s2 with
+    the Newey-West long-run variance s2 = g0 + 2 sum_{k<=L} (1 - k/(L+1)) g_k,
+    g_k = sum e_t e_{t-k} / n and L = floor(12 (n/100)^(1/4)).  The lagged
+    products come from a self join on the row index fanned out to L lags per
+    row (L grows like n^(1/4)).
+    """
+    keys = list(keys)
+    w = Window.partitionBy(*keys).orderBy(order)
+    wall = Window.partitionBy(*keys)
+    d = df.where(F.col(x).isNotNull()).select(*keys, order, F.col(x).cast("double").alias("__x"))
+    d = d.withColumns({"__n": F.count(F.lit(1)).over(wall), "__rn": F.row_number().over(w),
+                       "__e": F.col("__x") - F.avg("__x").over(wall)})
+    d = d.withColumn("__S", F.sum("__e").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.withColumn("__L", F.floor(F.lit(12.0) * F.pow(F.col("__n") / 100.0, 0.25)).cast("int"))
+    base = d.groupBy(*keys).agg(F.first("__n").alias("n"), F.first("__L").alias("lags"),
+                                F.sum(F.col("__S") * F.col("__S")).alias("__ss"),
+                                F.sum(F.col("__e") * F.col("__e")).alias("__g0"))
+    a = d.select(*keys, "__rn", "__e", F.explode(F.sequence(F.lit(1), F.greatest(F.col("__L"), F.lit(1)))).alias("k"),
+                 "__L")
+    a = a.where(F.col("k") <= F.col("__L")).withColumn("__rb", F.col("__rn") - F.col("k"))
+    b = d.select(*keys, F.col("__rn").alias("__rb"), F.col("__e").alias("__eb"))
+    g = a.join(b, keys + ["__rb"]).groupBy(*keys, "k").agg(F.sum(F.col("__e") * F.col("__eb")).alias("__gk"),
+                                                            F.first("__L").alias("__L"))
+    wsum = g.groupBy(*keys).agg(F.sum((F.lit(1.0) - F.col("k") / (F.col("__L") + 1.0)) * F.col("__gk")).alias("__wg"))
+    r = base.join(wsum, keys, "left").fillna(0.0, ["__wg"])
+    nn = F.col("n").cast("double")
+    s2 = (F.col("__g0") + F.lit(2.0) * F.col("__wg")) / nn
+    stat = F.col("__ss") / (nn * nn) / s2
+    return r.select(*keys, "n", "lags", stat.alias("kpss_stat"),
+                    (stat < KPSS_CRITICAL[0.05]).cast("int").alias("stationary_5pct"))
+
+
+def _ols3_expr(prefix: str = "") -> dict[str, str]:
+    """Closed-form 3x3 OLS pieces (symmetric X'X via cofactors) as SQL text
+    shared by Spark and the oracle: returns expressions for b1 (the lagged
+    level coefficient) and its t statistic from the moment columns
+    n, s1, s2, s11, s22, s12, sy, sy1, sy2, syy (regressors 1, x1, x2)."""
+    p = prefix
+    a00, a01, a02 = f"{p}n", f"{p}s1", f"{p}s2"
+    a11, a12, a22 = f"{p}s11", f"{p}s12", f"{p}s22"
+    c00 = f"({a11}*{a22} - {a12}*{a12})"
+    c01 = f"-({a01}*{a22} - {a12}*{a02})"
+    c02 = f"({a01}*{a12} - {a11}*{a02})"
+    c11 = f"({a00}*{a22} - {a02}*{a02})"
+    c12 = f"-({a00}*{a12} - {a01}*{a02})"
+    c22 = f"({a00}*{a11} - {a01}*{a01})"
+    det = f"({a00}*{c00} + {a01}*{c01} + {a02}*{c02})"
+    y0, y1, y2 = f"{p}sy", f"{p}sy1", f"{p}sy2"
+    b0 = f"(({c00})*{y0} + ({c01})*{y1} + ({c02})*{y2}) / {det}"
+    b1 = f"(({c01})*{y0} + ({c11})*{y1} + ({c12})*{y2}) / {det}"
+    b2 = f"(({c02})*{y0} + ({c12})*{y1} + ({c22})*{y2}) / {det}"
+    ssr = f"({p}syy - ({b0})*{y0} - ({b1})*{y1} - ({b2})*{y2})"
+    se = f"sqrt({ssr} / ({a00} - 3) * ({c11}) / {det})"
+    return {"b1": b1, "t": f"({b1}) / {se}"}
+
+
+def adf_fixed_lag(df: DataFrame, x: str, keys: Sequence[str] = ("series_id",), order: str = "date") -> DataFrame:
+    """T-13 (re-aimed): Dickey-Fuller regression with a constant and one
+    lagged difference, dy_t = a + b x_{t-1} + c dy_{t-1}, fitted per series
+    from aggregated moments (closed-form 3x3 solve); the t statistic of b is
+    compared with the asymptotic 5% critical value.  Lag order is fixed (no
+    AIC search) — stated deviation."""
+    keys = list(keys)
+    w = Window.partitionBy(*keys).orderBy(order)
+    d = df.where(F.col(x).isNotNull()).select(*keys, order, F.col(x).cast("double").alias("__x"))
+    d = d.withColumn("__x1", F.lag("__x", 1).over(w))
+    d = d.withColumn("__dy", F.col("__x") - F.col("__x1"))
+    d = d.withColumn("__dy1", F.lag("__dy", 1).over(w))
+    d = d.where(F.col("__dy").isNotNull() & F.col("__x1").isNotNull() & F.col("__dy1").isNotNull())
+    # centre the regressors (the constant absorbs the means): avoids the
+    # cancellation of raw level moments in the closed-form solve
+    wall = Window.partitionBy(*keys)
+    d = d.withColumns({"__x1": F.col("__x1") - F.avg("__x1").over(wall),
+                       "__dy1": F.col("__dy1") - F.avg("__dy1").over(wall)})
+    y, x1, x2 = F.col("__dy"), F.col("__x1"), F.col("__dy1")
+    m = d.groupBy(*keys).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum(x1).alias("s1"), F.sum(x2).alias("s2"),
+        F.sum(x1 * x1).alias("s11"), F.sum(x2 * x2).alias("s22"), F.sum(x1 * x2).alias("s12"),
+        F.sum(y).alias("sy"), F.sum(y * x1).alias("sy1"), F.sum(y * x2).alias("sy2"), F.sum(y * y).alias("syy"))
+    e = _ols3_expr()
+    out = m.select(*keys, F.col("n").cast("long").alias("n"), F.expr(e["b1"]).alias("adf_gamma"),
+                   F.expr(e["t"]).alias("adf_stat"))
+    return out.withColumn("stationary_5pct", F.coalesce((F.col("adf_stat") < ADF_CRITICAL[0.05]).cast("int"), F.lit(0)))
+
+
+def pacf_from_acf(acf: DataFrame, keys: Sequence[str] = ("series_id",)) -> DataFrame:
+    """T-15: partial autocorrelations by Durbin-Levinson on each series' ACF
+    (one small group per series: at most max-lag rows)."""
+    keys = list(keys)
+    schema = acf.select(*keys).schema.simpleString()[len("struct<"):-1].replace(":", " ")
+    schema = f"{schema}, lag int, pacf double"
+
+    def dl(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("lag")
+        rho = pdf["acf"].to_numpy(dtype=float)
+        K = len(rho)
+        out, phi_prev = [], np.zeros(0)
+        for k in range(1, K + 1):
+            if k == 1:
+                phi_kk = rho[0]
+                phi = np.array([phi_kk])
+            else:
+                num = rho[k - 1] - np.dot(phi_prev, rho[k - 2::-1][:k - 1])
+                den = 1.0 - np.dot(phi_prev, rho[:k - 1])
+                phi_kk = num / den if den != 0 else np.nan
+                phi = np.append(phi_prev - phi_kk * phi_prev[::-1], phi_kk)
+            out.append(phi_kk)
+            phi_prev = phi
+        res = pd.DataFrame({k_: pdf[k_].iloc[0] for k_ in keys}, index=range(K))
+        res["lag"] = np.arange(1, K + 1, dtype="int32")
+        res["pacf"] = out
+        return res
+
+    return acf.groupBy(*keys).applyInPandas(dl, schema)
+
+
+@F.pandas_udf(T.DoubleType())
+def _inv_norm(p: pd.Series) -> pd.Series:
+    from statistics import NormalDist
+    nd = NormalDist()
+    return p.map(lambda v: nd.inv_cdf(v) if pd.notna(v) and 0.0 < v < 1.0 else np.nan)
+
+
+def qq_points(long: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """T-19: (value, plotting position (rank - 0.5)/n, normal quantile) per
+    distinct value and group; the inverse normal runs vectorised on the
+    reduced distinct-value table."""
+    group = list(group)
+    h = average_ranks(long, group, value)
+    w = Window.partitionBy(*group) if group else Window.partitionBy()
+    h = h.withColumn("__n", F.sum("__cnt").over(w))
+    h = h.withColumn("p", (F.col("avg_rank") - 0.5) / F.col("__n").cast("double"))
+    return h.select(*group, value, F.col("__cnt").alias("count"), "p", _inv_norm("p").alias("normal_quantile"))
+
+
+def greedy_prune(pairs: DataFrame, scores: DataFrame, threshold: float = 0.7, f1: str = "f1", f2: str = "f2",
+                 r: str = "spearman_r", feature: str = "feature", score: str = "research_score") -> DataFrame:
+    """T-12 (re-aimed from average linkage): walk features by descending
+    score; drop a feature when an already kept one has |r| > threshold with
+    it.  Runs on the p x p pair table and p scores (bounded by the number of
+    features, collected)."""
+    sc = [(row[feature], row[score]) for row in scores.select(feature, score).collect()]
+    sc.sort(key=lambda t: (-(t[1] if t[1] is not None else -1e300), t[0]))
+    strong = {}
+    for row in pairs.where(F.abs(F.col(r)) > threshold).select(f1, f2, r).collect():
+        strong.setdefault(row[f1], {})[row[f2]] = row[r]
+        strong.setdefault(row[f2], {})[row[f1]] = row[r]
+    kept, rows = [], []
+    for f, s in sc:
+        blocker = next((g for g in kept if g in strong.get(f, {})), None)
+        if blocker is None:
+            kept.append(f)
+        rows.append((f, s, blocker is None, blocker))
+    return scores.sparkSession.createDataFrame(rows, f"{feature} string, {score} double, kept boolean, "
+                                                      f"dropped_for string")

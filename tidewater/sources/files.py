@@ -64,8 +64,10 @@ def read_event_tsv(spark: SparkSession, path: str, names: Sequence[str]) -> Data
     """Headerless tab-separated file with a positional all-string schema;
     malformed lines are dropped."""
     schema = T.StructType([T.StructField(n, T.StringType(), True) for n in names])
-    return (spark.read.schema(schema).option("sep", "\t").option("header", False)
-            .option("mode", "DROPMALFORMED").csv(path))
+    df = (spark.read.schema(schema).option("sep", "\t").option("header", False)
+          .option("mode", "DROPMALFORMED").csv(path))
+    # reference every column so pruned plans (e.g. count()) still parse and drop malformed lines
+    return df.where(F.length(F.concat_ws("\u0001", *[F.col(n) for n in names])) >= 0)
 
 
 def parse_observations(df: DataFrame, col: str = "json", missing_token: str = ".") -> DataFrame:
