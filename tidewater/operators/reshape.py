@@ -11,6 +11,7 @@ __all__ = [
     "rename_as_lag", "drop_existing", "drop_contaminated", "reorder", "paginate", "detect_schema",
     "top_per_group", "argmax_row", "pick_examples", "ordered_distinct", "union_aligned", "overlap_count",
     "pivot_wide", "pivot_map", "feature_pairs", "date_regimes", "quantile_regimes", "release_checks",
+    "lookup_with_fallback", "replay", "classify_names",
 ]
 
 
@@ -73,19 +74,22 @@ def argmax_row(df: DataFrame, group: Sequence[str], key: Column) -> DataFrame:
     return best.select(*group, "__b.*")
 
 
-def pick_examples(df: DataFrame, id_col: str, rules: Sequence[tuple[str, Column, Column]]) -> DataFrame:
-    """For each (name, predicate, order) take the best matching row;
-    rows already chosen by an earlier rule are skipped (priority order)."""
-    parts = None
-    for pri, (name, pred, order) in enumerate(rules):
-        c = df.where(pred).withColumns({"example": F.lit(name), "__pri": F.lit(pri)})
-        c = c.withColumn("__r", F.row_number().over(Window.partitionBy("example").orderBy(order, F.col(id_col))))
-        parts = c if parts is None else parts.unionByName(c)
-    # keep, per id, the highest-priority rule; then the best row per rule
-    w = Window.partitionBy(id_col).orderBy("__pri", "__r")
-    d = parts.withColumn("__k", F.row_number().over(w)).where("__k = 1")
-    w2 = Window.partitionBy("example").orderBy("__r", F.col(id_col))
-    return d.withColumn("__k", F.row_number().over(w2)).where("__k = 1").drop("__k", "__r", "__pri")
+def pick_examples(df: DataFrame, id_col: str, rules: Sequence[tuple[str, Column, Column, bool]]) -> DataFrame:
+    """Each rule (name, predicate, key, descending) independently picks
+    its best row (highest / lowest key, smallest numeric id on ties) with a
+    ``max_by`` / ``min_by`` aggregate — no global sort; then a pick whose id
+    was already picked by an earlier rule is dropped (priority order)."""
+    cols = df.columns
+    picks = None
+    for pri, (name, pred, key, desc) in enumerate(rules):
+        row = F.struct(*[F.col(c) for c in cols])
+        best = (F.max_by(row, F.struct(key, -F.col(id_col))) if desc
+                else F.min_by(row, F.struct(key, F.col(id_col))))
+        one = df.where(pred).agg(best.alias("__b")).where(F.col("__b").isNotNull()) \
+            .select(F.lit(name).alias("example"), F.lit(pri).alias("__pri"), "__b.*")
+        picks = one if picks is None else picks.unionByName(one)
+    w = Window.partitionBy(id_col).orderBy("__pri")  # at most len(rules) rows
+    return picks.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k", "__pri")
 
 
 def ordered_distinct(df: DataFrame, col: str, order: str) -> DataFrame:
@@ -164,3 +168,40 @@ def release_checks(checks: Sequence[tuple[str, Column, Column]], source: DataFra
         ok = F.coalesce(num_ok, e == a, F.lit(False))
         cols.append(F.struct(F.lit(name).alias("check"), e.alias("expected"), a.alias("actual"), ok.alias("pass")))
     return source.select(F.explode(F.array(*cols)).alias("c")).select("c.*")
+
+
+def lookup_with_fallback(left: DataFrame, right: DataFrame, primary: dict[str, str], fallback: dict[str, str],
+                         values: Sequence[str], matched_col: str = "matched_on") -> DataFrame:
+    """Left join on the primary key mapping, else on the fallback mapping
+    (two equi left joins + coalesce); ``matched_on`` tells which one hit."""
+    def side(mapping, tag):
+        cols = [F.col(rc).alias(f"__{tag}_k{i}") for i, rc in enumerate(mapping.values())]
+        return right.select(*cols, *[F.col(v).alias(f"__{tag}_{v}") for v in values])
+
+    p, f = side(primary, "p"), side(fallback, "f")
+    cond_p = [F.col(lc) == F.col(f"__p_k{i}") for i, lc in enumerate(primary)]
+    cond_f = [F.col(lc) == F.col(f"__f_k{i}") for i, lc in enumerate(fallback)]
+    j = left.join(p, cond_p, "left").join(f, cond_f, "left")
+    hit_p = F.col("__p_k0").isNotNull()
+    hit_f = F.col("__f_k0").isNotNull()
+    out = j.withColumns({v: F.when(hit_p, F.col(f"__p_{v}")).otherwise(F.col(f"__f_{v}")) for v in values})
+    out = out.withColumn(matched_col, F.when(hit_p, "primary").when(hit_f, "fallback"))
+    return out.select(*left.columns, *values, matched_col)
+
+
+def replay(requests: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """Exact replay of stored rows by id for a batch of requests, with a
+    ``found`` flag instead of an error for unknown ids."""
+    s = stored.withColumn("__hit", F.lit(1))
+    return requests.join(s, key, "left").withColumn("found", F.coalesce(F.col("__hit"), F.lit(0))).drop("__hit")
+
+
+def classify_names(df: DataFrame, name: str, rules: Sequence[tuple[str, str, str]], default: str,
+                   out: str = "group") -> DataFrame:
+    """Startswith / contains cascade over a name column → label.
+    ``rules`` = (kind, pattern, label) with kind in {startswith, contains, endswith}."""
+    e = None
+    for kind, pat, lab in rules:
+        c = getattr(F.col(name), kind)(pat)
+        e = F.when(c, F.lit(lab)) if e is None else e.when(c, F.lit(lab))
+    return df.withColumn(out, e.otherwise(F.lit(default)) if e is not None else F.lit(default))
