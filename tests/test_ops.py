@@ -182,3 +182,25 @@ def test_reshape_helpers(spark):
     res = {r["check"]: r["pass"] for r in rs.release_checks([("n", F.lit(3), F.col("c")),
                                                               ("best", F.lit("y"), F.col("mm"))], one).collect()}
     assert res == {"n": True, "best": True}
+
+
+def test_local_surrogate_matches_numpy(spark):
+    rng = np.random.default_rng(12)
+    refs = rng.normal(size=(40, 3))
+    ys = (refs[:, 0] + 0.1 * rng.normal(size=40) > 0).astype(int)
+    q = rng.normal(size=(1, 3))
+    R = spark.createDataFrame([(i, [float(v) for v in refs[i]], int(ys[i])) for i in range(40)],
+                              "id long, v array<double>, y int")
+    Q = spark.createDataFrame([(7, [float(v) for v in q[0]])], "query_id long, v array<double>")
+    got = nb.local_surrogate(R, Q, "id", "v", "y", min_rows=25, rows_per_dim=1).orderBy("dim").collect()
+    mu, sd = refs.mean(0), refs.std(0)
+    Z, qz = (refs - mu) / sd, (q[0] - mu) / sd
+    d = np.sqrt(((Z - qz) ** 2).mean(1))
+    idx = np.lexsort((np.arange(40), d))[:25]
+    w = np.exp(-d[idx] ** 2 / 0.75 ** 2)
+    A = np.column_stack([np.ones(25), Z[idx]])
+    P = np.eye(4) * 0.05
+    P[0, 0] = 0
+    beta = np.linalg.solve(A.T @ (A * w[:, None]) + P, A.T @ (w * ys[idx]))
+    assert [r["coef"] for r in got] == pytest.approx(list(beta[1:]), rel=1e-8)
+    assert got[0]["intercept"] == pytest.approx(beta[0], rel=1e-8)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-__all__ = ["dimension_stats", "knn_topk", "knn_score", "loo_attribution", "MAX_QUERY_BATCH"]
+__all__ = ["dimension_stats", "knn_topk", "knn_score", "loo_attribution", "local_surrogate", "MAX_QUERY_BATCH"]
 
 MAX_QUERY_BATCH = 4096  # queries broadcast at once; larger inputs are processed in chunks
 
@@ -135,3 +135,43 @@ def loo_attribution(refs: DataFrame, queries: DataFrame, k: int, id_col: str, ve
     w = Window.partitionBy(query_id).orderBy(F.abs("attribution").desc(), "dim")  # width rows per query
     return m.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top) \
         .select(query_id, "dim", "base_score", F.col("score").alias("masked_score"), "attribution", "rank")
+
+
+def local_surrogate(refs: DataFrame, queries: DataFrame, id_col: str, vec: str, outcome: str,
+                    query_id: str = "query_id", bandwidth: float = 0.75, ridge: float = 0.05,
+                    min_rows: int = 120, rows_per_dim: int = 5) -> DataFrame:
+    """Local weighted linear surrogate around each query.
+
+    The nearest max(min_rows, rows_per_dim * width) references (exact k-NN)
+    get kernel weights exp(-d^2 / bandwidth^2); a weighted ridge regression
+    (penalty on slopes only) of the outcome on the standardised vector is
+    solved per query — one group of k rows, bounded by k — and reported as
+    (query, dim, coefficient) with the intercept and weighted R^2.
+    """
+    stats = dimension_stats(refs, vec).orderBy("dim").collect()  # bounded by width
+    mu = np.array([r["mean"] for r in stats])
+    sd = np.array([r["std"] for r in stats])
+    width = len(stats)
+    k = max(int(min_rows), int(rows_per_dim) * width)
+    top = knn_topk(refs, queries, k, id_col, vec, outcome, query_id)
+    rows = top.join(refs.select(F.col(id_col), F.col(vec).alias("__rv")), id_col)
+    qtype = queries.schema[query_id].dataType.simpleString()
+    schema = f"{query_id} {qtype}, dim int, coef double, intercept double, r2 double, n long"
+    bw2, lam = float(bandwidth) ** 2, float(ridge)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        X = (np.vstack(pdf["__rv"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy()) - mu) / sd
+        y = pdf[outcome].to_numpy(dtype=np.float64)
+        w = np.exp(-(pdf["distance"].to_numpy(dtype=np.float64) ** 2) / bw2)
+        A = np.column_stack([np.ones(len(y)), X])
+        pen = np.eye(A.shape[1]) * lam
+        pen[0, 0] = 0.0
+        beta = np.linalg.solve(A.T @ (A * w[:, None]) + pen, A.T @ (w * y))
+        fitted = A @ beta
+        ybar = np.sum(w * y) / np.sum(w)
+        sst = np.sum(w * (y - ybar) ** 2)
+        r2 = 1.0 - np.sum(w * (y - fitted) ** 2) / sst if sst > 0 else np.nan
+        return pd.DataFrame({query_id: pdf[query_id].iloc[0], "dim": np.arange(width, dtype="int32"),
+                             "coef": beta[1:], "intercept": beta[0], "r2": r2, "n": len(y)})
+
+    return rows.select(query_id, "distance", outcome, "__rv").groupBy(query_id).applyInPandas(fit, schema)

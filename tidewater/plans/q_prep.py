@@ -115,3 +115,10 @@ def q_loo_attribution(spark, sf):
     """Rows-only here; tests/ compares it with a NumPy brute force."""
     refs, qs = _knn_inputs(spark, sf)
     return finish(nb.loo_attribution(refs, qs, 5, "vec_id", "embedding", "outcome"))
+
+
+@register("local_surrogate")
+def q_local_surrogate(spark, sf):
+    """Kernel-weighted ridge surrogate around each query vector; rows-only."""
+    refs, qs = _knn_inputs(spark, sf)
+    return finish(nb.local_surrogate(refs, qs, "vec_id", "embedding", "outcome"))
