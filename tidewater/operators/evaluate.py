@@ -83,12 +83,17 @@ def roc_auc(df: DataFrame, group: Sequence[str], label: str = "target", score: s
 
     AUC = sum_v pos_v * (neg_below_v + neg_v / 2) / (n_pos * n_neg), evaluated
     on the distinct-score histogram.  ``neg_below`` is a running sum computed
-    with ``prefix_sum`` over score buckets (default: 4096 equal buckets of a
-    probability), so one group's scores are spread over many tasks.
+    with ``prefix_sum`` over score buckets (default: approximate-quantile
+    buckets of the group's scores), so one group's scores are spread over
+    many tasks even when they crowd around one value.
     """
     group = list(group)
     h = _histogram(df, group, label, score)
-    b = bucket if bucket is not None else F.floor(F.col(score) * F.lit(4096.0)).cast("long")
+    if bucket is None:
+        from tidewater.operators.stats import value_bucket
+        h, b = value_bucket(h, group, score), F.col("__vb")
+    else:
+        b = bucket
     h = prefix_sum(h, group, [score], b, {"__neg_below": "__neg"}, inclusive=False)
     part = F.col("__pos").cast("double") * (F.col("__neg_below").cast("double") + F.col("__neg").cast("double") / 2.0)
     agg = h.groupBy(*group).agg(F.sum(part).alias("__num"), F.sum("__pos").alias("__np"), F.sum("__neg").alias("__nn"))
@@ -111,7 +116,11 @@ def roc_curve(df: DataFrame, group: Sequence[str], label="target", score="proba_
     """(fpr, tpr) at every distinct score, thresholds descending."""
     group = list(group)
     h = _histogram(df, group, label, score).withColumn("__ns", -F.col(score))
-    b = bucket if bucket is not None else F.floor(F.col("__ns") * F.lit(4096.0)).cast("long")
+    if bucket is None:
+        from tidewater.operators.stats import value_bucket
+        h, b = value_bucket(h, group, "__ns"), F.col("__vb")
+    else:
+        b = bucket
     h = prefix_sum(h, group, ["__ns"], b, {"__tp": "__pos", "__fp": "__neg"}, inclusive=True)
     tot = Window.partitionBy(*group) if group else Window.partitionBy()
     return h.select(*group, F.col(score).alias("threshold"),

@@ -76,9 +76,11 @@ def apply_robust(long: DataFrame, params: DataFrame, group=("feature",), value="
     return j.withColumn(out, (F.col(value) - F.col("median")) / F.col("iqr")).drop("median", "iqr")
 
 
-def fit_median(long: DataFrame, fit_where: Column | None = None, group=("feature",), value="value") -> DataFrame:
-    """train median per feature."""
-    return _fit_rows(long, fit_where, value).groupBy(*group).agg(F.percentile(value, 0.5).alias("median"))
+def fit_median(long: DataFrame, fit_where: Column | None = None, group=("feature",), value="value",
+               exact: bool = True) -> DataFrame:
+    """train median per feature (``exact=False``: approximate)."""
+    from tidewater.operators.quality import pct
+    return _fit_rows(long, fit_where, value).groupBy(*group).agg(pct(value, 0.5, exact).alias("median"))
 
 
 def apply_impute(long: DataFrame, params: DataFrame, group=("feature",), value="value", out="imputed",

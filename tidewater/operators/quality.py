@@ -13,12 +13,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 __all__ = [
-    "to_long", "describe_long", "sample_skew_kurt", "missing_report", "infinity_report", "duplicate_report",
+    "pct", "to_long", "describe_long", "sample_skew_kurt", "missing_report", "infinity_report", "duplicate_report",
     "dedup_first", "iqr_outliers", "zscore_outliers", "histogram", "value_counts", "split_balance",
     "quality_gate", "range_check", "winsorize", "group_stats",
 ]
 
 
+def pct(col, q, exact: bool = True, accuracy: int = 10000) -> Column:
+    """Linear-interpolated percentile(s); ``exact=False`` switches to
+    ``percentile_approx`` (bounded memory per group) — explicit, never silent."""
+    c = F.col(col) if isinstance(col, str) else col
+    if isinstance(q, (list, tuple)):
+        arr = F.array(*[F.lit(float(x)) for x in q])
+        return F.percentile(c, arr) if exact else F.percentile_approx(c, arr, accuracy)
+    return F.percentile(c, F.lit(float(q))) if exact else F.percentile_approx(c, F.lit(float(q)), accuracy)
+
+
 def to_long(df: DataFrame, ids: Sequence[str], features: Sequence[str], keep_nulls: bool = True,
             feature: str = "feature", value: str = "value") -> DataFrame:
     """Wide → long ``(ids..., feature, value)`` with double values."""
@@ -46,8 +56,7 @@ def describe_long(long: DataFrame, group: Sequence[str] = ("feature",), value: s
     the switch is explicit, never silent.
     """
     v = F.col(value)
-    qs = (F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
-          else F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), accuracy))
+    qs = pct(v, [0.25, 0.5, 0.75], exact, accuracy)
     nu = F.count_distinct(v) if exact else F.approx_count_distinct(v)
     a = long.groupBy(*group).agg(
         F.count(v).alias("count"), F.count_if(v.isNull()).alias("missing"),
@@ -91,12 +100,12 @@ def dedup_first(df: DataFrame, key: Sequence[str], order: Sequence) -> DataFrame
 
 
 def iqr_outliers(long: DataFrame, group: Sequence[str] = ("feature",), value: str = "value",
-                 k: float = 1.5, min_n: int = 10) -> DataFrame:
+                 k: float = 1.5, min_n: int = 10, exact: bool = True) -> DataFrame:
     """Share of values outside [q1 - k IQR, q3 + k IQR]; 0 when n < min_n
     or IQR = 0.  Quartiles are one row per group, joined back."""
     v = F.col(value)
     q = long.where(v.isNotNull()).groupBy(*group).agg(
-        F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("__q"), F.count(v).alias("__n"))
+        pct(v, [0.25, 0.75], exact).alias("__q"), F.count(v).alias("__n"))
     j = long.where(v.isNotNull()).join(q, list(group))
     iqr = F.col("__q")[1] - F.col("__q")[0]
     out = (v < F.col("__q")[0] - F.lit(k) * iqr) | (v > F.col("__q")[1] + F.lit(k) * iqr)
@@ -142,12 +151,13 @@ def split_balance(df: DataFrame, split: str, date: str) -> DataFrame:
     return c.withColumn("ratio", F.col("rows") / F.sum("rows").over(Window.partitionBy()))
 
 
-def group_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+def group_stats(df: DataFrame, by: Sequence[str], value: str, exact: bool = True) -> DataFrame:
     """mean/std/median/min/max/quartiles of ``value`` per group."""
     v = F.col(value)
-    return df.groupBy(*by).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-                               F.percentile(v, 0.5).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"),
-                               F.percentile(v, 0.25).alias("q25"), F.percentile(v, 0.75).alias("q75"))
+    a = df.groupBy(*by).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+                            pct(v, [0.5, 0.25, 0.75], exact).alias("__q"), F.min(v).alias("min"), F.max(v).alias("max"))
+    return a.select(*by, "mean", "std", F.col("__q")[0].alias("median"), "min", "max",
+                    F.col("__q")[1].alias("q25"), F.col("__q")[2].alias("q75"))
 
 
 def range_check(long: DataFrame, expected: DataFrame, group: str = "feature", value: str = "value") -> DataFrame:
@@ -159,12 +169,12 @@ def range_check(long: DataFrame, expected: DataFrame, group: str = "feature", va
 
 
 def winsorize(long: DataFrame, q: float = 0.99, fit_where: Column | None = None, group: Sequence[str] = ("feature",),
-              value: str = "value", out: str = "value_w") -> DataFrame:
+              value: str = "value", out: str = "value_w", exact: bool = True) -> DataFrame:
     """Cap at the upper ``q`` quantile fitted on ``fit_where`` rows only
     (leak-safe), applied to every row.  Returns rows plus the cap."""
     v = F.col(value)
     fit = long if fit_where is None else long.where(fit_where)
-    caps = fit.where(v.isNotNull()).groupBy(*group).agg(F.percentile(v, q).alias("cap"))
+    caps = fit.where(v.isNotNull()).groupBy(*group).agg(pct(v, q, exact).alias("cap"))
     j = long.join(caps, list(group), "left")
     return j.withColumn(out, F.when(v.isNotNull() & F.col("cap").isNotNull(), F.least(v, F.col("cap"))).otherwise(v))
 

@@ -141,7 +141,7 @@ def date_regimes(date: str, regimes: Sequence[tuple[str, str, str]]) -> Column:
 
 
 def quantile_regimes(df: DataFrame, value: str, group: Sequence[str] = (), lo: float = 0.25, hi: float = 0.75,
-                     fit_where: Column | None = None, out: str = "regime") -> DataFrame:
+                     fit_where: Column | None = None, out: str = "regime", exact: bool = True) -> DataFrame:
     """Low / medium / high by the q25 / q75 of ``value`` (one row of
     quantiles per group joined back)."""
     group = list(group)
@@ -149,7 +149,8 @@ def quantile_regimes(df: DataFrame, value: str, group: Sequence[str] = (), lo: f
     keyed = group or ["__one"]
     d = df if group else df.withColumn("__one", F.lit(1))
     f = fit if group else fit.withColumn("__one", F.lit(1))
-    q = f.groupBy(*keyed).agg(F.percentile(value, F.array(F.lit(lo), F.lit(hi))).alias("__q"))
+    from tidewater.operators.quality import pct
+    q = f.groupBy(*keyed).agg(pct(value, [lo, hi], exact).alias("__q"))
     j = d.join(q, keyed)
     r = F.when(F.col(value).isNull(), None).when(F.col(value) <= F.col("__q")[0], "low") \
         .when(F.col(value) >= F.col("__q")[1], "high").otherwise("medium")

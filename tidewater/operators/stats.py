@@ -30,22 +30,38 @@ __all__ = [
 ]
 
 
-def value_bucket(df: DataFrame, group: Sequence[str], value: str, buckets: int = 1024) -> DataFrame:
-    """Attach ``__vb``: equal-width bucket of ``value`` within its group's range."""
+def value_bucket(df: DataFrame, group: Sequence[str], value: str, buckets: int = 256,
+                 method: str = "quantile", accuracy: int = 10000) -> DataFrame:
+    """Attach ``__vb``, a bucket index monotone in ``value`` within its group.
+
+    ``method="quantile"`` (default) cuts at approximate quantiles of the
+    group's values, so buckets hold similar numbers of distinct values even
+    for heavily skewed distributions (a single outlier cannot push every
+    value into one bucket).  ``"width"`` uses equal-width buckets between
+    the group's min and max.  Either way the boundaries are one small row per
+    group joined back, and equal values always share a bucket.
+    """
     group = list(group)
     keyed = df if group else df.withColumn("__one", F.lit(1))
     keys = group or ["__one"]
-    mm = keyed.groupBy(*keys).agg(F.min(value).alias("__vlo"), F.max(value).alias("__vhi"))
-    j = keyed.join(mm, keys)  # one row per group on the right side
-    if not group:
-        j = j.drop("__one")
-    b = F.floor(F.coalesce(F.try_divide(F.col(value) - F.col("__vlo"), F.col("__vhi") - F.col("__vlo")), F.lit(0.0))
-                * F.lit(float(buckets - 1))).cast("long")
-    return j.withColumn("__vb", b).drop("__vlo", "__vhi")
+    if method == "quantile":
+        qs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+        mm = keyed.groupBy(*keys).agg(F.percentile_approx(value, qs, accuracy).alias("__cuts"))
+        j = keyed.join(mm, keys)  # one row per group on the right side
+        v = F.col(value)
+        b = F.size(F.filter("__cuts", lambda c: c < v)).cast("long")
+        out = j.withColumn("__vb", b).drop("__cuts")
+    else:
+        mm = keyed.groupBy(*keys).agg(F.min(value).alias("__vlo"), F.max(value).alias("__vhi"))
+        j = keyed.join(mm, keys)
+        b = F.floor(F.coalesce(F.try_divide(F.col(value) - F.col("__vlo"), F.col("__vhi") - F.col("__vlo")),
+                               F.lit(0.0)) * F.lit(float(buckets - 1))).cast("long")
+        out = j.withColumn("__vb", b).drop("__vlo", "__vhi")
+    return out if group else out.drop("__one")
 
 
 def average_ranks(df: DataFrame, group: Sequence[str], value: str, counts: dict[str, Column] | None = None,
-                  buckets: int = 1024) -> DataFrame:
+                  buckets: int = 256) -> DataFrame:
     """Histogram of distinct values per group with tie-averaged ranks.
 
     Returns ``group, value, __cnt, __below, avg_rank`` (1-based) plus any
