@@ -29,15 +29,21 @@ def reuse(df: DataFrame) -> DataFrame:
 
 
 def _cents_avg(c: str) -> F.Column:
-    """avg(c) / 1024, from an exact integer cent sum (binary scale: no decimal rounding ties)."""
-    cents = F.sum(F.round(F.col(c) * 100).cast("long")).cast("double")
-    return cents / F.count(F.lit(1)) / F.lit(102400.0)
+    """Average of ``c`` in whole cents (half-up, integer arithmetic) / 1024.
+
+    The value is an integer over a power of two, so any window sum of it is
+    exact in binary and identical in every engine and summation order.
+    """
+    s = F.sum(F.round(F.col(c) * 100).cast("long"))
+    n = F.count(F.lit(1))
+    cents = F.floor((s * 2 + n) / (n * 2)).cast("long")
+    return cents.cast("double") / F.lit(1024.0)
 
 
 def daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(series_id, date, close, n_orders): one series per order priority.
 
-    ``close`` is the average order value of the day divided by 1024.
+    ``close`` is the day's average order value in cents divided by 1024.
     """
     o = read_table(spark, sf_dir, "orders")
     return (o.groupBy(F.col("o_orderpriority").alias("series_id"),

@@ -212,7 +212,8 @@ def q_rolling_folds(spark, sf):
 @register("regime_codes", """
 WITH m AS (
   SELECT o_orderpriority AS series_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS date,
-         CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 102400.0 / 100.0 AS rate
+         CAST((2 * sum(CAST(round(o_totalprice * 100) AS BIGINT)) + count(*)) // (2 * count(*)) AS DOUBLE) / 1024.0 / 100.0
+           AS rate
   FROM orders GROUP BY 1, 2),
 p AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY series_id ORDER BY date) = 1 THEN rate
                      ELSE lag(rate) OVER (PARTITION BY series_id ORDER BY date) END AS prev FROM m)
@@ -224,9 +225,8 @@ FROM p""", dbl="rate")
 def q_regime_codes(spark, sf):
     from tidewater.session import read_table
     o = read_table(spark, sf, "orders")
-    cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).cast("double")
     m = o.groupBy(F.col("o_orderpriority").alias("series_id"), F.trunc(F.to_date("o_orderdate"), "MM").alias("date")) \
-        .agg((cents / F.count(F.lit(1)) / F.lit(102400.0) / F.lit(100.0)).alias("rate"))
+        .agg((inputs._cents_avg("o_totalprice") / F.lit(100.0)).alias("rate"))
     return finish(ft.regime_series(m, "rate"))
 
 
@@ -313,3 +313,54 @@ def q_panel_features(spark, sf):
     return finish(a.withColumn("split", split).select(
         "series_id", "date", "close", "close_imputed", "ret", "ret_mean7", "ret_std7", "ret_lag1", "ret_fwd1",
         "ret_fwd1_date", "split"))
+
+
+def _sub(name: str) -> str:
+    from tidewater.plans.registry import ORACLE
+    return "(" + ORACLE[name] + ")"
+
+
+TECH_COLS = ["ma_5", "ma_10", "ma_20", "ma_50", "ma_5_10_cross", "ma_10_20_cross", "ma_20_50_cross", "price_vs_ma20",
+             "price_vs_ma50", "rsi_14", "macd", "macd_signal", "macd_hist", "macd_cross", "bb_upper", "bb_lower",
+             "bb_width", "bb_position", "momentum_5", "momentum_10", "momentum_20", "ret_std_5", "ret_std_20",
+             "ret_mean_5", "ret_mean_20", "ret_lag1", "ret_lag2", "ret_lag3", "ret_lag5"]
+
+_TECH_SQL = with_(RETURNS) + f""",
+m0 AS (SELECT series_id, date, close, ret,
+              {_roll('avg', 'close', 5)} AS r5, {_roll('avg', 'close', 10)} AS r10,
+              {_roll('avg', 'close', 20)} AS r20, {_roll('avg', 'close', 50)} AS r50,
+              close / lag(close, 5) OVER ({W}) - 1.0 AS mo5, close / lag(close, 10) OVER ({W}) - 1.0 AS mo10,
+              close / lag(close, 20) OVER ({W}) - 1.0 AS mo20,
+              {_roll('stddev_samp', 'ret', 5)} AS sd5, {_roll('stddev_samp', 'ret', 20)} AS sd20,
+              {_roll('avg', 'ret', 5)} AS mn5, {_roll('avg', 'ret', 20)} AS mn20
+       FROM rp),
+m1 AS (SELECT series_id, date, close, ret,
+              lag(r5) OVER ({W}) AS ma_5, lag(r10) OVER ({W}) AS ma_10, lag(r20) OVER ({W}) AS ma_20,
+              lag(r50) OVER ({W}) AS ma_50, lag(close) OVER ({W}) AS prev,
+              lag(mo5) OVER ({W}) AS momentum_5, lag(mo10) OVER ({W}) AS momentum_10, lag(mo20) OVER ({W}) AS momentum_20,
+              lag(sd5) OVER ({W}) AS ret_std_5, lag(sd20) OVER ({W}) AS ret_std_20,
+              lag(mn5) OVER ({W}) AS ret_mean_5, lag(mn20) OVER ({W}) AS ret_mean_20,
+              lag(ret, 1) OVER ({W}) AS ret_lag1, lag(ret, 2) OVER ({W}) AS ret_lag2,
+              lag(ret, 3) OVER ({W}) AS ret_lag3, lag(ret, 5) OVER ({W}) AS ret_lag5
+       FROM m0),
+m2 AS (SELECT *, CAST(coalesce(ma_5 > ma_10, false) AS INTEGER) AS ma_5_10_cross,
+              CAST(coalesce(ma_10 > ma_20, false) AS INTEGER) AS ma_10_20_cross,
+              CAST(coalesce(ma_20 > ma_50, false) AS INTEGER) AS ma_20_50_cross,
+              (prev - ma_20) / (ma_20 + 1e-10) AS price_vs_ma20, (prev - ma_50) / (ma_50 + 1e-10) AS price_vs_ma50
+       FROM m1)
+SELECT m2.series_id, m2.date, close, ret, {", ".join(TECH_COLS)}
+FROM m2 JOIN RSI_SQL r USING (series_id, date) JOIN MACD_SQL m USING (series_id, date)
+     JOIN BB_SQL b USING (series_id, date)
+WHERE {" AND ".join(c + " IS NOT NULL" for c in ["close", "ret"] + TECH_COLS)}"""
+
+
+@register("technical_features", _TECH_SQL.replace("RSI_SQL", _sub("rsi")).replace("MACD_SQL", _sub("ewm_macd"))
+          .replace("BB_SQL", _sub("bollinger")),
+          dbl="close ret ma_5 ma_10 ma_20 ma_50 price_vs_ma20 price_vs_ma50 rsi_14 macd macd_signal macd_hist macd_cross "
+              "bb_upper bb_lower bb_width bb_position momentum_5 momentum_10 momentum_20 ret_std_5 ret_std_20 "
+              "ret_mean_5 ret_mean_20 ret_lag1 ret_lag2 ret_lag3 ret_lag5")
+def q_technical_features(spark, sf):
+    """The whole shifted technical feature set; rows with any
+    missing feature dropped."""
+    p = inputs.reuse(inputs.returns_panel(spark, sf).select("series_id", "date", "close", "ret"))
+    return finish(ft.technical_features(p).select("series_id", "date", "close", "ret", *TECH_COLS))

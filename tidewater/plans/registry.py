@@ -58,7 +58,7 @@ def finish(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 # ---------------------------------------------------------------- SQL inputs
 PANEL = """panel AS (
   SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS date,
-         CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 102400.0 AS close,
+         CAST((2 * sum(CAST(round(o_totalprice * 100) AS BIGINT)) + count(*)) // (2 * count(*)) AS DOUBLE) / 1024.0 AS close,
          count(*) AS n_orders
   FROM orders GROUP BY 1, 2)"""
 
@@ -73,7 +73,7 @@ WEEKLY = """weekly AS (
 MONTHLY = """monthly AS (
   SELECT month, level, CAST(month + INTERVAL 1 MONTH AS DATE) AS available_at FROM (
     SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
-           CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 102400.0 AS level
+           CAST((2 * sum(CAST(round(o_totalprice * 100) AS BIGINT)) + count(*)) // (2 * count(*)) AS DOUBLE) / 1024.0 AS level
     FROM orders GROUP BY 1))"""
 
 PREDICTIONS = """preds AS (
