@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 __all__ = [
     "calibrate_linear", "threshold_signal", "simulate", "strategy_metrics", "threshold_candidates",
-    "optimise_threshold", "buy_and_hold", "yearly_metrics", "FIXED_CANDIDATES",
+    "optimise_threshold", "selection_key", "buy_and_hold", "yearly_metrics", "FIXED_CANDIDATES",
 ]
 
 # Constant candidate thresholds added to the order statistics
@@ -117,12 +117,20 @@ def optimise_threshold(df: DataFrame, keys: Sequence[str], order: str, score: st
     fan = df.join(cand, keys)
     daily = simulate(fan, keys + ["threshold"], order, score, actual, F.col("threshold"), cost_rate, lag_days)
     met = strategy_metrics(daily, keys + ["threshold"], order)
-    key = F.struct(F.coalesce(F.col("sharpe"), F.lit(-999.0)), F.col("total_return"), -F.col("turnover"),
-                   -F.col("threshold"))
+    key = F.struct(*selection_key(), -F.col("threshold"))
     best = met.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in met.columns if c not in keys]), key).alias("b"))
     return best.select(*keys, "b.*")
 
 
+def selection_key(digits: int = 9) -> list[Column]:
+    """B09 ranking key (larger is better): Sharpe with NULL as -999, total
+    return, then fewer trades.  Metrics are compared at ``digits`` decimals so
+    that mathematically equal strategies (same positions, different
+    thresholds) tie exactly instead of being ordered by float noise."""
+    return [F.round(F.coalesce(F.col("sharpe"), F.lit(-999.0)), digits), F.round(F.col("total_return"), digits),
+            -F.col("turnover")]
+
+
 def buy_and_hold(df: DataFrame, keys: Sequence[str], order: str, actual: str, cost_rate: float = 0.0015) -> DataFrame:
     """Always long, one entry cost on the first row."""
     keys = list(keys)

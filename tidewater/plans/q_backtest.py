@@ -93,7 +93,8 @@ fan AS (SELECT v.*, cand.threshold FROM v JOIN cand USING (series_id))"""
                                       _metrics_sql("daily", "series_id, threshold")) + """
 SELECT * EXCLUDE (rk) FROM (
   SELECT *, row_number() OVER (PARTITION BY series_id
-                               ORDER BY coalesce(sharpe, -999.0) DESC, total_return DESC, turnover ASC, threshold ASC) AS rk
+                               ORDER BY round(coalesce(sharpe, -999.0), 9) DESC, round(total_return, 9) DESC,
+                                        turnover ASC, threshold ASC) AS rk
   FROM met) WHERE rk = 1""", dbl="threshold " + MET_DBL)
 def q_threshold_optimise(spark, sf):
     b = inputs.backtest_input(spark, sf)

@@ -186,8 +186,8 @@ cand AS (
           _sim_sql("fan2", "series_id, split, threshold", "threshold") + "," +
           _metrics_sql("daily", "series_id, split, threshold") + """,
 sel AS (SELECT series_id, split, threshold,
-               row_number() OVER (PARTITION BY series_id, split ORDER BY coalesce(sharpe, -999.0) DESC,
-                                  total_return DESC, turnover ASC, threshold ASC) AS rk FROM met)
+               row_number() OVER (PARTITION BY series_id, split ORDER BY round(coalesce(sharpe, -999.0), 9) DESC,
+                                  round(total_return, 9) DESC, turnover ASC, threshold ASC) AS rk FROM met)
 SELECT met.series_id, met.split, met.threshold, total_return, 10000.0 * total_return AS profit, sharpe, turnover,
        CAST(EXISTS (SELECT 1 FROM sel s WHERE s.series_id = met.series_id AND s.split = 'val' AND s.rk = 1
                     AND s.threshold = met.threshold) AS INTEGER) AS is_selected,
@@ -206,8 +206,7 @@ def q_sweep_val_test(spark, sf):
     g = ["series_id", "split", "threshold"]
     met = bt.strategy_metrics(bt.simulate(fan, g, "date", "predicted_return", "actual_return", F.col("threshold"),
                                           COST, 1), g)
-    key = [F.coalesce(F.col("sharpe"), F.lit(-999.0)).desc(), F.col("total_return").desc(),
-           F.col("turnover").asc(), F.col("threshold").asc()]
+    key = [k.desc() for k in bt.selection_key()] + [F.col("threshold").asc()]
     w = Window.partitionBy("series_id", "split").orderBy(*key)
     met = met.withColumn("__rk", F.row_number().over(w))
     best = met.where("__rk = 1").groupBy("series_id").agg(
