@@ -30,8 +30,8 @@ __all__ = [
 ]
 
 
-def value_bucket(df: DataFrame, group: Sequence[str], value: str, buckets: int = 256,
-                 method: str = "quantile", accuracy: int = 10000) -> DataFrame:
+def value_bucket(df: DataFrame, group: Sequence[str], value: str, buckets: int = 128,
+                 method: str = "quantile", accuracy: int = 1000) -> DataFrame:
     """Attach ``__vb``, a bucket index monotone in ``value`` within its group.
 
     ``method="quantile"`` (default) cuts at approximate quantiles of the
@@ -61,7 +61,7 @@ def value_bucket(df: DataFrame, group: Sequence[str], value: str, buckets: int =
 
 
 def average_ranks(df: DataFrame, group: Sequence[str], value: str, counts: dict[str, Column] | None = None,
-                  buckets: int = 256) -> DataFrame:
+                  buckets: int = 128) -> DataFrame:
     """Histogram of distinct values per group with tie-averaged ranks.
 
     Returns ``group, value, __cnt, __below, avg_rank`` (1-based) plus any

@@ -151,11 +151,11 @@ def q_ensemble_average(spark, sf):
     w = Window.orderBy(F.col("AUC").desc_nulls_last(), "Model")  # one row per model: tiny
     top = va.withColumn("__r", F.row_number().over(w)).where("__r <= 2").select(F.lit("ENS_TOP2").alias("Ensemble"), "Model")
     members = p.select("Model").distinct().select(F.lit("ENS_ALL").alias("Ensemble"), "Model").unionByName(top)
-    # average integer numerators (proba = k/1008) so the mean is exact in both engines
+    # average integer numerators (proba = k/1008) so the mean is exact in both engines;
+    # target depends only on the order, so it rides along as a grouping key (no re-join)
     num = p.withColumn("proba_up", F.round(F.col("proba_up") * 1008))
-    e = ev.ensemble_average(num.withColumn("target", F.col("target")), members, ["Split", "o_orderkey"])
-    tgt = p.groupBy("Split", "o_orderkey").agg(F.min("target").alias("target"))
-    e = e.join(tgt, ["Split", "o_orderkey"]).withColumn("proba_up", F.col("proba_up") / F.lit(1008.0))
+    e = ev.ensemble_average(num, members, ["Split", "o_orderkey", "target"])
+    e = inputs.reuse(e.withColumn("proba_up", F.col("proba_up") / F.lit(1008.0)))
     g = ["Ensemble", "Split"]
     m = ev.classification_metrics(e, g).join(ev.roc_auc(e, g), g)
     return finish(m.select("Ensemble", "Split", "N", "Accuracy", "F1_macro", "AUC"))
