@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 __all__ = [
     "fit_minmax", "apply_minmax", "fit_standard", "apply_standard", "fit_robust", "apply_robust",
     "fit_median", "apply_impute", "yeo_johnson", "fit_yeo_johnson", "apply_yeo_johnson", "split_by_date",
-    "processing_report",
+    "processing_report", "fit_grouped", "apply_grouped", "impute_with_names",
 ]
 
 
@@ -140,3 +140,46 @@ def processing_report(before: DataFrame, after: DataFrame, group=("feature",), v
     a = after.groupBy(*group).agg(F.skewness(out_value).alias("skew_after"))
     r = b.join(a, list(group), "left")
     return r.withColumn("suggested", F.when(F.abs("skew_before") > 1.0, "power").otherwise("standard"))
+
+
+def fit_grouped(long: DataFrame, scaler_of: dict[str, str], fit_where: Column | None = None,
+                default: str = "standard", feature: str = "feature", value: str = "value") -> DataFrame:
+    """One parameter table (feature, scaler, loc, scale) with the
+    scaler chosen per feature (standard / robust / minmax / passthrough),
+    fitted on ``fit_where`` rows in a single aggregation."""
+    from tidewater.operators.quality import pct
+    rows = _fit_rows(long, fit_where, value)
+    mapping = F.create_map(*[x for k, v in scaler_of.items() for x in (F.lit(k), F.lit(v))]) if scaler_of else None
+    sc = F.coalesce(mapping[F.col(feature)], F.lit(default)) if mapping is not None else F.lit(default)
+    a = rows.groupBy(feature).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"),
+                                  F.min(value).alias("__lo"), F.max(value).alias("__hi"),
+                                  pct(value, [0.25, 0.5, 0.75]).alias("__q"))
+    a = a.withColumn("scaler", sc)
+    iqr = F.col("__q")[2] - F.col("__q")[0]
+    rng = F.col("__hi") - F.col("__lo")
+    loc = (F.when(F.col("scaler") == "standard", F.col("__m")).when(F.col("scaler") == "robust", F.col("__q")[1])
+           .when(F.col("scaler") == "minmax", F.col("__lo")).otherwise(F.lit(0.0)))
+    scale = (F.when(F.col("scaler") == "standard", F.when(F.col("__s") == 0, 1.0).otherwise(F.col("__s")))
+             .when(F.col("scaler") == "robust", F.when(iqr == 0, 1.0).otherwise(iqr))
+             .when(F.col("scaler") == "minmax", F.when(rng == 0, 1.0).otherwise(rng)).otherwise(F.lit(1.0)))
+    return a.select(feature, "scaler", loc.alias("loc"), scale.alias("scale"))
+
+
+def apply_grouped(long: DataFrame, params: DataFrame, feature: str = "feature", value: str = "value",
+                  out: str = "scaled") -> DataFrame:
+    """(x - loc) / scale with the per-feature parameters (one join)."""
+    j = long.join(params, feature, "left")
+    return j.withColumn(out, (F.col(value) - F.col("loc")) / F.col("scale"))
+
+
+def impute_with_names(df: DataFrame, means: dict[str, Column] | DataFrame, features: Sequence[str],
+                      out_list: str = "imputed") -> DataFrame:
+    """fill missing request features with their (train) means and list
+    the imputed names.  ``means`` is a one-row DataFrame with a column per
+    feature (joined on a constant key)."""
+    m = means.select(*[F.col(f).alias(f"__mean_{f}") for f in features]).withColumn("__one", F.lit(1))
+    j = df.withColumn("__one", F.lit(1)).join(m, "__one").drop("__one")  # one-row side
+    names = F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in features]))
+    j = j.withColumn(out_list, names)
+    return j.withColumns({f: F.coalesce(F.col(f), F.col(f"__mean_{f}")) for f in features}) \
+        .drop(*[f"__mean_{f}" for f in features])

@@ -176,3 +176,17 @@ def q_calibrate_return(spark, sf):
     val = b.where((F.col("target_date") >= F.lit(inputs.TRAIN_END).cast("date")) &
                   (F.col("target_date") < F.lit(inputs.VAL_END).cast("date")))
     return finish(calibrate_linear(val, ["series_id"], "predicted_return", "actual_return"))
+
+
+@register("artifact_status", with_(PREDICTIONS) + """
+SELECT Experiment, regexp_replace(Model, '_th05$', '') AS Model,
+       CAST(count_if(Split = 'train') AS BIGINT) AS n_train, CAST(count_if(Split = 'val') AS BIGINT) AS n_val,
+       CAST(count_if(Split = 'test') AS BIGINT) AS n_test, count(DISTINCT date) AS n_dates
+FROM preds GROUP BY 1, 2""")
+def q_artifact_status(spark, sf):
+    """Row counts per split and distinct dates per experiment and (suffix-stripped) model."""
+    from tidewater.functions.scalar import strip_suffix
+    p = inputs.predictions(spark, sf)
+    return p.groupBy("Experiment", strip_suffix("Model").alias("Model")).agg(
+        F.count_if(F.col("Split") == "train").alias("n_train"), F.count_if(F.col("Split") == "val").alias("n_val"),
+        F.count_if(F.col("Split") == "test").alias("n_test"), F.count_distinct("date").alias("n_dates"))

@@ -122,3 +122,65 @@ def q_local_surrogate(spark, sf):
     """Kernel-weighted ridge surrogate around each query vector; rows-only."""
     refs, qs = _knn_inputs(spark, sf)
     return finish(nb.local_surrogate(refs, qs, "vec_id", "embedding", "outcome"))
+
+
+# Scaler per feature (column-group preprocessor), others standard.
+SCALER_OF = {"ret": "robust", "ret5": "robust", "vol7": "minmax", "n_orders": "minmax", "close_z": "passthrough"}
+
+
+def _grouped_sql() -> str:
+    case = "CASE " + " ".join(f"WHEN feature = '{f}' THEN '{s}'" for f, s in SCALER_OF.items()) + " ELSE 'standard' END"
+    return with_(FEATURES_SQL) + f""",
+a AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s, min(value) AS lo, max(value) AS hi,
+             quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS q2, quantile_cont(value, 0.75) AS q3,
+             {case} AS scaler
+      FROM fl WHERE split = 'train' GROUP BY 1),
+p AS (SELECT feature, scaler,
+             CASE scaler WHEN 'standard' THEN m WHEN 'robust' THEN q2 WHEN 'minmax' THEN lo ELSE 0.0 END AS loc,
+             CASE scaler WHEN 'standard' THEN CASE WHEN s = 0 THEN 1.0 ELSE s END
+                         WHEN 'robust' THEN CASE WHEN q3 - q1 = 0 THEN 1.0 ELSE q3 - q1 END
+                         WHEN 'minmax' THEN CASE WHEN hi - lo = 0 THEN 1.0 ELSE hi - lo END ELSE 1.0 END AS scale
+      FROM a),
+sc AS (SELECT fl.series_id, fl.date, fl.split, fl.feature, fl.value, p.scaler, (fl.value - p.loc) / p.scale AS scaled
+       FROM fl LEFT JOIN p USING (feature))"""
+
+
+@register("grouped_scaling", _grouped_sql() + "\nSELECT series_id, date, feature, scaler, scaled FROM sc",
+          dbl="scaled")
+def q_grouped_scaling(spark, sf):
+    """Per-feature scaler chosen by a column-group table, fitted on train only."""
+    lg = inputs.feature_long(spark, sf)
+    out = prep.apply_grouped(lg, prep.fit_grouped(lg, SCALER_OF, TRAIN_ROWS()))
+    return finish(out.select("series_id", "date", "feature", "scaler", "scaled"))
+
+
+@register("processing_report", _grouped_sql() + """
+SELECT feature, any_value(scaler) AS scaler, skewness(value) AS skew_before, skewness(scaled) AS skew_after,
+       CASE WHEN abs(skewness(value)) > 1.0 THEN 'power' ELSE 'standard' END AS suggested
+FROM sc GROUP BY 1""", dbl="skew_before skew_after")
+def q_processing_report(spark, sf):
+    """Sample skewness before and after the grouped scaling, with a suggested scaler."""
+    from tidewater.operators.quality import sample_skew_kurt
+    lg = inputs.reuse(inputs.feature_long(spark, sf))
+    sc = prep.apply_grouped(lg, prep.fit_grouped(lg, SCALER_OF, TRAIN_ROWS()))
+    a = sc.groupBy("feature").agg(F.first("scaler").alias("scaler"), F.count("value").alias("__n"),
+                                  F.skewness("value").alias("__b"), F.skewness("scaled").alias("__a"))
+    b, _ = sample_skew_kurt(F.col("__n"), F.col("__b"), F.lit(0.0))
+    a_, _ = sample_skew_kurt(F.col("__n"), F.col("__a"), F.lit(0.0))
+    r = a.select("feature", "scaler", b.alias("skew_before"), a_.alias("skew_after"))
+    return finish(r.withColumn("suggested", F.when(F.abs("skew_before") > 1.0, "power").otherwise("standard")))
+
+
+@register("mean_impute_names", with_(FEATURES_SQL) + """,
+mu AS (SELECT """ + ", ".join(f"avg({f}) AS m_{f}" for f in inputs.FEATURES) + """ FROM fm WHERE split = 'train')
+SELECT series_id, date, """ + ", ".join(f"coalesce({f}, m_{f}) AS {f}" for f in inputs.FEATURES) + """,
+       coalesce(concat_ws('|', """ + ", ".join(f"CASE WHEN {f} IS NULL THEN '{f}' END" for f in inputs.FEATURES) + """), '')
+         AS imputed
+FROM fm, mu WHERE split = 'test'""", dbl=" ".join(inputs.FEATURES))
+def q_mean_impute_names(spark, sf):
+    """test rows with missing features filled by train means, plus the imputed names."""
+    fm = inputs.reuse(inputs.feature_matrix(spark, sf))
+    means = fm.where(F.col("split") == "train").agg(*[F.avg(f).alias(f) for f in inputs.FEATURES])
+    t = prep.impute_with_names(fm.where(F.col("split") == "test").select("series_id", "date", *inputs.FEATURES),
+                               means, inputs.FEATURES)
+    return finish(t.select("series_id", "date", *inputs.FEATURES, F.array_join("imputed", "|").alias("imputed")))
