@@ -204,3 +204,28 @@ def test_local_surrogate_matches_numpy(spark):
     beta = np.linalg.solve(A.T @ (A * w[:, None]) + P, A.T @ (w * ys[idx]))
     assert [r["coef"] for r in got] == pytest.approx(list(beta[1:]), rel=1e-8)
     assert got[0]["intercept"] == pytest.approx(beta[0], rel=1e-8)
+
+
+def test_adf_auto_matches_lstsq(spark):
+    rng = np.random.default_rng(13)
+    e = rng.normal(size=300)
+    x = np.zeros(300)
+    for t in range(2, 300):
+        x[t] = 0.9 * x[t - 1] + 0.3 * (x[t - 1] - x[t - 2]) + e[t]
+    dates = pd.bdate_range("2020-01-01", periods=300)
+    df = spark.createDataFrame([("s", d.date(), float(v)) for d, v in zip(dates, x)], "series_id string, date date, x double")
+    got = st.adf_auto(df, "x", max_lag=3).first()
+    dy = np.diff(x)
+    L = 3
+    Y = dy[L:]
+    best = None
+    for lag in range(L + 1):
+        X = np.column_stack([np.ones(len(Y)), x[L:-1]] + [dy[L - i:-i] for i in range(1, lag + 1)])
+        beta, *_ = np.linalg.lstsq(X, Y, rcond=None)
+        ssr = ((Y - X @ beta) ** 2).sum()
+        aic = len(Y) * np.log(ssr / len(Y)) + 2 * X.shape[1]
+        t = beta[1] / np.sqrt(ssr / (len(Y) - X.shape[1]) * np.linalg.inv(X.T @ X)[1, 1])
+        if best is None or aic < best[2]:
+            best = (lag, t, aic)
+    assert got["adf_lag"] == best[0]
+    assert got["adf_stat"] == pytest.approx(best[1], rel=1e-7)

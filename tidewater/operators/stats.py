@@ -26,7 +26,7 @@ from tidewater.operators.scan import prefix_sum
 __all__ = [
     "value_bucket", "average_ranks", "pearson_spearman", "ks_two_sample", "kolmogorov_p", "mann_whitney",
     "normal_two_sided_p", "cohens_d", "binned_mi", "jarque_bera", "ljung_box", "vif", "max_normalise",
-    "feature_scores",
+    "feature_scores", "kpss_level", "adf_fixed_lag", "adf_auto", "pacf_from_acf", "qq_points", "greedy_prune",
 ]
 
 
@@ -429,3 +429,74 @@ def greedy_prune(pairs: DataFrame, scores: DataFrame, threshold: float = 0.7, f1
         rows.append((f, s, blocker is None, blocker))
     return scores.sparkSession.createDataFrame(rows, f"{feature} string, {score} double, kept boolean, "
                                                       f"dropped_for string")
+
+
+def adf_auto(df: DataFrame, x: str, keys: Sequence[str] = ("series_id",), order: str = "date",
+             max_lag: int = 5) -> DataFrame:
+    """T-13: augmented Dickey-Fuller with AIC lag selection (0..max_lag).
+
+    All lag orders are fitted on the common sample (rows with max_lag
+    lagged differences), as an AIC search requires.  Spark aggregates the
+    cross-product moments of [1, x_{t-1}, dy_{t-1..t-max_lag}, dy_t] per
+    series in one pass; a grouped pandas function on that one-row-per-series
+    table solves each lag order, keeps the lowest AIC and reports its
+    t statistic on x_{t-1} (compared with the asymptotic 5% value)."""
+    keys = list(keys)
+    w = Window.partitionBy(*keys).orderBy(order)
+    d = df.where(F.col(x).isNotNull()).select(*keys, order, F.col(x).cast("double").alias("__x"))
+    d = d.withColumn("__x1", F.lag("__x", 1).over(w))
+    d = d.withColumn("__dy", F.col("__x") - F.col("__x1"))
+    d = d.withColumns({f"__l{i}": F.lag("__dy", i).over(w) for i in range(1, max_lag + 1)})
+    cols = ["__x1"] + [f"__l{i}" for i in range(1, max_lag + 1)]
+    d = d.where(F.col("__dy").isNotNull() & F.col(cols[-1]).isNotNull())
+    # centre by the series mean (the constant absorbs it) to keep moments well conditioned
+    wall = Window.partitionBy(*keys)
+    d = d.withColumns({c: F.col(c) - F.avg(c).over(wall) for c in cols})
+    z = ["__dy"] + cols
+    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(c).alias(f"s_{c}") for c in z]
+    aggs += [F.sum(F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for i, a in enumerate(z) for b in z[i:]]
+    m = d.groupBy(*keys).agg(*aggs)
+    key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in m.schema.fields if f.name in keys)
+    schema = f"{key_schema}, n long, adf_lag int, adf_stat double, aic double, stationary_5pct int"
+    crit = ADF_CRITICAL[0.05]
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, r in pdf.iterrows():
+            n = float(r["n"])
+            k_all = len(z)
+            M = np.zeros((k_all + 1, k_all + 1))  # [1, z...]
+            M[0, 0] = n
+            for i, a in enumerate(z):
+                M[0, i + 1] = M[i + 1, 0] = r[f"s_{a}"]
+                for j, b in enumerate(z[i:], start=i):
+                    M[i + 1, j + 1] = M[j + 1, i + 1] = r[f"p_{a}_{b}"]
+            # index 1 is dy (the response); regressors: 0 (const), 2 (x1), 3.. (lags)
+            best = None
+            for lag in range(0, max_lag + 1):
+                idx = [0, 2] + list(range(3, 3 + lag))
+                A = M[np.ix_(idx, idx)]
+                b = M[idx, 1]
+                try:
+                    beta = np.linalg.solve(A, b)
+                    inv = np.linalg.inv(A)
+                except np.linalg.LinAlgError:
+                    continue
+                ssr = M[1, 1] - beta @ b
+                k = len(idx)
+                if ssr <= 0 or n <= k:
+                    continue
+                aic = n * np.log(ssr / n) + 2 * k
+                t = beta[1] / np.sqrt(ssr / (n - k) * inv[1, 1])
+                if best is None or aic < best[2] - 1e-12:
+                    best = (lag, t, aic)
+            row = {c: r[c] for c in keys}
+            if best is None:
+                row.update(n=int(n), adf_lag=None, adf_stat=None, aic=None, stationary_5pct=0)
+            else:
+                row.update(n=int(n), adf_lag=best[0], adf_stat=float(best[1]), aic=float(best[2]),
+                           stationary_5pct=int(best[1] < crit))
+            out.append(row)
+        return pd.DataFrame(out, columns=keys + ["n", "adf_lag", "adf_stat", "aic", "stationary_5pct"])
+
+    return m.groupBy(*keys).applyInPandas(solve, schema)

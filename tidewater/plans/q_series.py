@@ -217,3 +217,9 @@ def q_sweep_val_test(spark, sf):
         "sharpe", "turnover", (F.col("threshold") == F.col("__sel")).cast("int").alias("is_selected"),
         (F.col("threshold") == F.col("__orc")).cast("int").alias("is_oracle"))
     return finish(out)
+
+
+@register("adf_auto_lag")
+def q_adf_auto_lag(spark, sf):
+    """T-13: ADF with AIC lag selection (0..5) on the close level per series; rows-only."""
+    return finish(st.adf_auto(inputs.daily_panel(spark, sf), "close", max_lag=5))
