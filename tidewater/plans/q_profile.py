@@ -71,8 +71,7 @@ SELECT CAST(year(date) AS INTEGER) AS year, """ + ", ".join(
 FROM fm GROUP BY 1""", dbl=" ".join(MONTHS))
 def q_year_month_matrix(spark, sf):
     fm = inputs.feature_matrix(spark, sf)
-    pv = fm.groupBy(F.year("date").alias("year")).pivot("__m", list(range(1, 13))) \
-        if False else fm.withColumn("__m", F.month("date")).groupBy(F.year("date").alias("year")) \
+    pv = fm.withColumn("__m", F.month("date")).groupBy(F.year("date").alias("year")) \
         .pivot("__m", list(range(1, 13))).agg(F.avg("ret"))
     return finish(pv.select("year", *[F.col(str(m)).alias(f"m{m:02d}") for m in range(1, 13)]))
 
