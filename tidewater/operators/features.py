@@ -78,7 +78,9 @@ def add_rolling(df: DataFrame, x: str, n: int, stats: Sequence[str] = ("mean",),
 def zscore_fallback(df: DataFrame, x: str, out: str, n: int = 252, min_periods: int = 30,
                     exp_min_periods: int = 5, keys="series_id", order="date") -> DataFrame:
     """Rolling z (n rows, sample std, min_periods) falling back to an
-    expanding z (population std, std 0 → NULL), then 0."""
+    expanding z (population std, std 0 → NULL), then 0.  A zero rolling std
+    also falls back (pandas would produce +-inf there, which the reference
+    never fills)."""
     w = series_window(_k(keys), order)
     xc = F.col(x)
     zr = F.try_divide(xc - rolling(F.avg, x, n, w, min_periods), rolling(F.stddev_samp, x, n, w, min_periods))
