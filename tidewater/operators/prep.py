@@ -172,14 +172,24 @@ def apply_grouped(long: DataFrame, params: DataFrame, feature: str = "feature",
     return j.withColumn(out, (F.col(value) - F.col("loc")) / F.col("scale"))
 
 
-def impute_with_names(df: DataFrame, means: dict[str, Column] | DataFrame, features: Sequence[str],
+def impute_with_names(long: DataFrame, ids: Sequence[str], features: Sequence[str],
+                      fit_where: Column | None = None, feature: str = "feature", value: str = "value",
                       out_list: str = "imputed") -> DataFrame:
-    """fill missing request features with their (train) means and list
-    the imputed names.  ``means`` is a one-row DataFrame with a column per
-    feature (joined on a constant key)."""
-    m = means.select(*[F.col(f).alias(f"__mean_{f}") for f in features]).withColumn("__one", F.lit(1))
-    j = df.withColumn("__one", F.lit(1)).join(m, "__one").drop("__one")  # one-row side
-    names = F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in features]))
-    j = j.withColumn(out_list, names)
-    return j.withColumns({f: F.coalesce(F.col(f), F.col(f"__mean_{f}")) for f in features}) \
-        .drop(*[f"__mean_{f}" for f in features])
+    """fill missing request features with their (fitted) means and list
+    the imputed names, per row of a long (ids, feature, value) table.
+
+    Means are one row per feature joined on ``feature`` (no constant-key
+    join); the rows are folded back to wide form with one groupBy on the
+    ids, the imputed names in ``features`` order."""
+    ids = list(ids)
+    means = _fit_rows(long, fit_where, value).groupBy(feature).agg(F.avg(value).alias("__mean"))
+    j = long.join(means, feature, "left")
+    j = j.withColumns({"__filled": F.coalesce(F.col(value), F.col("__mean")),
+                       "__miss": F.col(value).isNull()})
+    pos = F.create_map(*[x for i, f in enumerate(features) for x in (F.lit(f), F.lit(i))])
+    agg = [F.max(F.when(F.col(feature) == f, F.col("__filled"))).alias(f) for f in features]
+    agg.append(F.array_sort(F.collect_list(F.when(F.col("__miss"), F.struct(pos[F.col(feature)].alias("i"),
+                                                                              F.col(feature).alias("n")))))
+               .alias("__names"))
+    w = j.groupBy(*ids).agg(*agg)  # one group per row id: at most len(features) values
+    return w.withColumn(out_list, F.transform("__names", lambda x: x["n"])).drop("__names")

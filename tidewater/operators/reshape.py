@@ -142,20 +142,25 @@ def date_regimes(date: str, regimes: Sequence[tuple[str, str, str]]) -> Column:
 
 def quantile_regimes(df: DataFrame, value: str, group: Sequence[str] = (), lo: float = 0.25, hi: float = 0.75,
                      fit_where: Column | None = None, out: str = "regime", exact: bool = True) -> DataFrame:
-    """Low / medium / high by the q25 / q75 of ``value`` (one row of
-    quantiles per group joined back)."""
+    """Low / medium / high by the q25 / q75 of ``value``.
+
+    Grouped: one row of quantiles per group joined back on the group key.
+    Ungrouped: the two quantiles are a scalar subquery (computed once and
+    inlined as a value) — no join at all."""
+    from tidewater.operators.quality import pct
     group = list(group)
     fit = df if fit_where is None else df.where(fit_where)
-    keyed = group or ["__one"]
-    d = df if group else df.withColumn("__one", F.lit(1))
-    f = fit if group else fit.withColumn("__one", F.lit(1))
-    from tidewater.operators.quality import pct
-    q = f.groupBy(*keyed).agg(pct(value, [lo, hi], exact).alias("__q"))
-    j = d.join(q, keyed)
-    r = F.when(F.col(value).isNull(), None).when(F.col(value) <= F.col("__q")[0], "low") \
-        .when(F.col(value) >= F.col("__q")[1], "high").otherwise("medium")
-    j = j.withColumn(out, r).drop("__q")
-    return j if group else j.drop("__one")
+    if group:
+        q = fit.groupBy(*group).agg(pct(value, [lo, hi], exact).alias("__q"))
+        j = df.join(q, group)
+        cuts = F.col("__q")
+    else:
+        j = df
+        cuts = fit.agg(pct(value, [lo, hi], exact)).scalar()
+    r = F.when(F.col(value).isNull(), None).when(F.col(value) <= cuts[0], "low") \
+        .when(F.col(value) >= cuts[1], "high").otherwise("medium")
+    j = j.withColumn(out, r)
+    return j.drop("__q") if group else j
 
 
 def release_checks(checks: Sequence[tuple[str, Column, Column]], source: DataFrame,

@@ -179,8 +179,11 @@ SELECT series_id, date, """ + ", ".join(f"coalesce({f}, m_{f}) AS {f}" for f in
 FROM fm, mu WHERE split = 'test'""", dbl=" ".join(inputs.FEATURES))
 def q_mean_impute_names(spark, sf):
     """test rows with missing features filled by train means, plus the imputed names."""
-    fm = inputs.reuse(inputs.feature_matrix(spark, sf))
-    means = fm.where(F.col("split") == "train").agg(*[F.avg(f).alias(f) for f in inputs.FEATURES])
-    t = prep.impute_with_names(fm.where(F.col("split") == "test").select("series_id", "date", *inputs.FEATURES),
-                               means, inputs.FEATURES)
+    from tidewater.operators.quality import to_long
+    fm = inputs.feature_matrix(spark, sf)
+    lg = to_long(fm, ["series_id", "date", "split"], inputs.FEATURES, keep_nulls=True)
+    fit = F.col("split") == "train"
+    w = prep.impute_with_names(lg.where(fit | (F.col("split") == "test")), ["series_id", "date", "split"],
+                               inputs.FEATURES, fit_where=fit)
+    t = w.where(F.col("split") == "test")
     return finish(t.select("series_id", "date", *inputs.FEATURES, F.array_join("imputed", "|").alias("imputed")))
