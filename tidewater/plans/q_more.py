@@ -127,12 +127,13 @@ FROM d GROUP BY 1, 2""", dbl="qty_after")
 def q_lineitem_dedup(spark, sf):
     """Duplicate (order, line) keys resolved by keeping the first row
     in an explicit total order."""
-    li = inputs.reuse(read_table(spark, sf, "lineitem"))
-    first = qa.dedup_first(li, ["l_orderkey", "l_linenumber"], LI_ORDER)
-    before = li.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("rows_before"))
-    after = first.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("rows_after"),
-                                                               F.sum("l_quantity").alias("qty_after"))
-    return finish(before.join(after, ["l_returnflag", "l_linestatus"], "left"))
+    li = read_table(spark, sf, "lineitem")
+    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*LI_ORDER)
+    d = li.withColumn("__rn", F.row_number().over(w))  # same rule as quality.dedup_first, one pass
+    first = F.col("__rn") == 1
+    return finish(d.groupBy("l_returnflag", "l_linestatus").agg(
+        F.count(F.lit(1)).alias("rows_before"), F.count_if(first).alias("rows_after"),
+        F.sum(F.when(first, F.col("l_quantity"))).alias("qty_after")))
 
 
 @register("class_by_split", with_(FEATURES_SQL) + """
