@@ -9,10 +9,9 @@ expression.  The parameter table is the persisted artefact.
 
 from __future__ import annotations
 
-import math
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 __all__ = [

@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.operators.features import corr_expr
-from tidewater.operators.quality import sample_skew_kurt
 from tidewater.operators.scan import prefix_sum
 
 __all__ = [

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tidewater.operators import calendar as cal
 from tidewater.plans import inputs
 from tidewater.plans.registry import MONTHLY, PANEL, WEEKLY, finish, register, with_
-from tidewater.session import read_table
 
 
 @register("daily_panel", with_(PANEL) + "SELECT * FROM panel", dbl="close")

@@ -3,11 +3,10 @@ targets, streaks, weights, folds, encodings."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.scalar import log1p_clip, signed_log1p
-from tidewater.functions.windows import rolling, series_window
+from tidewater.functions.windows import series_window
 from tidewater.operators import calendar as cal
 from tidewater.operators import features as ft
 from tidewater.plans import inputs

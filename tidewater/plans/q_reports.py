@@ -12,7 +12,7 @@ from tidewater.operators import features as ft
 from tidewater.operators import reshape as rs
 from tidewater.operators import stats as st
 from tidewater.plans import inputs
-from tidewater.plans.q_backtest import CAND_SQL, COST, THRESHOLD, _metrics_sql, _sim_sql
+from tidewater.plans.q_backtest import COST, THRESHOLD, _sim_sql
 from tidewater.plans.q_evaluate import METRIC_SQL, counts_sql
 from tidewater.plans.registry import (BACKTEST, FEATURES_SQL, PREDICTIONS, RETURNS, finish, register, with_)
 

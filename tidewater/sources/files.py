@@ -6,7 +6,6 @@ use permissive parsing where the reference coerces bad values to missing.
 
 from __future__ import annotations
 
-import json
 import os
 import uuid
 from typing import Iterable, Sequence
