@@ -17,7 +17,8 @@ from tidewater.functions.scalar import clip_prob
 from tidewater.operators.scan import prefix_sum
 
 __all__ = [
-    "confusion_counts", "metrics_from_counts", "classification_metrics", "roc_auc", "logloss_brier",
+    "confusion_counts", "metrics_from_counts", "classification_metrics", "score_histogram",
+    "counts_from_histogram", "auc_from_histogram", "metrics_and_auc", "roc_auc", "logloss_brier",
     "roc_curve", "linspace_grid", "threshold_sweep", "best_threshold", "confidence_curve",
     "regression_metrics", "ensemble_average", "decision_log",
 ]
@@ -77,18 +78,31 @@ def _histogram(df: DataFrame, group: Sequence[str], label: str, score: str) -> D
         F.count_if(F.col(label) == 1).alias("__pos"), F.count_if(F.col(label) != 1).alias("__neg"))
 
 
-def roc_auc(df: DataFrame, group: Sequence[str], label: str = "target", score: str = "proba_up",
-            bucket: Column | None = None, out: str = "AUC") -> DataFrame:
-    """ROC AUC by the tie-averaged rank sum; NULL when a class is absent.
+def score_histogram(df: DataFrame, group: Sequence[str], label: str = "target", score: str = "proba_up") -> DataFrame:
+    """Reduced form of a prediction table: (group, score, __pos, __neg).
 
-    AUC = sum_v pos_v * (neg_below_v + neg_v / 2) / (n_pos * n_neg), evaluated
-    on the distinct-score histogram.  ``neg_below`` is a running sum computed
-    with ``prefix_sum`` over score buckets (default: approximate-quantile
-    buckets of the group's scores), so one group's scores are spread over
-    many tasks even when they crowd around one value.
-    """
+    Confusion counts at any threshold and the AUC are both functions of this
+    histogram, so branchy reports reduce once and share it instead of
+    re-reading (or caching) the raw predictions."""
+    return _histogram(df, list(group), label, score)
+
+
+def counts_from_histogram(h: DataFrame, group: Sequence[str], score: str = "proba_up", threshold=0.5) -> DataFrame:
+    """E01 from a score histogram: TP/FP/TN/FN with ``pred = score >= threshold``."""
+    t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    pred = F.col(score) >= t
+
+    def tot(cond, c):
+        return F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0)).cast("long")
+
+    return h.groupBy(*group).agg(tot(pred, "__pos").alias("TP"), tot(pred, "__neg").alias("FP"),
+                                 tot(~pred, "__neg").alias("TN"), tot(~pred, "__pos").alias("FN"))
+
+
+def auc_from_histogram(h: DataFrame, group: Sequence[str], score: str = "proba_up", bucket: Column | None = None,
+                       out: str = "AUC") -> DataFrame:
+    """E03 from a score histogram (see ``roc_auc``)."""
     group = list(group)
-    h = _histogram(df, group, label, score)
     if bucket is None:
         from tidewater.operators.stats import value_bucket
         h, b = value_bucket(h, group, score), F.col("__vb")
@@ -102,6 +116,33 @@ def roc_auc(df: DataFrame, group: Sequence[str], label: str = "target", score: s
                       .alias(out))
 
 
+def roc_auc(df: DataFrame, group: Sequence[str], label: str = "target", score: str = "proba_up",
+            bucket: Column | None = None, out: str = "AUC") -> DataFrame:
+    """ROC AUC by the tie-averaged rank sum; NULL when a class is absent.
+
+    AUC = sum_v pos_v * (neg_below_v + neg_v / 2) / (n_pos * n_neg), evaluated
+    on the distinct-score histogram.  ``neg_below`` is a running sum computed
+    with ``prefix_sum`` over score buckets (default: approximate-quantile
+    buckets of the group's scores), so one group's scores are spread over
+    many tasks even when they crowd around one value.
+    """
+    return auc_from_histogram(_histogram(df, list(group), label, score), group, score, bucket, out)
+
+
+def metrics_and_auc(df: DataFrame, group: Sequence[str], label: str = "target", score: str = "proba_up",
+                    threshold=0.5, zero_division=0.0) -> DataFrame:
+    """E01-E03 in one pass over the predictions: the score histogram is
+    built once (and persisted — it is reduced data) and feeds both the
+    confusion metrics and the AUC."""
+    from pyspark import StorageLevel
+    group = list(group)
+    h = score_histogram(df, group, label, score).persist(StorageLevel.MEMORY_AND_DISK)
+    m = metrics_from_counts(counts_from_histogram(h, group, score, threshold), zero_division)
+    return m.join(auc_from_histogram(h, group, score), group) if group else \
+        m.withColumn("__one", F.lit(1)).join(auc_from_histogram(h, group, score).withColumn("__one", F.lit(1)),
+                                              "__one").drop("__one")
+
+
 def logloss_brier(df: DataFrame, group: Sequence[str], label="target", score="proba_up",
                   eps: float = 1e-6) -> DataFrame:
     """Mean log loss and Brier score with probabilities clipped to [eps, 1-eps]."""

@@ -126,8 +126,7 @@ SELECT Split, CAST(row_number() OVER (PARTITION BY Split ORDER BY F1_macro DESC,
        Model, F1_macro, Accuracy, AUC
 FROM m JOIN a USING (Model, Split)""", dbl="F1_macro Accuracy AUC")
 def q_leaderboard(spark, sf):
-    p = inputs.reuse(inputs.predictions(spark, sf))
-    m = ev.classification_metrics(p, G).join(ev.roc_auc(p, G), G)
+    m = ev.metrics_and_auc(inputs.predictions(spark, sf), G)
     w = Window.partitionBy("Split").orderBy(F.col("F1_macro").desc(), F.col("Accuracy").desc(),
                                             F.col("AUC").desc_nulls_last(), "Model")
     return finish(m.select("Split", F.row_number().over(w).alias("rank"), "Model", "F1_macro", "Accuracy", "AUC"))
@@ -146,18 +145,17 @@ a AS ({auc_sql('e', 'Ensemble, Split')})
 SELECT Ensemble, Split, N, Accuracy, F1_macro, AUC FROM m JOIN a USING (Ensemble, Split)""",
           dbl="Accuracy F1_macro AUC")
 def q_ensemble_average(spark, sf):
-    p = inputs.reuse(inputs.predictions(spark, sf))
+    p = inputs.predictions(spark, sf)
     va = ev.roc_auc(p.where(F.col("Split") == "val"), ["Model"])
     w = Window.orderBy(F.col("AUC").desc_nulls_last(), "Model")  # one row per model: tiny
     top = va.withColumn("__r", F.row_number().over(w)).where("__r <= 2").select(F.lit("ENS_TOP2").alias("Ensemble"), "Model")
-    members = p.select("Model").distinct().select(F.lit("ENS_ALL").alias("Ensemble"), "Model").unionByName(top)
+    members = va.select(F.lit("ENS_ALL").alias("Ensemble"), "Model").unionByName(top)
     # average integer numerators (proba = k/1008) so the mean is exact in both engines;
     # target depends only on the order, so it rides along as a grouping key (no re-join)
     num = p.withColumn("proba_up", F.round(F.col("proba_up") * 1008))
     e = ev.ensemble_average(num, members, ["Split", "o_orderkey", "target"])
-    e = inputs.reuse(e.withColumn("proba_up", F.col("proba_up") / F.lit(1008.0)))
-    g = ["Ensemble", "Split"]
-    m = ev.classification_metrics(e, g).join(ev.roc_auc(e, g), g)
+    e = e.withColumn("proba_up", F.col("proba_up") / F.lit(1008.0))
+    m = ev.metrics_and_auc(e, ["Ensemble", "Split"])
     return finish(m.select("Ensemble", "Split", "N", "Accuracy", "F1_macro", "AUC"))
 
 

@@ -180,12 +180,14 @@ SELECT Model, best_threshold, mf.F1_macro AS F1_fixed, mb.F1_macro AS F1_val_bes
 FROM mb JOIN mf USING (Model)""", dbl="best_threshold F1_fixed F1_val_best delta_F1")
 def q_threshold_diagnostics(spark, sf):
     """Test F1-macro at the fixed 0.5 threshold vs at the validation-best threshold."""
-    p = inputs.reuse(inputs.predictions(spark, sf))
+    p = inputs.predictions(spark, sf)
     best = ev.best_threshold(ev.threshold_sweep(p.where(F.col("Split") == "val"), ["Model"]), ["Model"])
-    test = p.where(F.col("Split") == "test").join(best.select("Model", "best_threshold"), "Model")
-    mb = ev.classification_metrics(test, ["Model"], threshold=F.col("best_threshold")) \
+    # test predictions reduced once to a score histogram; both thresholds are evaluated on it
+    h = inputs.reuse(ev.score_histogram(p.where(F.col("Split") == "test"), ["Model"]))
+    hb = h.join(best.select("Model", "best_threshold"), "Model")
+    mb = ev.metrics_from_counts(ev.counts_from_histogram(hb, ["Model"], threshold=F.col("best_threshold"))) \
         .select("Model", F.col("F1_macro").alias("F1_val_best"))
-    mf = ev.classification_metrics(test, ["Model"]).select("Model", F.col("F1_macro").alias("F1_fixed"))
+    mf = ev.metrics_from_counts(ev.counts_from_histogram(h, ["Model"])).select("Model", F.col("F1_macro").alias("F1_fixed"))
     out = best.select("Model", "best_threshold").join(mf, "Model").join(mb, "Model")
     return finish(out.withColumn("delta_F1", F.col("F1_val_best") - F.col("F1_fixed")))
 
