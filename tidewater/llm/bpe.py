@@ -24,8 +24,11 @@ from tidewater.llm.common import text_slices
 BUCKETS = (4, 8, 12, 16, 24, 32, 64, 128, 256)
 SLICE_BYTES = 2 << 20
 #: Distinct chunks of text whose ids a worker remembers; emptied when full, which changes no result.
-MEMORY = 200_000
+MEMORY = 400_000
 _NONE = np.int32(2**31 - 1)
+_RUN = regex.compile(r"[\s\x1c-\x1f] ")
+#: Bucket by length; 0 beyond the last.
+_WIDTH = [next((w for w in BUCKETS if n <= w), 0) for n in range(BUCKETS[-1] + 2)]
 
 
 class PairTable:
@@ -84,15 +87,19 @@ class ByteBpe:
         self.pattern = regex.compile(pattern)
         self.pairs = PairTable(self.ranks)
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.known: dict[str, bytes] = {}
+        self.packed = {r: r.to_bytes(4, "little") for r in self.tokens}
+        #: packed ids of chunks that start a text, and of chunks that follow a space
+        self.first: dict[str, bytes] = {}
+        self.after: dict[str, bytes] = {}
 
     # -- merging
-    def _matrix(self, rows: list[bytes], width: int) -> list[np.ndarray]:
+    def _matrix(self, rows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Merged ids of each row, padded, and how many there are."""
         sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
         ids = np.full((len(rows), width), -1, dtype=np.int32)
         ids[np.arange(width) < sizes[:, None]] = self.byte_ids[np.frombuffer(b"".join(rows), dtype=np.uint8)]
         rank = self.pairs(ids[:, :-1], ids[:, 1:])
-        out: list = [None] * len(rows)
+        out = np.empty_like(ids)
         who = np.arange(len(rows))
         column = np.arange(width - 1)
         while len(who):
@@ -101,8 +108,7 @@ class ByteBpe:
             best = rank[row, at]
             over = best == _NONE
             if over.any():
-                for k in np.flatnonzero(over):
-                    out[who[k]] = ids[k, :sizes[who[k]]]
+                out[who[over]] = ids[over]
                 stay = ~over
                 ids, rank, who, at, best = ids[stay], rank[stay], who[stay], at[stay], best[stay]
                 row = row[:len(who)]
@@ -118,7 +124,7 @@ class ByteBpe:
             rank[row, at] = self.pairs(ids[row, at], ids[row, at + 1])
             left = at > 0
             rank[row[left], at[left] - 1] = self.pairs(ids[row[left], at[left] - 1], ids[row[left], at[left]])
-        return out
+        return out, sizes
 
     def _long(self, piece: bytes) -> np.ndarray:
         """The same merge order for one long row: a heap of (rank, position) over linked parts."""
@@ -153,46 +159,69 @@ class ByteBpe:
         """Ids of each non-empty pre-token as little-endian unsigned 32-bit integers."""
         out: list = [None] * len(pieces)
         groups: dict[int, list[int]] = {}
-        for k, piece in enumerate(pieces):
-            whole = self.ranks.get(piece)
+        for k, whole in enumerate(map(self.ranks.get, pieces)):
             if whole is not None:
-                out[k] = whole.to_bytes(4, "little")
+                out[k] = self.packed[whole]
             else:
-                width = next((w for w in BUCKETS if len(piece) <= w), 0)
-                groups.setdefault(width, []).append(k)
+                groups.setdefault(_WIDTH[min(len(pieces[k]), BUCKETS[-1] + 1)], []).append(k)
         for width, members in groups.items():
             if width:
-                ids = self._matrix([pieces[k] for k in members], width)
+                ids, sizes = self._matrix([pieces[k] for k in members], width)
+                flat, step = ids.astype("<u4").tobytes(), 4 * width
+                for j, (k, n) in enumerate(zip(members, sizes.tolist())):
+                    out[k] = flat[j * step:j * step + 4 * n]
             else:
-                ids = [self._long(pieces[k]) for k in members]
-            for k, row in zip(members, ids):
-                out[k] = row.astype("<u4").tobytes()
+                for k in members:
+                    out[k] = self._long(pieces[k]).astype("<u4").tobytes()
         return out
 
     # -- texts
-    def _chunks(self, text: str) -> list[str]:
-        """Cuts before a space that follows a non-space: no match of a byte-level pattern spans one."""
-        parts = text.split(" ")
-        out = parts[:1]
-        for part in parts[1:]:
-            if out[-1] and not out[-1][-1].isspace():
-                out.append(" " + part)
-            else:
-                out[-1] += " " + part
-        return out if out[0] else out[1:]
+    def _learn(self, parts: set[str], known: dict[str, bytes], lead: str) -> None:
+        """Adds to ``known`` the packed ids of ``lead`` + part, for parts that it lacks.
+
+        Chunks that start with a space and end in a non-space can stand next to each other without
+        changing a match, so these are split by one run of the pattern over all of them."""
+        new = [lead + p for p in parts.difference(known)]
+        joined = [c for c in new if lead and c[-1] != " " and not c[-1].isspace()]
+        alone = [c for c in new if not lead or c[-1] == " " or c[-1].isspace()]
+        found = self.pattern.findall("".join(joined))
+        ends = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
+        cuts = np.searchsorted(ends, np.cumsum(np.fromiter(map(len, joined), dtype=np.int64, count=len(joined)))) + 1
+        split = [self.pattern.findall(c) for c in alone]
+        pieces = list(set(found).union(*split))
+        ids = dict(zip(pieces, self.merge([p.encode("utf-8") for p in pieces])))
+        at, packed, skip = 0, list(map(ids.__getitem__, found)), len(lead)
+        for c, cut in zip(joined, cuts.tolist()):
+            known[c[skip:]] = packed[at] if cut == at + 1 else b"".join(packed[at:cut])
+            at = cut
+        known.update((c[skip:], b"".join([ids[p] for p in ps])) for c, ps in zip(alone, split))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, packed; every match of the pattern is encoded on its own."""
-        cut = [self._chunks(t) for t in texts]
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        new = list({c for chunks in cut for c in chunks}.difference(self.known))
-        split = [self.pattern.findall(c) for c in new]
-        pieces = list({p for ps in split for p in ps})
-        ids = dict(zip(pieces, self.merge([p.encode("utf-8") for p in pieces])))
-        self.known.update((c, b"".join([ids[p] for p in ps])) for c, ps in zip(new, split))
-        get = self.known.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in cut]
+        """Ids of each text, packed; every match of the pattern is encoded on its own.
+
+        A text is cut before each space that follows a non-space: no match of a byte-level pattern
+        spans such a place.  Chunks repeat, so each distinct one is encoded once."""
+        if len(self.after) > MEMORY:
+            self.after.clear()
+        if len(self.first) > MEMORY:
+            self.first.clear()
+        cut = []
+        for text in texts:
+            if text[:1].isspace() or _RUN.search(text):
+                parts: list[str] = []
+                for part in text.split(" "):
+                    # glue on a part that follows white space
+                    if parts and (not parts[-1] or parts[-1][-1].isspace()):
+                        parts[-1] += " " + part
+                    else:
+                        parts.append(part)
+                cut.append(parts)
+            else:
+                cut.append(text.split(" "))
+        self._learn({parts[0] for parts in cut if parts[0]}, self.first, "")
+        self._learn(set().union(*[parts[1:] for parts in cut]), self.after, " ")
+        get = self.after.__getitem__
+        return [(self.first[parts[0]] if parts[0] else b"") + b"".join(map(get, parts[1:])) for parts in cut]
 
     def decode(self, packed: list[bytes]) -> list[bytes]:
         get = self.tokens.__getitem__
