@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,6 @@ def slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
 
 def text_slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut a record batch into runs of rows holding about ``limit`` bytes of ``column``."""
-    lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
     for a, b in slices(lengths, limit):
         yield batch.slice(a, b - a)
