@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, exact, sharding, simhash
-from tidewater.llm.common import documents
+from tidewater.llm import bpe, exact, langid, quality, sharding, simhash, toxicity
+from tidewater.llm.common import documents, remainder
+from tidewater.session import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -17,6 +18,30 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), shingle=3, max_bits=3)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = remainder("doc_id", 5) == 0
+    model = langid.fit(docs, ~held)
+    return langid.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", held.alias("held_out"), "lang_pred", "score", "lang_shares")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = remainder("doc_id", 4) == 2
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), ~held)
+    return toxicity.score(docs, model).select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "worst")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = remainder("doc_id", 4) == 2
+    model = quality.fit(docs, read_table(spark, sf_dir, "labels"), ~held)
+    return quality.score(docs, model).select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.duplicate_groups(documents(spark, sf_dir)).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -36,6 +61,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_language": op2_language,
+    "op3_toxicity": op3_toxicity,
+    "op4_quality": op4_quality,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_bpe": op8_bpe,
     "op10_sharding": op10_sharding,
