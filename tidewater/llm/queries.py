@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, exact, langid, quality, sharding, simhash, toxicity
+from tidewater.llm import bpe, exact, langid, linedup, quality, sharding, simhash, toxicity
 from tidewater.llm.common import documents, remainder
 from tidewater.session import read_table
 
@@ -53,6 +53,22 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(coded)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = linedup.repeated_lines(documents(spark, sf_dir))
+    copy = (F.col("doc_id") != F.col("first_id")) | (F.col("line") != F.col("first_line"))
+    mark = F.struct("line", "first_id", "first_line")
+    found = lines.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("links").alias("links"),
+        F.sort_array(F.collect_set(F.when(copy, mark))).alias("dropped"))
+    docs = documents(spark, sf_dir).select("doc_id").distinct()
+    none = F.lit(0).cast("long")
+    return docs.join(found, "doc_id", "left").select(
+        "doc_id", F.coalesce("lines", none).alias("lines"), F.coalesce("links", none).alias("links"),
+        F.coalesce(F.transform("dropped", lambda d: d["line"]), F.array().cast("array<int>")).alias("dropped_lines"),
+        F.coalesce(F.transform("dropped", lambda d: d["first_id"]), F.array().cast("array<bigint>")).alias("class_doc_ids"),
+        F.coalesce(F.transform("dropped", lambda d: d["first_line"]), F.array().cast("array<int>")).alias("class_lines"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.stratified_shards(documents(spark, sf_dir), n_shards=8).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -66,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_bpe": op8_bpe,
+    "op9_line_dedup": op9_line_dedup,
     "op10_sharding": op10_sharding,
 }
 
