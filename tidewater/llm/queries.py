@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, exact, langid, linedup, quality, sharding, simhash, toxicity
+from tidewater.llm import bpe, decontam, exact, langid, licenses, linedup, quality, sharding, simhash, toxicity
 from tidewater.llm.common import documents, remainder
 from tidewater.session import read_table
 
@@ -47,6 +47,14 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(documents(spark, sf_dir))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     coded = bpe.transcode(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
@@ -81,9 +89,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_decontamination": op6_decontamination,
+    "op7_licenses": op7_licenses,
     "op8_bpe": op8_bpe,
     "op9_line_dedup": op9_line_dedup,
     "op10_sharding": op10_sharding,
 }
 
-ORACLE: dict[str, str] = {"op5_exact_dedup": exact.ORACLE}
+ORACLE: dict[str, str] = {"op5_exact_dedup": exact.ORACLE, "op7_licenses": licenses.oracle()}

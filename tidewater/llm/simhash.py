@@ -238,6 +238,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The decision holds for an id: repeated rows of one id stay or go together.  Rows without an
     id can't be named as a duplicate and stay.
     """
-    gone = (near_duplicates(docs, id_col, text_col, shingle, max_bits)
-            .where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct())
+    gone = shared_table(near_duplicates(docs, id_col, text_col, shingle, max_bits).where(F.col(id_col) != F.col("component_id"))
+                        .select(F.col(id_col).alias("__gone")).distinct(), "simhash-gone")
     return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
