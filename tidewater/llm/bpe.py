@@ -264,7 +264,7 @@ def transcode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str =
     return out.withColumnRenamed("id", id_col)
 
 
-def digests(coded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of a ``transcode`` result."""
+def digests(coded: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) of a ``transcode`` result, and the columns ``keep``."""
     return coded.select(id_col, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *keep)

@@ -3,7 +3,6 @@ comparison of neighbours."""
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import shared_table, text_slices
 
 SLICE_BYTES = 8 << 20
+#: Characters of the text that splitters hold, before its digest.
+PREFIX = 32
 
 
 def normalised(text: Column) -> Column:
@@ -25,10 +26,10 @@ def _runs(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[p
     """Over one sorted partition: a row per document with its run (equal neighbours), and at the end
     a row for the first and the last run, with the text, for comparison across partitions."""
     part = TaskContext.get().partitionId()
-    text, ids, run, edges = None, [], -1, []
+    text, sha, ids, run, edges = None, None, [], -1, []
 
     def closed() -> tuple:
-        return part, run, hashlib.sha256(text).hexdigest(), ids[0], len(ids)
+        return part, run, sha, ids[0], len(ids)
 
     def rows(runs: list[tuple[tuple, list]]) -> pa.RecordBatch:
         flat = [(i, *meta) for meta, members in runs for i in members]
@@ -41,13 +42,13 @@ def _runs(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[p
     for batch in batches:
         for piece in text_slices(batch, 1, SLICE_BYTES):
             done = []
-            for i, body in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
+            for i, body, digest in zip(*(c.to_pylist() for c in piece.columns)):
                 if body != text:
                     if text is not None:
                         done.append((closed(), ids))
                         if run == 0:
                             edges.append((closed(), text))
-                    text, ids, run = body, [], run + 1
+                    text, sha, ids, run = body, digest, [], run + 1
                 ids.append(i)
             if done:
                 yield rows(done)
@@ -68,18 +69,21 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per input row: id, ``keep_id`` (smallest id of the rows with an equal normalised
     text), ``group_size``, ``kept`` and ``text_sha256`` (of the normalised UTF-8 text).
 
-    Rows are range-partitioned by (text, id), so a text that any share of the rows has spreads over
+    Rows are range-partitioned by (start of the text, digest, id) and sorted by it, so equal texts are
+    neighbours, neighbours are compared in full, and a text that any share of the rows has spreads over
     as many partitions as it fills; only the first and last run of each partition meet again,
     two rows a partition.  Null and empty texts are equal.  Ids sort before null; a group with no id
     keeps null.  Of repeated rows of the smallest id all are marked kept, as they are one
     document.  An empty table gives an empty result; other columns are ignored.
     """
-    base = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("body"))
+    base = (docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("body"))
+            .withColumn("sha", F.sha2("body", 256)))
     kind = base.schema["id"].dataType.simpleString()
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    order = [F.col("body").asc(), F.col("id").asc_nulls_last()]
+    # the text's order, cut to keys of bounded size: splitters are sampled rows that go to the driver
+    order = [F.substring("body", 1, PREFIX).asc(), F.col("sha").asc(), F.col("id").asc_nulls_last()]
     ordered = (base.repartitionByRange(*order).sortWithinPartitions(*order)
-               .select("id", F.col("body").cast("binary").alias("body")))
+               .select("id", F.col("body").cast("binary").alias("body"), "sha"))
     out = shared_table(
         ordered.mapInArrow(lambda it: _runs(it, arrow),
                            f"kind string, id {kind}, part int, run long, sha string, first {kind}, n long, body binary"),
