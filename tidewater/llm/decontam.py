@@ -122,20 +122,14 @@ def encoded(docs: DataFrame, shared, id_col: str, text_col: str) -> DataFrame:
 def total(parts: DataFrame) -> np.ndarray:
     """Sum of the packed float64 vectors in ``parts`` (part, sum), by a tree of grouped sums, so that no
     task adds more than 32 of them."""
-    def add(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        summed, part = None, 0
-        for batch in tables:
-            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                v = np.frombuffer(raw)
-                summed, part = (v.copy() if summed is None else summed + v), k // 32
-        if summed is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([summed.tobytes()], pa.binary())],
-                                             ["part", "sum"])
+    def add(key: tuple, rows: pa.Table) -> pa.Table:
+        summed = sum(np.frombuffer(x) for x in rows.column("sum").to_pylist())
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "sum": pa.array([summed.tobytes()], pa.binary())})
 
     rows = parts.count()
     while rows > 32:
-        parts = shared_table(parts.groupBy(F.floor(F.col("part") / 32).alias("g")).applyInArrow(
-            lambda key, it: add(it), "part int, sum binary"), "decontam-sums")
+        parts = shared_table(parts.groupBy((F.col("part") / 32).cast("int").alias("group"))
+                             .applyInArrow(add, "part int, sum binary"), "decontam-sums")
         rows = parts.count()
     found = [np.frombuffer(r["sum"]) for r in parts.collect()]  # at most 32 rows of a fixed size
     return sum(found[1:], found[0].copy()) if found else np.zeros(0)

@@ -320,7 +320,8 @@ def _margins(rows: DataFrame, shared, extra: list[str]) -> DataFrame:
                     [part.column(0), pa.array(margin, pa.float64()), pa.array(worst, pa.string()), *part.columns[2:]],
                     ["id", "margin", "worst", *extra])
 
-    schema = rows.select("id", F.lit(0.0).alias("margin"), F.lit("").alias("worst"), *extra).schema
+    kind = dict(rows.dtypes)
+    schema = ", ".join([f"id {kind['id']}", "margin double", "worst string", *(f"{c} {kind[c]}" for c in extra)])
     return rows.select("id", "text", *extra).mapInArrow(run, schema)
 
 
