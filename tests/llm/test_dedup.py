@@ -174,14 +174,27 @@ def test_banded_distance_is_the_full_one():
             assert linedup.within(a, b, k) == (edits(a, b) <= k), (a, b, k)
 
 
-def test_segment_keys_meet_within_the_edits():
+def test_segment_keys_meet_and_sketches_agree_within_the_edits():
     rng = random.Random(4)
-    for _ in range(2000):
-        a = "".join(rng.choice("abc") for _ in range(rng.randrange(24, 60)))
-        b = edited(rng, a, rng.randrange(3), "abc")
-        short, long = sorted((a, b), key=len)
-        if len(short) >= 24:
-            assert set(linedup.index_keys(short, 2)) & set(linedup.probe_keys(long, 2)), (a, b)
+    for edits_ in (1, 2, 3):
+        pairs = []
+        while len(pairs) < 800:
+            a = "".join(rng.choice("abc") for _ in range(rng.randrange(24, 60)))
+            pair = sorted((a, edited(rng, a, rng.randrange(edits_ + 1), "abc")), key=len)
+            if len(pair[0]) >= 24:
+                pairs.append(pair)
+        short, sketch = linedup.line_keys([x for x, _ in pairs], edits_)
+        long, other = linedup.line_keys([x for _, x in pairs], edits_)
+        for k, pair in enumerate(pairs):
+            assert set(short[k, :edits_ + 1].tolist()) & (set(long[k, edits_ + 1:].tolist()) - {0}), pair
+            assert (int(sketch[k]) ^ int(other[k])).bit_count() <= 4 * edits_
+
+
+def test_keys_depend_on_length_segment_and_text_only():
+    keys, _ = linedup.line_keys(["a" * 30, "b" * 40, "a" * 30, "a" * 31], 2)
+    assert keys[0].tolist() == keys[2].tolist() and len(set(keys[0, :3].tolist())) == 3
+    assert not set(keys[0, :3].tolist()) & set(keys[3, :3].tolist())
+    assert set(keys[0, :3].tolist()) < set(keys[3, 3:].tolist())  # the longer line probes for the shorter one
 
 
 def plain_lines(rows):

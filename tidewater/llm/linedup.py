@@ -3,7 +3,8 @@
 Two lines within ``max_edits`` edits share a segment when one is cut into ``max_edits + 1`` segments:
 at most that many minus one can be touched.  Every distinct line indexes its own segments under (length, segment
 number, text) and probes, for each shorter length in reach, the substrings that can still equal a
-segment when the edits left and right of it are counted (multi-match-aware selection).  Candidates are
+segment when the edits left and right of it are counted (multi-match-aware selection).  Pairs that meet
+must also agree in a parity sketch, which every true pair does; the rest are
 verified on their text by a banded bit-parallel edit distance; verified links give classes of lines,
 and of each class the first line by (document id, line number) stays.
 """
@@ -26,6 +27,9 @@ MAX_EDITS = 2
 MIN_CHARS = 24
 SLICE_BYTES = 4 << 20
 FILTER_BITS = 25
+BASE = 0x9E3779B97F4A7C15
+MIX = np.uint64(0xD6E8FEB86659FD93)
+_POWER = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
 def normal(line: str) -> str:
@@ -33,42 +37,63 @@ def normal(line: str) -> str:
     return " ".join(line.split()).lower()
 
 
-def line_hash(line: str) -> tuple[int, int]:
-    """128 bits of the normalised line as two signed longs."""
-    d = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+def line_hashes(lines: list[str]) -> np.ndarray:
+    """128 bits of each normalised line as two signed longs, (lines x 2)."""
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(x.encode("utf-8", "surrogatepass")) for x in lines]), dtype=np.int64).reshape(-1, 2)
 
 
-def segments(n: int, parts: int) -> list[tuple[int, int]]:
-    """(start, length) of ``parts`` even segments of a string of ``n`` characters, longer ones last."""
-    short, longer = n // parts, n % parts
-    out, at = [], 0
-    for i in range(parts):
-        size = short + (i >= parts - longer)
-        out.append((at, size))
-        at += size
-    return out
+def _segment(n: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of the i-th of ``parts`` even segments of strings of n characters, longer ones last."""
+    short, plain = n // parts, parts - n % parts
+    return i * short + np.maximum(0, i - plain), short + (i >= plain)
 
 
-def _key(text: str, length: int, i: int) -> int:
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), length * 64 + i)
+def slots(max_edits: int) -> list[tuple[int, int, int]]:
+    """(length difference, segment, shift) of the substrings that may equal a segment of a shorter line:
+    a shift is no more than the edits that fit left of the segment, nor right of it."""
+    return [(less, i, shift) for less in range(max_edits + 1) for i in range(max_edits + 1)
+            for shift in range(max(-i, less - (max_edits - i)), min(i, less + max_edits - i) + 1)]
 
 
-def index_keys(line: str, max_edits: int) -> list[int]:
-    n = len(line)
-    return [_key(line[a:a + size], n, i) for i, (a, size) in enumerate(segments(n, max_edits + 1))]
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 .. n of the hash's base and of its inverse, modulo 2 ** 64."""
+    while len(_POWER[0]) <= n:
+        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            top = np.uint64(pow(base, len(_POWER[k]), 1 << 64))
+            _POWER[k] = np.concatenate([_POWER[k], _POWER[k] * top])
+    return _POWER[0], _POWER[1]
 
 
-def probe_keys(line: str, max_edits: int, min_chars: int = MIN_CHARS) -> list[int]:
-    """Keys of the substrings that may equal a segment of a line at most as long as this one."""
-    n, out = len(line), []
-    for less in range(min(max_edits, n - min_chars) + 1):
-        for i, (a, size) in enumerate(segments(n - less, max_edits + 1)):
-            after = max_edits - i
-            low = max(0, a - i, a + less - after)
-            high = min(n - size, a + i, a + less + after)
-            out += [_key(line[p:p + size], n - less, i) for p in range(low, high + 1)]
-    return out
+def line_keys(lines: list[str], max_edits: int, min_chars: int = MIN_CHARS) -> tuple[np.ndarray, np.ndarray]:
+    """For each line the keys of its own segments, then those of the substrings it probes for (``slots``
+    order, 0 where a slot is void), and a parity sketch.
+
+    A key hashes (length, segment number, text) from running polynomial sums.  The sketch holds the parity
+    of 64 classes of character pairs: an edit touches at most two pairs and makes at most two."""
+    n = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+    start = np.cumsum(n) - n
+    power, inverse = _powers(int(n.max(initial=0)) + 1)
+    local = np.arange(len(code)) - np.repeat(start, n)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(code * power[local])])
+
+    def key(length: np.ndarray, i: int, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        h = (sums[start + at + size] - sums[start + at]) * inverse[at]
+        h = (h ^ (length.astype(np.uint64) * np.uint64(64) + np.uint64(i + 1))) * MIX
+        return np.maximum((h ^ h >> np.uint64(29)) * MIX, np.uint64(1))
+
+    out = [key(n, i, *_segment(n, i, max_edits + 1)) for i in range(max_edits + 1)]
+    for less, i, shift in slots(max_edits):
+        at, size = _segment(np.maximum(n - less, 0), i, max_edits + 1)
+        at = at + shift
+        fits = (n - less >= min_chars) & (at >= 0) & (at + size <= n)
+        out.append(np.where(fits, key(n - less, i, np.where(fits, at, 0), np.where(fits, size, 0)), np.uint64(0)))
+    pair = np.append((code[:-1] * MIX + code[1:]) * MIX, np.uint64(0)) >> np.uint64(58)
+    last = start + n - 1
+    bit = np.uint64(1) << pair
+    bit[last] = 0  # no pair across two lines
+    return np.stack(out, axis=1), np.bitwise_xor.reduceat(bit, start)
 
 
 def within(a: str, b: str, k: int) -> bool:
@@ -130,32 +155,32 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, 1, SLICE_BYTES):
-                out = [(k, n, *line_hash(line)) for k, t in enumerate(part.column(1).to_pylist())
-                       for n, line in _lines(t, min_chars)]
+                out = [(k, n, line) for k, t in enumerate(part.column(1).to_pylist()) for n, line in _lines(t, min_chars)]
                 if out:
-                    k, n, h1, h2 = zip(*out)
+                    k, n, line = zip(*out)
+                    h = line_hashes(line)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(k)), pa.array(n, pa.int32()), pa.array(h1, pa.int64()),
-                         pa.array(h2, pa.int64())], ["id", "line", "h1", "h2"])
+                        [part.column(0).take(pa.array(k)), pa.array(n, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])],
+                        ["id", "line", "h1", "h2"])
 
     return kept.mapInArrow(run, f"id {kind}, line int, h1 long, h2 long")
 
 
 def _distinct_lines(docs: DataFrame, text_col: str, min_chars: int, made, schema: str, wanted=None) -> DataFrame:
-    """Rows of ``made(h1, line)`` for the distinct lines of each slice of documents."""
+    """Rows of ``made(h1, lines)`` for the distinct lines of each slice of documents."""
     kept = docs.select(F.col(text_col).alias("body")).where(F.col("body").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if wanted is None else np.frombuffer(wanted.value, dtype=np.uint64)
         for batch in batches:
             for part in text_slices(batch, 0, SLICE_BYTES):
-                lines = {line for t in part.column(0).to_pylist() for _, line in _lines(t, min_chars)}
-                hashed = [(line_hash(line)[0], line) for line in lines]
-                if bits is not None and hashed:
-                    h = np.array([x for x, _ in hashed])
-                    hashed = [hashed[i] for i in np.flatnonzero(_member(bits, h))]
-                if hashed:
-                    yield made(hashed)
+                lines = list({line for t in part.column(0).to_pylist() for _, line in _lines(t, min_chars)})
+                h = line_hashes(lines)[:, 0]
+                if bits is not None:
+                    some = np.flatnonzero(_member(bits, h))
+                    h, lines = h[some], [lines[i] for i in some]
+                if lines:
+                    yield made(h, lines)
 
     return kept.mapInArrow(run, schema)
 
@@ -189,11 +214,11 @@ def line_links(docs: DataFrame, text_col: str = "text", max_edits: int = MAX_EDI
     spark = docs.sparkSession
     n_index = max_edits + 1
 
-    def signed(hashed: list[tuple[int, str]]) -> pa.RecordBatch:
-        packed = [np.array(index_keys(x, max_edits) + probe_keys(x, max_edits, min_chars), dtype=np.uint64).tobytes()
-                  for _, x in hashed]
-        return pa.RecordBatch.from_arrays([pa.array([h for h, _ in hashed], pa.int64()), pa.array(packed, pa.binary())],
-                                          ["h1", "keys"])
+    def signed(h: np.ndarray, lines: list[str]) -> pa.RecordBatch:
+        keys, sketch = line_keys(lines, max_edits, min_chars)
+        rows = np.hstack([sketch[:, None], keys])
+        packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * rows.shape[1]), len(rows), [None, pa.py_buffer(rows.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(h), packed.cast(pa.binary())], ["h1", "keys"])
 
     marked = shared_table(_distinct_lines(docs, text_col, min_chars, signed, "h1 long, keys binary")
                           .groupBy("h1").agg(F.max("keys").alias("keys")), "line-keys")
@@ -202,23 +227,24 @@ def line_links(docs: DataFrame, text_col: str = "text", max_edits: int = MAX_EDI
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in text_slices(batch, 1, SLICE_BYTES):
-                    h = part.column(0).to_numpy()
-                    keys = [np.frombuffer(k, dtype=np.int64) for k in part.column(1).to_pylist()]
-                    keys = [k[n_index:] if probe else k[:n_index] for k in keys]
-                    count = np.fromiter(map(len, keys), dtype=np.int64, count=len(keys))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(h, count))],
-                                                     ["key", name])
-        return marked.mapInArrow(run, f"key long, {name} long")
-
-    pairs = (side(False, "u").join(side(True, "v"), "key").where(F.col("u") != F.col("v"))
+                    rows = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.int64).reshape(part.num_rows, -1)
+                    keys = rows[:, 1 + n_index:] if probe else rows[:, 1:1 + n_index]
+                    at, slot = np.nonzero(keys)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys[at, slot]), pa.array(part.column(0).to_numpy()[at]), pa.array(rows[at, 0])],
+                        ["key", name, f"{name}_sketch"])
+        return marked.mapInArrow(run, f"key long, {name} long, {name}_sketch long")
+
+    # each edit flips at most four parities
+    near = F.bit_count(F.col("u_sketch").bitwiseXOR(F.col("v_sketch"))) <= 4 * max_edits
+    pairs = (side(False, "u").join(side(True, "v"), "key").where((F.col("u") != F.col("v")) & near)
              .select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
     pairs = shared_table(pairs, "line-candidates")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("h1"))
     wanted = spark.sparkContext.broadcast(_bit_filter(ends))
 
-    def bodies(hashed: list[tuple[int, str]]) -> pa.RecordBatch:
-        h, x = zip(*hashed)
-        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(x)], ["h1", "body"])
+    def bodies(h: np.ndarray, lines: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(lines, pa.string())], ["h1", "body"])
 
     texts = shared_table(_distinct_lines(docs, text_col, min_chars, bodies, "h1 long, body string", wanted)
                          .join(ends.distinct(), "h1", "left_semi").dropDuplicates(["h1"]), "line-texts")
