@@ -140,7 +140,8 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
     match carries the whole right row as a struct, so a legitimately NULL
     right value is not skipped over.  Ties on the right time resolve to the
     greatest right payload (deterministic).  ``tolerance_days`` nulls the
-    match when the left time is more than that many days after it.
+    match when the left time is more than that many days after it.  Right
+    rows without a time never match; left rows without one get a NULL match.
 
     Execution: left and right rows are unioned and scanned inside
     (by, bucket) partitions; a bucket-level table (one row per key and
@@ -149,8 +150,8 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
     """
     by = list(by)
     payload_cols = [F.col(right_on).alias("__mt")] + [F.col(v).alias(v) for v in values]
-    r = right.select(*[F.col(k) for k in by], F.col(right_on).alias("__t"),
-                     F.struct(*payload_cols).alias("__r"))
+    r = right.where(F.col(right_on).isNotNull()).select(
+        *[F.col(k) for k in by], F.col(right_on).alias("__t"), F.struct(*payload_cols).alias("__r"))
     r = r.withColumn("__b", time_bucket("__t", bucket))
 
     lcols = left.columns
@@ -174,7 +175,8 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
     w = Window.partitionBy(*by, "__b").orderBy(
         (F.col("__side") != -1).cast("int"), "__t", "__side", "__r").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("__m", F.last("__r", ignorenulls=True).over(w)).where(F.col("__side") == 1)
-    m = F.col("__m")
+    m = F.when(F.col("__t").isNotNull(), F.col("__m"))
+    rows = rows.withColumn("__m", m)
     if tolerance_days is not None:
         m = F.when(F.datediff(F.col("__t").cast("date"), F.col("__m.__mt").cast("date")) <= tolerance_days, m)
     rows = rows.withColumn("__m", m)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.scalar import clip_prob
+from tidewater.functions.joins import join_null_safe
 from tidewater.operators.scan import prefix_sum
 
 __all__ = [
@@ -131,16 +132,12 @@ def roc_auc(df: DataFrame, group: Sequence[str], label: str = "target", score: s
 
 def metrics_and_auc(df: DataFrame, group: Sequence[str], label: str = "target", score: str = "proba_up",
                     threshold=0.5, zero_division=0.0) -> DataFrame:
-    """E01-E03 in one pass over the predictions: the score histogram is
-    built once (and persisted — it is reduced data) and feeds both the
-    confusion metrics and the AUC."""
-    from pyspark import StorageLevel
+    """E01-E03 from one score histogram per group, which feeds both the
+    confusion metrics and the AUC (equal exchanges are reused)."""
     group = list(group)
-    h = score_histogram(df, group, label, score).persist(StorageLevel.MEMORY_AND_DISK)
+    h = score_histogram(df, group, label, score)
     m = metrics_from_counts(counts_from_histogram(h, group, score, threshold), zero_division)
-    return m.join(auc_from_histogram(h, group, score), group) if group else \
-        m.withColumn("__one", F.lit(1)).join(auc_from_histogram(h, group, score).withColumn("__one", F.lit(1)),
-                                              "__one").drop("__one")
+    return join_null_safe(m, auc_from_histogram(h, group, score), group)
 
 
 def logloss_brier(df: DataFrame, group: Sequence[str], label="target", score="proba_up",
@@ -163,10 +160,12 @@ def roc_curve(df: DataFrame, group: Sequence[str], label="target", score="proba_
     else:
         b = bucket
     h = prefix_sum(h, group, ["__ns"], b, {"__tp": "__pos", "__fp": "__neg"}, inclusive=True)
-    tot = Window.partitionBy(*group) if group else Window.partitionBy()
+    # totals: one row per group joined back, not a window over all distinct scores
+    tot = _histogram(df, group, label, score).groupBy(*group).agg(F.sum("__neg").alias("__nn"), F.sum("__pos").alias("__np"))
+    h = join_null_safe(h, tot, group)
     return h.select(*group, F.col(score).alias("threshold"),
-                    F.try_divide(F.col("__fp").cast("double"), F.sum("__neg").over(tot).cast("double")).alias("fpr"),
-                    F.try_divide(F.col("__tp").cast("double"), F.sum("__pos").over(tot).cast("double")).alias("tpr"))
+                    F.try_divide(F.col("__fp").cast("double"), F.col("__nn").cast("double")).alias("fpr"),
+                    F.try_divide(F.col("__tp").cast("double"), F.col("__np").cast("double")).alias("tpr"))
 
 
 def linspace_grid(lo: float, hi: float, n: int) -> list[float]:
@@ -205,13 +204,13 @@ def threshold_sweep(df: DataFrame, group: Sequence[str], label="target", score="
     # complete grid per group so every threshold has a row (groups x n rows)
     gkeys = cnt.select(*group).distinct()
     idx = gkeys.select(*group, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("__j"))
-    full = idx.join(cnt.where(F.col("__j") >= 0), group + ["__j"], "left").fillna(0, ["__pos", "__neg"])
+    full = join_null_safe(idx, cnt.where(F.col("__j") >= 0), [*group, "__j"], "left").fillna(0, ["__pos", "__neg"])
     below = cnt.where(F.col("__j") < 0).groupBy(*group).agg(F.sum("__pos").alias("__bp"), F.sum("__neg").alias("__bn"))
     wsuf = (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy(F.col("__j").desc()) \
         .rowsBetween(Window.unboundedPreceding, 0)
     full = full.withColumns({"TP": F.sum("__pos").over(wsuf), "FP": F.sum("__neg").over(wsuf)})
     tot = Window.partitionBy(*group) if group else Window.partitionBy()
-    full = full.join(below, group, "left").fillna(0, ["__bp", "__bn"])
+    full = join_null_safe(full, below, group, "left").fillna(0, ["__bp", "__bn"])
     full = full.withColumns({
         "FN": F.sum("__pos").over(tot) + F.col("__bp") - F.col("TP"),
         "TN": F.sum("__neg").over(tot) + F.col("__bn") - F.col("FP"),
@@ -248,7 +247,7 @@ def confidence_curve(df: DataFrame, group: Sequence[str], margins: Sequence[floa
         F.count_if(~pred & ~y).alias("__tn"), F.count_if(~pred & y).alias("__fn"))
     total = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__all"))
     idx = total.select(*group, "__all", F.posexplode(arr).alias("__j", "Margin"))
-    full = idx.join(cnt, group + ["__j"], "left").fillna(0, ["__tp", "__fp", "__tn", "__fn"])
+    full = join_null_safe(idx, cnt, [*group, "__j"], "left").fillna(0, ["__tp", "__fp", "__tn", "__fn"])
     w = (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy(F.col("__j").desc()) \
         .rowsBetween(Window.unboundedPreceding, 0)
     full = full.select(*group, "Margin", "__all", *[F.sum(f"__{c.lower()}").over(w).alias(c) for c in ("TP", "FP", "TN", "FN")])
@@ -258,11 +257,15 @@ def confidence_curve(df: DataFrame, group: Sequence[str], margins: Sequence[floa
 
 
 def regression_metrics(df: DataFrame, group: Sequence[str], y: str, yhat: str) -> DataFrame:
-    """MAE, RMSE, R2 = 1 - SSE/SST, MAPE over y != 0, directional accuracy."""
+    """MAE, RMSE, R2 = 1 - SSE/SST, MAPE over y != 0, directional accuracy, over
+    the rows that have both y and a prediction.  SST is the population variance
+    times the count, which does not cancel for large y."""
+    df = df.where(F.col(y).isNotNull() & F.col(yhat).isNotNull())
     e = _d(yhat) - _d(y)
+    sst = F.var_pop(_d(y)) * F.count(F.lit(1)).cast("double")
     return df.groupBy(*group).agg(
         F.avg(F.abs(e)).alias("MAE"), F.sqrt(F.avg(e * e)).alias("RMSE"),
-        (F.lit(1.0) - F.try_divide(F.sum(e * e), F.sum(F.pow(_d(y), 2)) - F.pow(F.sum(_d(y)), 2) / F.count(y))).alias("R2"),
+        (F.lit(1.0) - F.try_divide(F.sum(e * e), sst)).alias("R2"),
         F.avg(F.when(F.col(y) != 0, F.abs(F.try_divide(e, _d(y))))).alias("MAPE"),
         F.avg((F.signum(y) == F.signum(yhat)).cast("double")).alias("DirAcc"),
         F.count(F.lit(1)).alias("N"))

@@ -13,7 +13,6 @@ import itertools
 import zlib
 from typing import Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
@@ -23,9 +22,12 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.joins import join_null_safe
 from tidewater.functions.scalar import logistic
 from tidewater.operators import evaluate as ev
 from tidewater.operators.scan import prefix_sum
+from tidewater.operators.stats import default_buckets
+from tidewater.session import cut_lineage
 
 __all__ = [
     "make_estimator", "feature_pipeline", "fit_model", "predict_proba", "evaluate_candidate", "rolling_cv_search",
@@ -97,7 +99,7 @@ def evaluate_candidate(df: DataFrame, features: Sequence[str], label: str, kind:
     """Fit on train → best F1-macro threshold on val → refit on
     train+val → score test.  Returns (metric rows, prediction table)."""
     name = name or kind
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)  # reused by every fit; lineage rebuilds lost blocks
+    df = cut_lineage(df)  # read by every fit: files in the shared folder, no executor cache
     tr = df.where(F.col(split) == "train")
     m1 = fit_model(tr, features, label, kind, **params)
     val = predict_proba(m1, df.where(F.col(split) == "val"), kind).withColumn("target", F.col(label))
@@ -107,7 +109,7 @@ def evaluate_candidate(df: DataFrame, features: Sequence[str], label: str, kind:
     test = predict_proba(m2, df.where(F.col(split) == "test"), kind).withColumn("target", F.col(label))
     preds = (val.withColumn("Split", F.lit("val")).unionByName(test.withColumn("Split", F.lit("test")))
              .withColumn("Model", F.lit(name)))
-    preds = preds.withColumn("__one", F.lit(1)).join(best.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    preds = join_null_safe(preds, best, [])  # a scalar
     at_best = ev.classification_metrics(preds, ["Model", "Split"], threshold=F.col("best_threshold")) \
         .withColumn("ThresholdMode", F.lit("val_best"))
     at_half = ev.classification_metrics(preds, ["Model", "Split"], threshold=0.5) \
@@ -134,8 +136,8 @@ def rolling_cv_search(df: DataFrame, features: Sequence[str], label: str, kind:
                       date: str = "date", n_splits: int = 5) -> DataFrame:
     """Grid search scored by mean / std of F1-macro over
     expanding-window folds (CrossValidator's random folds would leak)."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    folds = date_folds(df, date, n_splits).persist(StorageLevel.MEMORY_AND_DISK)
+    df = cut_lineage(df)
+    folds = cut_lineage(date_folds(df, date, n_splits))
     keys, values = list(grid), list(grid.values())
     rows = []
     for combo in itertools.product(*values):
@@ -173,10 +175,12 @@ def feature_importance(models: dict[str, PipelineModel], features: Sequence[str]
         .withColumn("rank", F.row_number().over(Window.orderBy(F.col("importance").desc(), "feature")))
 
 
-def dense_index(df: DataFrame, order: Column, out: str, buckets: int = 64) -> DataFrame:
+def dense_index(df: DataFrame, order: Column, out: str, buckets: int | None = None) -> DataFrame:
     """0-based dense position of each row in ``order`` (a double in [0,1)
     or any monotone key), computed with bucketed prefix counts — no global
-    single-partition window."""
+    single-partition window.  ``buckets`` defaults to twice the session's
+    shuffle partitions."""
+    buckets = buckets or default_buckets(df)
     d = df.withColumn("__ord", order).withColumn("__cnt1", F.lit(1))
     b = F.floor(F.col("__ord") * F.lit(float(buckets))).cast("long")
     d = prefix_sum(d, [], ["__ord"], b, {out: "__cnt1"}, inclusive=False)
@@ -196,7 +200,7 @@ def permutation_importance(model: PipelineModel, kind: str, test: DataFrame, fea
     The permutation pairs the dense index of each row under a hash order of
     its keys with the dense index of the values under a seeded hash order.
     """
-    test = test.persist(StorageLevel.MEMORY_AND_DISK)
+    test = cut_lineage(test)
     base_pred = predict_proba(model, test, kind).withColumn("target", F.col(label))
     base = ev.classification_metrics(base_pred, []).select(F.col("Accuracy").alias("__base"))
     rows_idx = dense_index(test, _hash01(keys, 7), "__pos")
@@ -212,7 +216,7 @@ def permutation_importance(model: PipelineModel, kind: str, test: DataFrame, fea
     allr = out[0]
     for o in out[1:]:
         allr = allr.unionByName(o)
-    allr = allr.withColumn("__one", F.lit(1)).join(base.withColumn("__one", F.lit(1)), "__one")
+    allr = join_null_safe(allr, base, [])  # scalars
     drop = F.col("__base") - F.col("__acc")
     return allr.groupBy("feature").agg(F.avg(drop).alias("importance_mean"), F.stddev_samp(drop).alias("importance_std"))
 
@@ -222,7 +226,7 @@ def stacking(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[
     """Out-of-fold base probabilities on the training period (expanding
     folds), a logistic meta model on them, bases refit on all training rows,
     meta applied to the test rows.  Returns test predictions."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = cut_lineage(df)
     train = df.where(F.col(split).isin("train", "val"))
     test = df.where(F.col(split) == "test")
     folds = date_folds(train, date, n_splits)
@@ -263,9 +267,8 @@ def pca_variance(df: DataFrame, features: Sequence[str], thresholds=(0.8, 0.9, 0
     t = s.createDataFrame(rows, "component int, explained double, cumulative double")
     need = [(float(th), next((c for c, _, cu in rows if cu >= th - 1e-12), len(rows))) for th in thresholds]
     n = s.createDataFrame(need, "threshold double, components int")
-    return t.withColumn("__one", F.lit(1)).join(
-        n.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("threshold", "components"))).alias("needed"))
-        .withColumn("__one", F.lit(1)), "__one").drop("__one")
+    return join_null_safe(t, n.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("threshold", "components")))
+                                             .alias("needed")), [])
 
 
 def save_bundle(model: PipelineModel, path: str, meta: dict) -> None:

@@ -1,10 +1,9 @@
 """Nearest-neighbour scoring (survey J14, K01-K02).
 
-Exact k-NN without a cross join: the reference vectors stay distributed;
-each task scores its reference rows against the query batch (a broadcast
-whose size is checked, processed in chunks beyond the limit) with NumPy and
-keeps only its local top-k per query; a window over at most
-(#tasks x k) candidates per query gives the exact global top-k.
+Exact k-NN in blocks: references and queries both stay distributed, packed
+into blocks that meet in an equi-join; each meeting scores its rows with NumPy
+and keeps its local top-k per query, and a window over at most (reference
+blocks x k) candidates per query gives the exact global top-k.
 """
 
 from __future__ import annotations
@@ -16,9 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-__all__ = ["dimension_stats", "knn_topk", "knn_score", "loo_attribution", "local_surrogate", "MAX_QUERY_BATCH"]
-
-MAX_QUERY_BATCH = 4096  # queries broadcast at once; larger inputs are processed in chunks
+__all__ = ["dimension_stats", "knn_topk", "knn_score", "loo_attribution", "local_surrogate"]
 
 
 def dimension_stats(refs: DataFrame, vec: str = "embedding") -> DataFrame:
@@ -29,66 +26,58 @@ def dimension_stats(refs: DataFrame, vec: str = "embedding") -> DataFrame:
     return a.select("dim", "mean", F.when(F.col("__s") == 0, F.lit(1.0)).otherwise(F.col("__s")).alias("std"))
 
 
+def _blocks(df: DataFrame, id_col: str, fields: list, rows: int, name: str) -> tuple[DataFrame, int]:
+    """(name, members): rows packed by a hash of their id into blocks of about ``rows``."""
+    n = max(1, -(-df.count() // rows))
+    block = F.pmod(F.xxhash64(id_col), F.lit(n)).alias(name)
+    return df.select(block, F.struct(*fields).alias("m")).groupBy(name).agg(F.collect_list("m").alias(f"{name}_rows")), n
+
+
 def knn_topk(refs: DataFrame, queries: DataFrame, k: int, id_col: str, vec: str, outcome: str,
-             query_id: str = "query_id", scale: bool = True) -> DataFrame:
+             query_id: str = "query_id", scale: bool = True, query_rows: int = 1024, ref_rows: int = 8192) -> DataFrame:
     """Exact top-k neighbours per query by standardised RMS distance.
 
     Returns (query_id, ref id, distance, outcome, rank).  Ties break on the
-    reference id.
+    reference id.  Both sides stay distributed: they are packed into blocks,
+    every reference block meets every query block in an equi-join on (query
+    block, salt), where query blocks are copied to enough salts to occupy the
+    session's shuffle partitions, and each meeting keeps its local top-k.
     """
     spark = refs.sparkSession
     dims = dimension_stats(refs, vec).orderBy("dim").collect()  # one row per dimension (bounded by width)
     mean = np.array([r["mean"] for r in dims]) if scale else None
     std = np.array([r["std"] for r in dims]) if scale else None
-    nq = queries.count()
-    qcols = queries.select(F.col(query_id).alias("__qid"), F.col(vec).alias("__qv"))
-    results = []
-    chunks = max(1, -(-nq // MAX_QUERY_BATCH))
-    for c in range(chunks):
-        part = qcols if chunks == 1 else qcols.where(F.pmod(F.xxhash64("__qid"), F.lit(chunks)) == c)
-        rows = part.collect()  # at most MAX_QUERY_BATCH vectors: checked above
-        qid = np.array([r["__qid"] for r in rows])
-        qv = np.array([np.asarray(r["__qv"], dtype=np.float64) for r in rows]) if rows else np.zeros((0, len(dims)))
-        if scale and len(rows):
-            qv = (qv - mean) / std
-        bq = spark.sparkContext.broadcast((qid, qv, mean, std))
-        kk = int(k)
-
-        def local_topk(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            q_ids, q_vecs, mu, sd = bq.value
-            block = 16  # queries per distance block: bounds the (block x rows x dims) buffer
-            for pdf in it:
-                if pdf.empty or len(q_ids) == 0:
-                    continue
-                r = np.vstack(pdf["__rv"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-                if mu is not None:
-                    r = (r - mu) / sd
-                ids = pdf["__rid"].to_numpy()
-                outc = pdf["__y"].to_numpy()
-                take = min(kk, r.shape[0])
-                out_q, out_r, out_d, out_y = [], [], [], []
-                for s0 in range(0, len(q_ids), block):
-                    qb = q_vecs[s0:s0 + block]
-                    d = np.sqrt(((qb[:, None, :] - r[None, :, :]) ** 2).mean(axis=2))
-                    for qi in range(d.shape[0]):
-                        order = np.lexsort((ids, d[qi]))[:take]
-                        out_q.append(np.full(take, q_ids[s0 + qi]))
-                        out_r.append(ids[order])
-                        out_d.append(d[qi][order])
-                        out_y.append(outc[order])
-                yield pd.DataFrame({"__qid": np.concatenate(out_q), "__rid": np.concatenate(out_r),
-                                    "distance": np.concatenate(out_d), "__y": np.concatenate(out_y)})
-
-        schema = f"__qid {queries.schema[query_id].dataType.simpleString()}, " \
-                 f"__rid {refs.schema[id_col].dataType.simpleString()}, distance double, " \
-                 f"__y {refs.schema[outcome].dataType.simpleString()}"
-        loc = refs.select(F.col(id_col).alias("__rid"), F.col(vec).alias("__rv"), F.col(outcome).alias("__y")) \
-            .mapInPandas(local_topk, schema)
-        results.append(loc)
-    cand = results[0]
-    for r in results[1:]:
-        cand = cand.unionByName(r)
-    w = Window.partitionBy("__qid").orderBy("distance", "__rid")  # <= tasks x k rows per query
+    q, nq = _blocks(queries, query_id, [F.col(query_id).alias("i"), F.col(vec).cast("array<double>").alias("v")], query_rows, "qb")
+    r, nr = _blocks(refs, id_col, [F.col(id_col).alias("i"), F.col(vec).cast("array<double>").alias("v"),
+                                   F.col(outcome).alias("y")], ref_rows, "rb")
+    salts = min(nr, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // nq))
+    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    r = r.withColumn("salt", F.pmod("rb", F.lit(salts)).cast("int")).withColumn(
+        "qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))))
+    kk = int(k)
+
+    def local_topk(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for qs, rs in zip(pdf["qb_rows"], pdf["rb_rows"]):
+                a = np.array([m["v"] for m in qs], dtype=np.float64)
+                x = np.array([m["v"] for m in rs], dtype=np.float64)
+                if mean is not None:
+                    a, x = (a - mean) / std, (x - mean) / std
+                ids, y = np.array([m["i"] for m in rs]), np.array([m["y"] for m in rs])
+                by_id = np.argsort(ids, kind="stable")  # ties of the distance break on the id
+                ids, y, x = ids[by_id], y[by_id], x[by_id]
+                take = min(kk, len(x))
+                for s0 in range(0, len(a), 16):  # bounds the (queries x rows x dims) buffer
+                    d = np.sqrt(((a[s0:s0 + 16, None, :] - x[None, :, :]) ** 2).mean(axis=2))
+                    top = np.argsort(d, axis=1, kind="stable")[:, :take]
+                    yield pd.DataFrame({"__qid": np.repeat([m["i"] for m in qs[s0:s0 + 16]], take), "__rid": ids[top].ravel(),
+                                        "distance": np.take_along_axis(d, top, axis=1).ravel(), "__y": y[top].ravel()})
+
+    schema = f"__qid {queries.schema[query_id].dataType.simpleString()}, " \
+             f"__rid {refs.schema[id_col].dataType.simpleString()}, distance double, " \
+             f"__y {refs.schema[outcome].dataType.simpleString()}"
+    cand = r.join(q, ["qb", "salt"]).select("qb_rows", "rb_rows").mapInPandas(local_topk, schema)
+    w = Window.partitionBy("__qid").orderBy("distance", "__rid")  # <= reference blocks x k rows per query
     top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top.select(F.col("__qid").alias(query_id), F.col("__rid").alias(id_col), "distance",
                       F.col("__y").alias(outcome), "rank")
@@ -114,23 +103,20 @@ def loo_attribution(refs: DataFrame, queries: DataFrame, k: int, id_col: str, ve
     masked query is re-scored with K01, and attribution_j = score - masked
     score; the ``top`` dimensions by |attribution| are kept per query.  The
     masked batch is |queries| x width rows and goes through the same
-    chunked, size-checked k-NN path.
+    blocked k-NN.
     """
     means = [r["mean"] for r in dimension_stats(refs, vec).orderBy("dim").collect()]  # bounded by width
     width = len(means)
     mean_arr = F.array(*[F.lit(float(m)) for m in means])
-    q = queries.select(F.col(query_id).cast("long").alias("__q"), F.col(vec).alias("__v"))
-    base = q.select((F.col("__q") * (width + 1)).alias("__mid"), F.col("__v").alias(vec))
-    masked = q.select("__q", "__v", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("__d")).select(
-        (F.col("__q") * (width + 1) + F.col("__d") + 1).alias("__mid"),
-        F.transform("__v", lambda x, i: F.when(i == F.col("__d"), mean_arr[i]).otherwise(x.cast("double")))
-        .alias(vec))
-    allq = base.withColumn(vec, F.col(vec).cast("array<double>")).unionByName(masked)
-    sc = knn_score(refs, allq, k, id_col, vec, outcome, "__mid", min_dist)
-    sc = sc.select(F.floor(F.col("__mid") / (width + 1)).cast("long").alias(query_id),
-                   (F.pmod(F.col("__mid"), F.lit(width + 1)) - 1).alias("dim"), "score")
+    q = queries.select(F.col(query_id).alias("__q"), F.col(vec).cast("array<double>").alias("__v"))
+    # dimension -1 is the query itself; the pair (query, dimension) names a masked query of any id type
+    masked = q.select("__q", "__v", F.explode(F.sequence(F.lit(-1), F.lit(width - 1))).alias("__d")).select(
+        F.concat_ws(":", F.col("__d").cast("string"), F.col("__q").cast("string")).alias("__mid"), "__q", F.col("__d").alias("dim"),
+        F.transform("__v", lambda x, i: F.when(i == F.col("__d"), mean_arr[i]).otherwise(x)).alias(vec))
+    sc = knn_score(refs, masked, k, id_col, vec, outcome, "__mid", min_dist)
+    sc = masked.select("__mid", F.col("__q").alias(query_id), "dim").join(sc.select("__mid", "score"), "__mid")
     b = sc.where(F.col("dim") == -1).select(query_id, F.col("score").alias("base_score"))
-    m = sc.where(F.col("dim") >= 0).join(b, query_id)
+    m = sc.where(F.col("dim") >= 0).select(query_id, "dim", "score").join(b, query_id)
     m = m.withColumn("attribution", F.col("base_score") - F.col("score"))
     w = Window.partitionBy(query_id).orderBy(F.abs("attribution").desc(), "dim")  # width rows per query
     return m.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top) \

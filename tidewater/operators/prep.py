@@ -41,7 +41,7 @@ def fit_minmax(long: DataFrame, fit_where: Column | None = None, group=("feature
 def apply_minmax(long: DataFrame, params: DataFrame, group=("feature",), value="value", out="scaled") -> DataFrame:
     """(x - min) / (max - min); values may leave [0, 1]; a constant or
     unfitted feature gives 0; NULL stays NULL."""
-    j = long.join(params, list(group), "left")
+    j = long.join(F.broadcast(params), list(group), "left")  # one row per feature
     rng = F.col("max") - F.col("min")
     s = F.when(F.col(value).isNull(), F.lit(None).cast("double")) \
         .when(rng.isNull() | (rng == 0), F.lit(0.0)).otherwise((F.col(value) - F.col("min")) / rng)
@@ -55,7 +55,7 @@ def fit_standard(long: DataFrame, fit_where: Column | None = None, group=("featu
 
 
 def apply_standard(long: DataFrame, params: DataFrame, group=("feature",), value="value", out="scaled") -> DataFrame:
-    j = long.join(params, list(group), "left")
+    j = long.join(F.broadcast(params), list(group), "left")  # one row per feature
     return j.withColumn(out, (F.col(value) - F.col("mean")) / F.col("std")).drop("mean", "std")
 
 
@@ -71,7 +71,7 @@ def fit_robust(long: DataFrame, fit_where: Column | None = None, group=("feature
 
 
 def apply_robust(long: DataFrame, params: DataFrame, group=("feature",), value="value", out="scaled") -> DataFrame:
-    j = long.join(params, list(group), "left")
+    j = long.join(F.broadcast(params), list(group), "left")  # one row per feature
     return j.withColumn(out, (F.col(value) - F.col("median")) / F.col("iqr")).drop("median", "iqr")
 
 
@@ -86,7 +86,7 @@ def apply_impute(long: DataFrame, params: DataFrame, group=("feature",), value="
                  fallback: float | None = 0.0) -> DataFrame:
     """NULL → train median, then ``fallback``; flag column
     ``was_missing``."""
-    j = long.join(params, list(group), "left")
+    j = long.join(F.broadcast(params), list(group), "left")  # one row per feature
     fill = F.coalesce(F.col(value), F.col("median"), F.lit(fallback) if fallback is not None else F.lit(None))
     return j.withColumns({out: fill.cast("double"), "was_missing": F.col(value).isNull().cast("int")}).drop("median")
 
@@ -119,7 +119,7 @@ def fit_yeo_johnson(long: DataFrame, fit_where: Column | None = None, group=("fe
     a = a.withColumn("loglik", F.when(F.col("__v") > 0, ll))
     best = a.groupBy(*group).agg(F.max_by("lam", F.struct(F.col("loglik"), -F.col("lam"))).alias("lambda"))
     # standardisation parameters of the transformed train values
-    t = _fit_rows(long, fit_where, value).join(best, list(group))
+    t = _fit_rows(long, fit_where, value).join(F.broadcast(best), list(group))  # one row per feature
     ty = yeo_johnson(F.col(value), F.col("lambda"))
     s = t.groupBy(*group).agg(F.first("lambda").alias("lambda"), F.avg(ty).alias("mean"),
                               F.stddev_pop(ty).alias("__s"))
@@ -127,7 +127,7 @@ def fit_yeo_johnson(long: DataFrame, fit_where: Column | None = None, group=("fe
 
 
 def apply_yeo_johnson(long: DataFrame, params: DataFrame, group=("feature",), value="value", out="scaled") -> DataFrame:
-    j = long.join(params, list(group), "left")
+    j = long.join(F.broadcast(params), list(group), "left")  # one row per feature
     return j.withColumn(out, (yeo_johnson(F.col(value), F.col("lambda")) - F.col("mean")) / F.col("std")) \
         .drop("lambda", "mean", "std")
 
@@ -167,7 +167,7 @@ def fit_grouped(long: DataFrame, scaler_of: dict[str, str], fit_where: Column |
 def apply_grouped(long: DataFrame, params: DataFrame, feature: str = "feature", value: str = "value",
                   out: str = "scaled") -> DataFrame:
     """(x - loc) / scale with the per-feature parameters (one join)."""
-    j = long.join(params, feature, "left")
+    j = long.join(F.broadcast(params), feature, "left")
     return j.withColumn(out, (F.col(value) - F.col("loc")) / F.col("scale"))
 
 
@@ -182,7 +182,7 @@ def impute_with_names(long: DataFrame, ids: Sequence[str], features: Sequence[st
     ids, the imputed names in ``features`` order."""
     ids = list(ids)
     means = _fit_rows(long, fit_where, value).groupBy(feature).agg(F.avg(value).alias("__mean"))
-    j = long.join(means, feature, "left")
+    j = long.join(F.broadcast(means), feature, "left")
     j = j.withColumns({"__filled": F.coalesce(F.col(value), F.col("__mean")),
                        "__miss": F.col(value).isNull()})
     pos = F.create_map(*[x for i, f in enumerate(features) for x in (F.lit(f), F.lit(i))])

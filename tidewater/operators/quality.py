@@ -106,7 +106,7 @@ def iqr_outliers(long: DataFrame, group: Sequence[str] = ("feature",), value: st
     v = F.col(value)
     q = long.where(v.isNotNull()).groupBy(*group).agg(
         pct(v, [0.25, 0.75], exact).alias("__q"), F.count(v).alias("__n"))
-    j = long.where(v.isNotNull()).join(q, list(group))
+    j = long.where(v.isNotNull()).join(F.broadcast(q), list(group))  # one row per feature
     iqr = F.col("__q")[1] - F.col("__q")[0]
     out = (v < F.col("__q")[0] - F.lit(k) * iqr) | (v > F.col("__q")[1] + F.lit(k) * iqr)
     a = j.groupBy(*group).agg(F.first("__n").alias("n"), F.first(iqr).alias("iqr"), F.count_if(out).alias("n_out"))
@@ -120,7 +120,7 @@ def zscore_outliers(long: DataFrame, group: Sequence[str] = ("feature",), value:
     """Share of |x - mean| / std_pop > z."""
     v = F.col(value)
     s = long.where(v.isNotNull()).groupBy(*group).agg(F.avg(v).alias("__m"), F.stddev_pop(v).alias("__s"))
-    j = long.where(v.isNotNull()).join(s, list(group))
+    j = long.where(v.isNotNull()).join(F.broadcast(s), list(group))  # one row per feature
     zz = F.try_divide(F.abs(v - F.col("__m")), F.col("__s"))
     return j.groupBy(*group).agg((F.count_if(zz > z).cast("double") / F.count(v).cast("double")).alias("outlier_pct_z"))
 
@@ -130,7 +130,7 @@ def histogram(long: DataFrame, group: Sequence[str] = ("feature",), value: str =
     """Fixed-count equal-width histogram per group over its [min, max]."""
     v = F.col(value)
     mm = long.where(v.isNotNull()).groupBy(*group).agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"))
-    j = long.where(v.isNotNull()).join(mm, list(group))
+    j = long.where(v.isNotNull()).join(F.broadcast(mm), list(group))  # one row per feature
     b = F.least(F.floor(F.try_divide(v - F.col("__lo"), F.col("__hi") - F.col("__lo")) * F.lit(float(bins))),
                 F.lit(bins - 1))
     j = j.withColumn("bin", F.coalesce(b, F.lit(0)).cast("int"))
@@ -175,7 +175,7 @@ def winsorize(long: DataFrame, q: float = 0.99, fit_where: Column | None = None,
     v = F.col(value)
     fit = long if fit_where is None else long.where(fit_where)
     caps = fit.where(v.isNotNull()).groupBy(*group).agg(pct(v, q, exact).alias("cap"))
-    j = long.join(caps, list(group), "left")
+    j = long.join(F.broadcast(caps), list(group), "left")  # one row per feature
     return j.withColumn(out, F.when(v.isNotNull() & F.col("cap").isNotNull(), F.least(v, F.col("cap"))).otherwise(v))
 
 

@@ -14,19 +14,20 @@
 ``prefix_sum`` applies the same idea to running sums over any monotone
 bucket expression (used for global ranks and ECDFs).
 
-Both scans read their partitioned input twice (summary and join back), so
-that input is persisted (MEMORY_AND_DISK; lost blocks are recomputed from
-lineage) rather than recomputed from the source.
+Both scans read their partitioned input twice (summary and join back).
+Nothing is persisted: equal exchanges are reused by the planner, and callers
+reduce their input (histograms, daily panels) before a scan.
 """
 
 from __future__ import annotations
 
+import math
 from typing import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.joins import join_null_safe
 from tidewater.operators.calendar import time_bucket
 
 __all__ = ["ewm_mean", "prefix_sum", "alpha_from_span"]
@@ -47,9 +48,9 @@ def ewm_mean(df: DataFrame, x: str, out, alpha: float | None = None, keys="serie
     ``out`` is a column name (with ``alpha``) or a dict ``{out: alpha}``: all
     smoothings of the same input share one scan (one sort, one summary, one
     fold).  Rows with NULL ``x`` get NULL and do not advance the recursion
-    (pandas ``ignore_na=True``).  ``bucket`` must be fine enough that
-    ``(1-alpha)^-(rows per bucket)`` stays finite (a month of daily rows is
-    far from the limit for any span >= 1).
+    (pandas ``ignore_na=True``).  A time bucket is cut further into runs of so
+    many rows that ``(1-alpha)^-rows`` stays finite, so series of any density
+    give finite results.
     """
     keys = _keys(keys)
     specs = dict(out) if isinstance(out, dict) else {out: alpha}
@@ -61,15 +62,17 @@ def ewm_mean(df: DataFrame, x: str, out, alpha: float | None = None, keys="serie
     names = list(specs)
     base = d.withColumn("__b", time_bucket(order, bucket)).withColumn("__ok", F.col(x).isNotNull())
     wb = Window.partitionBy(*keys, "__b", "__ok").orderBy(order)
-    base = base.withColumn("__k", F.when(F.col("__ok"), F.row_number().over(wb) - 1))
-    wrun = wb.rowsBetween(Window.unboundedPreceding, 0)
+    # rows of a run: the largest power of the steepest smoothing stays below 1e120
+    run = max(1, int(120 * math.log(10) / -math.log(1.0 - max(specs.values()))))
+    base = base.withColumn("__row", F.row_number().over(wb) - 1)
+    base = base.withColumns({"__b": F.struct(F.col("__b").alias("t"), F.floor(F.col("__row") / run).alias("r")),
+                             "__k": F.when(F.col("__ok"), F.col("__row") % run)}).drop("__row")
+    wrun = Window.partitionBy(*keys, "__b", "__ok").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     # zero-start response inside the bucket, one per smoothing
     base = base.withColumns({
         f"__resp{i}": F.when(F.col("__ok"), F.pow(F.lit(1.0 - a), F.col("__k")) *
                              F.sum(F.lit(a) * F.col(x) * F.pow(F.lit(1.0 - a), -F.col("__k"))).over(wrun))
         for i, a in enumerate(specs.values())})
-    # read twice (bucket summaries and the final join): materialise once instead of re-running the input
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
     ok = base.where("__ok")
     last = F.max(F.struct("__k", *[F.col(f"__resp{i}").alias(f"r{i}") for i in range(len(names))]))
     summ = ok.groupBy(*keys, "__b").agg(
@@ -93,7 +96,7 @@ def ewm_mean(df: DataFrame, x: str, out, alpha: float | None = None, keys="serie
     states = arr.select(*keys, F.explode(F.aggregate("__summ", init, step)["acc"]).alias("__st")) \
         .select(*keys, F.col("__st.b").alias("__b"),
                 *[F.col(f"__st.s{i}").alias(f"__state{i}") for i in range(len(names))])
-    res = base.join(states, keys + ["__b"], "left")
+    res = join_null_safe(base, states, [*keys, "__b"], "left")
     res = res.withColumns({
         o: F.when(F.col("__ok"), F.pow(F.lit(1.0 - a), F.col("__k") + 1) * F.col(f"__state{i}") + F.col(f"__resp{i}"))
         for i, (o, a) in enumerate(specs.items())})
@@ -116,14 +119,12 @@ def prefix_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket:
     frame = wl.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     for o, c in sums.items():
         d = d.withColumn(f"__loc_{o}", F.coalesce(F.sum(c).over(frame), F.lit(0)))
-    # read twice (bucket totals and the carry join): materialise once
-    d = d.persist(StorageLevel.MEMORY_AND_DISK)
     tot = d.groupBy(*keys, "__pb").agg(*[F.sum(c).alias(f"__tot_{o}") for o, c in sums.items()])
     wt = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("__pb") \
         .rowsBetween(Window.unboundedPreceding, -1)
     carry = tot.select(*keys, "__pb", *[F.coalesce(F.sum(f"__tot_{o}").over(wt), F.lit(0)).alias(f"__car_{o}")
                                         for o in sums])
-    d = d.join(carry, keys + ["__pb"], "left")
+    d = join_null_safe(d, carry, [*keys, "__pb"], "left")
     for o in sums:
         d = d.withColumn(o, F.col(f"__car_{o}") + F.col(f"__loc_{o}"))
     return d.drop("__pb", *[f"__loc_{o}" for o in sums], *[f"__car_{o}" for o in sums])

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewater.functions.joins import join_null_safe
 from tidewater.operators.features import corr_expr
 from tidewater.operators.scan import prefix_sum
 
@@ -29,8 +30,13 @@ __all__ = [
 ]
 
 
-def value_bucket(df: DataFrame, group: Sequence[str], value: str, buckets: int = 128,
-                 method: str = "quantile", accuracy: int = 1000) -> DataFrame:
+def default_buckets(df: DataFrame) -> int:
+    """Buckets per group that keep every shuffle partition of the session busy."""
+    return max(128, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def value_bucket(df: DataFrame, group: Sequence[str], value: str, buckets: int | None = None,
+                 method: str = "quantile", accuracy: int = 10_000) -> DataFrame:
     """Attach ``__vb``, a bucket index monotone in ``value`` within its group.
 
     ``method="quantile"`` (default) cuts at approximate quantiles of the
@@ -38,29 +44,28 @@ def value_bucket(df: DataFrame, group: Sequence[str], value: str, buckets: int =
     for heavily skewed distributions (a single outlier cannot push every
     value into one bucket).  ``"width"`` uses equal-width buckets between
     the group's min and max.  Either way the boundaries are one small row per
-    group joined back, and equal values always share a bucket.
+    group joined back, and equal values always share a bucket.  ``buckets``
+    defaults to twice the session's shuffle partitions.
     """
     group = list(group)
-    keyed = df if group else df.withColumn("__one", F.lit(1))
-    keys = group or ["__one"]
+    buckets = buckets or default_buckets(df)
     if method == "quantile":
         qs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-        mm = keyed.groupBy(*keys).agg(F.percentile_approx(value, qs, accuracy).alias("__cuts"))
-        j = keyed.join(mm, keys)  # one row per group on the right side
+        mm = df.groupBy(*group).agg(F.percentile_approx(value, qs, accuracy).alias("__cuts"))
+        j = join_null_safe(df, mm, group)  # one row per group on the right side
         v = F.col(value)
         b = F.size(F.filter("__cuts", lambda c: c < v)).cast("long")
-        out = j.withColumn("__vb", b).drop("__cuts")
+        return j.withColumn("__vb", b).drop("__cuts")
     else:
-        mm = keyed.groupBy(*keys).agg(F.min(value).alias("__vlo"), F.max(value).alias("__vhi"))
-        j = keyed.join(mm, keys)
+        mm = df.groupBy(*group).agg(F.min(value).alias("__vlo"), F.max(value).alias("__vhi"))
+        j = join_null_safe(df, mm, group)
         b = F.floor(F.coalesce(F.try_divide(F.col(value) - F.col("__vlo"), F.col("__vhi") - F.col("__vlo")),
                                F.lit(0.0)) * F.lit(float(buckets - 1))).cast("long")
-        out = j.withColumn("__vb", b).drop("__vlo", "__vhi")
-    return out if group else out.drop("__one")
+        return j.withColumn("__vb", b).drop("__vlo", "__vhi")
 
 
 def average_ranks(df: DataFrame, group: Sequence[str], value: str, counts: dict[str, Column] | None = None,
-                  buckets: int = 128) -> DataFrame:
+                  buckets: int | None = None) -> DataFrame:
     """Histogram of distinct values per group with tie-averaged ranks.
 
     Returns ``group, value, __cnt, __below, avg_rank`` (1-based) plus any
@@ -80,12 +85,27 @@ def pearson_spearman(long: DataFrame, group: Sequence[str], value: str, target:
     pairwise-complete rows; Spearman = Pearson on tie-averaged ranks."""
     group = list(group)
     d = long.where(F.col(value).isNotNull() & F.col(target).isNotNull())
-    rx = average_ranks(d, group, value).select(*group, value, F.col("avg_rank").alias("__rx"))
-    ry = average_ranks(d, group, target).select(*group, target, F.col("avg_rank").alias("__ry"))
-    j = d.join(rx, group + [value]).join(ry, group + [target])
-    j = j.withColumn("__y", F.col(target).cast("double"))
-    return j.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), corr_expr(value, "__y").alias("pearson"),
-                                 corr_expr("__rx", "__ry").alias("spearman"))
+    # Spearman needs only the joint histogram: rows are reduced before any join
+    h = d.groupBy(*group, value, target).agg(F.count(F.lit(1)).alias("__n"))
+
+    def ranks(c: str, out: str) -> DataFrame:
+        k = h.groupBy(*group, c).agg(F.sum("__n").alias("__cnt"))
+        k = prefix_sum(value_bucket(k, group, c), group, [c], F.col("__vb"), {"__below": "__cnt"}, inclusive=False)
+        return k.select(*group, c, (F.col("__below") + (F.col("__cnt") + 1.0) / 2.0).alias(out))
+
+    j = join_null_safe(h, ranks(value, "__rx"), [*group, value])
+    j = join_null_safe(j, ranks(target, "__ry"), [*group, target])
+    n = F.col("__n").cast("double")
+    x, y = F.col("__rx"), F.col("__ry")
+    # ranks are halves of integers, centred on (n + 1) / 2, so these sums are exact up to 2 ** 53
+    s = j.groupBy(*group).agg(F.sum(n).alias("__t"), F.sum(n * x * y).alias("__xy"), F.sum(n * x * x).alias("__xx"),
+                              F.sum(n * y * y).alias("__yy"))
+    t = F.col("__t")
+    mid = t * (t + 1.0) * (t + 1.0) / 4.0
+    rho = F.try_divide(F.col("__xy") - mid, F.sqrt((F.col("__xx") - mid) * (F.col("__yy") - mid)))
+    p = d.withColumn("__y", F.col(target).cast("double")).groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n"), corr_expr(value, "__y").alias("pearson"))
+    return join_null_safe(p, s.select(*group, rho.alias("spearman")), group)
 
 
 def kolmogorov_p(d: Column, n1: Column, n2: Column, terms: int = 100) -> Column:
@@ -107,8 +127,9 @@ def ks_two_sample(long: DataFrame, group: Sequence[str], value: str, side: str,
                                      F.count_if(F.col(side) == b).alias("__cb"))
     h = value_bucket(h, group, value)
     h = prefix_sum(h, group, [value], F.col("__vb"), {"__Fa": "__ca", "__Fb": "__cb"}, inclusive=True)
-    w = Window.partitionBy(*group) if group else Window.partitionBy()
-    h = h.withColumns({"__na": F.sum("__ca").over(w), "__nb": F.sum("__cb").over(w)})
+    # totals: one row per group joined back, not a window over all distinct values
+    tot = d.groupBy(*group).agg(F.count_if(F.col(side) == a).alias("__na"), F.count_if(F.col(side) == b).alias("__nb"))
+    h = join_null_safe(h, tot, group)
     diff = F.abs(F.col("__Fa").cast("double") / F.col("__na").cast("double")
                  - F.col("__Fb").cast("double") / F.col("__nb").cast("double"))
     r = h.groupBy(*group).agg(F.max(diff).alias("__d"), F.first("__na").alias("n_a"), F.first("__nb").alias("n_b"))
@@ -117,10 +138,27 @@ def ks_two_sample(long: DataFrame, group: Sequence[str], value: str, side: str,
                     F.when(ok, kolmogorov_p(F.col("__d"), F.col("n_a"), F.col("n_b"))).alias("ks_p"))
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_two_sided_p(z: pd.Series) -> pd.Series:
-    """p = erfc(|z| / sqrt 2), vectorised; applied to one row per feature."""
-    return z.abs().map(lambda v: math.erfc(v / math.sqrt(2.0)) if pd.notna(v) else np.nan)
+#: Coefficients of the published rational approximation of erfc (error below 1.2e-7).
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
+def normal_two_sided_p(z: Column) -> Column:
+    """p = erfc(|z| / sqrt 2) as a JVM-side expression."""
+    x = F.abs(z) / F.lit(math.sqrt(2.0))
+    t = F.lit(1.0) / (F.lit(1.0) + x / 2.0)
+    poly = F.lit(ERFC[-1])
+    for c in reversed(ERFC[:-1]):
+        poly = F.lit(c) + t * poly
+    return F.least(F.lit(1.0), t * F.exp(-x * x + poly))
+
+
+def chi2_p(q: Column, dof: int) -> Column:
+    """Upper tail of the chi-squared distribution for an even number of degrees of freedom (closed form)."""
+    half, term, total = q / 2.0, F.lit(1.0), F.lit(1.0)
+    for i in range(1, dof // 2):
+        term = term * half / F.lit(float(i))
+        total = total + term
+    return F.exp(-half) * total
 
 
 def mann_whitney(long: DataFrame, group: Sequence[str], value: str, label: str, continuity: bool = True) -> DataFrame:
@@ -144,7 +182,7 @@ def mann_whitney(long: DataFrame, group: Sequence[str], value: str, label: str,
     sig = F.sqrt(n1 * n0 / 12.0 * ((n + 1.0) - F.try_divide(F.col("__ties"), n * (n - 1.0))))
     num = u - mu - (F.lit(0.5) * F.signum(u - mu) if continuity else F.lit(0.0))
     z = F.try_divide(num, sig)
-    return a.select(*group, "n1", "n0", u.alias("mw_u"), z.alias("mw_z"))
+    return a.select(*group, "n1", "n0", u.alias("mw_u"), z.alias("mw_z"), normal_two_sided_p(z).alias("mw_p"))
 
 
 def cohens_d(long: DataFrame, group: Sequence[str], value: str, label: str) -> DataFrame:
@@ -167,7 +205,7 @@ def binned_mi(long: DataFrame, group: Sequence[str], value: str, label: str, bin
     v = F.col(value)
     d = long.where(v.isNotNull() & F.col(label).isNotNull())
     mm = d.groupBy(*group).agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"))
-    d = d.join(mm, group)
+    d = join_null_safe(d, F.broadcast(mm), group)  # one row per feature
     b = F.least(F.floor(F.coalesce(F.try_divide(v - F.col("__lo"), F.col("__hi") - F.col("__lo")), F.lit(0.0))
                         * F.lit(float(bins))), F.lit(float(bins - 1)))
     c = d.withColumn("__bin", b.cast("int")).groupBy(*group, "__bin", label).agg(F.count(F.lit(1)).alias("__nby"))
@@ -191,7 +229,7 @@ def jarque_bera(long: DataFrame, group: Sequence[str], value: str) -> DataFrame:
 
 def ljung_box(acf: DataFrame, n: DataFrame, keys: Sequence[str], max_lags: Sequence[int]) -> DataFrame:
     """T-16: Q(h) = n(n+2) sum_{k<=h} acf_k^2 / (n-k) from an ACF table
-    (keys, lag, acf) and the series lengths (keys, n)."""
+    (keys, lag, acf) and the series lengths (keys, n); p for even h, else NULL."""
     keys = list(keys)
     j = acf.join(n, keys)
     hs = F.array(*[F.lit(h) for h in max_lags])
@@ -199,7 +237,10 @@ def ljung_box(acf: DataFrame, n: DataFrame, keys: Sequence[str], max_lags: Seque
     nn = F.col("n").cast("double")
     q = j.groupBy(*keys, "h").agg(F.first(nn).alias("__n"),
                                   F.sum(F.col("acf") * F.col("acf") / (nn - F.col("lag").cast("double"))).alias("__s"))
-    return q.select(*keys, F.col("h").alias("lags"), (F.col("__n") * (F.col("__n") + 2.0) * F.col("__s")).alias("lb_q"))
+    q = q.select(*keys, F.col("h").alias("lags"), (F.col("__n") * (F.col("__n") + 2.0) * F.col("__s")).alias("lb_q"))
+    even = [h for h in max_lags if h % 2 == 0]
+    p = F.coalesce(*[F.when(F.col("lags") == h, chi2_p(F.col("lb_q"), h)) for h in even]) if even else F.lit(None).cast("double")
+    return q.withColumn("lb_p", p)
 
 
 def vif(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -237,30 +278,29 @@ def max_normalise(df: DataFrame, col: str, out: str) -> DataFrame:
 
 
 def feature_scores(assoc: DataFrame) -> DataFrame:
-    """T-09/T-10/T-20: combine |spearman|, MI, |d| (signal) and train/test KS
-    (stability) into scores, rank them and tag the relation type.
+    """T-09/T-10/T-20: signal, stability and research scores, ranks and the relation tag.
 
-    ``assoc`` has one row per feature with spearman, MI, abs_d, ks_stat.
+    ``assoc`` has one row per feature with rpb (point-biserial r), spearman, MI,
+    class_ks (up against down), abs_d and ks_stat (train against test).  The signal is
+    the mean of the four max-normalised terms |rpb|, MI, class KS and |d|; stability is one minus
+    the max-normalised drift; research is 0.7 signal + 0.3 stability.  Missing terms count 0.
     """
-    d = assoc.withColumn("__ars", F.abs("spearman"))
-    d = max_normalise(d, "__ars", "__nrs")
-    d = max_normalise(d, "MI", "__nmi")
-    d = max_normalise(d, "abs_d", "__nd")
-    d = max_normalise(d, "ks_stat", "__nks")
-    d = d.withColumns({
-        "signal_score": (F.col("__nrs") + F.col("__nmi") + F.col("__nd")) / 3.0,
-        "stability_score": F.lit(1.0) - F.col("__nks"),
-    })
+    d = assoc.withColumns({"__arpb": F.abs("rpb"), "__ars": F.abs("spearman")})
+    for c in ("__arpb", "__ars", "MI", "class_ks", "abs_d", "ks_stat"):
+        d = max_normalise(d, c, f"__n_{c}")
+    n = {c: F.coalesce(F.col(f"__n_{c}"), F.lit(0.0)) for c in ("__arpb", "__ars", "MI", "class_ks", "abs_d", "ks_stat")}
+    d = d.withColumns({"signal_score": (n["__arpb"] + n["MI"] + n["class_ks"] + n["abs_d"]) / 4.0,
+                       "stability_score": F.lit(1.0) - n["ks_stat"],
+                       "mix_score": (n["MI"] + n["__ars"]) / 2.0})
     d = d.withColumn("research_score", F.lit(0.7) * F.col("signal_score") + F.lit(0.3) * F.col("stability_score"))
-    tag = (F.when((F.col("__nmi") >= 0.5) & (F.col("__nrs") < 0.3), "NONLINEAR")
-           .when((F.col("__nmi") >= 0.3) & (F.col("__nrs") >= 0.3), "LINEAR+NL").otherwise("WEAK"))
-    d = d.withColumn("relation", tag)
-    w1 = Window.orderBy(F.col("research_score").desc(), "feature")
-    w2 = Window.orderBy(F.col("__ars").desc(), "feature")
-    w3 = Window.orderBy(F.col("MI").desc(), "feature")
-    return d.select("feature", "signal_score", "stability_score", "research_score", "relation",
-                    F.row_number().over(w1).alias("rank_research"), F.row_number().over(w2).alias("rank_spearman"),
-                    F.row_number().over(w3).alias("rank_mi"))
+    informative = F.col("MI") > 0.01
+    tag = (F.when(informative & (F.col("__ars") < 0.05), "NONLINEAR").when(informative, "LINEAR+NL").otherwise("WEAK"))
+    desc = lambda *cs: Window.orderBy(*[F.col(c).desc_nulls_last() for c in cs], "feature")
+    rank = lambda *cs: F.row_number().over(desc(*cs))
+    return d.select("feature", "signal_score", "stability_score", "research_score", "mix_score", "ks_stat",
+                    tag.alias("relation"), rank("research_score", "signal_score").alias("rank_research"),
+                    rank("__ars", "MI").alias("rank_spearman"), rank("MI", "__ars").alias("rank_mi"),
+                    rank("mix_score", "MI", "__ars").alias("rank_mi_spearman"))
 
 
 # ----------------------------------------------------------------- series tests

@@ -8,7 +8,6 @@ by the same IEEE divisions), which keeps downstream hashes stable.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,13 +20,6 @@ VAL_END = "2000-01-01"
 MODEL_MULTIPLIERS = {"m1": 37, "m2": 101, "m3": 613}
 
 
-def reuse(df: DataFrame) -> DataFrame:
-    """Persist an input that a plan reads in several branches, so the
-    source is scanned once (column pruning differs per branch, which
-    defeats exchange reuse)."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def _cents_avg(c: str) -> F.Column:
     """Average of ``c`` in whole cents (half-up, integer arithmetic) / 1024.
 

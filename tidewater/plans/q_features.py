@@ -114,7 +114,7 @@ SELECT series_id, date,
        lag(m - sig) OVER ({W}) AS macd_hist, lag(CAST(m > sig AS DOUBLE)) OVER ({W}) AS macd_cross
 FROM macd_raw""", dbl="macd macd_signal macd_hist macd_cross")
 def q_ewm_macd(spark, sf):
-    p = inputs.reuse(inputs.daily_panel(spark, sf).select("series_id", "date", "close"))
+    p = inputs.daily_panel(spark, sf).select("series_id", "date", "close")
     return finish(ft.macd(p, "close").select("series_id", "date", "macd", "macd_signal", "macd_hist", "macd_cross"))
 
 
@@ -361,5 +361,5 @@ WHERE {" AND ".join(c + " IS NOT NULL" for c in ["close", "ret"] + TECH_COLS)}""
 def q_technical_features(spark, sf):
     """The whole shifted technical feature set; rows with any
     missing feature dropped."""
-    p = inputs.reuse(inputs.returns_panel(spark, sf).select("series_id", "date", "close", "ret"))
+    p = inputs.returns_panel(spark, sf).select("series_id", "date", "close", "ret")
     return finish(ft.technical_features(p).select("series_id", "date", "close", "ret", *TECH_COLS))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewater.functions.joins import join_null_safe
 from tidewater.operators import evaluate as ev
 from tidewater.operators import learn as ln
 from tidewater.plans import inputs
@@ -34,7 +35,7 @@ def q_stacking(spark, sf):
     """OOF stacking of logistic regression and GBT with a logistic meta model."""
     fm = inputs.feature_matrix(spark, sf)
     p = ln.stacking(fm, inputs.FEATURES, "direction", KEYS, n_splits=3)
-    m = ev.classification_metrics(p, []).join(ev.roc_auc(p.withColumn("__g", F.lit(1)), ["__g"]).drop("__g"))
+    m = join_null_safe(ev.classification_metrics(p, []), ev.roc_auc(p, []), [])
     return finish(m)
 
 

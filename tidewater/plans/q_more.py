@@ -70,24 +70,32 @@ def q_feature_groups(spark, sf):
         F.array_join(F.transform(F.slice(names, 1, 6), lambda s: s["feature"]), "|").alias("first_features"))
 
 
+#: Rows listed for "keep" and "caution".
+LISTED = 10
+
+
 @register("feature_recommendation", f"""
 WITH fs AS {_wrap("feature_score")},
-m AS (SELECT *, quantile_cont(signal_score, 0.5) OVER () AS ms, quantile_cont(stability_score, 0.5) OVER () AS mt
-      FROM fs)
-SELECT feature, signal_score, stability_score,
-       CASE WHEN signal_score >= ms AND stability_score >= mt THEN 'keep'
-            WHEN signal_score < ms AND stability_score < mt THEN 'drop' ELSE 'caution' END AS recommendation
-FROM m""", dbl="signal_score stability_score")
+r AS (SELECT *, {_group_sql("feature", RISK_RULES, "low")} AS risk FROM fs),
+m AS (SELECT *, (SELECT quantile_cont(ks_stat, 0.5) FROM r) AS mid FROM r),
+c AS (SELECT 'keep' AS recommendation, * FROM m WHERE risk = 'low'
+      UNION ALL SELECT 'caution', * FROM m WHERE ks_stat > mid OR risk = 'medium'
+      UNION ALL SELECT 'drop', * FROM m WHERE risk = 'high')
+SELECT recommendation, feature, risk, research_score, ks_stat FROM c
+QUALIFY recommendation = 'drop' OR row_number() OVER (PARTITION BY recommendation ORDER BY rank_research) <= {LISTED}""",
+          dbl="research_score ks_stat")
 def q_feature_recommendation(spark, sf):
-    """T-21: keep / caution / drop from signal and stability against their medians."""
-    fs = QUERIES["feature_score"](spark, sf)
-    w = Window.partitionBy()  # one row per feature
-    m = fs.withColumns({"__ms": F.percentile("signal_score", 0.5).over(w),
-                        "__mt": F.percentile("stability_score", 0.5).over(w)})
-    rec = (F.when((F.col("signal_score") >= F.col("__ms")) & (F.col("stability_score") >= F.col("__mt")), "keep")
-           .when((F.col("signal_score") < F.col("__ms")) & (F.col("stability_score") < F.col("__mt")), "drop")
-           .otherwise("caution"))
-    return finish(m.select("feature", "signal_score", "stability_score", rec.alias("recommendation")))
+    """T-21: keep the best low-risk features; caution for drift above its median or medium risk;
+    drop high risk.  A feature may be kept with caution."""
+    fs = rs.classify_names(QUERIES["feature_score"](spark, sf), "feature", RISK_RULES, "low", "risk")
+    mid = F.percentile("ks_stat", 0.5).over(Window.partitionBy())  # one row per feature
+    risk, drift = F.col("risk"), F.col("ks_stat") > F.col("__mid")
+    rules = F.array_compact(F.array(F.when(risk == "low", F.lit("keep")), F.when(drift | (risk == "medium"), F.lit("caution")),
+                                    F.when(risk == "high", F.lit("drop"))))
+    c = fs.withColumn("__mid", mid).withColumn("recommendation", F.explode(rules))
+    place = F.row_number().over(Window.partitionBy("recommendation").orderBy("rank_research"))
+    c = c.withColumn("__place", place).where((F.col("recommendation") == "drop") | (F.col("__place") <= LISTED))
+    return finish(c.select("recommendation", "feature", "risk", "research_score", "ks_stat"))
 
 
 @register("histogram_features", with_(FEATURES_SQL) + """,
@@ -107,7 +115,7 @@ SELECT *, CAST(row_number() OVER (PARTITION BY feature ORDER BY abs_z DESC NULLS
 FROM z QUALIFY rank <= 10""", dbl="value abs_z")
 def q_outlier_top10(spark, sf):
     """The 10 largest |z| rows per feature."""
-    lg = inputs.reuse(inputs.feature_long(spark, sf))
+    lg = inputs.feature_long(spark, sf)
     s = lg.groupBy("feature").agg(F.avg("value").alias("__m"), F.stddev_pop("value").alias("__sd"))
     z = lg.join(s, "feature").withColumn("abs_z", F.try_divide(F.abs(F.col("value") - F.col("__m")), F.col("__sd")))
     top = rs.top_per_group(z, ["feature"], [F.col("abs_z").desc_nulls_last(), F.col("series_id"), F.col("date")], 10)
@@ -153,7 +161,7 @@ UNION ALL
 SELECT 'month', CAST(month(date) AS INTEGER), avg(ret), count(ret) FROM fm GROUP BY 2""", dbl="mean_ret")
 def q_calendar_means(spark, sf):
     """Mean return by day of week (Mon=0) and by month."""
-    fm = inputs.reuse(inputs.feature_matrix(spark, sf))
+    fm = inputs.feature_matrix(spark, sf)
     a = fm.groupBy(F.weekday("date").alias("k")).agg(F.avg("ret").alias("mean_ret"), F.count("ret").alias("n")) \
         .select(F.lit("day_of_week").alias("kind"), "k", "mean_ret", "n")
     b = fm.groupBy(F.month("date").alias("k")).agg(F.avg("ret").alias("mean_ret"), F.count("ret").alias("n")) \
@@ -164,25 +172,37 @@ def q_calendar_means(spark, sf):
 SIZES = [2, 3, 5]
 
 
+RANKINGS = ["spearman", "mi", "mi_spearman"]
+
+
 @register("topn_subsets", f"""
 WITH fs AS {_wrap("feature_score")},
-r AS (SELECT 'research' AS ranking, feature, rank_research AS rk FROM fs
-      UNION ALL SELECT 'spearman', feature, rank_spearman FROM fs
-      UNION ALL SELECT 'mi', feature, rank_mi FROM fs),
-s AS (SELECT ranking, n, feature, rk FROM r, (VALUES {", ".join(f"({n})" for n in SIZES)}) t(n) WHERE rk <= n)
-SELECT ranking || '_top' || CAST(n AS VARCHAR) AS "case", ranking, CAST(n AS INTEGER) AS n,
+r AS (SELECT 'spearman' AS ranking, feature, rank_spearman AS rk FROM fs
+      UNION ALL SELECT 'mi', feature, rank_mi FROM fs
+      UNION ALL SELECT 'mi_spearman', feature, rank_mi_spearman FROM fs),
+s AS (SELECT ranking, n, feature, rk FROM r, (VALUES {", ".join(f"({n})" for n in SIZES)}) t(n)
+      WHERE rk <= n AND n < (SELECT count(*) FROM fs))
+SELECT upper(ranking) || '_TOP_' || CAST(n AS VARCHAR) AS "case", ranking, CAST(n AS INTEGER) AS n,
        array_to_string(list(feature ORDER BY rk), '|') AS features
-FROM s GROUP BY ranking, n""")
+FROM s GROUP BY ranking, n
+UNION ALL
+SELECT 'ALL_' || CAST(count(*) AS VARCHAR), 'all', CAST(count(*) AS INTEGER), array_to_string(list(feature ORDER BY feature), '|')
+FROM fs""")
 def q_topn_subsets(spark, sf):
-    """T-11: top-N feature subsets per ranking (research, spearman, MI)."""
+    """T-11: top-N feature subsets per ranking (Spearman, MI, their mix), smaller than all, and ALL."""
     fs = QUERIES["feature_score"](spark, sf)
-    r = (fs.select(F.lit("research").alias("ranking"), "feature", F.col("rank_research").alias("rk"))
-         .unionByName(fs.select(F.lit("spearman").alias("ranking"), "feature", F.col("rank_spearman").alias("rk")))
-         .unionByName(fs.select(F.lit("mi").alias("ranking"), "feature", F.col("rank_mi").alias("rk"))))
-    s = r.withColumn("n", F.explode(F.array(*[F.lit(n) for n in SIZES]))).where(F.col("rk") <= F.col("n"))
-    agg = s.groupBy("ranking", "n").agg(F.array_sort(F.collect_list(F.struct("rk", "feature"))).alias("__f"))
-    return agg.select(F.concat(F.col("ranking"), F.lit("_top"), F.col("n").cast("string")).alias("case"), "ranking",
-                      "n", F.array_join(F.transform("__f", lambda x: x["feature"]), "|").alias("features"))
+    size = F.count(F.lit(1)).over(Window.partitionBy())  # one row per feature
+    cases = [F.struct(F.lit(r).alias("ranking"), F.lit(n).alias("n"), F.col(f"rank_{r}").alias("rk"))
+             for r in RANKINGS for n in SIZES]
+    everything = F.struct(F.lit("all").alias("ranking"), F.col("__p").alias("n"), F.col("__at").alias("rk"))
+    c = (fs.withColumns({"__p": size.cast("int"), "__at": F.row_number().over(Window.orderBy("feature"))})
+         .select("feature", "__p", F.explode(F.array(*cases, everything)).alias("c")).select("feature", "__p", "c.*")
+         .where((F.col("rk") <= F.col("n")) & ((F.col("n") < F.col("__p")) | (F.col("ranking") == "all"))))
+    agg = c.groupBy("ranking", "n").agg(F.array_sort(F.collect_list(F.struct("rk", "feature"))).alias("__f"))
+    name = F.when(F.col("ranking") == "all", F.concat(F.lit("ALL_"), F.col("n").cast("string"))).otherwise(
+        F.concat(F.upper("ranking"), F.lit("_TOP_"), F.col("n").cast("string")))
+    return agg.select(name.alias("case"), "ranking", "n",
+                      F.array_join(F.transform("__f", lambda x: x["feature"]), "|").alias("features"))
 
 
 EXAMPLE_RULES_SQL = [
@@ -234,7 +254,7 @@ def q_lookup_fallback(spark, sf):
     o = read_table(spark, sf, "orders").select(
         "o_orderkey", "o_orderpriority", F.to_date("o_orderdate").alias("d"),
         F.date_add(F.to_date("o_orderdate"), 1).alias("t"))
-    panel = inputs.reuse(inputs.daily_panel(spark, sf))
+    panel = inputs.daily_panel(spark, sf)
     out = rs.lookup_with_fallback(o, panel, {"o_orderpriority": "series_id", "t": "date"},
                                   {"o_orderpriority": "series_id", "d": "date"}, ["close"])
     return finish(out.select("o_orderkey", "close", "matched_on"))

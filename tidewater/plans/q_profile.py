@@ -45,7 +45,7 @@ SELECT feature, n, n_out,
        outlier_pct_z
 FROM c""", dbl="outlier_pct_iqr outlier_pct_z")
 def q_outliers_iqr(spark, sf):
-    lg = inputs.reuse(inputs.feature_long(spark, sf))
+    lg = inputs.feature_long(spark, sf)
     return finish(qa.iqr_outliers(lg).join(qa.zscore_outliers(lg), "feature"))
 
 
@@ -101,7 +101,7 @@ FROM (SELECT series_id, date, count(*) AS c FROM fm GROUP BY 1, 2)
 UNION ALL
 SELECT 'forward_columns_in_features', 'features', 0.0, 'OK'""", dbl="value")
 def q_quality_report(spark, sf):
-    fm = inputs.reuse(inputs.feature_matrix(spark, sf))
+    fm = inputs.feature_matrix(spark, sf)
     lg = qa.to_long(fm, ["series_id", "date", "split", "direction"], FEATS, keep_nulls=True)
     rows = fm.groupBy(F.col("split").alias("subject")).agg(F.count(F.lit(1)).cast("double").alias("value")) \
         .select(F.lit("rows").alias("check"), "subject", "value", F.lit("OK").alias("status"))
@@ -181,7 +181,12 @@ u AS (SELECT *, r1 - CAST(n1 AS DOUBLE) * (CAST(n1 AS DOUBLE) + 1.0) / 2.0 AS mw
 mw AS (SELECT feature, n1, n0, mw_u, (mw_u - mu - 0.5 * sign(mw_u - mu)) / nullif(sig, 0) AS mw_z FROM u)"""
 
 
-@register("mann_whitney_u", with_(FEATURES_SQL) + MW_SQL + "\nSELECT * FROM mw", dbl="mw_u mw_z")
+# two-sided p by Simpson's rule on the normal density between -|z| and |z|
+@register("mann_whitney_u", with_(FEATURES_SQL) + MW_SQL + """,
+mp AS (SELECT feature, 1.0 - sum((CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+                             * exp(-0.5 * pow(abs(mw_z) * (i / 2000.0 - 1.0), 2))) * abs(mw_z) / 6000.0 / sqrt(2 * pi()) AS mw_p
+       FROM mw, range(0, 4001) t(i) GROUP BY feature, mw_z)
+SELECT mw.*, mw_p FROM mw JOIN mp USING (feature)""", dbl="mw_u mw_z mw_p")
 def q_mann_whitney_u(spark, sf):
     lg = inputs.feature_long(spark, sf).where(F.col("split") == "train")
     return finish(st.mann_whitney(lg, ["feature"], "value", "direction"))
@@ -222,41 +227,81 @@ def q_binned_mi(spark, sf):
     return finish(st.binned_mi(lg, ["feature"], "value", "direction", 10))
 
 
+def two_sample_ks_sql(name: str, where: str, first: str, second: str) -> str:
+    """D of two samples straight from the definition: the largest gap of the two empirical
+    distribution functions over all values (a correlated count per value, not a running sum)."""
+    return f""",
+{name}_v AS (SELECT DISTINCT feature, value FROM fl WHERE ({where}) AND ({first} OR {second})),
+{name}_n AS (SELECT feature, count_if({first}) AS na, count_if({second}) AS nb FROM fl WHERE {where} GROUP BY 1),
+{name}_c AS (SELECT v.feature, v.value, count_if(({first}) AND x.value <= v.value) AS ca, count_if(({second}) AND x.value <= v.value) AS cb
+         FROM {name}_v v JOIN (SELECT * FROM fl WHERE {where}) x ON x.feature = v.feature GROUP BY 1, 2),
+{name} AS (SELECT feature, CASE WHEN any_value(na) >= 2 AND any_value(nb) >= 2
+                            THEN max(abs(CAST(ca AS DOUBLE) / nullif(na, 0) - CAST(cb AS DOUBLE) / nullif(nb, 0))) END AS d
+         FROM {name}_c JOIN {name}_n USING (feature) GROUP BY 1)"""
+
+
+def _term(c: str) -> str:
+    """x / max(x) over the features; 0 where the maximum is not positive or x is missing."""
+    return f"coalesce(CASE WHEN max({c}) OVER () > 0 THEN {c} / max({c}) OVER () ELSE 0.0 END, 0.0)"
+
+
 @register("feature_score", with_(FEATURES_SQL) + KS_SQL.replace("h AS", "kh AS").replace("FROM h", "FROM kh")
           .replace("c AS (", "kc AS (").replace("FROM c GROUP", "FROM kc GROUP").replace("d AS (", "kd AS (")
           .replace("FROM d)", "FROM kd)").replace("p AS (", "kp AS (").replace("JOIN p USING", "JOIN kp USING")
           + MI_SQL + CD_SQL + f""",
-sp AS (SELECT feature, corr(rx, ry) AS spearman FROM (
-         SELECT feature, rank() OVER (PARTITION BY feature ORDER BY value)
+uh AS (SELECT feature, value, count_if(direction = 1) AS ca, count_if(direction = 0) AS cb FROM fl WHERE {TRAIN} GROUP BY 1, 2),
+uc AS (SELECT feature, sum(ca) OVER w / sum(ca) OVER f - sum(cb) OVER w / sum(cb) OVER f AS gap, sum(ca) OVER f AS na, sum(cb) OVER f AS nb
+       FROM uh WINDOW w AS (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY feature)),
+up AS (SELECT feature, CASE WHEN any_value(na) >= 2 AND any_value(nb) >= 2 THEN max(abs(gap)) END AS class_ks FROM uc GROUP BY 1),
+sp AS (SELECT feature, corr(value, direction) AS rpb, corr(rx, ry) AS spearman FROM (
+         SELECT feature, value, direction, rank() OVER (PARTITION BY feature ORDER BY value)
                   + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS rx,
                 rank() OVER (PARTITION BY feature ORDER BY direction)
                   + (count(*) OVER (PARTITION BY feature, direction) - 1) / 2.0 AS ry
          FROM fl WHERE {TRAIN}) GROUP BY 1),
-asc0 AS (SELECT feature, abs(spearman) AS ars, MI, abs(cohens_d) AS abs_d, ks_stat
-         FROM sp JOIN mi USING (feature) JOIN cd USING (feature) JOIN ks USING (feature)),
-nrm AS (SELECT *,
-          CASE WHEN max(ars) OVER () > 0 THEN ars / max(ars) OVER () ELSE 0.0 END AS nrs,
-          CASE WHEN max(MI) OVER () > 0 THEN MI / max(MI) OVER () ELSE 0.0 END AS nmi,
-          CASE WHEN max(abs_d) OVER () > 0 THEN abs_d / max(abs_d) OVER () ELSE 0.0 END AS nd,
-          CASE WHEN max(ks_stat) OVER () > 0 THEN ks_stat / max(ks_stat) OVER () ELSE 0.0 END AS nks FROM asc0),
-sc AS (SELECT *, (nrs + nmi + nd) / 3.0 AS signal_score, 1.0 - nks AS stability_score FROM nrm),
-sc2 AS (SELECT *, 0.7 * signal_score + 0.3 * stability_score AS research_score,
-               CASE WHEN nmi >= 0.5 AND nrs < 0.3 THEN 'NONLINEAR' WHEN nmi >= 0.3 AND nrs >= 0.3 THEN 'LINEAR+NL'
-                    ELSE 'WEAK' END AS relation FROM sc)
-SELECT feature, signal_score, stability_score, research_score, relation,
-       CAST(row_number() OVER (ORDER BY research_score DESC, feature) AS INTEGER) AS rank_research,
-       CAST(row_number() OVER (ORDER BY ars DESC, feature) AS INTEGER) AS rank_spearman,
-       CAST(row_number() OVER (ORDER BY MI DESC, feature) AS INTEGER) AS rank_mi
-FROM sc2""", dbl="signal_score stability_score research_score")
+terms AS (SELECT feature, abs(rpb) AS arpb, abs(spearman) AS ars, MI, class_ks, abs(cohens_d) AS abs_d, ks_stat
+      FROM sp JOIN mi USING (feature) JOIN cd USING (feature) JOIN up USING (feature) JOIN ks USING (feature)),
+sc AS (SELECT *, ({_term("arpb")} + {_term("MI")} + {_term("class_ks")} + {_term("abs_d")}) / 4.0 AS signal_score,
+              1.0 - {_term("ks_stat")} AS stability_score, ({_term("MI")} + {_term("ars")}) / 2.0 AS mix_score FROM terms),
+rs AS (SELECT *, 0.7 * signal_score + 0.3 * stability_score AS research_score FROM sc)
+SELECT feature, signal_score, stability_score, research_score, mix_score, ks_stat,
+       CASE WHEN MI > 0.01 AND ars < 0.05 THEN 'NONLINEAR' WHEN MI > 0.01 THEN 'LINEAR+NL' ELSE 'WEAK' END AS relation,
+       CAST(row_number() OVER (ORDER BY research_score DESC, signal_score DESC, feature) AS INTEGER) AS rank_research,
+       CAST(row_number() OVER (ORDER BY ars DESC, MI DESC, feature) AS INTEGER) AS rank_spearman,
+       CAST(row_number() OVER (ORDER BY MI DESC, ars DESC, feature) AS INTEGER) AS rank_mi,
+       CAST(row_number() OVER (ORDER BY mix_score DESC, MI DESC, ars DESC, feature) AS INTEGER) AS rank_mi_spearman
+FROM rs""", dbl="signal_score stability_score research_score mix_score ks_stat")
 def q_feature_score(spark, sf):
-    lg = inputs.reuse(inputs.feature_long(spark, sf))
+    """T-09/T-10/T-20: four-term signal, stability, research score, rankings and relation tags."""
+    return finish(st.feature_scores(_associations(spark, sf)))
+
+
+def _associations(spark, sf):
+    lg = inputs.feature_long(spark, sf)
     tr = lg.where(F.col("split") == "train")
-    assoc = (st.pearson_spearman(tr, ["feature"], "value", "direction").select("feature", "spearman")
-             .join(st.binned_mi(tr, ["feature"], "value", "direction", 10), "feature")
-             .join(st.cohens_d(tr, ["feature"], "value", "direction").select("feature", "abs_d"), "feature")
-             .join(st.ks_two_sample(lg, ["feature"], "value", "split", "train", "test").select("feature", "ks_stat"),
-                   "feature"))
-    return finish(st.feature_scores(assoc))
+    key = ["feature"]
+    return (st.pearson_spearman(tr, key, "value", "direction").select("feature", F.col("pearson").alias("rpb"), "spearman")
+            .join(st.binned_mi(tr, key, "value", "direction", 10), "feature")
+            .join(st.cohens_d(tr, key, "value", "direction").select("feature", "abs_d"), "feature")
+            .join(st.ks_two_sample(tr, key, "value", "direction", 1, 0).select("feature", F.col("ks_stat").alias("class_ks")), "feature")
+            .join(st.ks_two_sample(lg, key, "value", "split", "train", "test").select("feature", "ks_stat"), "feature"))
+
+
+@register("ks_by_class", with_(FEATURES_SQL) + two_sample_ks_sql("ud", TRAIN, "direction = 1", "direction = 0")
+          + two_sample_ks_sql("us", "direction = 1", "split = 'train'", "split = 'test'")
+          + two_sample_ks_sql("ds", "direction = 0", "split = 'train'", "split = 'test'") + """
+SELECT feature, ud.d AS class_ks, us.d AS up_shift_ks, ds.d AS down_shift_ks
+FROM ud JOIN us USING (feature) JOIN ds USING (feature)""", dbl="class_ks up_shift_ks down_shift_ks")
+def q_ks_by_class(spark, sf):
+    """T-03: KS of up against down, and train against test within each class."""
+    lg = inputs.feature_long(spark, sf)
+
+    def ks(rows, side, a, b, name):
+        return st.ks_two_sample(rows, ["feature"], "value", side, a, b).select("feature", F.col("ks_stat").alias(name))
+
+    return finish(ks(lg.where(F.col("split") == "train"), "direction", 1, 0, "class_ks")
+                  .join(ks(lg.where("direction = 1"), "split", "train", "test", "up_shift_ks"), "feature")
+                  .join(ks(lg.where("direction = 0"), "split", "train", "test", "down_shift_ks"), "feature"))
 
 
 @register("normality_tests", with_(FEATURES_SQL) + """,

@@ -80,7 +80,7 @@ FROM c""", dbl="spearman_r abs_r")
 def q_corr_top_pairs(spark, sf):
     """T-02/R03/O04: pairwise-complete Spearman matrix (upper triangle) ranked by |rho|."""
     fm = inputs.feature_matrix(spark, sf).where(F.col("split") == "train")
-    pr = inputs.reuse(rs.feature_pairs(fm, ["series_id", "date"], FE))
+    pr = rs.feature_pairs(fm, ["series_id", "date"], FE)
     rx = st.average_ranks(pr, ["f1", "f2"], "x").select("f1", "f2", "x", F.col("avg_rank").alias("rx"))
     ry = st.average_ranks(pr, ["f1", "f2"], "y").select("f1", "f2", "y", F.col("avg_rank").alias("ry"))
     j = pr.join(rx, ["f1", "f2", "x"]).join(ry, ["f1", "f2", "y"])
@@ -116,7 +116,7 @@ FROM daily d JOIN bh ON d.series_id = bh.series_id AND d.target_date = bh.target
           dbl="equity_momentum equity_buy_hold")
 def q_strategy_comparison(spark, sf):
     """Equity curves of two strategies aligned on the target date (not row position)."""
-    b = inputs.reuse(inputs.backtest_input(spark, sf))
+    b = inputs.backtest_input(spark, sf)
     mo = bt.simulate(b, ["series_id"], "date", "predicted_return", "actual_return", THRESHOLD, COST) \
         .select("series_id", "target_date", F.lit("momentum").alias("strategy"), "equity")
     bh = bt.buy_and_hold(b, ["series_id"], "date", "actual_return", COST) \
@@ -146,7 +146,7 @@ SELECT series_id, avg(abs(yhat - y)) AS MAE, sqrt(avg((yhat - y) * (yhat - y)))
 FROM t GROUP BY 1""", dbl="MAE RMSE R2 MAPE DirAcc resid_mean resid_std")
 def q_regression_metrics(spark, sf):
     """B01 + E10/E11: calibration fitted on val, applied to test; error metrics and residual profile."""
-    b = inputs.reuse(inputs.backtest_input(spark, sf))
+    b = inputs.backtest_input(spark, sf)
     val = b.where((F.col("target_date") >= F.lit(inputs.TRAIN_END).cast("date")) &
                   (F.col("target_date") < F.lit(inputs.VAL_END).cast("date")))
     cal = bt.calibrate_linear(val, ["series_id"], "predicted_return", "actual_return")
@@ -183,7 +183,7 @@ def q_threshold_diagnostics(spark, sf):
     p = inputs.predictions(spark, sf)
     best = ev.best_threshold(ev.threshold_sweep(p.where(F.col("Split") == "val"), ["Model"]), ["Model"])
     # test predictions reduced once to a score histogram; both thresholds are evaluated on it
-    h = inputs.reuse(ev.score_histogram(p.where(F.col("Split") == "test"), ["Model"]))
+    h = ev.score_histogram(p.where(F.col("Split") == "test"), ["Model"])
     hb = h.join(best.select("Model", "best_threshold"), "Model")
     mb = ev.metrics_from_counts(ev.counts_from_histogram(hb, ["Model"], threshold=F.col("best_threshold"))) \
         .select("Model", F.col("F1_macro").alias("F1_val_best"))
@@ -208,15 +208,19 @@ def q_class_monthly_counts(spark, sf):
                ret * ret - avg(ret * ret) OVER (PARTITION BY series_id) AS c FROM rp WHERE ret IS NOT NULL),
 den AS (SELECT series_id, sum(c * c) AS den, count(*) AS n FROM c GROUP BY 1),
 num AS (SELECT a.series_id, k AS lag, sum(a.c * b.c) AS num
-        FROM c a, range(1, 21) t(k), c b WHERE b.series_id = a.series_id AND b.rn = a.rn - k GROUP BY 1, 2),
-acf AS (SELECT num.series_id, lag, num / den AS acf, n FROM num JOIN den USING (series_id))
-SELECT series_id, CAST(h AS INTEGER) AS lags,
+        FROM c a, range(1, 31) t(k), c b WHERE b.series_id = a.series_id AND b.rn = a.rn - k GROUP BY 1, 2),
+acf AS (SELECT num.series_id, lag, num / den AS acf, n FROM num JOIN den USING (series_id)),
+lb AS (SELECT series_id, CAST(h AS INTEGER) AS lags,
        any_value(CAST(n AS DOUBLE)) * (any_value(CAST(n AS DOUBLE)) + 2.0)
          * sum(acf * acf / (CAST(n AS DOUBLE) - CAST(lag AS DOUBLE))) AS lb_q
-FROM acf, (VALUES (10), (20)) v(h) WHERE lag <= h GROUP BY 1, 2""", dbl="lb_q")
+FROM acf, (VALUES (10), (20), (30)) v(h) WHERE lag <= h GROUP BY 1, 2),
+-- upper tail with 2m degrees of freedom: the first m Poisson terms of mean q / 2
+tail AS (SELECT series_id, lags, sum(exp(i * ln(greatest(lb_q, 1e-300) / 2) - lb_q / 2 - lgamma(i + 1))) AS lb_p
+         FROM lb, range(0, 15) t(i) WHERE i < lags / 2 GROUP BY 1, 2)
+SELECT series_id, lags, lb_q, lb_p FROM lb JOIN tail USING (series_id, lags)""", dbl="lb_q lb_p")
 def q_ljung_box(spark, sf):
-    """T-16: Ljung-Box Q on squared returns at 10 and 20 lags."""
+    """T-16: Ljung-Box Q and its p on squared returns at 10, 20 and 30 lags."""
     p = inputs.returns_panel(spark, sf)
-    acf = ft.autocorrelation(p, "ret", 20, squared=True)
+    acf = ft.autocorrelation(p, "ret", 30, squared=True)
     n = p.where(F.col("ret").isNotNull()).groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
-    return finish(st.ljung_box(acf, n, ["series_id"], [10, 20]))
+    return finish(st.ljung_box(acf, n, ["series_id"], [10, 20, 30]))

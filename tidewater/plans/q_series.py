@@ -110,7 +110,7 @@ FROM pp JOIN oo USING (feature) JOIN ks USING (feature)""",
               "train_test_ks_p")
 def q_data_overview(spark, sf):
     """T-22: one row per feature composing A03-A11 and the train/test KS (T-03)."""
-    fm = inputs.reuse(inputs.feature_matrix(spark, sf))
+    fm = inputs.feature_matrix(spark, sf)
     lg = qa.to_long(fm, ["series_id", "date", "split", "direction"], inputs.FEATURES, keep_nulls=True)
     v = F.col("value")
     tr, te = F.when(F.col("split") == "train", v), F.when(F.col("split") == "test", v)
@@ -200,7 +200,7 @@ def q_sweep_val_test(spark, sf):
     b = inputs.backtest_input(spark, sf).where(F.col("target_date") >= F.lit(inputs.TRAIN_END).cast("date"))
     b = b.withColumn("split", F.when(F.col("target_date") < F.lit(inputs.VAL_END).cast("date"), "val")
                      .otherwise("test"))
-    b = inputs.reuse(b)
+    b = b
     cand = bt.threshold_candidates(b.where(F.col("split") == "val"), ["series_id"], "predicted_return")
     fan = b.join(cand, "series_id")
     g = ["series_id", "split", "threshold"]

@@ -55,7 +55,7 @@ SELECT md5(text) AS content_hash, count(*) AS n_docs, min(doc_id) AS first_doc_i
 FROM documents GROUP BY 1""")
 def q_manifest_check(spark, sf):
     d = read_table(spark, sf, "documents")
-    m = src.content_manifest(d, "doc_id", "text").join(d.select("doc_id", "n_chars"), "doc_id")
+    m = src.content_manifest(d, "doc_id", "text", carry=["n_chars"])
     return m.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc_id"),
                                          F.sum("n_chars").alias("total_chars"))
 

@@ -39,13 +39,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder.
 
     Reads ``spark.checkpoint.dir`` from the session (a cluster names a shared
-    folder there).  Only when it is unset — local tests — a scratch folder
-    is created and registered.
+    folder there).  Only when it is unset on a local master (tests) a scratch folder
+    is created and registered; on a cluster an unset folder is an error, as
+    executors would write to their own disks.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     if not d:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="tidewater-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

@@ -7,6 +7,7 @@ use permissive parsing where the reference coerces bad values to missing.
 from __future__ import annotations
 
 import os
+import time
 import uuid
 from typing import Iterable, Sequence
 
@@ -136,29 +137,31 @@ def write_documents(doc: DataFrame, targets: Iterable[str]) -> None:
 
 
 def publish_atomic(df: DataFrame, root: str, fmt: str = "parquet") -> str:
-    """Write into a fresh versioned folder, then switch the pointer.
+    """Write a fresh version folder whose name sorts after all earlier ones.
 
-    Readers resolve ``root/_CURRENT`` (a one-row JSON dataset holding the
-    version folder); the previous version stays on disk as the backup until
-    a retention job removes it."""
-    version = f"v-{uuid.uuid4().hex}"
-    target = os.path.join(root, version)
+    A version counts once its ``_SUCCESS`` marker exists, which the commit
+    creates last: readers see the old version or the new one, never neither.
+    Earlier versions stay as backups until a retention job removes them."""
+    target = os.path.join(root, f"v-{time.time_ns():020d}-{uuid.uuid4().hex}.{fmt}")
     df.write.mode("errorifexists").format(fmt).save(target)
-    spark = df.sparkSession
-    spark.createDataFrame([(version, fmt)], "version string, format string") \
-        .coalesce(1).write.mode("overwrite").json(os.path.join(root, "_CURRENT"))
     return target
 
 
 def read_published(spark: SparkSession, root: str) -> DataFrame:
-    cur = spark.read.json(os.path.join(root, "_CURRENT")).first()
-    return spark.read.format(cur["format"]).load(os.path.join(root, cur["version"]))
-
-
-def content_manifest(df: DataFrame, key: str, content: str, algo: str = "md5") -> DataFrame:
-    """Per-row content hash (md5 / sha256) and row-level xxhash64."""
+    """The latest complete version under ``root``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted((s.getPath().getName() for s in fs.listStatus(folder)), reverse=True)
+    for name in names:
+        if name.startswith("v-") and _exists(spark, os.path.join(root, name, "_SUCCESS")):
+            return spark.read.format(name.rpartition(".")[2]).load(os.path.join(root, name))
+    raise FileNotFoundError(f"no published version under {root}")
+
+
+def content_manifest(df: DataFrame, key: str, content: str, algo: str = "md5", carry: Sequence[str] = ()) -> DataFrame:
+    """Per-row content hash (md5 / sha256), row-level xxhash64 and the columns ``carry``."""
     h = F.md5(F.col(content)) if algo == "md5" else F.sha2(F.col(content), 256)
-    return df.select(key, h.alias("content_hash"), F.xxhash64(content).alias("row_hash"))
+    return df.select(key, h.alias("content_hash"), F.xxhash64(content).alias("row_hash"), *carry)
 
 
 def verify_manifest(current: DataFrame, manifest: DataFrame, key: str) -> DataFrame:

@@ -24,9 +24,8 @@ def after_watermark(candidates: DataFrame, existing: DataFrame, date: str) -> Da
     """S09 variant: rows strictly after max(date) of the existing output
     (everything when the output is empty).  The max is a one-row aggregate
     joined back, not a driver value."""
-    wm = existing.agg(F.max(date).alias("__wm")).withColumn("__one", F.lit(1))
-    j = candidates.withColumn("__one", F.lit(1)).join(wm, "__one", "left")  # one-row side
-    return j.where(F.col("__wm").isNull() | (F.col(date) > F.col("__wm"))).drop("__wm", "__one")
+    j = candidates.withColumn("__wm", existing.agg(F.max(date)).scalar())
+    return j.where(F.col("__wm").isNull() | (F.col(date) > F.col("__wm"))).drop("__wm")
 
 
 def land_increment(source: DataFrame, processed: DataFrame, key: str) -> DataFrame:

@@ -83,17 +83,14 @@ def sliding_sum(stream: DataFrame, keys: Sequence[str], value: str, ts: str = "t
     return s.groupBy(F.window("__et", size, slide).alias("window"), *keys).agg(F.sum(value).alias("value_sum"))
 
 
-def run_available_now(agg: DataFrame, sink: str, checkpoint: str, timeout_s: int = 600) -> None:
-    """Run a streaming aggregate to completion over the data available now."""
+def run_available_now(agg: DataFrame, sink: str, checkpoint: str) -> None:
+    """Run a streaming aggregate to completion over the data available now, however long it takes."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink)
 
     q = (agg.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("streaming query did not finish")
+    q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
 
@@ -108,23 +105,29 @@ def latest_versions(spark: SparkSession, sink: str, keys: Sequence[str]) -> Data
 
 def forward_fill_state(stream: DataFrame, key: str, ts: str, value: str, timeout: str = "7 days") -> DataFrame:
     """ST06: emit every event with ``value`` forward-filled from the last
-    non-null value of its key, carried across micro-batches in state."""
+    non-null value of its key at or before its time.
+
+    State is that value and its time.  All rows of a key in a micro-batch are
+    ordered together with the state's row (a key may come in several Arrow
+    batches), so a late row is filled from earlier rows only."""
     out_schema = f"{key} {stream.schema[key].dataType.simpleString()}, {ts} timestamp, {value} double, " \
                  f"{value}_filled double"
-    state_schema = "last double"
+    state_schema = "at timestamp, last double"
 
     def fn(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        for pdf in pdfs:
-            pdf = pdf.sort_values(ts)
-            vals = []
-            for v in pdf[value].tolist():
-                if v is not None and not pd.isna(v):
-                    last = float(v)
-                vals.append(last)
-            yield pd.DataFrame({key: pdf[key], ts: pdf[ts], value: pdf[value].astype("float64"),
-                                f"{value}_filled": vals})
-        state.update((last,))
+        rows = pd.concat([p[[key, ts, value]] for p in pdfs], ignore_index=True)
+        rows[value] = rows[value].astype("float64")
+        rows["__own"] = True
+        if state.exists:
+            at, last = state.get
+            rows = pd.concat([pd.DataFrame({key: rows[key].iloc[:1], ts: [pd.Timestamp(at)], value: [last], "__own": False}), rows],
+                             ignore_index=True)
+        rows = rows.sort_values(ts, kind="stable", ignore_index=True)
+        rows[f"{value}_filled"] = rows[value].ffill()
+        known = rows[rows[value].notna()]
+        if len(known):
+            state.update((known[ts].iloc[-1].to_pydatetime(), float(known[value].iloc[-1])))
+        yield rows.loc[rows["__own"].astype(bool), [key, ts, value, f"{value}_filled"]]
 
     s = stream.withColumn(ts, F.col(ts).cast("timestamp"))
     return s.groupBy(key).applyInPandasWithState(fn, out_schema, state_schema, "append",
@@ -133,10 +136,25 @@ def forward_fill_state(stream: DataFrame, key: str, ts: str, value: str, timeout
 
 def availability_join(stream: DataFrame, static: DataFrame, ts: str, available_at: str,
                       on: Sequence[str] = ()) -> DataFrame:
-    """ST07: attach static feature rows only when already released at event
-    time (``available_at <= event day``)."""
-    s = stream.withColumn("__day", F.to_date(F.col(ts)))
-    cond = F.col(available_at) <= F.col("__day")
-    for k in on:
-        cond = cond & (s[k] == static[k])
-    return s.join(static, cond, "left").drop("__day")
+    """ST07: attach to every event the latest static row of its key that is already
+    released at event time (``available_at <= event day``), or NULLs.
+
+    The versions of a key become one row (a sorted array), so the join is an
+    equi-join that never multiplies events; without keys the array is a scalar."""
+    on = list(on)
+    values = [c for c in static.columns if c not in on]
+    version = F.struct(F.col(available_at).alias("__at"), F.struct(*[F.col(c) for c in values]).alias("__row"))
+    packed = F.array_sort(F.collect_list(version)).alias("__versions")
+    known = static.where(F.col(available_at).isNotNull())
+    day = F.to_date(F.col(ts))
+    if on:
+        keyed = known.groupBy(*[F.col(k).alias(f"__{k}") for k in on]).agg(packed)
+        cond = F.lit(True)
+        for k in on:
+            cond = cond & (F.col(k) == F.col(f"__{k}"))
+        s = stream.join(keyed, cond, "left").drop(*[f"__{k}" for k in on])
+    else:
+        s = stream.withColumn("__versions", known.agg(packed).scalar())
+    released = F.filter("__versions", lambda v: v["__at"].cast("date") <= day)
+    s = s.withColumn("__row", F.try_element_at(released, F.lit(-1))["__row"])
+    return s.select(*[c for c in s.columns if not c.startswith("__")], *[F.col("__row")[c].alias(c) for c in values])
