@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import shared_table
 
-ROWS_PER_BUCKET = 50_000
+#: Rows that a bucket of a rank aims at, and the most buckets (as a power of two); they place work only.
+ROWS_PER_BUCKET = 2_000
+MOST_BITS = 16
 SEED = 20260
 
 
@@ -47,7 +49,7 @@ def stratified_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id"
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
         (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body).alias("crc")), "shard-rows")
     total = rows.count()
-    bits = max(0, math.ceil(math.log2(max(1, total) / rows_per_bucket)))
+    bits = min(MOST_BITS, max(0, math.ceil(math.log2(max(1, total) / rows_per_bucket))))
     # hash order; the top bits of the hash, read as unsigned, are its bucket
     mix = F.xxhash64(F.lit(seed), F.col("id"), F.col("crc"))
     rows = rows.withColumn("mix", mix).withColumn(
