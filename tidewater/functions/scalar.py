@@ -147,3 +147,19 @@ def weighted_index(parts: list, weights: list[float]) -> Column:
         term = col_of(p) * F.lit(float(w))
         out = term if out is None else out + term
     return out
+
+
+def difference(a, b) -> Column:
+    """``a - b`` (a real rate, a pressure index); NULL if either is."""
+    return col_of(a) - col_of(b)
+
+
+def severity(total, events) -> Column:
+    """``total / (events + 1)``."""
+    return col_of(total) / (col_of(events) + F.lit(1.0))
+
+
+def relabel(label, reason, text: str, when: str = "medium", to: str = "eod_only") -> Column:
+    """Rows labelled ``when`` whose reason contains ``text`` become ``to``."""
+    label = col_of(label)
+    return F.when((label == when) & F.coalesce(F.contains(col_of(reason), F.lit(text)), F.lit(False)), F.lit(to)).otherwise(label)

@@ -349,3 +349,20 @@ def regime_series(df: DataFrame, rate: str, out: str = "rate_regime", keys="seri
     prev = F.when(F.row_number().over(w) == 1, F.col(rate)).otherwise(F.lag(rate, 1).over(w))
     return df.withColumn("__prev", prev).withColumn(out, regime_code(rate, F.col(rate) - F.col("__prev"))) \
         .drop("__prev")
+
+
+def calendar_rolling(df: DataFrame, x: str, days: int, stats: Sequence[str] = ("sum",), keys="series_id", order="date") -> DataFrame:
+    """Statistics over the last ``days`` calendar days (a RANGE frame on the date), so gaps
+    in the series shorten the window instead of reaching further back."""
+    day = F.datediff(F.col(order).cast("date"), F.lit("1970-01-01").cast("date"))
+    w = Window.partitionBy(*_k(keys)).orderBy(day).rangeBetween(-(days - 1), 0)
+    fns = {"sum": F.sum, "mean": F.avg, "count": F.count, "min": F.min, "max": F.max}
+    return df.withColumns({f"{x}_{s}{days}d": fns[s](x).over(w) for s in stats})
+
+
+def below_trailing_mean(df: DataFrame, x: str, n: int = 30, drop: float = 1.0, out: str | None = None, min_periods: int = 1,
+                        keys="series_id", order="date") -> DataFrame:
+    """1 where ``x`` is more than ``drop`` below its trailing ``n``-row mean; missing is 0."""
+    w = series_window(_k(keys), order)
+    mean = rolling(F.avg, x, n, w, min_periods)
+    return df.withColumn(out or f"{x}_below{n}", null_safe_flag(F.col(x) < mean - F.lit(drop)))

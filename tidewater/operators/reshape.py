@@ -176,6 +176,11 @@ def release_checks(checks: Sequence[tuple[str, Column, Column]], source: DataFra
     return source.select(F.explode(F.array(*cols)).alias("c")).select("c.*")
 
 
+def mirror_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Number of rows that either side has and the other lacks, counting repeats (one row)."""
+    return a.exceptAll(b).unionAll(b.exceptAll(a)).agg(F.count(F.lit(1)).alias("differ"))
+
+
 def lookup_with_fallback(left: DataFrame, right: DataFrame, primary: dict[str, str], fallback: dict[str, str],
                          values: Sequence[str], matched_col: str = "matched_on") -> DataFrame:
     """Left join on the primary key mapping, else on the fallback mapping

@@ -83,12 +83,12 @@ def sliding_sum(stream: DataFrame, keys: Sequence[str], value: str, ts: str = "t
     return s.groupBy(F.window("__et", size, slide).alias("window"), *keys).agg(F.sum(value).alias("value_sum"))
 
 
-def run_available_now(agg: DataFrame, sink: str, checkpoint: str) -> None:
-    """Run a streaming aggregate to completion over the data available now, however long it takes."""
+def run_available_now(agg: DataFrame, sink: str, checkpoint: str, mode: str = "update") -> None:
+    """Run a streaming query to completion over the data available now, however long it takes."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink)
 
-    q = (agg.writeStream.outputMode("update").foreachBatch(write)
+    q = (agg.writeStream.outputMode(mode).foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
