@@ -10,7 +10,10 @@ import __spark_entry__ as E
 # queries that run jobs while being defined (model fits, k-NN batches, streams)
 EAGER = {"stacking", "cv_search", "permutation_importance", "feature_importance", "corr_prune", "logreg_fit_score",
          "gbt_fit_score", "pca_variance", "vif_table", "stream_daily_agg", "knn_score", "knn_neighbors",
-         "loo_attribution", "local_surrogate"}
+         "loo_attribution", "local_surrogate", "classifier_zoo", "selective_rows", "regressor_zoo", "subset_cv",
+         "stream_sliding", "stream_weekend_roll", "stream_availability", "stream_ffill"}
+# run jobs too, and are covered by tests of their own
+EAGER |= {n for n in E.queries() if n == "pipeline" or re.match(r"op\d+_", n)}
 SF = "/root/testdata/sf0.001"
 
 
