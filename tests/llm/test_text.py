@@ -131,6 +131,20 @@ def test_sums_go_through_a_tree(spark):
     assert len(decontam.total(parts.limit(0))) == 0
 
 
+def test_windows_hold_words_of_one_text_only():
+    bench = decontam.Benchmark([(1, "a b c d e f g h i j k l m n o p q r s t u v w x y z")])
+    texts = [np.arange(n, dtype=np.int32) % 26 for n in (1, 63, 64, 65, 200, 0, 31, 33)]
+    for stride in (decontam.STRIDE, decontam.WINDOW):
+        (ids, starts, first), = decontam.joined([t.tobytes() for t in texts], stride)
+        assert first == 0 and all(s % stride == 0 for s in starts)
+        got = {(w, x): n for w, x, n in zip(*[x.tolist() for x in bench.entries(ids, stride)]) if x < 26}
+        for t, s in zip(texts, starts.tolist()):
+            for w in range(0, len(t), stride):
+                own, times = np.unique(t[w:w + decontam.WINDOW], return_counts=True)
+                have = {x: n for (at, x), n in got.items() if at == (s + w) // stride}
+                assert have == dict(zip(own.tolist(), times.tolist()))
+
+
 def test_lcs():
     rng = random.Random(1)
     for _ in range(200):
@@ -221,7 +235,7 @@ def test_pipeline_is_the_plain_version(spark, reference):
 
     def leaks(text):
         w = np.array([bench.unigrams.get(x, -1) for x in decontam.words(text)], dtype=np.int64)
-        return any(decontam.verify(p, tail, w, int(s)) for _, p, tail in bench.pieces for s in decontam._starts(len(w), decontam.STRIDE)) if len(w) else False
+        return any(decontam.verify(p, tail, w, int(s)) for _, p, tail in bench.pieces for s in range(0, len(w), decontam.STRIDE)) if len(w) else False
 
     docs = {i: t for i, t in docs.items() if not leaks(t)}
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}

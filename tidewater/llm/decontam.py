@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import shared_table, text_slices
+from tidewater.llm.common import shared_table, slices, text_slices
 
 WINDOW, STRIDE = 64, 32
 #: Benchmark words in one piece; longer items are cut into pieces that are searched alone.
@@ -33,6 +33,7 @@ COVER, ANSWER = 0.6, 0.5
 COMMON = 0.02
 RAREST = 6
 SLICE_BYTES = 2 << 20
+SLICE_WORDS = 500_000
 SEED = 11
 #: Bytes of benchmark text handled at a time; a larger benchmark is searched in as many rounds.
 BENCH_BYTES = 8 << 20
@@ -75,13 +76,13 @@ class Benchmark:
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
         self.terms = n + len(self.pairs)
 
-    def entries(self, ids: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, term, times) of the windows of ``size`` words at ``starts`` over one text's words,
-        where -1 stands for a word that no item has."""
+    def entries(self, ids: np.ndarray, stride: int, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, term, times) over windows of WINDOW words that start at every ``stride``-th word; -1 stands
+        for a word that no item has.  With ``weight`` only terms of positive weight count."""
         n = len(self.unigrams)
         at = np.flatnonzero(ids >= 0)
         where, term = [at], [ids[at]]
-        if len(self.pairs) and len(ids) > 1:
+        if len(self.pairs) and len(at) > 1:
             left = at[:-1][np.diff(at) == 1]
             key = ids[left] * n + ids[left + 1]
             slot = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
@@ -89,19 +90,28 @@ class Benchmark:
             where.append(left[hit])
             term.append(slot[hit] + n)
         where, term = np.concatenate(where), np.concatenate(term)
-        # a place is in each window that starts at most ``size`` - 1 before it
-        first = np.searchsorted(starts, where - size, side="right")
-        last = np.searchsorted(starts, where, side="right")
-        count = last - first
-        base = np.repeat(first, count)
-        window = base + np.arange(len(base)) - np.repeat(np.cumsum(count) - count, count)
-        key, times = np.unique(window * self.terms + np.repeat(term, count), return_counts=True)
+        if weight is not None:
+            some = weight[term] > 0
+            where, term = where[some], term[some]
+        last = where // stride
+        keys = [(w * self.terms + term)[w >= 0] for w in (last - k for k in range(WINDOW // stride))]
+        key, times = np.unique(np.concatenate(keys), return_counts=True)
         return key // self.terms, key % self.terms, times
 
 
-def _starts(n: int, stride: int) -> np.ndarray:
-    """Window starts: every ``stride`` words, as long as the window holds words that no earlier one has."""
-    return np.arange(0, max(1, n - (WINDOW - stride)), stride)
+def joined(packed: list[bytes], stride: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Texts one after the other as (words, start of each text, number of the first text), about SLICE_WORDS at a
+    time.  Each starts at a multiple of ``stride`` and is followed by so many blanks (-1) that no window
+    holds words of two texts."""
+    for a, b in slices([len(p) // 4 for p in packed], SLICE_WORDS):
+        texts = [np.frombuffer(p, dtype=np.int32) for p in packed[a:b]]
+        size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        room = -(-(size + WINDOW - stride) // stride) * stride
+        start = np.cumsum(room) - room
+        out = np.full(int(room.sum()), -1, dtype=np.int64)
+        for s, t in zip(start.tolist(), texts):
+            out[s:s + len(t)] = t
+        yield out, start, a
 
 
 def encoded(docs: DataFrame, shared, id_col: str, text_col: str) -> DataFrame:
@@ -127,22 +137,22 @@ def total(parts: DataFrame) -> np.ndarray:
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "sum": pa.array([summed.tobytes()], pa.binary())})
 
     rows = parts.count()
-    while rows > 32:
+    while rows > 1:
         parts = shared_table(parts.groupBy((F.col("part") / 32).cast("int").alias("group"))
                              .applyInArrow(add, "part int, sum binary"), "decontam-sums")
         rows = parts.count()
-    found = [np.frombuffer(r["sum"]) for r in parts.collect()]  # at most 32 rows of a fixed size
-    return sum(found[1:], found[0].copy()) if found else np.zeros(0)
+    found = parts.first()  # a vector whose size follows the benchmark
+    return np.frombuffer(found["sum"]).copy() if found else np.zeros(0)
 
 
 def _summed(coded: DataFrame, width: int, add) -> np.ndarray:
-    """``add(vector, ids)`` over every text of a task, then over all tasks."""
+    """``add(vector, words)`` over all texts of a task in whole disjoint windows, then over all tasks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(width)
         seen = False
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                add(held, np.frombuffer(raw, dtype=np.int32).astype(np.int64))
+            for ids, _, _ in joined(batch.column(0).to_pylist(), WINDOW):
+                add(held, ids)
                 seen = True
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()),
@@ -172,7 +182,7 @@ class Basis:
         self.blocks = []
         for a in range(0, len(bench.pieces), BLOCK):
             pieces = list(range(a, min(a + BLOCK, len(bench.pieces))))
-            rows = [bench.entries(bench.pieces[k][1], np.zeros(1, np.int64), PIECE + 1)[1:] for k in pieces]
+            rows = [bench.entries(bench.pieces[k][1], WINDOW)[1:] for k in pieces]
             terms = np.unique(np.concatenate([t for t, _ in rows]))
             place = np.full(bench.terms, -1, dtype=np.int32)
             place[terms] = np.arange(len(terms))
@@ -208,7 +218,7 @@ class Basis:
 
             def add(held: np.ndarray, ids: np.ndarray) -> None:
                 basis = shared_self.value
-                entries = basis.bench.entries(ids, np.arange(0, max(1, len(ids)), WINDOW), WINDOW)
+                entries = basis.bench.entries(ids, WINDOW, basis.weight)
                 for b, space, a, z in zip(basis.blocks, sent.value, ends[:-1], ends[1:]):
                     _, rows, square, own = basis.project(b, entries, space)
                     if len(rows):
@@ -230,17 +240,17 @@ class Basis:
             b["query"] = b["matrix"] @ space
             b["length"] = np.maximum(np.linalg.norm(b["matrix"], axis=1), 1e-12)
 
-    def candidates(self, ids: np.ndarray) -> set[tuple[int, int]]:
-        """(piece, window start) with a cosine of at least COSINE."""
-        starts = _starts(len(ids), STRIDE)
-        entries = self.bench.entries(ids, starts, WINDOW)
+    def candidates(self, ids: np.ndarray) -> list[tuple[int, int]]:
+        """(window start, piece) with a cosine of at least COSINE, in order."""
+        entries = self.bench.entries(ids, STRIDE, self.weight)
         out = set()
         for b in self.blocks:
             window, rows, square, _ = self.project(b, entries, b["basis"])
-            if len(window):
-                near = rows @ b["query"].T / (np.sqrt(np.maximum(square, 1e-12))[:, None] * b["length"])
-                out |= {(b["pieces"][c], int(starts[window[r]])) for r, c in zip(*np.nonzero(near >= COSINE))}
-        return out
+            for k in range(0, len(window), 65_536):
+                part = slice(k, k + 65_536)
+                near = rows[part] @ b["query"].T / (np.sqrt(np.maximum(square[part], 1e-12))[:, None] * b["length"])
+                out |= {(int(window[k + r]) * STRIDE, b["pieces"][c]) for r, c in zip(*np.nonzero(near >= COSINE))}
+        return sorted(out)
 
 
 # ------------------------------------------------------------------ verification
@@ -309,11 +319,11 @@ def _search(docs: DataFrame, bench: Benchmark, id_col: str, text_col: str, schem
     shared = context.broadcast(bench)
     coded = shared_table(encoded(docs, shared, id_col, text_col), "decontam-words")
 
+    terms = bench.terms
+
     def count(held: np.ndarray, ids: np.ndarray) -> None:
-        b = shared.value
-        starts = np.arange(0, max(1, len(ids)), WINDOW)
-        held[:-1] += np.bincount(b.entries(ids, starts, WINDOW)[1], minlength=b.terms)
-        held[-1] += len(starts)
+        held[:-1] += np.bincount(shared.value.entries(ids, WINDOW)[1], minlength=terms)
+        held[-1] += len(ids) // WINDOW
 
     summed = _summed(coded, bench.terms + 1, count)
     basis = Basis(bench, term_weights(bench, summed[:-1], summed[-1]))
@@ -327,13 +337,15 @@ def _search(docs: DataFrame, bench: Benchmark, id_col: str, text_col: str, schem
         b = ready.value
         for batch in batches:
             out = []
-            for k, raw in enumerate(batch.column(1).to_pylist()):
-                ids = np.frombuffer(raw, dtype=np.int32).astype(np.int64)
-                for piece, start in sorted(b.candidates(ids)):
+            packed = batch.column(1).to_pylist()
+            for ids, starts, first in joined(packed, STRIDE):
+                for at, piece in b.candidates(ids):
+                    k = int(np.searchsorted(starts, at, side="right")) - 1
                     item, own, tail = b.bench.pieces[piece]
-                    got = verify(own, tail, ids, start)
+                    text = ids[starts[k]:starts[k] + len(packed[first + k]) // 4]
+                    got = verify(own, tail, text, at - int(starts[k]))
                     if got:
-                        out.append((k, b.bench.items[item][0], *got))
+                        out.append((first + k, b.bench.items[item][0], *got))
             if out:
                 k, item, cover, answer, start = zip(*out)
                 yield pa.RecordBatch.from_arrays(
