@@ -296,11 +296,11 @@ def q_stream_availability(spark, sf):
 
 
 @register("stream_ffill", """
-SELECT user_id, ts, last_value(CASE WHEN value > 5 THEN value END IGNORE NULLS) OVER (
+SELECT user_id, CAST(epoch_us(ts) AS BIGINT) AS ts_us, last_value(CASE WHEN value > 5 THEN value END IGNORE NULLS) OVER (
          PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS value_filled FROM events""", dbl="value_filled")
 def q_stream_ffill(spark, sf):
     """ST06: last known value per user carried in state, from the stream."""
     s = _events(spark, sf).withColumn("value", F.when(F.col("value") > 5, F.col("value")))
     sink, mark = ingest.scratch_paths(spark, "ffill")
     ingest.run_available_now(ingest.forward_fill_state(s, "user_id", "ts", "value"), sink, mark, mode="append")
-    return finish(spark.read.parquet(sink).select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "value_filled"))
+    return finish(spark.read.parquet(sink).select("user_id", F.unix_micros("ts").alias("ts_us"), "value_filled"))
