@@ -29,9 +29,10 @@ PIECE = 48
 BLOCK, RANK = 48, 64
 COSINE = 0.3
 COVER, ANSWER = 0.6, 0.5
-#: Terms that over this share of the passages have carry no weight, but for a piece's rarest.
-COMMON = 0.02
-RAREST = 6
+#: Terms that more than this share of the passages have (and more than FEW of them) carry no weight, but
+#: for a piece's rarest.
+COMMON, FEW = 0.002, 200
+RAREST = 8
 SLICE_BYTES = 2 << 20
 SLICE_WORDS = 500_000
 SEED = 11
@@ -165,7 +166,7 @@ def _summed(coded: DataFrame, width: int, add) -> np.ndarray:
 def term_weights(bench: Benchmark, frequency: np.ndarray, passages: float) -> np.ndarray:
     """Inverse passage frequency; common terms get no weight, unless they are among the RAREST of a piece."""
     idf = np.log((1 + passages) / (1 + frequency)) + 1
-    keep = frequency <= COMMON * max(1.0, passages)
+    keep = frequency <= max(FEW, COMMON * passages)
     n = len(bench.unigrams)
     for _, ids, _ in bench.pieces:
         pair = np.searchsorted(bench.pairs, ids[:-1] * n + ids[1:]) + n if len(ids) > 1 else np.empty(0, np.int64)
@@ -199,7 +200,7 @@ class Basis:
         own = (place >= 0) & (value > 0)
         if not own.any():
             return np.empty(0, np.int64), np.empty((0, onto.shape[1])), np.empty(0), ()
-        w, p, v = window[own], place[own], value[own]
+        w, p, v = window[own], place[own], value[own].astype(onto.dtype)
         first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
         rows = np.add.reduceat(onto[p] * v[:, None], first, axis=0)
         square = np.bincount(window, weights=value * value)[w[first]]
@@ -236,20 +237,22 @@ class Basis:
                 boost = max(1.0, summed[z - 1] / max(1e-9, (m * m).sum()))
                 spaces[k] = np.linalg.qr(summed[a:z - 1].reshape(spaces[k].shape) + boost * m.T @ (m @ spaces[k]))[0]
         for b, space in zip(self.blocks, spaces):
-            b["basis"] = space
-            b["query"] = b["matrix"] @ space
-            b["length"] = np.maximum(np.linalg.norm(b["matrix"], axis=1), 1e-12)
+            self.aim(b, space)
+
+    def aim(self, block: dict, space: np.ndarray) -> None:
+        """Keep the products of the block's terms, projected into the latent space, with its pieces there:
+        a window's latent products with all pieces are then sums over its terms."""
+        length = np.maximum(np.linalg.norm(block["matrix"], axis=1), 1e-12)
+        block["near"] = (space @ (block["matrix"] @ space).T / length).astype(np.float32)
 
     def candidates(self, ids: np.ndarray) -> list[tuple[int, int]]:
         """(window start, piece) with a cosine of at least COSINE, in order."""
         entries = self.bench.entries(ids, STRIDE, self.weight)
         out = set()
         for b in self.blocks:
-            window, rows, square, _ = self.project(b, entries, b["basis"])
-            for k in range(0, len(window), 65_536):
-                part = slice(k, k + 65_536)
-                near = rows[part] @ b["query"].T / (np.sqrt(np.maximum(square[part], 1e-12))[:, None] * b["length"])
-                out |= {(int(window[k + r]) * STRIDE, b["pieces"][c]) for r, c in zip(*np.nonzero(near >= COSINE))}
+            window, products, square, _ = self.project(b, entries, b["near"])
+            near = products >= COSINE * np.sqrt(square)[:, None]
+            out |= {(int(window[r]) * STRIDE, b["pieces"][c]) for r, c in zip(*np.nonzero(near))}
         return sorted(out)
 
 
