@@ -169,6 +169,79 @@ def test_licence_rules(make, empty, odd):
     assert licenses.license_matches(empty).count() == 0 and licenses.license_matches(odd).count() == 0
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """The MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from this
+   software without specific prior written permission."""
+
+
+def test_published_layouts_of_licences(make):
+    texts = [APACHE, MIT, GPL, BSD]
+    forms = [lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: " ".join(t.split("\n\n\n")) + "\ncode = 1",
+             *[lambda t, c=c: "\n".join(f"{c} {x}".rstrip() for x in t.split("\n")) for c in ("#", "//", " *", ";;")],
+             lambda t: "/*\n" + "\n".join(f" * {x}" for x in t.split("\n")) + "\n */\nint x;"]
+    docs = make([f(t) for f in forms for t in texts])
+    got = {(r.doc_id, r.rule) for r in licenses.license_matches(docs).collect()}
+    rules = ["apache-header", "mit-titled", "gpl3-header", "bsd2-text", "bsd3-text"]
+    assert got == {(4 * k + min(i, 3), r) for k in range(len(forms)) for i, r in enumerate(rules)}
+
+
+def test_a_known_sentence_is_whole_and_between_cuts():
+    known = licenses.known_sentences
+    assert known("a. Licensed under the Apache License, Version 2.0\n# (the License); you may not use this file\n# except in compliance\n# with the License. b") == [(1, 2)]
+    assert known("Licensed under the Apache License,\n# Version 2.0\n# and more") == [(0, 1)]
+    assert known("See\n# The MIT License. Licensed under the MIT License") == [(1, 12), (2, 11)]
+    for text in ("not Licensed under the MIT License.", "Licensed under the MIT License or so.", "Licensed under the MIT Licenses.", "unlicensed under the mit license", "\n\n"):
+        assert known(text) == []
+
+
 # ---------------------------------------------------------------- sharding
 def check_shards(rows, shards, tolerance):
     sizes = Counter(r.shard for r in rows)

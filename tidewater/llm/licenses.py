@@ -1,14 +1,23 @@
 """Licence recognition by sentence rules.
 
-A text is cut into sentences, each normalised sentence is looked up in a table of known licence
-sentences, and a document's sequence of known identifiers is matched against ordered rules.
+The word sequence of a text is searched for known licence sentences, whatever line breaks, comment
+leaders and punctuation stand between the words, and a document's sequence of known identifiers is
+matched against ordered rules.  A known sentence starts and ends where the text has a cut: a sentence
+end or a line end.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.common import text_slices
+
 # Wording of public licences and notices, by identifier.
 SENTENCES = {
     1: "Licensed under the Apache License, Version 2.0",
@@ -67,12 +76,73 @@ WRAP = r"([^.!?:;\s])[ \t]*\r?\n[ \t]*([a-z(])"
 CUT = r"[.!?]+\s+|\s*\n\s*"
 #: Up to this many other known sentences may stand between two of a rule.
 GAP = 2
+SLICE_BYTES = 4 << 20
 
 
 def _normal(sentence: str) -> str:
     return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in sentence.lower()).split())
 
 
+def _tables() -> tuple[tuple[str, ...], re.Pattern, dict[str, list[tuple[int, re.Pattern]]]]:
+    """A word of each known sentence, its longest; the first two words of all; and by these the sentences, longest first."""
+    gap = "[^a-z0-9]+"
+    words = {sid: _normal(s).split() for sid, s in SENTENCES.items()}
+    long = tuple(sorted({max(w, key=len) for w in words.values()}))
+    heads: dict[str, list[tuple[int, re.Pattern]]] = {}
+    for sid, w in sorted(words.items(), key=lambda x: (-len(x[1]), x[0])):
+        heads.setdefault(" ".join(w[:2]), []).append((sid, re.compile(gap.join(w) + "(?![a-z0-9])")))
+    return long, re.compile("|".join(h.replace(" ", gap) for h in sorted(heads))), heads
+
+
+_LONG, _HEAD, _BY_HEAD = _tables()
+_WRAP, _CUT, _WORD = re.compile(WRAP, re.ASCII), re.compile(CUT, re.ASCII), re.compile("[a-z0-9]")
+
+
+def known_sentences(text: str) -> list[tuple[int, int]]:
+    """(at, sid) of the known sentences of a text in order, the longest at a place; ``at`` counts the cuts before it."""
+    low = text.lower()
+    if not any(w in low for w in _LONG):
+        return []
+    low = _WRAP.sub(r"\1 \2", text).lower()
+    cuts = [m.span() for m in _CUT.finditer(low)]
+    starts, ends = [a for a, _ in cuts], [b for _, b in cuts]
+    out, here = [], 0
+    while (head := _HEAD.search(low, here)) is not None:
+        a = head.start()
+        here = a + 1
+        at = bisect_right(ends, a)
+        if _WORD.search(low, ends[at - 1] if at else 0, a):
+            continue
+        for sid, whole in _BY_HEAD[_normal(head.group())]:
+            found = whole.match(low, a)
+            if found is None:
+                continue
+            b = found.end()
+            k = bisect_left(starts, b)
+            if not _WORD.search(low, b, starts[k] if k < len(starts) else len(low)):
+                out.append((at, sid))
+                here = b
+                break
+    return out
+
+
+def _hits(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, at, sid) of every known sentence."""
+    kept = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
+    kind = kept.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, 1, SLICE_BYTES):
+                out = [(k, at, sid) for k, t in enumerate(part.column(1).to_pylist()) for at, sid in known_sentences(t)]
+                if out:
+                    k, at, sid = zip(*out)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).take(pa.array(k)), pa.array(at, pa.int32()), pa.array(sid, pa.int32())], ["id", "at", "sid"])
+
+    return kept.mapInArrow(run, f"id {kind}, at int, sid int")
+
+
 def rule_patterns() -> list[tuple[str, str, int, str]]:
     """(rule, licence, sentences, pattern) where the pattern matches a sequence written as |1|2|3|."""
     step = rf"([0-9]+\|){{0,{GAP}}}"
@@ -82,17 +152,12 @@ def rule_patterns() -> list[tuple[str, str, int, str]]:
 def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and licence found: id, ``license``, ``rule`` (of that licence's matching rules the
     one with most sentences, then by name), ``sentences`` (in the rule), ``first`` (number of the
-    document's first known sentence, from 0) and ``sequence`` (the known sentences in order).
+    document's first known sentence among its cuts, from 0) and ``sequence`` (the known sentences in order).
 
     Null and empty texts match nothing.  Rows that repeat an id are read as one document of all their
     sentences.  Rows without an id are left out, as nothing names them.  An empty table gives an empty
     result; other columns are ignored."""
-    spark = docs.sparkSession
-    known = spark.createDataFrame([(k, _normal(s)) for k, s in SENTENCES.items()], "sid int, sentence string")
-    parts = F.split(F.regexp_replace(F.col(text_col), WRAP, "$1 $2"), CUT)
-    cut = (docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(parts).alias("at", "raw"))
-           .select("id", "at", F.trim(F.regexp_replace(F.lower("raw"), "[^a-z0-9]+", " ")).alias("sentence")))
-    hits = cut.join(F.broadcast(known), "sentence").select("id", "at", "sid").distinct()  # a fixed table
+    hits = _hits(docs, id_col, text_col).distinct()
     line = F.concat_ws("|", F.transform(F.sort_array(F.collect_list(F.struct("at", "sid"))), lambda x: x["sid"].cast("string")))
     seen = hits.groupBy("id").agg(F.concat(F.lit("|"), line, F.lit("|")).alias("sequence"), F.min("at").alias("first"))
     rules = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(x).alias("license"), F.lit(n).alias("sentences"), F.lit(p).alias("p"))
@@ -106,7 +171,7 @@ def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def oracle() -> str:
-    """The same result in DuckDB SQL over the table documents."""
+    """The same result in DuckDB SQL over the table documents, for sentences that no line break cuts: it looks up whole cuts."""
     def text(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({k}, {text(_normal(s))})" for k, s in SENTENCES.items())
