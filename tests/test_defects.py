@@ -118,6 +118,32 @@ def test_knn_of_many_queries_is_exact_with_text_ids(spark):
     assert {r.query_id for r in att} == {"q0", "q1", "q2"} and len(att) == 12
 
 
+def test_attribution_and_surrogate_take_every_twentieth_vector(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    x, label = rng.normal(size=(610, 4)), rng.integers(0, 2, 610)
+    rows = [(i, v.tolist(), int(y)) for i, (v, y) in enumerate(zip(x, label))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    at = np.arange(0, 610, 20)
+    z = x.astype(np.float32).astype(float)
+    mu, sd = z.mean(axis=0), z.std(axis=0)
+
+    def score(v, own):
+        d = np.sqrt((((v - mu) / sd - (z - mu) / sd) ** 2).mean(axis=1))
+        d[own] = np.inf  # a query's own row is not its neighbour
+        top = np.argsort(d, kind="stable")[:5]
+        w = 1 / np.maximum(d[top], 0.05)
+        return (w * label[top]).sum() / w.sum()
+
+    got = E.queries()["loo_attribution"](spark, str(tmp_path)).collect()
+    assert {r.query_id for r in got} == set(at.tolist()) and len(got) == 4 * len(at)
+    for r in got:
+        masked = z[r.query_id].copy()
+        masked[r.dim] = mu[r.dim]
+        assert abs(r.base_score - score(z[r.query_id], r.query_id)) < 1e-5 and abs(r.masked_score - score(masked, r.query_id)) < 1e-5
+    fits = E.queries()["local_surrogate"](spark, str(tmp_path)).collect()
+    assert {r.query_id for r in fits} == set(at.tolist()) and {r.n for r in fits} == {120}
+
+
 def test_feature_scores_by_hand(spark):
     rows = [("a", 0.5, -0.04, 0.02, 0.4, 1.0, 0.2), ("b", -1.0, 0.8, 0.04, 0.2, 0.5, 0.4), ("c", 0.25, 0.4, 0.005, 0.1, 0.25, 0.1),
             ("d", 0.0, 0.0, 0.0, 0.0, 0.0, None)]

@@ -34,11 +34,13 @@ def _blocks(df: DataFrame, id_col: str, fields: list, rows: int, name: str) -> t
 
 
 def knn_topk(refs: DataFrame, queries: DataFrame, k: int, id_col: str, vec: str, outcome: str,
-             query_id: str = "query_id", scale: bool = True, query_rows: int = 1024, ref_rows: int = 8192) -> DataFrame:
+             query_id: str = "query_id", scale: bool = True, query_rows: int = 1024, ref_rows: int = 8192,
+             self_id: str | None = None) -> DataFrame:
     """Exact top-k neighbours per query by standardised RMS distance.
 
     Returns (query_id, ref id, distance, outcome, rank).  Ties break on the
-    reference id.  Both sides stay distributed: they are packed into blocks,
+    reference id.  ``self_id`` names the queries' column with the id of the reference
+    that is the query's own row and no neighbour of it.  Both sides stay distributed: they are packed into blocks,
     every reference block meets every query block in an equi-join on (query
     block, salt), where query blocks are copied to enough salts to occupy the
     session's shuffle partitions, and each meeting keeps its local top-k.
@@ -47,14 +49,16 @@ def knn_topk(refs: DataFrame, queries: DataFrame, k: int, id_col: str, vec: str,
     dims = dimension_stats(refs, vec).orderBy("dim").collect()  # one row per dimension (bounded by width)
     mean = np.array([r["mean"] for r in dims]) if scale else None
     std = np.array([r["std"] for r in dims]) if scale else None
-    q, nq = _blocks(queries, query_id, [F.col(query_id).alias("i"), F.col(vec).cast("array<double>").alias("v")], query_rows, "qb")
+    own = F.lit(None).cast(refs.schema[id_col].dataType) if self_id is None else F.col(self_id)
+    q, nq = _blocks(queries, query_id, [F.col(query_id).alias("i"), F.col(vec).cast("array<double>").alias("v"), own.alias("s")],
+                    query_rows, "qb")
     r, nr = _blocks(refs, id_col, [F.col(id_col).alias("i"), F.col(vec).cast("array<double>").alias("v"),
                                    F.col(outcome).alias("y")], ref_rows, "rb")
     salts = min(nr, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // nq))
     q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     r = r.withColumn("salt", F.pmod("rb", F.lit(salts)).cast("int")).withColumn(
         "qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))))
-    kk = int(k)
+    kk = int(k) + (self_id is not None)
 
     def local_topk(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -70,8 +74,11 @@ def knn_topk(refs: DataFrame, queries: DataFrame, k: int, id_col: str, vec: str,
                 for s0 in range(0, len(a), 16):  # bounds the (queries x rows x dims) buffer
                     d = np.sqrt(((a[s0:s0 + 16, None, :] - x[None, :, :]) ** 2).mean(axis=2))
                     top = np.argsort(d, axis=1, kind="stable")[:, :take]
-                    yield pd.DataFrame({"__qid": np.repeat([m["i"] for m in qs[s0:s0 + 16]], take), "__rid": ids[top].ravel(),
+                    out = pd.DataFrame({"__qid": np.repeat([m["i"] for m in qs[s0:s0 + 16]], take), "__rid": ids[top].ravel(),
                                         "distance": np.take_along_axis(d, top, axis=1).ravel(), "__y": y[top].ravel()})
+                    if self_id is not None:
+                        out = out[out["__rid"].to_numpy() != np.repeat([m["s"] for m in qs[s0:s0 + 16]], take)]
+                    yield out
 
     schema = f"__qid {queries.schema[query_id].dataType.simpleString()}, " \
              f"__rid {refs.schema[id_col].dataType.simpleString()}, distance double, " \
@@ -84,11 +91,11 @@ def knn_topk(refs: DataFrame, queries: DataFrame, k: int, id_col: str, vec: str,
 
 
 def knn_score(refs: DataFrame, queries: DataFrame, k: int, id_col: str, vec: str, outcome: str,
-              query_id: str = "query_id", min_dist: float = 0.05) -> DataFrame:
+              query_id: str = "query_id", min_dist: float = 0.05, self_id: str | None = None) -> DataFrame:
     """Weighted mean outcome of the k nearest references; weight
     1 / max(d, min_dist); k clamped to 1..15."""
     k = max(1, min(15, int(k)))
-    top = knn_topk(refs, queries, k, id_col, vec, outcome, query_id)
+    top = knn_topk(refs, queries, k, id_col, vec, outcome, query_id, self_id=self_id)
     wgt = F.lit(1.0) / F.greatest(F.col("distance"), F.lit(min_dist))
     return top.groupBy(query_id).agg(
         (F.sum(wgt * F.col(outcome).cast("double")) / F.sum(wgt)).alias("score"),
@@ -96,7 +103,7 @@ def knn_score(refs: DataFrame, queries: DataFrame, k: int, id_col: str, vec: str
 
 
 def loo_attribution(refs: DataFrame, queries: DataFrame, k: int, id_col: str, vec: str, outcome: str,
-                    query_id: str = "query_id", top: int = 10, min_dist: float = 0.05) -> DataFrame:
+                    query_id: str = "query_id", top: int = 10, min_dist: float = 0.05, self_id: str | None = None) -> DataFrame:
     """Leave-one-feature-out attribution.
 
     Each dimension j of a query is replaced by the reference mean, the
@@ -108,12 +115,13 @@ def loo_attribution(refs: DataFrame, queries: DataFrame, k: int, id_col: str, ve
     means = [r["mean"] for r in dimension_stats(refs, vec).orderBy("dim").collect()]  # bounded by width
     width = len(means)
     mean_arr = F.array(*[F.lit(float(m)) for m in means])
-    q = queries.select(F.col(query_id).alias("__q"), F.col(vec).cast("array<double>").alias("__v"))
+    own = F.lit(None) if self_id is None else F.col(self_id)
+    q = queries.select(F.col(query_id).alias("__q"), F.col(vec).cast("array<double>").alias("__v"), own.alias("__self"))
     # dimension -1 is the query itself; the pair (query, dimension) names a masked query of any id type
-    masked = q.select("__q", "__v", F.explode(F.sequence(F.lit(-1), F.lit(width - 1))).alias("__d")).select(
-        F.concat_ws(":", F.col("__d").cast("string"), F.col("__q").cast("string")).alias("__mid"), "__q", F.col("__d").alias("dim"),
+    masked = q.select("__q", "__v", "__self", F.explode(F.sequence(F.lit(-1), F.lit(width - 1))).alias("__d")).select(
+        F.concat_ws(":", F.col("__d").cast("string"), F.col("__q").cast("string")).alias("__mid"), "__q", "__self", F.col("__d").alias("dim"),
         F.transform("__v", lambda x, i: F.when(i == F.col("__d"), mean_arr[i]).otherwise(x)).alias(vec))
-    sc = knn_score(refs, masked, k, id_col, vec, outcome, "__mid", min_dist)
+    sc = knn_score(refs, masked, k, id_col, vec, outcome, "__mid", min_dist, None if self_id is None else "__self")
     sc = masked.select("__mid", F.col("__q").alias(query_id), "dim").join(sc.select("__mid", "score"), "__mid")
     b = sc.where(F.col("dim") == -1).select(query_id, F.col("score").alias("base_score"))
     m = sc.where(F.col("dim") >= 0).select(query_id, "dim", "score").join(b, query_id)
@@ -125,7 +133,7 @@ def loo_attribution(refs: DataFrame, queries: DataFrame, k: int, id_col: str, ve
 
 def local_surrogate(refs: DataFrame, queries: DataFrame, id_col: str, vec: str, outcome: str,
                     query_id: str = "query_id", bandwidth: float = 0.75, ridge: float = 0.05,
-                    min_rows: int = 120, rows_per_dim: int = 5) -> DataFrame:
+                    min_rows: int = 120, rows_per_dim: int = 5, self_id: str | None = None) -> DataFrame:
     """Local weighted linear surrogate around each query.
 
     The nearest max(min_rows, rows_per_dim * width) references (exact k-NN)
@@ -139,7 +147,7 @@ def local_surrogate(refs: DataFrame, queries: DataFrame, id_col: str, vec: str,
     sd = np.array([r["std"] for r in stats])
     width = len(stats)
     k = max(int(min_rows), int(rows_per_dim) * width)
-    top = knn_topk(refs, queries, k, id_col, vec, outcome, query_id)
+    top = knn_topk(refs, queries, k, id_col, vec, outcome, query_id, self_id=self_id)
     rows = top.join(refs.select(F.col(id_col), F.col(vec).alias("__rv")), id_col)
     qtype = queries.schema[query_id].dataType.simpleString()
     schema = f"{query_id} {qtype}, dim int, coef double, intercept double, r2 double, n long"

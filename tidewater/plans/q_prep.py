@@ -93,6 +93,13 @@ def _knn_inputs(spark, sf):
     return refs, qs
 
 
+def _every_twentieth(spark, sf):
+    """All vectors as references, and those with vec_id divisible by 20 as queries; a query's own row is not its neighbour."""
+    refs = read_table(spark, sf, "embeddings").withColumn("outcome", (F.col("label") >= 1).cast("int"))
+    qs = refs.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("own_id"), "embedding")
+    return refs, qs
+
+
 @register("knn_score", with_(KNN_SQL) + """
 SELECT query_id, sum(w * y) / sum(w) AS score, count(*) AS k, avg(distance) AS mean_distance FROM top GROUP BY 1""",
           dbl="score mean_distance")
@@ -113,15 +120,15 @@ def q_knn_neighbors(spark, sf):
 @register("loo_attribution")
 def q_loo_attribution(spark, sf):
     """Rows-only here; tests/ compares it with a NumPy brute force."""
-    refs, qs = _knn_inputs(spark, sf)
-    return finish(nb.loo_attribution(refs, qs, 5, "vec_id", "embedding", "outcome"))
+    refs, qs = _every_twentieth(spark, sf)
+    return finish(nb.loo_attribution(refs, qs, 5, "vec_id", "embedding", "outcome", self_id="own_id"))
 
 
 @register("local_surrogate")
 def q_local_surrogate(spark, sf):
     """Kernel-weighted ridge surrogate around each query vector; rows-only."""
-    refs, qs = _knn_inputs(spark, sf)
-    return finish(nb.local_surrogate(refs, qs, "vec_id", "embedding", "outcome"))
+    refs, qs = _every_twentieth(spark, sf)
+    return finish(nb.local_surrogate(refs, qs, "vec_id", "embedding", "outcome", self_id="own_id"))
 
 
 # Scaler per feature (column-group preprocessor), others standard.
