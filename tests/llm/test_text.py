@@ -105,6 +105,30 @@ def test_copies_and_edited_copies_are_found_and_no_others(planted):
     assert kept.columns == docs.columns and kept.count() == docs.count() - len({d for d, _ in got})
 
 
+def test_edited_copies_of_an_item_in_a_third_of_the_passages_are_found(spark, make):
+    rng = random.Random(12)
+    pool = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(3, 8))) for _ in range(3000)]
+    items = [item(rng, 24, pool) for _ in range(40)]
+    rare = [x for t in items[1:] for x in decontam.words(t)]
+    noise = lambda n, of=pool: " ".join(rng.choice(of) for _ in range(n))
+    texts = []
+    for k in range(1200):
+        words = items[0].split()
+        for p in rng.sample(range(len(words)), 9 if k < 60 else 0):  # three words in ten replaced
+            words[p] = rng.choice(pool)
+        # the rest of the window is other items' words
+        texts.append(f"{noise(30, rare)} {' '.join(words)} {noise(4, rare)}" if k < 400 else noise(64))
+    bench = decontam.Benchmark(list(enumerate(items)))
+
+    def found(text):
+        w = np.array([bench.unigrams.get(x, -1) for x in decontam.words(text)], dtype=np.int64)
+        return {k for k, p, tail in bench.pieces for s in range(0, len(w) + decontam.WINDOW, decontam.STRIDE) if decontam.verify(p, tail, w, s)}
+
+    want = {(i, k) for i, t in enumerate(texts) for k in found(t)}
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(make(texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert sum(i < 60 for i, _ in want) >= 50 and got == want
+
+
 def test_decontamination_query_finds_every_verbatim_item(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").collect()

@@ -3,9 +3,10 @@
 Documents become sequences of benchmark term numbers.  Passages (windows of words) are TF-IDF vectors over
 the benchmark's words and word pairs; a randomised singular value decomposition of the passage matrix,
 computed by sums over all tasks, gives a latent basis for each block of benchmark pieces.  Windows
-whose latent vector has a large enough cosine with a piece are candidates; a candidate counts when the longest
-common subsequence of words covers enough of the piece, and enough of its answer (its last
-sentence), so edits and paraphrases are found and shared vocabulary alone is not.
+whose latent vector has a large enough cosine with a piece are candidates, and so are, however common a
+piece's terms are, all windows whose surroundings hold as many of its words as the check asks for.  A
+candidate counts when the longest common subsequence of words covers enough of the piece, and enough of its
+answer (its last sentence), so edits and paraphrases are found and shared vocabulary alone is not.
 """
 
 from __future__ import annotations
@@ -29,12 +30,13 @@ PIECE = 48
 BLOCK, RANK = 48, 64
 COSINE = 0.3
 COVER, ANSWER = 0.6, 0.5
-#: Terms that more than this share of the passages have (and more than FEW of them) carry no weight, but
-#: for a piece's rarest.
-COMMON, FEW = 0.002, 200
+#: Terms that more than this share of the passages have carry no weight, but for a piece's rarest.
+COMMON = 0.002
 RAREST = 8
 SLICE_BYTES = 2 << 20
 SLICE_WORDS = 500_000
+#: Strides of words whose pieces are looked up at a time.
+HOLD_ROWS = 512
 SEED = 11
 #: Bytes of benchmark text handled at a time; a larger benchmark is searched in as many rounds.
 BENCH_BYTES = 8 << 20
@@ -166,7 +168,7 @@ def _summed(coded: DataFrame, width: int, add) -> np.ndarray:
 def term_weights(bench: Benchmark, frequency: np.ndarray, passages: float) -> np.ndarray:
     """Inverse passage frequency; common terms get no weight, unless they are among the RAREST of a piece."""
     idf = np.log((1 + passages) / (1 + frequency)) + 1
-    keep = frequency <= max(FEW, COMMON * passages)
+    keep = frequency <= COMMON * passages
     n = len(bench.unigrams)
     for _, ids, _ in bench.pieces:
         pair = np.searchsorted(bench.pairs, ids[:-1] * n + ids[1:]) + n if len(ids) > 1 else np.empty(0, np.int64)
@@ -190,7 +192,16 @@ class Basis:
             matrix = np.zeros((len(pieces), len(terms)))
             for r, (t, times) in enumerate(rows):
                 matrix[r, place[t]] = times * weight[t]
-            self.blocks.append({"pieces": pieces, "place": place, "matrix": matrix, "terms": terms})
+            # which words of each piece a word is, as bits; words that no piece of the block has share the last row
+            own = np.searchsorted(terms, len(bench.unigrams))
+            holds = np.zeros((own + 1, len(pieces)), dtype=np.uint64)
+            for c, k in enumerate(pieces):
+                words_ = bench.pieces[k][1]
+                np.bitwise_or.at(holds[:, c], place[words_], np.uint64(1) << np.arange(len(words_), dtype=np.uint64))
+            row = np.append(place[:len(bench.unigrams)], -1)
+            self.blocks.append({"pieces": pieces, "place": place, "matrix": matrix, "terms": terms, "holds": holds,
+                                "row": np.where(row < 0, own, row),
+                                "need": np.array([needed(len(bench.pieces[k][1])) for k in pieces])})
 
     def project(self, block: dict, entries: tuple, onto: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
         """(windows, their rows in ``onto``'s space, squared length of the whole vector, block entries)."""
@@ -245,11 +256,28 @@ class Basis:
         length = np.maximum(np.linalg.norm(block["matrix"], axis=1), 1e-12)
         block["near"] = (space @ (block["matrix"] @ space).T / length).astype(np.float32)
 
+    def holding(self, block: dict, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, piece of the block) where the stretch that ``verify`` reads around the window has as many
+        words of the piece as it needs, repeated ones as often as the piece has them."""
+        row = block["row"][np.append(ids, np.full(-len(ids) % STRIDE, -1))].reshape(-1, STRIDE)
+        before, after = WINDOW // 2 // STRIDE, (WINDOW + WINDOW // 2) // STRIDE
+        has = np.zeros((before + len(row) + after - 1, len(block["pieces"])), dtype=np.uint64)
+        for a in range(0, len(row), HOLD_ROWS):
+            part = has[before + a:before + min(a + HOLD_ROWS, len(row))]
+            one = np.empty_like(part)
+            for column in np.ascontiguousarray(row[a:a + HOLD_ROWS].T):
+                part |= np.take(block["holds"], column, axis=0, out=one, mode="clip")
+        near = has[:len(row)].copy()
+        for k in range(1, before + after):
+            near |= has[k:k + len(row)]
+        return np.nonzero(np.bitwise_count(near) >= block["need"])
+
     def candidates(self, ids: np.ndarray) -> list[tuple[int, int]]:
-        """(window start, piece) with a cosine of at least COSINE, in order."""
+        """(window start, piece) with a cosine of at least COSINE or enough of the piece's words, in order."""
         entries = self.bench.entries(ids, STRIDE, self.weight)
         out = set()
         for b in self.blocks:
+            out |= {(int(w) * STRIDE, b["pieces"][c]) for w, c in zip(*self.holding(b, ids))}
             window, products, square, _ = self.project(b, entries, b["near"])
             near = products >= COSINE * np.sqrt(square)[:, None]
             out |= {(int(window[r]) * STRIDE, b["pieces"][c]) for r, c in zip(*np.nonzero(near))}
@@ -257,6 +285,11 @@ class Basis:
 
 
 # ------------------------------------------------------------------ verification
+def needed(size: int) -> float:
+    """Words of a piece of ``size`` words that have to be found in order."""
+    return max(COVER * size, min(8, size))
+
+
 def lcs(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence, bit-parallel over ``a``."""
     where: dict[int, int] = {}
@@ -276,10 +309,10 @@ def verify(piece: np.ndarray, tail: int, ids: np.ndarray, start: int) -> tuple[f
     low, high = max(0, start - WINDOW // 2), min(len(ids), start + WINDOW + WINDOW // 2)
     near = ids[low:high]
     size = min(len(near), len(piece) * 3 // 2 + 4)
-    hits = np.concatenate([[0], np.cumsum(np.isin(near, piece))])
+    hits = np.concatenate([[0], np.cumsum((near[:, None] == piece).any(axis=1))])
     at = int((hits[size:] - hits[:len(hits) - size]).argmax())
     region = near[at:at + size]
-    need = max(COVER * len(piece), min(8, len(piece)))
+    need = needed(len(piece))
     if hits[at + size] - hits[at] < need:
         return None
     found = lcs(piece, region)
