@@ -249,7 +249,7 @@ def q_release_mirror(spark, sf):
 
 
 def _events(spark, sf):
-    return ingest.file_stream(spark, sf, read_table(spark, sf, "events").schema, glob="events.parquet")
+    return ingest.table_stream(spark, sf, "events")
 
 
 def _drained(spark, stream, name, keys):

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewater.plans.registry import finish, register
-from tidewater.session import read_table
 from tidewater.streaming import ingest
 
 
@@ -16,8 +15,7 @@ def q_stream_daily_agg(spark, sf):
     """ST01-ST03: events landed with AvailableNow, de-duplicated within the
     watermark, aggregated per day and type; the update-mode sink is read back
     keeping the last version per key."""
-    schema = read_table(spark, sf, "events").schema
-    stream = ingest.file_stream(spark, sf, schema, glob="events.parquet")
+    stream = ingest.table_stream(spark, sf, "events")
     agg = ingest.daily_aggregate(stream, ["event_type"], "value", dedup_on=["event_id"])
     sink, ck = ingest.scratch_paths(spark, "daily_events")
     ingest.run_available_now(agg, sink, ck)

@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewater.operators.calendar import roll_to_trading_day
-from tidewater.session import checkpoint_dir
+from tidewater.session import checkpoint_dir, read_table
 
 __all__ = [
-    "file_stream", "with_event_day", "daily_aggregate", "sliding_sum", "run_available_now", "latest_versions",
+    "file_stream", "table_stream", "with_event_day", "daily_aggregate", "sliding_sum", "run_available_now", "latest_versions",
     "forward_fill_state", "availability_join", "scratch_paths",
 ]
 
@@ -56,6 +56,17 @@ def file_stream(spark: SparkSession, folder: str, schema, glob: str | None = Non
     return r.load(folder)
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """ST01: the files of a table as a stream, whether ``name``.parquet is one file or a folder of part files.
+
+    A file source lists folders only, so a single file is found by its name in ``sf_dir``."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    schema = read_table(spark, sf_dir, name).schema
+    return file_stream(spark, path, schema) if folder else file_stream(spark, sf_dir, schema, glob=f"{name}.parquet")
+
+
 def with_event_day(stream: DataFrame, ts: str = "ts", roll_weekends: bool = False,
                    friday_is_trading: bool = True, out: str = "event_day") -> DataFrame:
     """Event time (TIMESTAMP) truncated to the day; optional weekend roll (ST04)."""
