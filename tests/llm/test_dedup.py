@@ -241,3 +241,11 @@ def test_line_query_on_a_table(spark):
     assert len(got) == len(docs)
     assert {(r.doc_id, *x) for r in got for x in zip(r.dropped_lines, r.class_doc_ids, r.class_lines)} == gone
     assert spark.read.parquet(f"{SF}/documents.parquet").where(F.col("text").isNull()).count() == 0
+
+
+def test_line_query_reports_the_document_without_an_id(spark, make, tmp_path):
+    line = "This line is long enough to count"
+    make([line, (None, f"{line}\nAnother line that is long enough\n{line}"), (2, "short")]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op9_line_dedup(spark, str(tmp_path)).collect()}
+    assert {i: r.lines for i, r in got.items()} == {0: 1, None: 3, 2: 0}
+    assert (got[None].dropped_lines, got[None].class_doc_ids, got[None].class_lines) == ([0, 2], [0, 0], [0, 0])

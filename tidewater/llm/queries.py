@@ -63,14 +63,14 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = linedup.repeated_lines(documents(spark, sf_dir))
-    copy = (F.col("doc_id") != F.col("first_id")) | (F.col("line") != F.col("first_line"))
+    copy = ~F.col("doc_id").eqNullSafe(F.col("first_id")) | (F.col("line") != F.col("first_line"))
     mark = F.struct("line", "first_id", "first_line")
-    found = lines.groupBy("doc_id").agg(
+    found = lines.groupBy(F.col("doc_id").alias("id")).agg(
         F.count(F.lit(1)).alias("lines"), F.sum("links").alias("links"),
         F.sort_array(F.collect_set(F.when(copy, mark))).alias("dropped"))
     docs = documents(spark, sf_dir).select("doc_id").distinct()
     none = F.lit(0).cast("long")
-    return docs.join(found, "doc_id", "left").select(
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("id")), "left").select(
         "doc_id", F.coalesce("lines", none).alias("lines"), F.coalesce("links", none).alias("links"),
         F.coalesce(F.transform("dropped", lambda d: d["line"]), F.array().cast("array<int>")).alias("dropped_lines"),
         F.coalesce(F.transform("dropped", lambda d: d["first_id"]), F.array().cast("array<bigint>")).alias("class_doc_ids"),
