@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, decontam, exact, langid, licenses, linedup, quality, sharding, simhash, toxicity
+from tidewater.llm import bpe, decontam, dialogue, exact, importance, langid, licenses, linedup, mixing, quality, sharding, simhash, toxicity
 from tidewater.llm.common import documents, remainder
+from tidewater.plans.registry import rounded_sql
 from tidewater.session import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -83,6 +84,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), F.col("stratum").alias("source"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = F.coalesce(F.sum(F.when(F.col("shard").isNotNull(), F.col("size"))), F.lit(0))
+    return (mixing.mix(documents(spark, sf_dir)).groupBy("row", "doc_id", "size", "source_size", "target")
+            .agg(taken.alias("taken")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, copies = dialogue.damage(read_table(spark, sf_dir, "conversations"))
+    return dialogue.repair(rows, copies=copies)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_language": op2_language,
@@ -94,6 +110,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_line_dedup": op9_line_dedup,
     "op10_sharding": op10_sharding,
+    "op11_resampling": op11_resampling,
+    "op12_mixing": op12_mixing,
+    "op13_conversations": op13_conversations,
 }
 
-ORACLE: dict[str, str] = {"op5_exact_dedup": exact.ORACLE, "op7_licenses": licenses.oracle()}
+ORACLE: dict[str, str] = {"op5_exact_dedup": exact.ORACLE, "op7_licenses": licenses.oracle(),
+                          "op11_resampling": importance.oracle(), "op12_mixing": rounded_sql(mixing.oracle(), ["target"]),
+                          "op13_conversations": dialogue.oracle()}
