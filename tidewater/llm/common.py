@@ -24,13 +24,17 @@ def shared_table(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) ->
     path = f"{checkpoint_dir(spark).rstrip('/')}/tidewater-{tag}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    table.written_to = path
+    return table
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (files in the shared folder, removed with the frame)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``shared_table`` whose readers have all been written."""
+    for table in tables:
+        spark = table.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def remainder(id_col: str, modulus: int) -> Column:

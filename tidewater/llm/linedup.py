@@ -1,12 +1,16 @@
 """Near-duplicate lines by segment partition, and documents without their repeated lines.
 
-Two lines within ``max_edits`` edits share a segment when one is cut into ``max_edits + 1`` segments:
-at most that many minus one can be touched.  Every distinct line indexes its own segments under (length, segment
+Exact copies are a class at any length.  Lines that differ may have one edit for each ``CHARS_PER_EDIT`` characters of the
+shorter one, ``max_edits`` at most.  Two lines within e edits share a segment when one is cut into e + 1 segments:
+at most e can be touched.  Every distinct line indexes its own segments under (length, segment
 number, text) and probes, for each shorter length in reach, the substrings that can still equal a
 segment when the edits left and right of it are counted (multi-match-aware selection).  Pairs that meet
 must also agree in a parity sketch, which every true pair does; the rest are
 verified on their text by a banded bit-parallel edit distance; verified links give classes of lines,
 and of each class the first line by (document id, line number) stays.
+
+Links name a line by 64 bits of its hash: two different lines with the same 64 bits (one pair is likely
+among four billion distinct lines) count as one line in the links; copies are told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -19,12 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import shared_table, text_slices
+from tidewater.llm.common import discard, shared_table, text_slices
 from tidewater.llm.components import component_labels
 
 MAX_EDITS = 2
-#: Shorter lines (after normalisation) are headings and fragments: they repeat by nature and stay.
-MIN_CHARS = 24
+#: A pair may differ by one edit for so many characters of its shorter line: below 12 characters only exact copies
+#: are repeats, below 24 one edit counts.
+CHARS_PER_EDIT = 12
 SLICE_BYTES = 4 << 20
 FILTER_BITS = 25
 BASE = 0x9E3779B97F4A7C15
@@ -49,11 +54,17 @@ def _segment(n: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndarray]
     return i * short + np.maximum(0, i - plain), short + (i >= plain)
 
 
-def slots(max_edits: int) -> list[tuple[int, int, int]]:
-    """(length difference, segment, shift) of the substrings that may equal a segment of a shorter line:
-    a shift is no more than the edits that fit left of the segment, nor right of it."""
-    return [(less, i, shift) for less in range(max_edits + 1) for i in range(max_edits + 1)
-            for shift in range(max(-i, less - (max_edits - i)), min(i, less + max_edits - i) + 1)]
+def allowed(n, max_edits: int):
+    """Edits within which lines count as repeats, by the characters of the shorter one."""
+    return np.minimum(max_edits, n // CHARS_PER_EDIT)
+
+
+def slots(edits: int) -> list[tuple[int, int, int]]:
+    """(length difference, segment, shift) of the substrings that may equal a segment of a shorter or equally long line:
+    a shift is no more than the edits that fit left of the segment, nor right of it.  A line's own segments
+    (no difference, no shift) are not among them."""
+    return [(less, i, shift) for less in range(edits + 1) for i in range(edits + 1)
+            for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1) if less or shift]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,12 +76,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWER[0], _POWER[1]
 
 
-def line_keys(lines: list[str], max_edits: int, min_chars: int = MIN_CHARS) -> tuple[np.ndarray, np.ndarray]:
-    """For each line the keys of its own segments, then those of the substrings it probes for (``slots``
-    order, 0 where a slot is void), and a parity sketch.
+def line_keys(lines: list[str], max_edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each line the keys of its own segments (``max_edits + 1`` columns), then those of the other substrings it probes
+    for (0 where there is none), and a parity sketch.
 
-    A key hashes (length, segment number, text) from running polynomial sums.  The sketch holds the parity
-    of 64 classes of character pairs: an edit touches at most two pairs and makes at most two."""
+    A key hashes (length, segment number, text) from running polynomial sums; the length also tells into how many
+    segments a line is cut.  The sketch holds the parity of 64 classes of character pairs: an edit touches at most two
+    pairs and makes at most two."""
     n = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
     code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
     start = np.cumsum(n) - n
@@ -78,22 +90,28 @@ def line_keys(lines: list[str], max_edits: int, min_chars: int = MIN_CHARS) -> t
     local = np.arange(len(code)) - np.repeat(start, n)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(code * power[local])])
 
-    def key(length: np.ndarray, i: int, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    def key(length: np.ndarray, i: int, at: np.ndarray, size: np.ndarray, some: np.ndarray) -> np.ndarray:
+        at, size = np.where(some, at, 0), np.where(some, size, 0)
         h = (sums[start + at + size] - sums[start + at]) * inverse[at]
         h = (h ^ (length.astype(np.uint64) * np.uint64(64) + np.uint64(i + 1))) * MIX
-        return np.maximum((h ^ h >> np.uint64(29)) * MIX, np.uint64(1))
-
-    out = [key(n, i, *_segment(n, i, max_edits + 1)) for i in range(max_edits + 1)]
-    for less, i, shift in slots(max_edits):
-        at, size = _segment(np.maximum(n - less, 0), i, max_edits + 1)
-        at = at + shift
-        fits = (n - less >= min_chars) & (at >= 0) & (at + size <= n)
-        out.append(np.where(fits, key(n - less, i, np.where(fits, at, 0), np.where(fits, size, 0)), np.uint64(0)))
+        return np.where(some, np.maximum((h ^ h >> np.uint64(29)) * MIX, np.uint64(1)), np.uint64(0))
+
+    own = [np.zeros(len(lines), dtype=np.uint64) for _ in range(max_edits + 1)]
+    probes = []
+    for edits in range(1, max_edits + 1):
+        mine = allowed(n, max_edits) == edits
+        for i in range(edits + 1):
+            own[i] |= key(n, i, *_segment(n, i, edits + 1), mine)
+        for less, i, shift in slots(edits):
+            shorter = np.maximum(n - less, 0)
+            at, size = _segment(shorter, i, edits + 1)
+            at = at + shift
+            probes.append(key(shorter, i, at, size, (allowed(shorter, max_edits) == edits) & (at >= 0) & (at + size <= n)))
     pair = np.append((code[:-1] * MIX + code[1:]) * MIX, np.uint64(0)) >> np.uint64(58)
     last = start + n - 1
     bit = np.uint64(1) << pair
     bit[last] = 0  # no pair across two lines
-    return np.stack(out, axis=1), np.bitwise_xor.reduceat(bit, start)
+    return np.stack(own + probes, axis=1), np.bitwise_xor.reduceat(bit, start)
 
 
 def within(a: str, b: str, k: int) -> bool:
@@ -140,22 +158,22 @@ def within(a: str, b: str, k: int) -> bool:
 
 
 # ------------------------------------------------------------------ tables
-def _lines(text: str, min_chars: int) -> Iterator[tuple[int, str]]:
+def _lines(text: str) -> Iterator[tuple[int, str]]:
     for number, line in enumerate(text.split("\n")):
         line = normal(line)
-        if len(line) >= min_chars:
+        if line:
             yield number, line
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(id, line, h1, h2) of every line that is long enough."""
+def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, line, h1, h2) of every line that is not blank."""
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).where(F.col("body").isNotNull())
     kind = kept.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, 1, SLICE_BYTES):
-                out = [(k, n, line) for k, t in enumerate(part.column(1).to_pylist()) for n, line in _lines(t, min_chars)]
+                out = [(k, n, line) for k, t in enumerate(part.column(1).to_pylist()) for n, line in _lines(t)]
                 if out:
                     k, n, line = zip(*out)
                     h = line_hashes(line)
@@ -166,15 +184,15 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> D
     return kept.mapInArrow(run, f"id {kind}, line int, h1 long, h2 long")
 
 
-def _distinct_lines(docs: DataFrame, text_col: str, min_chars: int, made, schema: str, wanted=None) -> DataFrame:
-    """Rows of ``made(h1, lines)`` for the distinct lines of each slice of documents."""
+def _distinct_lines(docs: DataFrame, text_col: str, made, schema: str, wanted=None) -> DataFrame:
+    """Rows of ``made(h1, lines)`` for the distinct lines of each slice of documents that may have an edit."""
     kept = docs.select(F.col(text_col).alias("body")).where(F.col("body").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if wanted is None else np.frombuffer(wanted.value, dtype=np.uint64)
         for batch in batches:
             for part in text_slices(batch, 0, SLICE_BYTES):
-                lines = list({line for t in part.column(0).to_pylist() for _, line in _lines(t, min_chars)})
+                lines = list({line for t in part.column(0).to_pylist() for _, line in _lines(t) if len(line) >= CHARS_PER_EDIT})
                 h = line_hashes(lines)[:, 0]
                 if bits is not None:
                     some = np.flatnonzero(_member(bits, h))
@@ -209,44 +227,47 @@ def _bit_filter(ids: DataFrame) -> bytes:
     return bits.tobytes()
 
 
-def line_links(docs: DataFrame, text_col: str = "text", max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(a, b): verified pairs of different normalised lines within ``max_edits`` edits, by hash, a < b."""
+def line_links(docs: DataFrame, text_col: str = "text", max_edits: int = MAX_EDITS) -> DataFrame:
+    """(a, b): verified pairs of different normalised lines within their allowed edits, by hash, a < b."""
     spark = docs.sparkSession
     n_index = max_edits + 1
 
     def signed(h: np.ndarray, lines: list[str]) -> pa.RecordBatch:
-        keys, sketch = line_keys(lines, max_edits, min_chars)
+        keys, sketch = line_keys(lines, max_edits)
         rows = np.hstack([sketch[:, None], keys])
         packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * rows.shape[1]), len(rows), [None, pa.py_buffer(rows.tobytes())])
         return pa.RecordBatch.from_arrays([pa.array(h), packed.cast(pa.binary())], ["h1", "keys"])
 
-    marked = shared_table(_distinct_lines(docs, text_col, min_chars, signed, "h1 long, keys binary")
+    marked = shared_table(_distinct_lines(docs, text_col, signed, "h1 long, keys binary")
                           .groupBy("h1").agg(F.max("keys").alias("keys")), "line-keys")
 
-    def side(probe: bool, name: str) -> DataFrame:
+    def side(columns: slice) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in text_slices(batch, 1, SLICE_BYTES):
                     rows = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.int64).reshape(part.num_rows, -1)
-                    keys = rows[:, 1 + n_index:] if probe else rows[:, 1:1 + n_index]
+                    keys = rows[:, columns]
                     at, slot = np.nonzero(keys)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[at, slot]), pa.array(part.column(0).to_numpy()[at]), pa.array(rows[at, 0])],
-                        ["key", name, f"{name}_sketch"])
-        return marked.mapInArrow(run, f"key long, {name} long, {name}_sketch long")
+                        [pa.array(keys[at, slot]), pa.array(part.column(0).to_numpy()[at]), pa.array(rows[at, 0])], ["key", "h", "sketch"])
+        return marked.mapInArrow(run, "key long, h long, sketch long")
 
+    # lines of one length meet in their own segments: that side is shuffled once and read by both joins
+    own, probes = side(slice(1, 1 + n_index)), side(slice(1 + n_index, None))
     # each edit flips at most four parities
-    near = F.bit_count(F.col("u_sketch").bitwiseXOR(F.col("v_sketch"))) <= 4 * max_edits
-    pairs = (side(False, "u").join(side(True, "v"), "key").where((F.col("u") != F.col("v")) & near)
-             .select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
-    pairs = shared_table(pairs, "line-candidates")
+    near = F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= 4 * max_edits
+    met = [own.alias("x").join(other.alias("y"), F.col("x.key") == F.col("y.key"))
+           .where((F.col("x.h") < F.col("y.h") if other is own else F.col("x.h") != F.col("y.h")) & near)
+           .select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")) for other in (own, probes)]
+    pairs = shared_table(met[0].union(met[1]).distinct(), "line-candidates")
+    discard(marked)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("h1"))
     wanted = spark.sparkContext.broadcast(_bit_filter(ends))
 
     def bodies(h: np.ndarray, lines: list[str]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(h), pa.array(lines, pa.string())], ["h1", "body"])
 
-    texts = shared_table(_distinct_lines(docs, text_col, min_chars, bodies, "h1 long, body string", wanted)
+    texts = shared_table(_distinct_lines(docs, text_col, bodies, "h1 long, body string", wanted)
                          .join(ends.distinct(), "h1", "left_semi").dropDuplicates(["h1"]), "line-texts")
     both = (pairs.join(texts.select(F.col("h1").alias("a"), F.col("body").alias("x")), "a")
             .join(texts.select(F.col("h1").alias("b"), F.col("body").alias("y")), "b"))
@@ -254,23 +275,25 @@ def line_links(docs: DataFrame, text_col: str = "text", max_edits: int = MAX_EDI
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep = pa.array([within(s, t, max_edits) for s, t in zip(x, y)], pa.bool_())
+            keep = pa.array([within(s, t, int(allowed(min(len(s), len(t)), max_edits))) for s, t in zip(x, y)], pa.bool_())
             yield batch.select([0, 1]).filter(keep)
 
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    links = shared_table(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "line-links")
+    wanted.destroy()
+    discard(pairs, texts)
+    return links
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS,
-                   min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per line of at least ``min_chars`` normalised characters: id, ``line`` (number from 0, at
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS) -> DataFrame:
+    """One row per line that is not blank: id, ``line`` (number from 0, at
     the newline characters), ``first_id`` and ``first_line`` (the line of its class that stays) and
-    ``links`` (other distinct lines within ``max_edits`` edits).
+    ``links`` (other distinct lines within the edits that its length allows).
 
-    Null and empty texts have no lines.  Ids sort before null.  Rows that repeat an id are one
+    Null, empty and blank texts have no lines.  Ids sort before null.  Rows that repeat an id are one
     document: their lines have the same (id, number) and stay together.  An empty table gives an
     empty result; other columns are ignored."""
-    lines = shared_table(line_table(docs, id_col, text_col, min_chars), "lines")
-    found = shared_table(line_links(docs, text_col, max_edits, min_chars), "line-links")
+    lines = shared_table(line_table(docs, id_col, text_col), "lines")
+    found = line_links(docs, text_col, max_edits)
     label = component_labels(found)
     ends = found.select(F.explode(F.array("a", "b")).alias("h1")).groupBy("h1").agg(F.count(F.lit(1)).alias("links"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "line")
@@ -290,15 +313,15 @@ def dropped_lines(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return lines.where(gone).groupBy(id_col).agg(F.sort_array(F.collect_set("line")).alias("drop"))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS,
-                    min_chars: int = MIN_CHARS) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS) -> DataFrame:
     """``docs`` with the repeated lines cut out of the text; all rows stay, a text may become empty, and
     other columns are unchanged."""
     names = docs.columns
-    drop = shared_table(dropped_lines(repeated_lines(docs, id_col, text_col, max_edits, min_chars), id_col)
+    drop = shared_table(dropped_lines(repeated_lines(docs, id_col, text_col, max_edits), id_col)
                         .select(F.col(id_col).alias("__id"), F.col("drop").alias("__drop")), "line-drops")
     line = F.split(F.col(text_col), "\n", -1)
     kept = F.filter(line, lambda _, i: ~F.array_contains(F.col("__drop"), i))
     text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return (docs.join(drop, F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    # the list of drops has no size bound, so it is not broadcast
+    return (docs.join(drop.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")), "left")
             .withColumn(text_col, text).select(*names))
