@@ -156,17 +156,47 @@ def test_sums_go_through_a_tree(spark):
 
 
 def test_windows_hold_words_of_one_text_only():
-    bench = decontam.Benchmark([(1, "a b c d e f g h i j k l m n o p q r s t u v w x y z")])
     texts = [np.arange(n, dtype=np.int32) % 26 for n in (1, 63, 64, 65, 200, 0, 31, 33)]
     for stride in (decontam.STRIDE, decontam.WINDOW):
         (ids, starts, first), = decontam.joined([t.tobytes() for t in texts], stride)
         assert first == 0 and all(s % stride == 0 for s in starts)
-        got = {(w, x): n for w, x, n in zip(*[x.tolist() for x in bench.entries(ids, stride)]) if x < 26}
         for t, s in zip(texts, starts.tolist()):
             for w in range(0, len(t), stride):
-                own, times = np.unique(t[w:w + decontam.WINDOW], return_counts=True)
-                have = {x: n for (at, x), n in got.items() if at == (s + w) // stride}
-                assert have == dict(zip(own.tolist(), times.tolist()))
+                own = ids[s + w:s + w + decontam.WINDOW]
+                assert own[own >= 0].tolist() == t[w:w + decontam.WINDOW].tolist()
+
+
+def test_nothing_is_found_without_the_latent_search(planted):
+    docs, bench, want = planted
+    assert decontam.contaminated(docs, bench, near=1e9).count() == 0
+    assert len({(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench, near=0.9).collect()} & want) < 0.9 * len(want)
+
+
+def test_latent_recall_on_many_pieces_against_checking_all(spark, make):
+    """1,200 pieces; copies with three words in ten replaced, one item in a third of the texts."""
+    rng = random.Random(14)
+    pool = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(3, 8))) for _ in range(4000)]
+    common = pool[:150]  # words that every text and item uses
+    word = lambda: rng.choice(common if rng.random() < 0.4 else pool)
+    items = [" ".join(word() for _ in range(rng.randrange(14, 46))) + "." for _ in range(1200)]
+    texts = []
+    for k in range(600):
+        words = items[0 if k % 3 == 0 else k].split()
+        for p in rng.sample(range(len(words)), 3 * len(words) // 10):
+            words[p] = word()
+        texts.append(" ".join([word() for _ in range(rng.randrange(80))] + words + [word() for _ in range(40)]))
+    bench = decontam.Benchmark(list(enumerate(items)))
+    want = set()
+    for i, t in enumerate(texts):
+        w = np.array([bench.unigrams.get(x, -1) for x in decontam.words(t)], dtype=np.int64)
+        for k in {0, i}:  # other items share no passage with the text
+            own = [(p, tail) for item, p, tail in bench.pieces if item == k]
+            if any(decontam.verify(p, tail, w, s) for p, tail in own for s in range(0, len(w), decontam.STRIDE)):
+                want.add((i, k))
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(make(texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    hot = {x for x in want if x[1] == 0}
+    assert len(want) > 450 and len(hot) > 150
+    assert len(got & want) >= 0.95 * len(want) and len(got & hot) >= 0.95 * len(hot)
 
 
 def test_lcs():
@@ -346,4 +376,4 @@ def test_stages_return_the_columns_of_documents(spark, odd):
     docs = odd
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns, name
-    assert [linedup.MIN_CHARS, len(corpus_pipeline.STAGES)] == [24, 5]
+    assert [linedup.CHARS_PER_EDIT, len(corpus_pipeline.STAGES)] == [12, 5]

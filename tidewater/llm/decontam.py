@@ -1,16 +1,19 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Documents become sequences of benchmark term numbers.  Passages (windows of words) are TF-IDF vectors over
-the benchmark's words and word pairs; a randomised singular value decomposition of the passage matrix,
-computed by sums over all tasks, gives a latent basis for each block of benchmark pieces.  Windows
-whose latent vector has a large enough cosine with a piece are candidates, and so are, however common a
-piece's terms are, all windows whose surroundings hold as many of its words as the check asks for.  A
-candidate counts when the longest common subsequence of words covers enough of the piece, and enough of its
-answer (its last sentence), so edits and paraphrases are found and shared vocabulary alone is not.
+Documents become sequences of benchmark word numbers.  Passages (windows of words) and pieces of benchmark items are
+TF-IDF vectors over the benchmark's words.  A randomised singular value decomposition of the passage matrix, computed by
+sums over all tasks, gives a latent basis; a random projection of what the basis leaves out
+keeps products right on average however many pieces there are.  A window meets the pieces of the latent buckets nearest to
+it, and the pieces of which it has one of the rarest words (so many of them that nothing that the check accepts can lack them
+all).  Of these, candidates are the pieces whose latent product with the window is a large enough part of the piece's own
+square: the cosine without the window's length, so that neither other words of the window nor the popularity of a
+piece matter.  A candidate counts when the longest common subsequence of words covers enough of the piece, and
+enough of its answer (its last sentence), so edits and paraphrases are found and shared vocabulary alone is not.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,20 +29,22 @@ from tidewater.llm.common import shared_table, slices, text_slices
 WINDOW, STRIDE = 64, 32
 #: Benchmark words in one piece; longer items are cut into pieces that are searched alone.
 PIECE = 48
-#: Pieces of a block and dimensions of its latent basis.
-BLOCK, RANK = 48, 64
-COSINE = 0.3
+#: Dimensions of the latent basis, and of the random projection of the rest.
+RANK, REST = 64, 64
+#: Columns of the passage matrix; more benchmark words than that share columns by number.
+MOST_COLUMNS = 1 << 16
+#: Buckets of pieces that a window visits, of about the square root of all pieces.
+PROBES = 2
+#: Pairs of window and piece whose products are taken at a time.
+PAIRS = 50_000
+#: Part of a piece's own square that its product with a window has to reach.
+NEAR = 0.35
 COVER, ANSWER = 0.6, 0.5
-#: Terms that more than this share of the passages have carry no weight, but for a piece's rarest.
-COMMON = 0.002
-RAREST = 8
 SLICE_BYTES = 2 << 20
-SLICE_WORDS = 500_000
-#: Strides of words whose pieces are looked up at a time.
-HOLD_ROWS = 512
+SLICE_WORDS = 100_000
 SEED = 11
 #: Bytes of benchmark text handled at a time; a larger benchmark is searched in as many rounds.
-BENCH_BYTES = 8 << 20
+BENCH_BYTES = 64 << 20
 _WORD = re.compile(r"\w+")
 _END = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -61,7 +66,7 @@ def answer_words(text: str) -> int:
 
 @dataclass
 class Benchmark:
-    """Pieces of benchmark items as term numbers; word pairs of a piece are terms as well."""
+    """Pieces of benchmark items as word numbers."""
     items: list
     unigrams: dict[str, int] = field(default_factory=dict)
 
@@ -74,32 +79,7 @@ class Benchmark:
             for i, part in enumerate(np.array_split(ids, count)):
                 if len(part):
                     self.pieces.append((k, part, min(tail, len(part)) if i == count - 1 else 0))
-        n = len(self.unigrams)
-        pairs = [p[:-1] * n + p[1:] for _, p, _ in self.pieces if len(p) > 1]
-        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
-        self.terms = n + len(self.pairs)
-
-    def entries(self, ids: np.ndarray, stride: int, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, term, times) over windows of WINDOW words that start at every ``stride``-th word; -1 stands
-        for a word that no item has.  With ``weight`` only terms of positive weight count."""
-        n = len(self.unigrams)
-        at = np.flatnonzero(ids >= 0)
-        where, term = [at], [ids[at]]
-        if len(self.pairs) and len(at) > 1:
-            left = at[:-1][np.diff(at) == 1]
-            key = ids[left] * n + ids[left + 1]
-            slot = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            hit = self.pairs[slot] == key
-            where.append(left[hit])
-            term.append(slot[hit] + n)
-        where, term = np.concatenate(where), np.concatenate(term)
-        if weight is not None:
-            some = weight[term] > 0
-            where, term = where[some], term[some]
-        last = where // stride
-        keys = [(w * self.terms + term)[w >= 0] for w in (last - k for k in range(WINDOW // stride))]
-        key, times = np.unique(np.concatenate(keys), return_counts=True)
-        return key // self.terms, key % self.terms, times
+        self.terms = len(self.unigrams)
 
 
 def joined(packed: list[bytes], stride: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -165,123 +145,118 @@ def _summed(coded: DataFrame, width: int, add) -> np.ndarray:
     return out if len(out) else np.zeros(width)
 
 
-def term_weights(bench: Benchmark, frequency: np.ndarray, passages: float) -> np.ndarray:
-    """Inverse passage frequency; common terms get no weight, unless they are among the RAREST of a piece."""
-    idf = np.log((1 + passages) / (1 + frequency)) + 1
-    keep = frequency <= COMMON * passages
-    n = len(bench.unigrams)
-    for _, ids, _ in bench.pieces:
-        pair = np.searchsorted(bench.pairs, ids[:-1] * n + ids[1:]) + n if len(ids) > 1 else np.empty(0, np.int64)
-        own = np.unique(np.concatenate([ids, pair]))
-        keep[own[np.argsort(frequency[own], kind="stable")[:RAREST]]] = True
-    return np.where(keep, idf, 0.0)
-
-
 class Basis:
-    """Latent bases: for each block of pieces the right singular vectors over the block's terms."""
-
-    def __init__(self, bench: Benchmark, weight: np.ndarray):
-        self.bench, self.weight = bench, weight
-        self.blocks = []
-        for a in range(0, len(bench.pieces), BLOCK):
-            pieces = list(range(a, min(a + BLOCK, len(bench.pieces))))
-            rows = [bench.entries(bench.pieces[k][1], WINDOW)[1:] for k in pieces]
-            terms = np.unique(np.concatenate([t for t, _ in rows]))
-            place = np.full(bench.terms, -1, dtype=np.int32)
-            place[terms] = np.arange(len(terms))
-            matrix = np.zeros((len(pieces), len(terms)))
-            for r, (t, times) in enumerate(rows):
-                matrix[r, place[t]] = times * weight[t]
-            # which words of each piece a word is, as bits; words that no piece of the block has share the last row
-            own = np.searchsorted(terms, len(bench.unigrams))
-            holds = np.zeros((own + 1, len(pieces)), dtype=np.uint64)
-            for c, k in enumerate(pieces):
-                words_ = bench.pieces[k][1]
-                np.bitwise_or.at(holds[:, c], place[words_], np.uint64(1) << np.arange(len(words_), dtype=np.uint64))
-            row = np.append(place[:len(bench.unigrams)], -1)
-            self.blocks.append({"pieces": pieces, "place": place, "matrix": matrix, "terms": terms, "holds": holds,
-                                "row": np.where(row < 0, own, row),
-                                "need": np.array([needed(len(bench.pieces[k][1])) for k in pieces])})
-
-    def project(self, block: dict, entries: tuple, onto: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
-        """(windows, their rows in ``onto``'s space, squared length of the whole vector, block entries)."""
-        window, term, times = entries
-        value = times * self.weight[term]
-        place = block["place"][term]
-        own = (place >= 0) & (value > 0)
-        if not own.any():
-            return np.empty(0, np.int64), np.empty((0, onto.shape[1])), np.empty(0), ()
-        w, p, v = window[own], place[own], value[own].astype(onto.dtype)
-        first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-        rows = np.add.reduceat(onto[p] * v[:, None], first, axis=0)
-        square = np.bincount(window, weights=value * value)[w[first]]
-        return w[first], rows, square, (np.repeat(np.arange(len(first)), np.diff(np.append(first, len(w)))), p, v)
+    """Latent space of passages and pieces, and the buckets of the pieces."""
+
+    def __init__(self, bench: Benchmark, frequency: np.ndarray, passages: float, near: float):
+        self.bench, self.least = bench, near
+        # products of two vectors sum inverse passage frequencies
+        self.weight = np.sqrt(np.log((1 + passages) / (1 + frequency)) + 1)
+        self.width = min(bench.terms, MOST_COLUMNS)
+        rows = [np.unique(ids) for _, ids, _ in bench.pieces]
+        self.own = np.array([(self.weight[r] ** 2).sum() for r in rows])
+        self.rows = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
+        # a stretch with ``needed`` words of a piece lacks fewer distinct ones than this, so it has one of its rarest
+        rarest = [r[np.argsort(frequency[r], kind="stable")[:min(len(r), int(len(ids) - needed(len(ids))) + 1)]]
+                  for r, (_, ids, _) in zip(rows, bench.pieces)]
+        owner, word = np.repeat(np.arange(len(rarest)), [len(r) for r in rarest]), np.concatenate(rarest)
+        order = np.argsort(word, kind="stable")
+        self.posted = owner[order]
+        self.first = np.searchsorted(word[order], np.arange(bench.terms + 1))
+
+    def products(self, row: np.ndarray, term: np.ndarray, n: int, onto: np.ndarray) -> np.ndarray:
+        """The n vectors with words ``term`` in rows ``row`` (ascending), times the columns of ``onto``."""
+        out = np.zeros((n, onto.shape[1]), dtype=onto.dtype)
+        if len(row):
+            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            out[row[first]] = np.add.reduceat(onto[term % self.width] * self.weight[term].astype(onto.dtype)[:, None], first, axis=0)
+        return out
+
+    def back(self, row: np.ndarray, term: np.ndarray, values: np.ndarray, held: np.ndarray) -> None:
+        """Adds to ``held`` the transposed product: every word gets its rows' values."""
+        if len(row):
+            order = np.argsort(term % self.width, kind="stable")
+            row, term = row[order], term[order]
+            column = term % self.width
+            first = np.flatnonzero(np.concatenate([[True], column[1:] != column[:-1]]))
+            held[column[first]] += np.add.reduceat(values[row] * self.weight[term][:, None], first, axis=0)
 
     def fit(self, coded: DataFrame, shared_self) -> None:
-        """Randomised range finder with one power step.  Benchmark rows join the passage matrix with the
-        weight of the corpus, so that the basis spans the pieces and the strongest co-occurrences beyond."""
-        sizes = [len(b["terms"]) for b in self.blocks]
-        ranks = [min(RANK, s) for s in sizes]
-        ends = np.cumsum([0, *[s * r + 1 for s, r in zip(sizes, ranks)]])
+        """Randomised range finder with one power step over the passages, and the principal directions of its range.
+        Pieces join the passage matrix with the weight of the corpus."""
+        rank = min(RANK, self.width)
         rng = np.random.default_rng(SEED)
-        spaces = [rng.normal(size=(s, r)) for s, r in zip(sizes, ranks)]
-        for step in range(2):
-            sent = coded.sparkSession.sparkContext.broadcast(spaces)
+        space = rng.normal(size=(self.width, rank))
+        size = self.width * rank
+        for _ in range(2):
+            sent = coded.sparkSession.sparkContext.broadcast(space)
 
             def add(held: np.ndarray, ids: np.ndarray) -> None:
-                basis = shared_self.value
-                entries = basis.bench.entries(ids, WINDOW, basis.weight)
-                for b, space, a, z in zip(basis.blocks, sent.value, ends[:-1], ends[1:]):
-                    _, rows, square, own = basis.project(b, entries, space)
-                    if len(rows):
-                        row, place, value = own
-                        order = np.argsort(place, kind="stable")
-                        row, place, value = row[order], place[order], value[order]
-                        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-                        target = held[a:z - 1].reshape(space.shape)
-                        target[place[first]] += np.add.reduceat(rows[row] * value[:, None], first, axis=0)
-                        held[z - 1] += square.sum()
-
-            summed = _summed(coded, int(ends[-1]), add)
-            for k, (b, a, z) in enumerate(zip(self.blocks, ends[:-1], ends[1:])):
-                m = b["matrix"]
-                boost = max(1.0, summed[z - 1] / max(1e-9, (m * m).sum()))
-                spaces[k] = np.linalg.qr(summed[a:z - 1].reshape(spaces[k].shape) + boost * m.T @ (m @ spaces[k]))[0]
-        for b, space in zip(self.blocks, spaces):
-            self.aim(b, space)
-
-    def aim(self, block: dict, space: np.ndarray) -> None:
-        """Keep the products of the block's terms, projected into the latent space, with its pieces there:
-        a window's latent products with all pieces are then sums over its terms."""
-        length = np.maximum(np.linalg.norm(block["matrix"], axis=1), 1e-12)
-        block["near"] = (space @ (block["matrix"] @ space).T / length).astype(np.float32)
-
-    def holding(self, block: dict, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, piece of the block) where the stretch that ``verify`` reads around the window has as many
-        words of the piece as it needs, repeated ones as often as the piece has them."""
-        row = block["row"][np.append(ids, np.full(-len(ids) % STRIDE, -1))].reshape(-1, STRIDE)
-        before, after = WINDOW // 2 // STRIDE, (WINDOW + WINDOW // 2) // STRIDE
-        has = np.zeros((before + len(row) + after - 1, len(block["pieces"])), dtype=np.uint64)
-        for a in range(0, len(row), HOLD_ROWS):
-            part = has[before + a:before + min(a + HOLD_ROWS, len(row))]
-            one = np.empty_like(part)
-            for column in np.ascontiguousarray(row[a:a + HOLD_ROWS].T):
-                part |= np.take(block["holds"], column, axis=0, out=one, mode="clip")
-        near = has[:len(row)].copy()
-        for k in range(1, before + after):
-            near |= has[k:k + len(row)]
-        return np.nonzero(np.bitwise_count(near) >= block["need"])
+                basis, at = shared_self.value, np.flatnonzero(ids >= 0)
+                row, term = at // WINDOW, ids[at]
+                basis.back(row, term, basis.products(row, term, len(ids) // WINDOW, sent.value), held[:-1].reshape(-1, sent.value.shape[1]))
+                held[-1] += (basis.weight[term] ** 2).sum()
+
+            summed = _summed(coded, size + 1, add)
+            drawn = summed[:-1].reshape(self.width, rank)
+            boost = max(1.0, summed[-1] / max(1e-9, self.own.sum()))
+            self.back(*self.rows, boost * self.products(*self.rows, len(self.own), space), drawn)
+            space, triangle = np.linalg.qr(drawn)
+        space = space @ np.linalg.svd(triangle)[0]
+        rest = rng.normal(size=(self.width, REST)) / math.sqrt(REST)
+        self.aim(np.hstack([space, rest - space @ (space.T @ rest)]))
+
+    def aim(self, space: np.ndarray) -> None:
+        """Pieces in the space, divided by their own squares, and their buckets (spherical k-means)."""
+        self.space = space.astype(np.float32)
+        pieces = self.products(*self.rows, len(self.own), space)
+        self.near = (pieces / np.maximum(self.own, 1e-12)[:, None]).astype(np.float32)
+        unit = pieces / np.maximum(np.linalg.norm(pieces, axis=1), 1e-12)[:, None]
+        n = math.isqrt(len(unit) - 1) + 1
+        centre = unit[np.linspace(0, len(unit) - 1, n).astype(int)]
+        for _ in range(8):
+            bucket = (unit @ centre.T).argmax(axis=1)
+            for k in range(n):
+                if (bucket == k).any():
+                    mean = unit[bucket == k].mean(axis=0)
+                    centre[k] = mean / max(np.linalg.norm(mean), 1e-12)
+        bucket = (unit @ centre.T).argmax(axis=1)
+        self.centres = centre.astype(np.float32)
+        self.members = [np.flatnonzero(bucket == k) for k in range(n)]
+
+    def met(self, at: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """(stride, piece) numbers as stride * pieces + piece, where the stride has one of the piece's rarest words."""
+        count = self.first[term + 1] - self.first[term]
+        start = np.cumsum(count) - count
+        piece = self.posted[np.repeat(self.first[term] - start, count) + np.arange(count.sum())]
+        return np.unique(np.repeat(at // STRIDE, count) * len(self.own) + piece)
 
     def candidates(self, ids: np.ndarray) -> list[tuple[int, int]]:
-        """(window start, piece) with a cosine of at least COSINE or enough of the piece's words, in order."""
-        entries = self.bench.entries(ids, STRIDE, self.weight)
-        out = set()
-        for b in self.blocks:
-            out |= {(int(w) * STRIDE, b["pieces"][c]) for w, c in zip(*self.holding(b, ids))}
-            window, products, square, _ = self.project(b, entries, b["near"])
-            near = products >= COSINE * np.sqrt(square)[:, None]
-            out |= {(int(window[r]) * STRIDE, b["pieces"][c]) for r, c in zip(*np.nonzero(near))}
-        return sorted(out)
+        """(window start, piece) in order: pieces that a window meets, with a large enough product."""
+        at = np.flatnonzero(ids >= 0)
+        term, strides, pieces = ids[at], -(-len(ids) // STRIDE), len(self.own)
+        parts = self.products(at // STRIDE, term, strides, self.space)
+        windows = parts.copy()
+        for k in range(1, WINDOW // STRIDE):
+            windows[:-k] += parts[k:]
+        some = np.flatnonzero(windows.any(axis=1))
+        if not len(some):
+            return []
+        keys = self.met(at, term)
+        keys = [keys - k * pieces for k in range(WINDOW // STRIDE)]  # windows that hold the stride
+        probes = min(PROBES, len(self.members))
+        nearest = np.argpartition(-(windows[some] @ self.centres.T), probes - 1, axis=1)[:, :probes]
+        for k, members in enumerate(self.members):
+            rows = some[(nearest == k).any(axis=1)]
+            keys.append((rows[:, None] * pieces + members).ravel())
+        keys = np.unique(np.concatenate(keys))
+        keys = keys[keys >= 0]
+        out = []
+        for a in range(0, len(keys), PAIRS):
+            row, piece = np.divmod(keys[a:a + PAIRS], pieces)
+            near = np.einsum("ij,ij->i", windows[row], self.near[piece]) >= self.least
+            out += zip((row[near] * STRIDE).tolist(), piece[near].tolist())
+        return out
 
 
 # ------------------------------------------------------------------ verification
@@ -324,10 +299,13 @@ def verify(piece: np.ndarray, tail: int, ids: np.ndarray, start: int) -> tuple[f
 
 # ------------------------------------------------------------------ operator
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+                 item_col: str = "item_id", item_text: str = "text", near: float = NEAR) -> DataFrame:
     """One row per document and benchmark item found in it: id, item, ``cover`` (largest share of a piece of the
     item in word order), ``answer`` (share of the answer) and ``start`` (word number of that place).
 
+    ``near`` is the part of a piece's own square that its latent product with a window has to reach: less finds more and costs
+    more (tests measure the recall against checking every window with every piece).  A benchmark of more than
+    BENCH_BYTES is searched in several passes over the documents, which bounds what tasks hold of it.
     Null and empty texts match nothing, nor do items without a word.  Equal items each get their
     rows; rows that repeat an id give one row for each item.  Documents without an id are left out.
     An empty table on either side gives an empty result; other columns are ignored."""
@@ -341,14 +319,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for k in range(rounds):  # one round for any benchmark of up to BENCH_BYTES
         mine = items.where(F.pmod(F.xxhash64("item", "body"), F.lit(rounds)) == k) if rounds > 1 else items
         rows = sorted(((r["item"], r["body"]) for r in mine.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        found = found.union(_search(docs, Benchmark(rows), id_col, text_col, schema))
+        found = found.union(_search(docs, Benchmark(rows), id_col, text_col, schema, near))
     best = F.max(F.struct("cover", "answer", (-F.col("start")).alias("back"))).alias("best")
     return (found.where(F.col("id").isNotNull()).groupBy("id", "item").agg(best)
             .select(F.col("id").alias(id_col), F.col("item").alias(item_col), "best.cover", "best.answer",
                     (-F.col("best.back")).alias("start")))
 
 
-def _search(docs: DataFrame, bench: Benchmark, id_col: str, text_col: str, schema: str) -> DataFrame:
+def _search(docs: DataFrame, bench: Benchmark, id_col: str, text_col: str, schema: str, near: float) -> DataFrame:
     context = docs.sparkSession.sparkContext
     if not bench.pieces:
         return docs.sparkSession.createDataFrame([], schema)
@@ -358,11 +336,13 @@ def _search(docs: DataFrame, bench: Benchmark, id_col: str, text_col: str, schem
     terms = bench.terms
 
     def count(held: np.ndarray, ids: np.ndarray) -> None:
-        held[:-1] += np.bincount(shared.value.entries(ids, WINDOW)[1], minlength=terms)
+        at = np.flatnonzero(ids >= 0)
+        once = np.unique(at // WINDOW * terms + ids[at])
+        held[:-1] += np.bincount(once % terms, minlength=terms)
         held[-1] += len(ids) // WINDOW
 
     summed = _summed(coded, bench.terms + 1, count)
-    basis = Basis(bench, term_weights(bench, summed[:-1], summed[-1]))
+    basis = Basis(bench, summed[:-1], summed[-1], near)
     basis.fit(coded, context.broadcast(basis))
     ready = context.broadcast(basis)
     names = [i for i, _ in bench.items]
@@ -379,7 +359,9 @@ def _search(docs: DataFrame, bench: Benchmark, id_col: str, text_col: str, schem
                     k = int(np.searchsorted(starts, at, side="right")) - 1
                     item, own, tail = b.bench.pieces[piece]
                     text = ids[starts[k]:starts[k] + len(packed[first + k]) // 4]
-                    got = verify(own, tail, text, at - int(starts[k]))
+                    start = at - int(starts[k])
+                    # the stretch of a neighbouring window may hold more of the answer
+                    got = next(filter(None, (verify(own, tail, text, s) for s in (start, start + STRIDE, start - STRIDE) if s >= 0)), None)
                     if got:
                         out.append((first + k, b.bench.items[item][0], *got))
             if out:
