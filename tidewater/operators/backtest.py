@@ -14,6 +14,9 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.joins import join_null_safe
+from tidewater.operators.scan import running
+
 __all__ = [
     "calibrate_linear", "threshold_signal", "simulate", "strategy_metrics", "threshold_candidates",
     "optimise_threshold", "selection_key", "buy_and_hold", "yearly_metrics", "FIXED_CANDIDATES",
@@ -49,19 +52,21 @@ def simulate(df: DataFrame, keys: Sequence[str], order: str, score: str, actual:
     """Raw signal, execution-lagged position (0 before), turnover,
     gross/cost/net returns and the net and zero-cost equity curves
     (running product of max(0, 1 + r))."""
-    keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy(order)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    d = df.withColumn("raw_signal", threshold_signal(score, threshold))
-    d = d.withColumn("position", F.lag("raw_signal", lag_days, 0).over(w))
-    d = d.withColumn("turnover", F.abs(F.col("position") - F.lag("position", 1, 0).over(w)))
+    keys, signal = list(keys), threshold_signal(score, threshold)
+    # the position and the one before it are both lags of the signal
+    d = running(df.withColumn("raw_signal", signal),
+                {"position": ("lag", "raw_signal", lag_days, 0), "__held": ("lag", "raw_signal", lag_days + 1, 0)}, keys, order)
+    d = d.withColumn("turnover", F.abs(F.col("position") - F.col("__held"))).drop("__held")
     d = d.withColumns({"gross_return": F.col("position") * F.col(actual),
                        "cost": F.col("turnover") * F.lit(float(cost_rate))})
     d = d.withColumn("net_return", F.col("gross_return") - F.col("cost"))
-    return d.withColumns({
-        "equity": F.product(F.greatest(F.lit(0.0), F.lit(1.0) + F.col("net_return"))).over(run),
-        "zero_cost_equity": F.product(F.greatest(F.lit(0.0), F.lit(1.0) + F.col("gross_return"))).over(run),
-    })
+    return _curves(d, keys, order)
+
+
+def _curves(d: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Net and zero-cost equity: running products of max(0, 1 + r), in one scan."""
+    growth = lambda r: F.greatest(F.lit(0.0), F.lit(1.0) + F.col(r))
+    return running(d, {"equity": ("product", growth("net_return")), "zero_cost_equity": ("product", growth("gross_return"))}, keys, order)
 
 
 def strategy_metrics(daily: DataFrame, keys: Sequence[str], order: str = "date", ret: str = "net_return",
@@ -71,8 +76,7 @@ def strategy_metrics(daily: DataFrame, keys: Sequence[str], order: str = "date",
     equity value, plus trades, turnover, exposure, zero-cost return and cost
     drag."""
     keys = list(keys)
-    run = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    d = daily.withColumn("__peak", F.max(equity).over(run))
+    d = running(daily, {"__peak": ("max", equity)}, keys, order)
     d = d.withColumn("__dd", F.when(F.col("__peak") > 0, F.col(equity) / F.col("__peak") - F.lit(1.0)))
     r = F.col(ret)
     down = F.least(r, F.lit(0.0))
@@ -134,17 +138,12 @@ def selection_key(digits: int = 9) -> list[Column]:
 def buy_and_hold(df: DataFrame, keys: Sequence[str], order: str, actual: str, cost_rate: float = 0.0015) -> DataFrame:
     """Always long, one entry cost on the first row."""
     keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy(order)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    first = F.row_number().over(w) == 1
-    d = df.withColumns({"position": F.lit(1), "turnover": F.when(first, 1).otherwise(0),
-                        "gross_return": F.col(actual).cast("double")})
+    first = df.groupBy(*keys).agg(F.min(order).alias("__first"))
+    d = join_null_safe(df, first, keys)
+    d = d.withColumns({"position": F.lit(1), "turnover": F.when(F.col(order) == F.col("__first"), 1).otherwise(0),
+                       "gross_return": F.col(actual).cast("double")}).drop("__first")
     d = d.withColumn("cost", F.col("turnover") * F.lit(float(cost_rate)))
-    d = d.withColumn("net_return", F.col("gross_return") - F.col("cost"))
-    return d.withColumns({
-        "equity": F.product(F.greatest(F.lit(0.0), F.lit(1.0) + F.col("net_return"))).over(run),
-        "zero_cost_equity": F.product(F.greatest(F.lit(0.0), F.lit(1.0) + F.col("gross_return"))).over(run),
-    })
+    return _curves(d.withColumn("net_return", F.col("gross_return") - F.col("cost")), keys, order)
 
 
 def yearly_metrics(df: DataFrame, keys: Sequence[str], order: str, year_of: str, score: str, actual: str,

@@ -18,10 +18,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.scalar import col_of
+from tidewater.operators.scan import running
 
 __all__ = [
     "business_days", "series_calendar", "align_to_calendar", "ffill", "imputed_flags",
-    "roll_to_trading_day", "monthly_first", "asof_join", "time_bucket", "fill_constant",
+    "roll_to_trading_day", "monthly_first", "asof_join", "release_asof", "time_bucket", "fill_constant",
 ]
 
 
@@ -83,12 +84,15 @@ def ffill(df: DataFrame, cols: Iterable[str], keys="series_id", order: str = "da
 
     ``last(x, ignorenulls)`` over ``ROWS BETWEEN limit PRECEDING AND CURRENT
     ROW`` fills a NULL run for its first ``limit`` rows only, exactly like
-    pandas ``ffill(limit=k)``.
+    pandas ``ffill(limit=k)``.  Without a limit the last value is carried by
+    a two-level scan, so a long series is no single sort.
     """
     keys = _as_list(keys)
     ex = set(exclude)
+    if limit is None:
+        return running(df, {c: ("last", c) for c in cols if c not in ex}, keys, order)
     w = Window.partitionBy(*keys).orderBy(order)
-    frame = w.rowsBetween(Window.unboundedPreceding if limit is None else -int(limit), 0)
+    frame = w.rowsBetween(-int(limit), 0)
     return df.withColumns({c: F.last(c, ignorenulls=True).over(frame) for c in cols if c not in ex})
 
 
@@ -184,3 +188,24 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
     if matched_col:
         out_cols.append(F.col("__m.__mt").alias(matched_col))
     return rows.select(*out_cols)
+
+
+def release_asof(left: DataFrame, releases: DataFrame, left_on: str, released: str, period: str, values: Sequence[str],
+                 by: Sequence[str] = (), matched_period: str = "period", matched_release: str = "released_at") -> DataFrame:
+    """What a release calendar showed at each left time: of all periods released by then the latest one, in the
+    latest of its revisions released by then.
+
+    A revision of an old period, or its late first release, does not hide a newer period.  That is the running maximum
+    of (period, release) over the releases in order of their time, so one two-level scan over the union of both sides
+    finds it, and neither a key nor a long history is sorted in one task.  A release on the left row's own time counts.
+    Releases without a period or time are left out; several rows of one (period, release) must agree.
+    """
+    by = list(by)
+    known = F.struct(F.col(period).alias("p"), F.col(released).alias("r"), F.struct(*[F.col(v) for v in values]).alias("v"))
+    right = releases.where(F.col(released).isNotNull() & F.col(period).isNotNull()).select(
+        *by, F.col(released).alias("__t"), F.lit(0).alias("__side"), known.alias("__known"), F.lit(None).cast(left.schema).alias("__row"))
+    kind = right.schema["__known"].dataType
+    rows = left.select(*by, F.col(left_on).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(kind).alias("__known"),
+                       F.struct(*left.columns).alias("__row"))
+    scanned = running(right.unionByName(rows), {"__seen": ("max", "__known")}, by, ["__t", "__side"]).where(F.col("__side") == 1)
+    return scanned.select("__row.*", F.col("__seen.p").alias(matched_period), F.col("__seen.r").alias(matched_release), "__seen.v.*")

@@ -15,9 +15,11 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.joins import join_null_safe
 from tidewater.functions.scalar import cyclical, eps_ratio, null_safe_flag, regime_code
 from tidewater.functions.windows import rolling, series_window
 from tidewater.operators.scan import alpha_from_span, ewm_mean
+from tidewater.operators.scan import running
 
 __all__ = [
     "pct_change", "diff", "add_returns", "add_lags", "add_forward_target", "add_rolling",
@@ -218,10 +220,8 @@ def streak_runs(df: DataFrame, label: str, keys="series_id", order="date") -> Da
     Returns one row per run: keys, run_id, label, length, start, end.
     """
     keys = _k(keys)
-    w = series_window(keys, order)
-    d = df.where(F.col(label).isNotNull())
-    d = d.withColumn("__chg", F.when(F.lag(label, 1).over(w) == F.col(label), 0).otherwise(1))
-    d = d.withColumn("run_id", F.sum("__chg").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    d = running(df.where(F.col(label).isNotNull()), {"__was": ("lag", label, 1)}, keys, order)
+    d = running(d.withColumn("__chg", F.when(F.col("__was") == F.col(label), 0).otherwise(1)), {"run_id": ("sum", "__chg")}, keys, order)
     return d.groupBy(*keys, "run_id").agg(F.first(label).alias(label), F.count(F.lit(1)).alias("length"),
                                           F.min(order).alias("start"), F.max(order).alias("end"))
 
@@ -236,12 +236,11 @@ def streak_summary(runs: DataFrame, label: str, by: Sequence[str] = ()) -> DataF
 def equity_curve(df: DataFrame, ret: str, keys="series_id", order="date", equity: str = "equity",
                  drawdown: str = "drawdown") -> DataFrame:
     """equity = running product of max(0, 1+r); drawdown vs running
-    peak, the peak starting at the first equity value (not 1)."""
-    keys = _k(keys)
-    w = series_window(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    d = df.withColumn(equity, F.product(F.greatest(F.lit(0.0), F.lit(1.0) + F.coalesce(F.col(ret), F.lit(0.0)))).over(w))
-    peak = F.max(equity).over(w)
-    return d.withColumn(drawdown, F.when(peak > 0, F.col(equity) / peak - F.lit(1.0)).otherwise(F.lit(0.0)))
+    peak, the peak starting at the first equity value (not 1).  Two scans."""
+    growth = F.greatest(F.lit(0.0), F.lit(1.0) + F.coalesce(F.col(ret), F.lit(0.0)))
+    d = running(running(df, {equity: ("product", growth)}, keys, order), {"__peak": ("max", equity)}, keys, order)
+    peak = F.col("__peak")
+    return d.withColumn(drawdown, F.when(peak > 0, F.col(equity) / peak - F.lit(1.0)).otherwise(F.lit(0.0))).drop("__peak")
 
 
 def recency_weights(df: DataFrame, scheme: str, keys="series_id", order="date", out: str = "weight",
@@ -253,10 +252,8 @@ def recency_weights(df: DataFrame, scheme: str, keys="series_id", order="date",
     step: recent_weight from int(n*(1-r)) on; uniform: 1.
     """
     keys = _k(keys)
-    w = series_window(keys, order)
-    wall = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    d = df.withColumns({"__i": (F.row_number().over(w) - 1).cast("double"),
-                        "__n": F.count(F.lit(1)).over(wall).cast("double")})
+    d = running(df, {"__i": ("row",)}, keys, order).withColumn("__i", (F.col("__i") - 1).cast("double"))
+    d = join_null_safe(d, df.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("__n")), keys)
     i, n = F.col("__i"), F.col("__n")
     if scheme == "exponential":
         raw = F.exp(F.lit(-math.log(2.0) / half_life) * (n - F.lit(1.0) - i))
@@ -269,7 +266,8 @@ def recency_weights(df: DataFrame, scheme: str, keys="series_id", order="date",
     else:
         raise ValueError(f"unknown scheme {scheme}")
     d = d.withColumn("__raw", raw)
-    return d.withColumn(out, F.col("__raw") / F.avg("__raw").over(wall)).drop("__i", "__n", "__raw")
+    d = join_null_safe(d, d.groupBy(*keys).agg(F.avg("__raw").alias("__mean")), keys)
+    return d.withColumn(out, F.col("__raw") / F.col("__mean")).drop("__i", "__n", "__raw", "__mean")
 
 
 def rolling_origin_folds(df: DataFrame, n_splits: int = 5, keys="series_id", order="date") -> DataFrame:

@@ -9,10 +9,15 @@ model) is learned on the rows selected by the caller, never on test rows.
 
 from __future__ import annotations
 
+import functools
 import itertools
+import math
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 from typing import Sequence
 
+import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
@@ -30,7 +35,7 @@ from tidewater.operators.stats import default_buckets
 from tidewater.session import cut_lineage
 
 __all__ = [
-    "make_estimator", "feature_pipeline", "fit_model", "predict_proba", "evaluate_candidate", "rolling_cv_search",
+    "make_estimator", "feature_pipeline", "fit_model", "predict_proba", "evaluate_candidate", "rolling_cv_search", "random_search", "draw_params",
     "feature_importance", "dense_index", "permutation_importance", "stacking", "pca_variance", "save_bundle",
     "load_bundle", "date_folds",
 ]
@@ -76,12 +81,12 @@ def feature_pipeline(features: Sequence[str], scale: bool = True) -> list:
 
 def fit_model(train: DataFrame, features: Sequence[str], label: str, kind: str, weight: str | None = None,
               scale: bool = True, **params) -> PipelineModel:
-    d = train.withColumn("label", F.col(label).cast("double")).where(F.col("label").isNotNull())
+    d = _labelled(train, label)
     est = make_estimator(kind, weight=weight, **params)
     return Pipeline(stages=feature_pipeline(features, scale) + [est]).fit(d)
 
 
-def predict_proba(model: PipelineModel, df: DataFrame, kind: str, out: str = "proba_up") -> DataFrame:
+def predict_proba(model, df: DataFrame, kind: str, out: str = "proba_up") -> DataFrame:
     """Probability of class 1; decision values go through the logistic map."""
     p = model.transform(df)
     if kind == "linear_svm":
@@ -136,28 +141,71 @@ def rolling_cv_search(df: DataFrame, features: Sequence[str], label: str, kind:
                       date: str = "date", n_splits: int = 5) -> DataFrame:
     """Grid search scored by mean / std of F1-macro over
     expanding-window folds (CrossValidator's random folds would leak)."""
-    df = cut_lineage(df)
-    folds = cut_lineage(date_folds(df, date, n_splits))
-    keys, values = list(grid), list(grid.values())
-    rows = []
-    for combo in itertools.product(*values):
-        params = dict(zip(keys, combo))
-        for k in range(n_splits):
-            fk = folds.where(F.col("fold") == k)
-            part = df.join(fk, date)
-            m = fit_model(part.where(F.col("role") == "train"), features, label, kind, **params)
-            p = predict_proba(m, part.where(F.col("role") == "test"), kind).withColumn("target", F.col(label))
-            met = ev.classification_metrics(p, []).select("F1_macro").withColumn("fold", F.lit(k)) \
-                .withColumn("params", F.lit(str(params)))
-            rows.append(met)
-    allm = rows[0]
-    for r in rows[1:]:
-        allm = allm.unionByName(r)
-    return allm.groupBy("params").agg(F.avg("F1_macro").alias("CV_F1_macro"),
-                                      F.stddev_samp("F1_macro").alias("CV_F1_macro_std"),
+    return _search(df, features, label, kind, [dict(zip(grid, c)) for c in itertools.product(*grid.values())], date, n_splits)
+
+
+def draw_params(distributions: dict, n_iter: int, seed: int = 42) -> list[dict]:
+    """Seeded draws of parameter sets: a distribution is ``("uniform", low, high)``, ``("loguniform", low, high)``,
+    ``("int", low, high)`` (both ends included) or a list of values, each as likely."""
+    rng = np.random.default_rng(seed)
+
+    def draw(d):
+        if isinstance(d, list):
+            return d[int(rng.integers(len(d)))]
+        kind, low, high = d
+        if kind == "int":
+            return int(rng.integers(low, high + 1))
+        if kind == "loguniform":
+            return float(math.exp(rng.uniform(math.log(low), math.log(high))))
+        if kind == "uniform":
+            return float(rng.uniform(low, high))
+        raise ValueError(kind)
+
+    return [{name: draw(d) for name, d in distributions.items()} for _ in range(n_iter)]
+
+
+def random_search(df: DataFrame, features: Sequence[str], label: str, kind: str, distributions: dict, n_iter: int = 10, seed: int = 42,
+                  date: str = "date", n_splits: int = 5, parallelism: int = 4) -> DataFrame:
+    """Like ``rolling_cv_search`` over ``n_iter`` seeded draws from parameter distributions."""
+    return _search(df, features, label, kind, draw_params(distributions, n_iter, seed), date, n_splits, parallelism)
+
+
+def concurrently(spark, calls: Sequence, parallelism: int = 4) -> list:
+    """Results of functions that run Spark jobs, in order, ``parallelism`` of them at a time."""
+    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(c)) for c in calls]]
+
+
+def _search(df: DataFrame, features: Sequence[str], label: str, kind: str, candidates: list[dict], date: str, n_splits: int,
+            parallelism: int = 4) -> DataFrame:
+    """Every candidate on every fold as concurrent jobs over one written table of folds.  A fold's preparation is fitted
+    once for all candidates; its metric comes back as one number."""
+    spark = df.sparkSession
+    parts = cut_lineage(df.join(date_folds(df, date, n_splits), date))
+
+    def prepared(k: int):
+        part = parts.where(F.col("fold") == k)
+        steps = Pipeline(stages=feature_pipeline(features)).fit(_labelled(part.where(F.col("role") == "train"), label))
+        return cut_lineage(_labelled(steps.transform(part), label).select(label, "label", "role", "features"))
+
+    folds = concurrently(spark, [functools.partial(prepared, k) for k in range(n_splits)], parallelism)
+
+    def score(params: dict, k: int) -> float:
+        m = make_estimator(kind, **params).fit(folds[k].where(F.col("role") == "train"))
+        p = predict_proba(m, folds[k].where(F.col("role") == "test"), kind).withColumn("target", F.col(label))
+        return ev.classification_metrics(p, []).select("F1_macro").first()[0]
+
+    calls = [(c, k) for c in candidates for k in range(n_splits)]
+    scores = concurrently(spark, [functools.partial(score, c, k) for c, k in calls], parallelism)
+    rows = spark.createDataFrame([(str(c), v) for (c, _), v in zip(calls, scores)], "params string, F1_macro double")
+    return rows.groupBy("params").agg(F.avg("F1_macro").alias("CV_F1_macro"), F.stddev_samp("F1_macro").alias("CV_F1_macro_std"),
                                       F.count(F.lit(1)).alias("folds"))
 
 
+def _labelled(df: DataFrame, label: str) -> DataFrame:
+    return df.withColumn("label", F.col(label).cast("double")).where(F.col("label").isNotNull())
+
+
 def feature_importance(models: dict[str, PipelineModel], features: Sequence[str]) -> DataFrame:
     """Importances normalised per model, averaged over models, sorted."""
     rows = []
@@ -227,27 +275,32 @@ def stacking(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[
     folds), a logistic meta model on them, bases refit on all training rows,
     meta applied to the test rows.  Returns test predictions."""
     df = cut_lineage(df)
+    spark, keys = df.sparkSession, list(keys)
+    params = {"gbt": {"maxIter": 20, "maxDepth": 3}}
     train = df.where(F.col(split).isin("train", "val"))
-    test = df.where(F.col(split) == "test")
-    folds = date_folds(train, date, n_splits)
-    oof = None
-    for k in range(n_splits):
-        part = train.join(folds.where(F.col("fold") == k), date)
-        fit_rows, score_rows = part.where(F.col("role") == "train"), part.where(F.col("role") == "test")
-        cols = None
-        for b in bases:
-            m = fit_model(fit_rows, features, label, b, **({"maxIter": 20, "maxDepth": 3} if b == "gbt" else {}))
-            p = predict_proba(m, score_rows, b, out=f"p_{b}").select(*keys, label, f"p_{b}")
-            cols = p if cols is None else cols.join(p.drop(label), list(keys))
-        oof = cols if oof is None else oof.unionByName(cols)
-    meta_feats = [f"p_{b}" for b in bases]
-    meta = fit_model(oof, meta_feats, label, "logreg", scale=False)
-    tcols = None
-    for b in bases:
-        m = fit_model(train, features, label, b, **({"maxIter": 20, "maxDepth": 3} if b == "gbt" else {}))
-        p = predict_proba(m, test, b, out=f"p_{b}").select(*keys, label, f"p_{b}")
-        tcols = p if tcols is None else tcols.join(p.drop(label), list(keys))
-    return predict_proba(meta, tcols, "logreg").withColumn("target", F.col(label))
+    parts = cut_lineage(train.join(date_folds(train, date, n_splits), date))
+    whole = df.withColumn("role", F.when(F.col(split) == "test", "test").otherwise("train")).where(F.col(split).isin("train", "val", "test"))
+
+    def prepared(part: DataFrame) -> DataFrame:
+        """Imputed and scaled by the part's training rows, once for all bases."""
+        steps = Pipeline(stages=feature_pipeline(features)).fit(_labelled(part.where("role = 'train'"), label))
+        return cut_lineage(steps.transform(part).select(*keys, label, "role", "features"))
+
+    tables = concurrently(spark, [functools.partial(prepared, parts.where(F.col("fold") == k)) for k in range(n_splits)]
+                          + [functools.partial(prepared, whole)])
+
+    def scored(table: DataFrame, base: str) -> DataFrame:
+        m = make_estimator(base, **params.get(base, {})).fit(_labelled(table.where("role = 'train'"), label))
+        p = predict_proba(m, table.where("role = 'test'"), base, out="__p").select(*keys, label, "__p").withColumn("__base", F.lit(base))
+        return cut_lineage(p)
+
+    # one written column of probabilities a table and base; the bases of a row come together by its keys
+    columns = concurrently(spark, [functools.partial(scored, t, b) for t in tables for b in bases])
+    wide = lambda some: functools.reduce(DataFrame.unionByName, some).groupBy(*keys).agg(
+        F.first(label).alias(label), *[F.max(F.when(F.col("__base") == b, F.col("__p"))).alias(f"p_{b}") for b in bases])
+    n = len(bases)
+    meta = fit_model(cut_lineage(wide(columns[:-n])), [f"p_{b}" for b in bases], label, "logreg", scale=False)
+    return predict_proba(meta, wide(columns[-n:]), "logreg").withColumn("target", F.col(label))
 
 
 def pca_variance(df: DataFrame, features: Sequence[str], thresholds=(0.8, 0.9, 0.95, 0.99)) -> DataFrame:

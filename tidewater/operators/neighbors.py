@@ -1,13 +1,15 @@
-"""Nearest-neighbour scoring (survey J14, K01-K02).
+"""Nearest-neighbour scoring (survey J14, K01-K03).
 
-Exact k-NN in blocks: references and queries both stay distributed, packed
-into blocks that meet in an equi-join; each meeting scores its rows with NumPy
-and keeps its local top-k per query, and a window over at most (reference
-blocks x k) candidates per query gives the exact global top-k.
+Exact k-NN join by pivots: references lie in the Voronoi cells of a bounded set of
+pivots, cut into rings by their distance from the pivot and into blocks of bounded
+rows.  A first round looks into the block around each query and gives an upper
+bound of its k-th distance; a second round visits only the blocks that the
+triangle inequality can't exclude under that bound.
 """
 
 from __future__ import annotations
 
+import math
 from typing import Iterator
 
 import numpy as np
@@ -15,7 +17,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-__all__ = ["dimension_stats", "knn_topk", "knn_score", "loo_attribution", "local_surrogate"]
+from tidewater.session import cut_lineage
+
+__all__ = ["dimension_stats", "knn_topk", "knn_evaluations", "knn_score", "loo_attribution", "local_surrogate"]
+
+#: Pivots (the square root of the references, at most so many), rows of a reference block and of a query chunk.
+MOST_PIVOTS = 512
+REF_ROWS = 8192
+QUERY_ROWS = 1024
+#: Relative allowance for rounding in the bounds; it only lets in more candidates.
+SLACK = 1e-9
 
 
 def dimension_stats(refs: DataFrame, vec: str = "embedding") -> DataFrame:
@@ -26,70 +37,204 @@ def dimension_stats(refs: DataFrame, vec: str = "embedding") -> DataFrame:
     return a.select("dim", "mean", F.when(F.col("__s") == 0, F.lit(1.0)).otherwise(F.col("__s")).alias("std"))
 
 
-def _blocks(df: DataFrame, id_col: str, fields: list, rows: int, name: str) -> tuple[DataFrame, int]:
-    """(name, members): rows packed by a hash of their id into blocks of about ``rows``."""
-    n = max(1, -(-df.count() // rows))
-    block = F.pmod(F.xxhash64(id_col), F.lit(n)).alias(name)
-    return df.select(block, F.struct(*fields).alias("m")).groupBy(name).agg(F.collect_list("m").alias(f"{name}_rows")), n
+class _Space:
+    """Standardised RMS distance and the cells of the pivots: what every task needs, bounded by
+    ``MOST_PIVOTS`` and the vectors' width."""
+
+    def __init__(self, mean, std, pivots):
+        self.mean, self.std = mean, std
+        self.pivots = self.standard(pivots)
+
+    def standard(self, vectors) -> np.ndarray:
+        x = np.array(list(vectors), dtype=np.float64)
+        return x if self.mean is None else (x - self.mean) / self.std
+
+    @staticmethod
+    def distances(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+        out = np.empty((len(a), len(x)))
+        step = max(1, (4 << 20) // max(1, x.size))  # bounds the (rows x rows x dims) buffer
+        for s in range(0, len(a), step):
+            out[s:s + step] = np.sqrt(((a[s:s + step, None, :] - x[None, :, :]) ** 2).mean(axis=2))
+        return out
+
+    def with_cells(self, rows: list, ref_rows: int) -> None:
+        """``rows``: (cell, n, low, high) of the cells that hold references."""
+        n = len(self.pivots)
+        self.count, self.low, self.high = np.zeros(n), np.full(n, np.inf), np.zeros(n)
+        for cell, rows_in, low, high in rows:
+            self.count[cell], self.low[cell], self.high[cell] = rows_in, low, high
+        self.rings = np.maximum(1, np.ceil(self.count / ref_rows))
+        self.width = np.where(self.high > 0, self.high / self.rings, 1.0)
+
+    def ring(self, cell, dist):
+        return np.clip(np.floor(dist / self.width[cell]), 0, self.rings[cell] - 1).astype(np.int64)
+
+    def first_bound(self, d: np.ndarray, k: int) -> np.ndarray:
+        """For rows of pivot distances, a distance within which k references surely lie: every reference of a
+        cell is at most (distance of its pivot + radius of the cell) away."""
+        far = d + self.high
+        order = np.argsort(far, axis=1)
+        enough = np.cumsum(self.count[order], axis=1) >= k
+        first = np.argmax(enough, axis=1)
+        bound = np.take_along_axis(far, order, axis=1)[np.arange(len(d)), first]
+        return np.where(enough.any(axis=1), bound, np.inf)
+
+    def visits(self, d: np.ndarray, bound: float) -> list[tuple[int, int, int]]:
+        """(cell, first ring, last ring) that may hold a reference within ``bound`` of a query whose pivot distances are
+        ``d``: by the triangle inequality through the cell's pivot, and as a reference of a cell is no nearer to
+        the query's own pivot than to the cell's."""
+        reach = bound * (1 + SLACK) + SLACK
+        nearest = np.maximum.reduce([d - self.high, self.low - d, (d - d.min()) / 2])
+        cells = np.flatnonzero((nearest <= reach) & (self.count > 0))
+        inner = np.maximum(self.low[cells], d[cells] - reach) * (1 - SLACK)
+        outer = np.minimum(self.high[cells], d[cells] + reach) * (1 + SLACK)
+        return list(zip(cells.tolist(), self.ring(cells, inner).tolist(), self.ring(cells, outer).tolist()))
+
+
+def _type(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.simpleString()
+
+
+def _meetings(refs: DataFrame, queries: DataFrame, k: int, id_col: str, vec: str, outcome: str, query_id: str,
+              scale: bool, self_id: str | None, query_rows: int, ref_rows: int) -> tuple[DataFrame, _Space]:
+    """Rows (query chunk, reference block) of the second round: every pair that the bounds leave open."""
+    refs, queries = refs.where(F.col(vec).isNotNull()), queries.where(F.col(vec).isNotNull())
+    dims = dimension_stats(refs, vec).orderBy("dim").collect()  # one row per dimension (bounded by width)
+    mean = np.array([r["mean"] for r in dims]) if scale else None
+    std = np.array([r["std"] for r in dims]) if scale else None
+    n_pivots = min(MOST_PIVOTS, max(1, math.isqrt(refs.count())))
+    pivots = refs.orderBy(F.xxhash64(id_col), id_col).select(vec).limit(n_pivots).collect()
+    space = _Space(mean, std, [r[vec] for r in pivots]) if pivots else None
+    own = F.lit(None).cast(_type(refs, id_col)) if self_id is None else F.col(self_id)
+    q = queries.select(F.col(query_id).alias("i"), F.col(vec).cast("array<double>").alias("v"), own.alias("s"))
+    r = refs.select(F.col(id_col).alias("i"), F.col(vec).cast("array<double>").alias("v"), F.col(outcome).alias("y"))
+    q_type, r_type, y_type = _type(queries, query_id), _type(refs, id_col), _type(refs, outcome)
+
+    def place(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            if len(pdf):
+                d = space.distances(space.standard(pdf["v"]), space.pivots)
+                cell = d.argmin(axis=1)
+                yield pdf.assign(cell=cell, dist=d[np.arange(len(d)), cell])
+
+    if space is None:  # no reference at all
+        none = q.limit(0).select(F.array(F.struct("i", "v", "s", F.lit(0.0).alias("bound"), F.lit(0.0).alias("d"))).alias("qs"))
+        return none.withColumn("rs", F.array(F.struct(F.lit(None).cast(r_type).alias("i"), F.lit(None).cast("array<double>").alias("v"),
+                                                      F.lit(None).cast(y_type).alias("y"), F.lit(0.0).alias("dist")))), space
+    placed = cut_lineage(r.mapInPandas(place, f"i {r_type}, v array<double>, y {y_type}, cell int, dist double"))
+    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high"))
+    space.with_cells([tuple(c) for c in cells.collect()], ref_rows)  # a row per pivot at most
+    array = lambda values: F.lit([float(x) for x in values])
+    ring = F.least(F.floor(F.col("dist") / F.get(array(space.width), F.col("cell"))), F.get(array(space.rings), F.col("cell")).cast("long") - 1)
+    placed = placed.withColumn("ring", ring)
+    # a ring is cut by a hash of the id where it holds more rows than a block (copies of one vector share a ring)
+    crowds = placed.groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("n")).withColumn("subs", F.ceil(F.col("n") / ref_rows)).drop("n")
+    blocks = (placed.join(crowds, ["cell", "ring"]).withColumn("sub", F.pmod(F.xxhash64("i"), F.col("subs")))
+              .groupBy("cell", "ring", "sub").agg(F.collect_list(F.struct("i", "v", "y", "dist")).alias("rs")))
+    kk = int(k) + (self_id is not None)
+    fields = f"i {q_type}, v array<double>, s {r_type}"
+
+    def around(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The block around each query and a bound from the cells alone."""
+        for pdf in it:
+            if len(pdf):
+                d = space.distances(space.standard(pdf["v"]), space.pivots)
+                home = np.where(space.count > 0, d, np.inf).argmin(axis=1)
+                dist = d[np.arange(len(d)), home]
+                yield pdf.assign(cell=home, ring=space.ring(home, dist), bound=space.first_bound(d, kk))
+
+    near = q.mapInPandas(around, fields + ", cell int, ring long, bound double")
+    chunk = F.pmod(F.xxhash64("i"), F.lit(max(1, -(-queries.count() // query_rows))))
+    pairs = near.groupBy("cell", "ring", chunk.alias("chunk")).agg(
+        F.collect_list(F.struct("i", "v", "s", "bound")).alias("qs"))
+    first = pairs.join(blocks.where("sub = 0").drop("sub"), ["cell", "ring"], "left").select("qs", "rs")
+
+    def bounds(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """First round: the k-th distance within the block, where it is less."""
+        for pdf in it:
+            for qs, rs in zip(pdf["qs"], pdf["rs"]):
+                bound = np.array([m["bound"] for m in qs])
+                if rs is not None and len(rs) >= kk:
+                    d = space.distances(space.standard(m["v"] for m in qs), space.standard(m["v"] for m in rs))
+                    bound = np.minimum(bound, np.partition(d, kk - 1, axis=1)[:, kk - 1])
+                yield pd.DataFrame({"i": [m["i"] for m in qs], "v": [m["v"] for m in qs], "s": [m["s"] for m in qs], "bound": bound})
+
+    def spread(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Second round: the rings that each query visits."""
+        for pdf in it:
+            for a in range(0, len(pdf), 256):
+                part = pdf.iloc[a:a + 256]
+                d = space.distances(space.standard(part["v"]), space.pivots)
+                out = [(n, cell, ring, d[n, cell]) for n, bound in enumerate(part["bound"])
+                       for cell, low, high in space.visits(d[n], bound) for ring in range(low, high + 1)]
+                if out:
+                    n, cell, ring, own_d = (np.array(c) for c in zip(*out))
+                    yield part.iloc[n].assign(cell=cell, ring=ring, d=own_d)
+
+    bounded = cut_lineage(first.mapInPandas(bounds, fields + ", bound double"))
+    visits = bounded.mapInPandas(spread, fields + ", bound double, cell int, ring long, d double").join(crowds, ["cell", "ring"])
+    visits = visits.withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)))
+    chunks = visits.groupBy("cell", "ring", "sub", chunk.alias("chunk")).agg(
+        F.collect_list(F.struct("i", "v", "s", "bound", "d")).alias("qs"))
+    return chunks.join(blocks, ["cell", "ring", "sub"]).select("qs", "rs"), space
+
+
+def _open_pairs(qs, rs):
+    """For each query of a chunk the block's references in the ring |distance from the pivot - its own| <= bound."""
+    dist = np.array([m["dist"] for m in rs])
+    for m in qs:
+        reach = m["bound"] * (1 + SLACK) + SLACK
+        yield m, np.flatnonzero(np.abs(dist - m["d"]) <= reach)
 
 
 def knn_topk(refs: DataFrame, queries: DataFrame, k: int, id_col: str, vec: str, outcome: str,
-             query_id: str = "query_id", scale: bool = True, query_rows: int = 1024, ref_rows: int = 8192,
-             self_id: str | None = None) -> DataFrame:
+             query_id: str = "query_id", scale: bool = True, self_id: str | None = None, query_rows: int = QUERY_ROWS,
+             ref_rows: int = REF_ROWS) -> DataFrame:
     """Exact top-k neighbours per query by standardised RMS distance.
 
     Returns (query_id, ref id, distance, outcome, rank).  Ties break on the
     reference id.  ``self_id`` names the queries' column with the id of the reference
-    that is the query's own row and no neighbour of it.  Both sides stay distributed: they are packed into blocks,
-    every reference block meets every query block in an equi-join on (query
-    block, salt), where query blocks are copied to enough salts to occupy the
-    session's shuffle partitions, and each meeting keeps its local top-k.
+    that is the query's own row and no neighbour of it.  Rows without a vector are in no
+    result.  Both sides stay distributed; the driver holds the pivots and a row per cell.
     """
-    spark = refs.sparkSession
-    dims = dimension_stats(refs, vec).orderBy("dim").collect()  # one row per dimension (bounded by width)
-    mean = np.array([r["mean"] for r in dims]) if scale else None
-    std = np.array([r["std"] for r in dims]) if scale else None
-    own = F.lit(None).cast(refs.schema[id_col].dataType) if self_id is None else F.col(self_id)
-    q, nq = _blocks(queries, query_id, [F.col(query_id).alias("i"), F.col(vec).cast("array<double>").alias("v"), own.alias("s")],
-                    query_rows, "qb")
-    r, nr = _blocks(refs, id_col, [F.col(id_col).alias("i"), F.col(vec).cast("array<double>").alias("v"),
-                                   F.col(outcome).alias("y")], ref_rows, "rb")
-    salts = min(nr, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // nq))
-    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    r = r.withColumn("salt", F.pmod("rb", F.lit(salts)).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))))
+    meetings, space = _meetings(refs, queries, k, id_col, vec, outcome, query_id, scale, self_id, query_rows, ref_rows)
     kk = int(k) + (self_id is not None)
 
     def local_topk(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            for qs, rs in zip(pdf["qb_rows"], pdf["rb_rows"]):
-                a = np.array([m["v"] for m in qs], dtype=np.float64)
-                x = np.array([m["v"] for m in rs], dtype=np.float64)
-                if mean is not None:
-                    a, x = (a - mean) / std, (x - mean) / std
+            for qs, rs in zip(pdf["qs"], pdf["rs"]):
+                x, a = space.standard(m["v"] for m in rs), space.standard(m["v"] for m in qs)
                 ids, y = np.array([m["i"] for m in rs]), np.array([m["y"] for m in rs])
-                by_id = np.argsort(ids, kind="stable")  # ties of the distance break on the id
-                ids, y, x = ids[by_id], y[by_id], x[by_id]
-                take = min(kk, len(x))
-                for s0 in range(0, len(a), 16):  # bounds the (queries x rows x dims) buffer
-                    d = np.sqrt(((a[s0:s0 + 16, None, :] - x[None, :, :]) ** 2).mean(axis=2))
-                    top = np.argsort(d, axis=1, kind="stable")[:, :take]
-                    out = pd.DataFrame({"__qid": np.repeat([m["i"] for m in qs[s0:s0 + 16]], take), "__rid": ids[top].ravel(),
-                                        "distance": np.take_along_axis(d, top, axis=1).ravel(), "__y": y[top].ravel()})
-                    if self_id is not None:
-                        out = out[out["__rid"].to_numpy() != np.repeat([m["s"] for m in qs[s0:s0 + 16]], take)]
-                    yield out
-
-    schema = f"__qid {queries.schema[query_id].dataType.simpleString()}, " \
-             f"__rid {refs.schema[id_col].dataType.simpleString()}, distance double, " \
-             f"__y {refs.schema[outcome].dataType.simpleString()}"
-    cand = r.join(q, ["qb", "salt"]).select("qb_rows", "rb_rows").mapInPandas(local_topk, schema)
-    w = Window.partitionBy("__qid").orderBy("distance", "__rid")  # <= reference blocks x k rows per query
-    top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+                for n, (m, rows) in enumerate(_open_pairs(qs, rs)):
+                    d = space.distances(a[n:n + 1], x[rows])[0]
+                    best = np.lexsort((ids[rows], d))[:kk]  # ties of the distance break on the id
+                    keep = best[d[best] <= m["bound"] * (1 + SLACK) + SLACK]
+                    out = pd.DataFrame({"__qid": [m["i"]] * len(keep), "__rid": ids[rows][keep], "distance": d[keep], "__y": y[rows][keep]})
+                    yield out[out["__rid"] != m["s"]] if self_id is not None else out
+
+    schema = f"__qid {_type(queries, query_id)}, __rid {_type(refs, id_col)}, distance double, __y {_type(refs, outcome)}"
+    w = Window.partitionBy("__qid").orderBy("distance", "__rid")  # <= visited blocks x k rows per query
+    top = meetings.mapInPandas(local_topk, schema).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top.select(F.col("__qid").alias(query_id), F.col("__rid").alias(id_col), "distance",
                       F.col("__y").alias(outcome), "rank")
 
 
+def knn_evaluations(refs: DataFrame, queries: DataFrame, k: int, id_col: str, vec: str, outcome: str,
+                    query_id: str = "query_id", scale: bool = True, self_id: str | None = None, query_rows: int = QUERY_ROWS,
+                    ref_rows: int = REF_ROWS) -> DataFrame:
+    """(query_id, evaluated): the distances that the second round of ``knn_topk`` computes for each query."""
+    meetings, _ = _meetings(refs, queries, k, id_col, vec, outcome, query_id, scale, self_id, query_rows, ref_rows)
+
+    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for qs, rs in zip(pdf["qs"], pdf["rs"]):
+                out = [(m["i"], len(rows)) for m, rows in _open_pairs(qs, rs)]
+                yield pd.DataFrame({"i": [o[0] for o in out], "n": [o[1] for o in out]})
+
+    n = meetings.mapInPandas(count, f"i {_type(queries, query_id)}, n long")
+    return n.groupBy(F.col("i").alias(query_id)).agg(F.sum("n").alias("evaluated"))
+
+
 def knn_score(refs: DataFrame, queries: DataFrame, k: int, id_col: str, vec: str, outcome: str,
               query_id: str = "query_id", min_dist: float = 0.05, self_id: str | None = None) -> DataFrame:
     """Weighted mean outcome of the k nearest references; weight

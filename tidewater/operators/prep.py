@@ -14,6 +14,9 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.functions.joins import join_null_safe
+from tidewater.session import cut_lineage
+
 __all__ = [
     "fit_minmax", "apply_minmax", "fit_standard", "apply_standard", "fit_robust", "apply_robust",
     "fit_median", "apply_impute", "yeo_johnson", "fit_yeo_johnson", "apply_yeo_johnson", "split_by_date",
@@ -101,28 +104,35 @@ def yeo_johnson(x: Column, lam: Column) -> Column:
 
 
 def fit_yeo_johnson(long: DataFrame, fit_where: Column | None = None, group=("feature",), value="value",
-                    grid: Sequence[float] | None = None) -> DataFrame:
+                    low: float = -5.0, high: float = 5.0, points: int = 17, tolerance: float = 2e-5) -> DataFrame:
     """Lambda maximising the Yeo-Johnson profile log-likelihood
-    ``-n/2 ln(var(y)) + (lambda - 1) sum(sign(x) ln(|x| + 1))`` over a grid
-    (default -3..3 step 0.05; grid MLE, not a continuous optimiser — stated).
+    ``-n/2 ln(var(y)) + (lambda - 1) sum(sign(x) ln(|x| + 1))`` between ``low`` and ``high``.
 
-    Rows fan out over the bounded grid inside the map stage and collapse in
-    the partial aggregation, so only (feature, lambda) sums are shuffled.
+    The likelihood has one maximum, so it is bracketed: every round evaluates ``points`` equally spaced lambdas of
+    each group's bracket in one aggregation over all groups and keeps the two intervals around the best one,
+    until a bracket is narrower than ``tolerance`` (7 rounds by default).  Fit rows are written once; rows don't fan out.
     """
-    grid = list(grid) if grid is not None else [round(-3.0 + 0.05 * i, 2) for i in range(121)]
-    d = _fit_rows(long, fit_where, value)
-    d = d.withColumn("lam", F.explode(F.array(*[F.lit(float(g)) for g in grid])))
-    y = yeo_johnson(F.col(value), F.col("lam"))
-    a = d.groupBy(*group, "lam").agg(F.count(F.lit(1)).alias("n"), F.var_pop(y).alias("__v"),
-                                     F.sum(F.signum(value) * F.log1p(F.abs(value))).alias("__s"))
-    ll = -F.col("n").cast("double") / 2.0 * F.log(F.col("__v")) + (F.col("lam") - 1.0) * F.col("__s")
-    a = a.withColumn("loglik", F.when(F.col("__v") > 0, ll))
-    best = a.groupBy(*group).agg(F.max_by("lam", F.struct(F.col("loglik"), -F.col("lam"))).alias("lambda"))
+    group = list(group)
+    d = cut_lineage(_fit_rows(long, fit_where, value).select(*group, F.col(value).cast("double").alias("__x")))
+    brackets = d.groupBy(*group).agg(F.count("__x").alias("__n"), F.sum(F.signum("__x") * F.log1p(F.abs("__x"))).alias("__s"))
+    brackets = cut_lineage(brackets.withColumns({"__lo": F.lit(float(low)), "__hi": F.lit(float(high))}))
+    width = high - low
+    while width > tolerance:
+        step = (F.col("__hi") - F.col("__lo")) / (points - 1)
+        trial = [F.col("__lo") + step * j for j in range(points)]
+        j = join_null_safe(d, brackets, group)  # a row per group
+        spread = j.groupBy(*group).agg(*[F.var_pop(yeo_johnson(F.col("__x"), t)).alias(f"__v{i}") for i, t in enumerate(trial)])
+        both = join_null_safe(brackets, spread, group)
+        fits = [F.struct(F.when(F.col(f"__v{i}") > 0, -F.col("__n") / 2.0 * F.log(F.col(f"__v{i}")) + (t - 1.0) * F.col("__s")).alias("ll"),
+                         (-t).alias("t")) for i, t in enumerate(trial)]
+        best = -F.array_max(F.array(*fits))["t"]
+        brackets = cut_lineage(both.select(*group, "__n", "__s", F.greatest("__lo", best - step).alias("__lo"),
+                                           F.least("__hi", best + step).alias("__hi")))
+        width = width * 2 / (points - 1)
+    best = brackets.select(*group, ((F.col("__lo") + F.col("__hi")) / 2).alias("lambda"))
     # standardisation parameters of the transformed train values
-    t = _fit_rows(long, fit_where, value).join(F.broadcast(best), list(group))  # one row per feature
-    ty = yeo_johnson(F.col(value), F.col("lambda"))
-    s = t.groupBy(*group).agg(F.first("lambda").alias("lambda"), F.avg(ty).alias("mean"),
-                              F.stddev_pop(ty).alias("__s"))
+    ty = yeo_johnson(F.col("__x"), F.col("lambda"))
+    s = join_null_safe(d, best, group).groupBy(*group).agg(F.first("lambda").alias("lambda"), F.avg(ty).alias("mean"), F.stddev_pop(ty).alias("__s"))
     return s.select(*group, "lambda", "mean", F.when(F.col("__s") == 0, 1.0).otherwise(F.col("__s")).alias("std"))
 
 

@@ -12,9 +12,11 @@
 3. the state is joined back: ``y_t = (1-a)^(k_t+1) S_b + B_t``.
 
 ``prefix_sum`` applies the same idea to running sums over any monotone
-bucket expression (used for global ranks and ECDFs).
+bucket expression (used for global ranks and ECDFs), ``running`` to any
+associative scan (sum, product, running extremes, last non-null value, row
+number, lag) with buckets that follow the rows of each key.
 
-Both scans read their partitioned input twice (summary and join back).
+The scans read their partitioned input twice (summary and join back).
 Nothing is persisted: equal exchanges are reused by the planner, and callers
 reduce their input (histograms, daily panels) before a scan.
 """
@@ -22,15 +24,18 @@ reduce their input (histograms, daily panels) before a scan.
 from __future__ import annotations
 
 import math
+import re
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.joins import join_null_safe
-from tidewater.operators.calendar import time_bucket
 
-__all__ = ["ewm_mean", "prefix_sum", "alpha_from_span"]
+__all__ = ["ewm_mean", "prefix_sum", "running", "volume_bucket", "alpha_from_span"]
+
+#: Rows of a key that one task scans at most (about), where buckets follow the rows.
+ROWS_PER_BUCKET = 100_000
 
 
 def alpha_from_span(span: float) -> float:
@@ -52,6 +57,7 @@ def ewm_mean(df: DataFrame, x: str, out, alpha: float | None = None, keys="serie
     many rows that ``(1-alpha)^-rows`` stays finite, so series of any density
     give finite results.
     """
+    from tidewater.operators.calendar import time_bucket
     keys = _keys(keys)
     specs = dict(out) if isinstance(out, dict) else {out: alpha}
     direct = {o: a for o, a in specs.items() if a >= 1.0}
@@ -128,3 +134,124 @@ def prefix_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket:
     for o in sums:
         d = d.withColumn(o, F.col(f"__car_{o}") + F.col(f"__loc_{o}"))
     return d.drop("__pb", *[f"__loc_{o}" for o in sums], *[f"__car_{o}" for o in sums])
+
+
+def monotone(df: DataFrame, col: str) -> Column:
+    """A number that rises with a date, timestamp or numeric column."""
+    kind = df.schema[col].dataType.typeName()
+    c = F.col(col)
+    if kind == "date":
+        return F.unix_date(c).cast("double")
+    if kind == "timestamp":
+        return F.unix_micros(c).cast("double")
+    if kind == "timestamp_ntz":  # by its fields: no time zone, so no repeated hours
+        days = F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date"))
+        return days * 86400.0 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+    return c.cast("double")
+
+
+def volume_bucket(df: DataFrame, keys: Sequence[str], order: str, rows: int = ROWS_PER_BUCKET, out: str = "__b") -> DataFrame:
+    """Adds ``out``: buckets of the order column, rising with it, of about ``rows`` rows in every key.
+
+    Only keys with more than ``rows`` rows are cut (into equal stretches of the order column), so the joined
+    table has at most one row per ``rows`` input rows; all rows of another key are bucket 0, those
+    without an order value bucket -1."""
+    x = monotone(df, order)
+    heavy = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min(x).alias("__lo"), F.max(x).alias("__hi"))
+             .where(F.col("__n") > rows).withColumn("__parts", F.ceil(F.col("__n") / rows)).drop("__n"))
+    d = join_null_safe(df, heavy, list(keys), "left")
+    part = F.floor(F.try_divide(x - F.col("__lo"), F.col("__hi") - F.col("__lo")) * F.col("__parts"))
+    bucket = F.when(x.isNull(), F.lit(-1)).when(F.col("__parts").isNull(), F.lit(0)).otherwise(
+        F.coalesce(F.least(part, F.col("__parts") - 1), F.lit(0)))
+    return d.withColumn(out, bucket.cast("long")).drop("__lo", "__hi", "__parts")
+
+
+#: kind -> (local aggregate over the rows so far, aggregate of a bucket, how the buckets before and the bucket combine)
+_MONOIDS = {
+    "sum": (F.sum, F.sum, lambda before, here: F.coalesce(before + here, here, before)),
+    "count": (F.count, F.sum, lambda before, here: F.coalesce(before, F.lit(0)) + here),
+    "product": (F.product, F.product, lambda before, here: F.coalesce(before * here, here, before)),
+    "max": (F.max, F.max, lambda before, here: F.greatest(before, here)),
+    "min": (F.min, F.min, lambda before, here: F.least(before, here)),
+}
+
+
+def running(df: DataFrame, specs: dict[str, tuple], keys="series_id", order="date", bucket=None,
+            descending: bool = False, rows: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Associative scans of a series that no task has to sort as a whole.
+
+    ``specs`` names the outputs: ``(kind, column)`` with kind sum, count, product, max, min or last (the last
+    non-null value so far, this row included), ``("row",)`` for the row number from 1, and ``("lag", column, k, default)`` for the value
+    k rows before.  Rows are scanned inside (keys, bucket); one row per bucket carries the result of the
+    buckets before.  ``bucket`` is a column that never falls along ``order``; without it buckets hold about
+    ``rows`` rows.  All outputs share one sort.  The carrying window sees one row per bucket only.
+    ``descending`` scans from the end.  Null keys are a series; nulls of the first order column come first (last when descending).
+    """
+    keys, order = _keys(keys), _keys(order)
+    taken = [c for c in specs if c in df.columns]
+    d = df.withColumn("__b", bucket) if bucket is not None else volume_bucket(df, keys, order[0], rows)
+    # inputs by number: an output may have the name of a column that it reads
+    value = lambda s: F.col(s[1]) if isinstance(s[1], str) else s[1]
+    names = list(specs)
+    d = d.withColumns({f"__x{i}": value(specs[o]) for i, o in enumerate(names) if specs[o][0] != "row"})
+    by = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
+    w = Window.partitionBy(*keys, "__b").orderBy(*by)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    local, total = {}, []
+    for i, o in enumerate(names):
+        kind, x = specs[o][0], F.col(f"__x{i}")
+        if kind == "row":
+            local[f"__l{i}"] = F.row_number().over(w).cast("long")
+            total.append(F.count(F.lit(1)).alias(f"__t{i}"))
+        elif kind == "last":
+            local[f"__l{i}"] = F.last(x, ignorenulls=True).over(so_far)
+            at = F.struct(*[F.col(c) for c in order], x.alias("__v"))
+            total.append((F.min if descending else F.max)(F.when(x.isNotNull(), at))["__v"].alias(f"__t{i}"))
+        elif kind == "lag":
+            k = specs[o][2]
+            local[f"__l{i}"] = F.lag(F.struct(x.alias("v")), k).over(w)
+            local[f"__p{i}"] = F.row_number().over(w)
+            local[f"__e{i}"] = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(
+                *[F.col(c).asc() if descending else F.col(c).desc() for c in order]))
+            # the last k rows of a bucket, first to last
+            tail = F.sort_array(F.collect_list(F.when(F.col(f"__e{i}") <= k, F.struct((-F.col(f"__e{i}")).alias("e"), x.alias("v")))))
+            total.append(tail.alias(f"__t{i}"))
+        else:
+            local[f"__l{i}"] = _MONOIDS[kind][0](x).over(so_far)
+            total.append((F.count(x) if kind == "count" else _MONOIDS[kind][1](x)).alias(f"__t{i}"))
+    d = d.withColumns(local)
+    next_bucket = F.col("__b").desc() if descending else F.col("__b").asc()
+    of_key = Window.partitionBy(*keys).orderBy(next_bucket)  # one row per bucket
+    before = of_key.rowsBetween(Window.unboundedPreceding, -1)
+    carry = []
+    for i, o in enumerate(names):
+        kind, t = specs[o][0], F.col(f"__t{i}")
+        if kind == "last":
+            carry.append(F.last(t, ignorenulls=True).over(before))
+        elif kind == "lag":  # each bucket has a row at least, so the k rows before lie in the k buckets before
+            carry.append(F.flatten(F.collect_list(t).over(of_key.rowsBetween(-specs[o][2], -1))))
+        else:
+            carry.append((F.sum if kind == "row" else _MONOIDS[kind][1])(t).over(before))
+    carry = [c.alias(f"__c{i}") for i, c in enumerate(carry)]
+    states = d.groupBy(*keys, "__b").agg(*total).select(*keys, "__b", *carry)
+    d = join_null_safe(d, states, [*keys, "__b"], "left")
+    out = {}
+    for i, o in enumerate(names):
+        kind, here, prior = specs[o][0], F.col(f"__l{i}"), F.col(f"__c{i}")
+        if kind == "row":
+            out[o] = F.coalesce(prior, F.lit(0)) + here
+        elif kind == "last":
+            out[o] = F.coalesce(here, prior)
+        elif kind == "lag":
+            _, _, k, *default = specs[o]
+            at = F.size(prior) - k + F.col(f"__p{i}")  # from 1, in the tail of the rows before
+            far = F.when(at >= 1, F.get(prior, at - 1)["v"]).otherwise(F.lit(default[0] if default else None))
+            out[o] = F.when(F.col(f"__p{i}") > k, here["v"]).otherwise(far)
+        else:
+            out[o] = _MONOIDS[kind][2](prior, here)
+    d = d.withColumns({f"__o{i}": out[o] for i, o in enumerate(names)})
+    scratch = re.compile(r"__(b|[xlpectx]\d+)$")
+    kept = [c for c in d.columns if not scratch.match(c) and c not in taken and not re.match(r"__o\d+$", c)]
+    columns = [c for c in df.columns if c in kept or c in taken]
+    return d.select(*[F.col(f"__o{names.index(c)}").alias(c) if c in taken else F.col(c) for c in columns],
+                    *[F.col(f"__o{i}").alias(o) for i, o in enumerate(names) if o not in taken])

@@ -17,7 +17,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewater.functions.joins import join_null_safe
 from tidewater.operators.features import corr_expr
@@ -26,13 +25,19 @@ from tidewater.operators.scan import prefix_sum
 __all__ = [
     "value_bucket", "average_ranks", "pearson_spearman", "ks_two_sample", "kolmogorov_p", "mann_whitney",
     "normal_two_sided_p", "cohens_d", "binned_mi", "jarque_bera", "ljung_box", "vif", "max_normalise",
-    "feature_scores", "kpss_level", "adf_fixed_lag", "adf_auto", "pacf_from_acf", "qq_points", "greedy_prune",
+    "feature_scores", "kpss_level", "adf_fixed_lag", "adf_auto", "pacf_from_acf", "qq_points", "greedy_prune", "inverse_normal",
+    "adf_p", "kpss_p", "stationarity_verdict", "average_linkage", "feature_clusters",
 ]
 
 
+#: Most buckets of a group; a bucket is the stretch of distinct values that one task scans.
+MOST_BUCKETS = 512
+
+
 def default_buckets(df: DataFrame) -> int:
-    """Buckets per group that keep every shuffle partition of the session busy."""
-    return max(128, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Buckets per group: two a shuffle partition of the session, between 128 and ``MOST_BUCKETS``.  The cuts are an array that
+    every row is compared with, so their number must not follow the size of a cluster."""
+    return max(128, min(MOST_BUCKETS, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def value_bucket(df: DataFrame, group: Sequence[str], value: str, buckets: int | None = None,
@@ -429,23 +434,145 @@ def pacf_from_acf(acf: DataFrame, keys: Sequence[str] = ("series_id",)) -> DataF
     return acf.groupBy(*keys).applyInPandas(dl, schema)
 
 
-@F.pandas_udf(T.DoubleType())
-def _inv_norm(p: pd.Series) -> pd.Series:
-    from statistics import NormalDist
-    nd = NormalDist()
-    return p.map(lambda v: nd.inv_cdf(v) if pd.notna(v) and 0.0 < v < 1.0 else np.nan)
+#: The published rational approximations of the inverse normal (algorithm AS 241, about 16 digits):
+#: numerator and denominator by rising powers, for the middle, the shoulders and the tails.
+INVERSE_NORMAL = (
+    ((3.3871328727963666080, 133.14166789178437745, 1971.5909503065514427, 13731.693765509461125, 45921.953931549871457,
+      67265.770927008700853, 33430.575583588128105, 2509.0809287301226727),
+     (1.0, 42.313330701600911252, 687.18700749205790830, 5394.1960214247511077, 21213.794301586595867, 39307.895800092710610,
+      28729.085735721942674, 5226.4952788528545610)),
+    ((1.42343711074968357734, 4.63033784615654529590, 5.76949722146069140550, 3.64784832476320460504, 1.27045825245236838258,
+      0.241780725177450611770, 0.0227238449892691845833, 7.74545014278341407640e-4),
+     (1.0, 2.05319162663775882187, 1.67638483018380384940, 0.689767334985100004550, 0.148103976427480074590,
+      0.0151986665636164571966, 5.47593808499534494600e-4, 1.05075007164441684324e-9)),
+    ((6.65790464350110377720, 5.46378491116411436990, 1.78482653991729133580, 0.296560571828504891230, 0.0265321895265761230930,
+      1.24266094738807843860e-3, 2.71155556874348757815e-5, 2.01033439929228813265e-7),
+     (1.0, 0.599832206555887937690, 0.136929880922735805310, 0.0148753612908506148525, 7.86869131145613259100e-4,
+      1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15)),
+)
+
+
+def inverse_normal(p: Column) -> Column:
+    """Quantile of the standard normal distribution for 0 < p < 1 (else NULL), as a JVM-side expression."""
+    def ratio(part: int, x: Column) -> Column:
+        top, bottom = (F.lit(c[-1]) for c in INVERSE_NORMAL[part])
+        for a, b in zip(reversed(INVERSE_NORMAL[part][0][:-1]), reversed(INVERSE_NORMAL[part][1][:-1])):
+            top, bottom = top * x + a, bottom * x + b
+        return top / bottom
+
+    q = p - 0.5
+    r = F.sqrt(-F.log(F.least(p, 1.0 - p)))
+    tail = F.when(r <= 5.0, ratio(1, r - 1.6)).otherwise(ratio(2, r - 5.0))
+    value = F.when(F.abs(q) <= 0.425, q * ratio(0, F.lit(0.180625) - q * q)).otherwise(F.signum(q) * tail)
+    return F.when((p > 0) & (p < 1), value)
 
 
 def qq_points(long: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """T-19: (value, plotting position (rank - 0.5)/n, normal quantile) per
-    distinct value and group; the inverse normal runs vectorised on the
-    reduced distinct-value table."""
+    distinct value and group, on the reduced distinct-value table."""
     group = list(group)
     h = average_ranks(long, group, value)
-    w = Window.partitionBy(*group) if group else Window.partitionBy()
-    h = h.withColumn("__n", F.sum("__cnt").over(w))
-    h = h.withColumn("p", (F.col("avg_rank") - 0.5) / F.col("__n").cast("double"))
-    return h.select(*group, value, F.col("__cnt").alias("count"), "p", _inv_norm("p").alias("normal_quantile"))
+    n = long.where(F.col(value).isNotNull()).groupBy(*group).agg(F.count(F.lit(1)).cast("double").alias("__n"))
+    h = join_null_safe(h, n, group).withColumn("p", (F.col("avg_rank") - 0.5) / F.col("__n"))
+    return h.select(*group, value, F.col("__cnt").alias("count"), "p", inverse_normal(F.col("p")).alias("normal_quantile"))
+
+
+#: Published response surface of the Dickey-Fuller p-value (constant, one series): limits of the statistic,
+#: the border of its two branches, and their coefficients by rising powers; the normal distribution of the polynomial is p.
+ADF_LOW, ADF_HIGH, ADF_BORDER = -18.83, 2.74, -1.61
+ADF_SMALL_P = (2.1659, 1.4412, 0.038269)
+ADF_LARGE_P = (1.7339, 0.93202, -0.12745, -0.010368)
+
+
+def normal_cdf(z: Column) -> Column:
+    return F.when(z > 0, 1.0 - normal_two_sided_p(z) / 2.0).otherwise(normal_two_sided_p(z) / 2.0)
+
+
+def adf_p(stat: Column) -> Column:
+    """T-13: p-value of a Dickey-Fuller statistic with a constant, by its response surface."""
+    def surface(c: tuple) -> Column:
+        out = F.lit(c[-1])
+        for a in reversed(c[:-1]):
+            out = out * stat + a
+        return normal_cdf(out)
+    return (F.when(stat.isNull() | F.isnan(stat), F.lit(None).cast("double")).when(stat > ADF_HIGH, F.lit(1.0)).when(stat < ADF_LOW, F.lit(0.0))
+            .when(stat <= ADF_BORDER, surface(ADF_SMALL_P)).otherwise(surface(ADF_LARGE_P)))
+
+
+def kpss_p(stat: Column) -> Column:
+    """T-14: p-value between the tabulated critical values, by linear interpolation; 0.1 or 0.01 beyond them."""
+    points = sorted((c, p) for p, c in KPSS_CRITICAL.items())
+    out = F.when(stat.isNull() | F.isnan(stat), F.lit(None).cast("double")).when(stat <= points[0][0], F.lit(points[0][1]))
+    for (c0, p0), (c1, p1) in zip(points, points[1:]):
+        out = out.when(stat <= c1, F.lit(p0) + (stat - c0) * ((p1 - p0) / (c1 - c0)))
+    return out.otherwise(F.lit(points[-1][1]))
+
+
+def stationarity_verdict(df: DataFrame, x: str, keys: Sequence[str] = ("series_id",), order: str = "date", level: float = 0.05) -> DataFrame:
+    """T-13/T-14: both unit-root tests with p-values and what they say together: Stationary (only ADF rejects), NON-STATIONARY (only
+    KPSS rejects), Trend-stationary (both), Uncertain (neither) or Constant (no spread: no test)."""
+    keys = list(keys)
+    spread = df.groupBy(*keys).agg(F.count(x).alias("n"), F.coalesce(F.max(x) > F.min(x), F.lit(False)).alias("__varies"))
+    d = join_null_safe(df, spread.select(*keys, "__varies"), keys).where("__varies").drop("__varies")
+    a = adf_fixed_lag(d, x, keys, order).select(*keys, "adf_stat", adf_p(F.col("adf_stat")).alias("adf_p"))
+    k = kpss_level(d, x, keys, order).select(*keys, "kpss_stat", kpss_p(F.col("kpss_stat")).alias("kpss_p"))
+    j = join_null_safe(join_null_safe(spread, a, keys, "left"), k, keys, "left")
+    root, level_ = F.col("adf_p") < level, F.col("kpss_p") < level
+    verdict = (F.when(~F.col("__varies"), "Constant").when(root & ~level_, "Stationary").when(~root & level_, "NON-STATIONARY")
+               .when(root & level_, "Trend-stationary").otherwise("Uncertain"))
+    return j.select(*keys, "n", "adf_stat", "adf_p", "kpss_stat", "kpss_p", verdict.alias("verdict"))
+
+
+def average_linkage(distance: np.ndarray) -> list[tuple[int, int, float]]:
+    """Merges (a member of each side, height) of average-linkage clustering, by rising height, with a chain of nearest
+    neighbours: the ends of the chain are joined once they are nearest to each other, in p squared steps for p items."""
+    d = np.array(distance, dtype=float)
+    np.fill_diagonal(d, np.inf)
+    size, alive = np.ones(len(d)), list(range(len(d)))
+    chain, merges = [], []
+    while len(alive) > 1:
+        if not chain:
+            chain = [alive[0]]
+        tip = chain[-1]
+        near = min(alive, key=lambda k: (d[tip, k], k))
+        if len(chain) > 1 and d[tip, chain[-2]] <= d[tip, near]:
+            near = chain[-2]
+            chain = chain[:-2]
+            a, b = min(tip, near), max(tip, near)
+            merges.append((a, b, float(d[a, b])))
+            rest = [k for k in alive if k not in (a, b)]
+            d[a, rest] = d[rest, a] = (size[a] * d[a, rest] + size[b] * d[b, rest]) / (size[a] + size[b])
+            size[a] += size[b]
+            alive.remove(b)
+        else:
+            chain.append(near)
+    return sorted(merges, key=lambda m: m[2])
+
+
+def feature_clusters(pairs: DataFrame, scores: DataFrame, threshold: float = 0.3, f1: str = "f1", f2: str = "f2", r: str = "spearman_r",
+                     feature: str = "feature", score: str = "research_score") -> DataFrame:
+    """T-12: features clustered by average linkage of 1 - |r| (a missing correlation counts 0) and cut at ``threshold``; the member
+    with the best score represents its cluster (the first by name of equal ones).  Returns (feature, cluster, score, selected);
+    a cluster is named by its first feature.  Runs on the p x p pair table, which the number of features bounds."""
+    scored = {row[feature]: row[score] for row in scores.select(feature, score).collect()}
+    names = sorted(scored)
+    at = {f: i for i, f in enumerate(names)}
+    d = np.ones((len(names), len(names)))
+    for row in pairs.select(f1, f2, r).collect():
+        if row[f1] in at and row[f2] in at and row[r] is not None:
+            d[at[row[f1]], at[row[f2]]] = d[at[row[f2]], at[row[f1]]] = 1.0 - abs(row[r])
+    label = list(range(len(names)))
+    for a, b, height in average_linkage(d) if names else []:
+        if height <= threshold:
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+    best = {}
+    for i, f in enumerate(names):
+        value = -math.inf if scored[f] is None else scored[f]
+        if label[i] not in best or value > best[label[i]][0]:
+            best[label[i]] = (value, f)
+    rows = [(f, names[label[i]], scored[f], best[label[i]][1] == f) for i, f in enumerate(names)]
+    return scores.sparkSession.createDataFrame(rows, f"{feature} string, cluster string, {score} double, selected boolean")
 
 
 def greedy_prune(pairs: DataFrame, scores: DataFrame, threshold: float = 0.7, f1: str = "f1", f2: str = "f2",

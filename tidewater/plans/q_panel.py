@@ -72,10 +72,8 @@ SELECT series_id, up, max(length) AS longest, count(*) AS runs FROM s GROUP BY 1
 def q_user_streaks(spark, sf):
     """W22 on many series: longest run of rises and of falls per user."""
     w = Window.partitionBy("series_id").orderBy("date")
-    d = user_panel(spark, sf).withColumn("up", (F.col("x") > F.lag("x").over(w)).cast("int")).where(F.col("up").isNotNull())
-    runs = Window.partitionBy("series_id", "up").orderBy("date")
-    g = d.withColumn("run", F.row_number().over(w) - F.row_number().over(runs))
-    s = g.groupBy("series_id", "up", "run").agg(F.count(F.lit(1)).alias("length"))
+    d = user_panel(spark, sf).withColumn("up", (F.col("x") > F.lag("x").over(w)).cast("int"))
+    s = ft.streak_runs(d, "up")
     return s.groupBy("series_id", "up").agg(F.max("length").alias("longest"), F.count(F.lit(1)).alias("runs"))
 
 
@@ -93,6 +91,55 @@ def q_user_equity(spark, sf):
                                              F.count(F.lit(1)).alias("days")))
 
 
+HOT = """hot AS (
+  SELECT CASE WHEN user_id % 3 = 0 THEN -1 ELSE user_id END AS series_id, ts, event_type, value,
+         CASE WHEN event_type = 'purchase' THEN value END AS paid, (value - 50.0) / 10000.0 AS ret FROM events)"""
+
+
+def hot_events(spark, sf):
+    """Events as series of one row per event; one series holds about a third of the table."""
+    e = read_table(spark, sf, "events")
+    return e.select(F.when(F.col("user_id") % 3 == 0, F.lit(-1)).otherwise(F.col("user_id")).cast("long").alias("series_id"), "ts", "event_type",
+                    "value", F.when(F.col("event_type") == "purchase", F.col("value")).alias("paid"),
+                    ((F.col("value") - F.lit(50.0)) / F.lit(10000.0)).alias("ret"))
+
+
+@register("hot_ffill", with_(HOT) + """,
+f AS (SELECT *, last_value(paid IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS last_paid FROM hot)
+SELECT series_id, event_type, count(last_paid) AS filled, CAST(sum(CAST(round(last_paid * 100) AS BIGINT)) AS BIGINT) AS cents FROM f GROUP BY 1, 2""")
+def q_hot_ffill(spark, sf):
+    """F02 on a hot series: the last purchase before every event, by a two-level scan."""
+    d = cal.ffill(hot_events(spark, sf), ["paid"], order="ts")
+    return d.groupBy("series_id", "event_type").agg(
+        F.count("paid").alias("filled"), F.sum(F.round(F.col("paid") * 100).cast("long")).alias("cents"))
+
+
+@register("hot_equity", with_(HOT) + """,
+q AS (SELECT *, product(greatest(0.0, 1.0 + ret)) OVER (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS equity FROM hot),
+d AS (SELECT *, equity / max(equity) OVER (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1.0 AS below FROM q)
+SELECT series_id, arg_max(equity, ts) AS equity, min(below) AS max_drawdown, count(*) AS n FROM d GROUP BY 1""", dbl="equity max_drawdown")
+def q_hot_equity(spark, sf):
+    """W23/B05 on a hot series: compounded value and deepest fall below its peak."""
+    d = ft.equity_curve(hot_events(spark, sf), "ret", order="ts")
+    return finish(d.groupBy("series_id").agg(F.max_by("equity", "ts").alias("equity"), F.min("drawdown").alias("max_drawdown"),
+                                             F.count(F.lit(1)).alias("n")))
+
+
+@register("hot_weights", with_(HOT) + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM hot),
+w AS (SELECT *, exp(-ln(2.0) / 250.0 * (n - 1 - i)) AS raw, lag(event_type) OVER (PARTITION BY series_id ORDER BY ts) AS before FROM r),
+s AS (SELECT *, raw / avg(raw) OVER (PARTITION BY series_id) AS weight FROM w)
+SELECT series_id, sum(weight * value) / sum(weight) AS mean_value, max(weight) AS top_weight,
+       CAST(count_if(before = event_type) AS BIGINT) AS repeats FROM s GROUP BY 1""", dbl="mean_value top_weight")
+def q_hot_weights(spark, sf):
+    """W26/W04 on a hot series: recency-weighted mean value, and events that repeat the type before them."""
+    d = ft.recency_weights(hot_events(spark, sf), "exponential", order="ts")
+    d = scan.running(d, {"before": ("lag", "event_type", 1)}, "series_id", "ts")
+    return finish(d.groupBy("series_id").agg(
+        (F.sum(F.col("weight") * F.col("value")) / F.sum("weight")).alias("mean_value"), F.max("weight").alias("top_weight"),
+        F.count_if(F.col("before") == F.col("event_type")).alias("repeats")))
+
+
 SCORED = USERS + """,
 p AS (SELECT series_id % 7 AS grp, CAST(lead(x) OVER (PARTITION BY series_id ORDER BY date) > x AS INTEGER) AS target,
              1.0 / (1.0 + exp((x - 9.0) / 4.0)) AS proba_up FROM users)"""

@@ -75,24 +75,17 @@ def q_yeo_johnson(spark, sf):
 
 KNN_SQL = """
 e AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings),
-refs AS (SELECT vec_id, label, dim, CAST(x AS DOUBLE) AS x FROM e WHERE vec_id >= 20),
-qs AS (SELECT vec_id, dim, CAST(x AS DOUBLE) AS x FROM e WHERE vec_id < 20),
+refs AS (SELECT vec_id, label, dim, CAST(x AS DOUBLE) AS x FROM e),
+qs AS (SELECT vec_id, dim, CAST(x AS DOUBLE) AS x FROM e WHERE vec_id % 20 = 0),
 st AS (SELECT dim, avg(x) AS m, CASE WHEN stddev_pop(x) = 0 THEN 1.0 ELSE stddev_pop(x) END AS s FROM refs GROUP BY dim),
 d AS (SELECT q.vec_id AS query_id, r.vec_id AS ref_id, any_value(r.label) AS label,
              sqrt(avg(((q.x - st.m) / st.s - (r.x - st.m) / st.s) * ((q.x - st.m) / st.s - (r.x - st.m) / st.s)))
                AS distance
-      FROM qs q JOIN refs r USING (dim) JOIN st USING (dim) GROUP BY 1, 2),
+      FROM qs q JOIN refs r ON q.dim = r.dim AND q.vec_id <> r.vec_id JOIN st ON st.dim = q.dim GROUP BY 1, 2),
 top AS (SELECT *, 1.0 / greatest(distance, 0.05) AS w, CAST(label >= 1 AS DOUBLE) AS y FROM d
         QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, ref_id) <= 5)"""
 
 
-def _knn_inputs(spark, sf):
-    e = read_table(spark, sf, "embeddings").withColumn("outcome", (F.col("label") >= 1).cast("int"))
-    refs = e.where(F.col("vec_id") >= 20)
-    qs = e.where(F.col("vec_id") < 20).select(F.col("vec_id").alias("query_id"), "embedding")
-    return refs, qs
-
-
 def _every_twentieth(spark, sf):
     """All vectors as references, and those with vec_id divisible by 20 as queries; a query's own row is not its neighbour."""
     refs = read_table(spark, sf, "embeddings").withColumn("outcome", (F.col("label") >= 1).cast("int"))
@@ -104,8 +97,8 @@ def _every_twentieth(spark, sf):
 SELECT query_id, sum(w * y) / sum(w) AS score, count(*) AS k, avg(distance) AS mean_distance FROM top GROUP BY 1""",
           dbl="score mean_distance")
 def q_knn_score(spark, sf):
-    refs, qs = _knn_inputs(spark, sf)
-    return finish(nb.knn_score(refs, qs, 5, "vec_id", "embedding", "outcome"))
+    refs, qs = _every_twentieth(spark, sf)
+    return finish(nb.knn_score(refs, qs, 5, "vec_id", "embedding", "outcome", self_id="own_id"))
 
 
 @register("knn_neighbors", with_(KNN_SQL) + """
@@ -113,8 +106,8 @@ SELECT query_id, ref_id AS vec_id, distance, CAST(y AS INTEGER) AS outcome,
        CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, ref_id) AS INTEGER) AS rank FROM top""",
           dbl="distance")
 def q_knn_neighbors(spark, sf):
-    refs, qs = _knn_inputs(spark, sf)
-    return finish(nb.knn_topk(refs, qs, 5, "vec_id", "embedding", "outcome"))
+    refs, qs = _every_twentieth(spark, sf)
+    return finish(nb.knn_topk(refs, qs, 5, "vec_id", "embedding", "outcome", self_id="own_id"))
 
 
 @register("loo_attribution")

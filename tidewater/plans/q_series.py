@@ -42,28 +42,75 @@ def q_kpss_test(spark, sf):
     return finish(st.kpss_level(inputs.returns_panel(spark, sf), "ret"))
 
 
-_E = st._ols3_expr()
+ADF_SQL = """
+a0 AS (SELECT {keys}, date, {x} AS x, lag({x}) OVER (PARTITION BY {keys} ORDER BY date) AS x1 FROM {rows}),
+a1 AS (SELECT *, x - x1 AS dy FROM a0),
+a2 AS (SELECT *, lag(dy) OVER (PARTITION BY {keys} ORDER BY date) AS dy1 FROM a1),
+a3 AS (SELECT * FROM a2 WHERE dy IS NOT NULL AND x1 IS NOT NULL AND dy1 IS NOT NULL),
+a4 AS (SELECT {keys}, count(*) AS n, regr_slope(dy, dy1) AS b_y, regr_slope(x1, dy1) AS b_x, avg(dy) AS my, avg(x1) AS mx, avg(dy1) AS md
+       FROM a3 GROUP BY ALL),
+a5 AS (SELECT {keys}, n, dy - my - b_y * (dy1 - md) AS ey, x1 - mx - b_x * (dy1 - md) AS ex FROM a3 JOIN a4 USING ({keys})),
+a6 AS (SELECT {keys}, any_value(n) AS n, sum(ex * ey) AS sxy, sum(ex * ex) AS sxx, sum(ey * ey) AS syy FROM a5 GROUP BY ALL),
+adf AS (SELECT {keys}, n, sxy / sxx AS adf_gamma, sxy / sxx / sqrt((syy - sxy * sxy / sxx) / (n - 3) / sxx) AS adf_stat FROM a6)"""
 
 
-@register("adf_test", with_(PANEL) + f""",
-a0 AS (SELECT series_id, date, close AS x, lag(close) OVER ({W}) AS x1 FROM panel),
-a1 AS (SELECT *, x - x1 AS dy FROM a0),
-a2 AS (SELECT *, lag(dy) OVER ({W}) AS dy1 FROM a1),
-a3 AS (SELECT series_id, dy, x1 - avg(x1) OVER (PARTITION BY series_id) AS cx1,
-              dy1 - avg(dy1) OVER (PARTITION BY series_id) AS cdy1
-       FROM a2 WHERE dy IS NOT NULL AND x1 IS NOT NULL AND dy1 IS NOT NULL),
-m AS (SELECT series_id, CAST(count(*) AS DOUBLE) AS n, sum(cx1) AS s1, sum(cdy1) AS s2, sum(cx1 * cx1) AS s11,
-             sum(cdy1 * cdy1) AS s22, sum(cx1 * cdy1) AS s12, sum(dy) AS sy, sum(dy * cx1) AS sy1,
-             sum(dy * cdy1) AS sy2, sum(dy * dy) AS syy
-      FROM a3 GROUP BY 1)
-SELECT series_id, CAST(n AS BIGINT) AS n, {_E["b1"]} AS adf_gamma, {_E["t"]} AS adf_stat,
-       coalesce(CAST({_E["t"]} < -2.86 AS INTEGER), 0) AS stationary_5pct
-FROM m""", dbl="adf_gamma adf_stat")
+@register("adf_test", with_(PANEL) + "," + ADF_SQL.format(keys="series_id", x="close", rows="panel") + """
+SELECT series_id, n, adf_gamma, adf_stat, coalesce(CAST(adf_stat < -2.86 AS INTEGER), 0) AS stationary_5pct FROM adf""", dbl="adf_gamma adf_stat")
 def q_adf_test(spark, sf):
     """T-13 (re-aimed): fixed-lag Dickey-Fuller t statistic of the close level per series."""
     return finish(st.adf_fixed_lag(inputs.daily_panel(spark, sf), "close"))
 
 
+def _cdf(z: str) -> str:
+    """The normal distribution by the fixed rational erfc, in SQL."""
+    t = f"(1.0 / (1.0 + 0.5 * abs({z}) / sqrt(2.0)))"
+    poly = "::DOUBLE + ".join(f"{c} * pow({t}, {i})" for i, c in enumerate(st.ERFC))
+    half = f"least(1.0, {t} * exp(-{z} * {z} / 2.0 + {poly})) / 2.0"
+    return f"CASE WHEN {z} > 0 THEN 1.0 - {half} ELSE {half} END"
+
+
+def _surface(c: tuple) -> str:
+    return _cdf("(" + " + ".join(f"{a}::DOUBLE * pow(adf_stat, {i})" for i, a in enumerate(c)) + ")")
+
+
+@register("stationarity_verdict", with_(RETURNS) + """,
+lv AS (SELECT series_id, date, 'close' AS feature, CAST(close AS DOUBLE) AS v FROM rp UNION ALL SELECT series_id, date, 'ret', ret FROM rp WHERE ret IS NOT NULL
+       UNION ALL SELECT series_id, date, 'flat', 1.0 FROM rp),
+vv AS (SELECT * FROM lv WHERE feature <> 'flat'),""" + ADF_SQL.format(keys="series_id, feature", x="v", rows="vv") + """,
+k1 AS (SELECT series_id, feature, v - avg(v) OVER p AS e, count(*) OVER p AS n, row_number() OVER (PARTITION BY series_id, feature ORDER BY date) AS rn
+       FROM vv WINDOW p AS (PARTITION BY series_id, feature)),
+k2 AS (SELECT *, sum(e) OVER (PARTITION BY series_id, feature ORDER BY rn ROWS UNBOUNDED PRECEDING) AS s,
+              CAST(floor(12.0 * pow(n / 100.0, 0.25)) AS INTEGER) AS l FROM k1),
+k3 AS (SELECT series_id, feature, any_value(n) AS n, sum(s * s) AS ss, sum(e * e) AS g0 FROM k2 GROUP BY 1, 2),
+k4 AS (SELECT a.series_id, a.feature, sum(a.e * b.e * (1.0 - (a.rn - b.rn) / (a.l + 1.0))) AS wg
+       FROM k2 a JOIN k2 b ON a.series_id = b.series_id AND a.feature = b.feature AND b.rn BETWEEN a.rn - a.l AND a.rn - 1 GROUP BY 1, 2),
+kpss AS (SELECT series_id, feature, ss / n / (g0 + 2.0 * wg) AS kpss_stat FROM k3 JOIN k4 USING (series_id, feature)),
+pv AS (SELECT series_id, feature, adf_stat, CASE WHEN adf_stat > 2.74 THEN 1.0 WHEN adf_stat < -18.83 THEN 0.0 WHEN adf_stat <= -1.61 THEN """
+          + _surface(st.ADF_SMALL_P) + " ELSE " + _surface(st.ADF_LARGE_P) + """ END AS adf_p, kpss_stat,
+              CASE WHEN kpss_stat <= 0.347 THEN 0.1 WHEN kpss_stat <= 0.463 THEN 0.1 - (kpss_stat - 0.347) / 0.116 * 0.05
+                   WHEN kpss_stat <= 0.574 THEN 0.05 - (kpss_stat - 0.463) / 0.111 * 0.025 WHEN kpss_stat <= 0.739 THEN 0.025 - (kpss_stat - 0.574) / 0.165 * 0.015
+                   ELSE 0.01 END AS kpss_p
+       FROM adf JOIN kpss USING (series_id, feature))
+SELECT series_id, feature, count(v) AS n, any_value(adf_stat) AS adf_stat, any_value(CAST(adf_p AS DOUBLE)) AS adf_p, any_value(kpss_stat) AS kpss_stat,
+       any_value(CAST(kpss_p AS DOUBLE)) AS kpss_p,
+       CASE WHEN feature = 'flat' THEN 'Constant' WHEN any_value(adf_p) < 0.05 THEN CASE WHEN any_value(kpss_p) < 0.05 THEN 'Trend-stationary' ELSE 'Stationary' END
+            WHEN any_value(kpss_p) < 0.05 THEN 'NON-STATIONARY' ELSE 'Uncertain' END AS verdict
+FROM lv LEFT JOIN pv USING (series_id, feature) GROUP BY series_id, feature""", dbl="adf_stat adf_p kpss_stat kpss_p")
+def q_stationarity_verdict(spark, sf):
+    """T-13/T-14: both tests with p-values and the verdict, for levels, returns and a constant of every series."""
+    p = inputs.returns_panel(spark, sf).select("series_id", "date", F.col("close").cast("double").alias("close"), "ret", F.lit(1.0).alias("flat"))
+    long = p.unpivot(["series_id", "date"], ["close", "ret", "flat"], "feature", "v").where("v IS NOT NULL")
+    return finish(st.stationarity_verdict(long, "v", ["series_id", "feature"]))
+
+
+@register("feature_clusters")
+def q_feature_clusters(spark, sf):
+    """T-12: average-linkage clusters of correlated features and the best member of each; tests compare with plain agglomeration."""
+    from tidewater.plans.q_profile import q_feature_score
+    from tidewater.plans.q_reports import q_corr_top_pairs
+    return st.feature_clusters(q_corr_top_pairs(spark, sf), q_feature_score(spark, sf), 0.3)
+
+
 @register("pacf")
 def q_pacf(spark, sf):
     """T-15: PACF (Durbin-Levinson) of daily returns, lags 1..20; rows-only check."""

@@ -20,7 +20,7 @@ from tidewater.functions.scalar import to_date_safe
 __all__ = [
     "read_csv_sources", "normalise_date", "read_event_tsv", "parse_observations", "parse_nested_series",
     "coerce_text", "typed_text_column", "write_stage", "write_documents", "publish_atomic", "read_published",
-    "content_manifest", "verify_manifest", "dataset_summary", "union_existing", "code_set_filter",
+    "content_manifest", "verify_manifest", "file_manifest", "verify_files", "dataset_summary", "union_existing", "code_set_filter",
 ]
 
 
@@ -172,6 +172,25 @@ def verify_manifest(current: DataFrame, manifest: DataFrame, key: str) -> DataFr
     return j.select(key, status.alias("status")).where(F.col("status") != "ok")
 
 
+def file_manifest(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """(file, length, content_hash) of every file under ``root``, its path relative to it, hashed where it is read.
+
+    A file is one row, so one of more than 2 GB can't be read; part files of a table are smaller."""
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    top = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
+    at = F.locate(top + "/", F.col("path"))
+    return d.select(F.substring("path", at + len(top) + 1, F.lit(1 << 20)).alias("file"), "length", F.sha2("content", 256).alias("content_hash"))
+
+
+def verify_files(current: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(file, status) of every file of either manifest: ok, changed, missing (in the manifest only) or new."""
+    c = current.select("file", F.col("content_hash").alias("__now"))
+    m = manifest.select("file", F.col("content_hash").alias("__then"))
+    status = (F.when(F.col("__now").isNull(), "missing").when(F.col("__then").isNull(), "new")
+              .when(F.col("__now") != F.col("__then"), "changed").otherwise("ok"))
+    return c.join(m, "file", "full_outer").select("file", status.alias("status"))
+
+
 def dataset_summary(frames: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """Rows, columns, first and last date per dataset, unioned."""
     out = None

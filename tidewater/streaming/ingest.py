@@ -13,9 +13,9 @@
 * ST07: stream–static join that only attaches features already available
   at event time.
 
-Results are written with ``foreachBatch`` in update mode, appending each
-micro-batch's changed rows with its batch id; readers keep the last version
-per key.  Sinks and checkpoints live under the session's shared
+Results are written with ``foreachBatch`` in update mode, each micro-batch's
+changed rows into a folder of its own (``batch_id=N``), which a retried batch
+replaces; readers keep the last version per key.  Sinks and checkpoints live under the session's shared
 ``spark.checkpoint.dir``.
 """
 
@@ -94,14 +94,24 @@ def sliding_sum(stream: DataFrame, keys: Sequence[str], value: str, ts: str = "t
     return s.groupBy(F.window("__et", size, slide).alias("window"), *keys).agg(F.sum(value).alias("value_sum"))
 
 
-def run_available_now(agg: DataFrame, sink: str, checkpoint: str, mode: str = "update") -> None:
-    """Run a streaming query to completion over the data available now, however long it takes."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink)
+def run_available_now(agg: DataFrame, sink: str, checkpoint: str, mode: str = "update", state_store: str | None = None) -> None:
+    """Run a streaming query to completion over the data available now, however long it takes.
 
-    q = (agg.writeStream.outputMode(mode).foreachBatch(write)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    A batch that is run again after a failure overwrites what its first run wrote.  ``state_store`` names the
+    state store provider of this query."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+
+    conf, name = agg.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    if state_store:
+        conf.set(name, state_store)
+    try:
+        q = (agg.writeStream.outputMode(mode).foreachBatch(write)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        conf.set(name, before)
     if q.exception() is not None:
         raise q.exception()
 
