@@ -40,9 +40,9 @@ def spark_frame(spark, pdf):
 def test_running_is_the_plain_scan(spark, rows, descending):
     pdf = hot_frame()
     specs = {"s": ("sum", "x"), "n": ("count", "x"), "p": ("product", F.col("x") + 1), "hi": ("max", "x"), "lo": ("min", "x"),
-             "x": ("last", "x"), "r": ("row",), "l1": ("lag", "x", 1), "l9": ("lag", "t", 9, -1)}
+             "x": ("last", "x"), "r": ("row",), "l1": ("lag", "x", 1), "l9": ("lag", "t", 9, -1), "b": ("before", "t", 9)}
     got = scan.running(spark_frame(spark, pdf), specs, "k", "t", rows=rows, descending=descending).toPandas()
-    assert list(got.columns) == ["k", "t", "x", "s", "n", "p", "hi", "lo", "r", "l1", "l9"]
+    assert list(got.columns) == ["k", "t", "x", "s", "n", "p", "hi", "lo", "r", "l1", "l9", "b"]
     for key, g in pdf.groupby("k", dropna=False):
         g = g.sort_values("t", ascending=not descending)
         h = got[got["k"].isna() if pd.isna(key) else got["k"] == key].set_index("t").loc[g["t"]]
@@ -51,6 +51,7 @@ def test_running_is_the_plain_scan(spark, rows, descending):
                 "x": x.ffill(), "r": pd.Series(range(1, len(x) + 1)), "l1": x.shift(1), "l9": g["t"].reset_index(drop=True).shift(9, fill_value=-1)}
         for c, w in want.items():
             np.testing.assert_allclose(h[c].to_numpy(float), w.to_numpy(float), rtol=1e-9, err_msg=f"{key} {c}")
+        assert [list(b) for b in h["b"]] == [g["t"].tolist()[max(0, i - 9):i][::-1] for i in range(len(g))]
 
 
 def test_running_on_dates_times_and_without_rows(spark):
@@ -313,3 +314,78 @@ def test_queries_of_this_file_are_registered():
     names = {"frequent_values", "heavy_values", "sketch_profile", "knn_information", "ridge_path", "release_calendar", "stream_ewm",
              "hot_ffill", "hot_equity", "hot_weights", "yeo_johnson_lambda", "knn_evaluations"}
     assert names <= set(E.queries())
+
+
+# ---------------------------------------------------------------- tests, clusters, draws
+def test_inverse_normal_and_unit_root_p_values(spark):
+    from statistics import NormalDist
+
+    from tidewater.operators import stats as st
+    p = [1e-300, 1e-12, 1e-3, 0.05, 0.074, 0.076, 0.3, 0.5, 0.7, 0.95, 0.999, 1 - 1e-12, 0.0, 1.0, None]
+    got = [r.z for r in spark.createDataFrame([(x,) for x in p], "p double").select(st.inverse_normal(F.col("p")).alias("z")).collect()]
+    assert got[-3:] == [None] * 3
+    assert all(z == pytest.approx(NormalDist().inv_cdf(x), rel=1e-12, abs=1e-15) for z, x in zip(got[:-3], p[:-3]))
+    stats = [-19.0, -3.43, -2.86, -2.57, -1.61, -1.0, 0.0, 2.8, None]
+    rows = spark.createDataFrame([(x,) for x in stats], "s double").select(st.adf_p(F.col("s")).alias("p")).collect()
+    for row, s in zip(rows, stats):
+        if s in (-3.43, -2.86, -2.57):  # the asymptotic critical values
+            assert row.p == pytest.approx({-3.43: 0.01, -2.86: 0.05, -2.57: 0.1}[s], rel=0.03)
+    assert (rows[0].p, rows[-2].p, rows[-1].p) == (0.0, 1.0, None)
+    assert all(a.p < b.p for a, b in zip(rows[1:7], rows[2:7]))
+    k = [r.p for r in spark.createDataFrame([(0.1,), (0.347,), (0.405,), (0.463,), (0.6,), (2.0,)], "s double").select(st.kpss_p(F.col("s")).alias("p")).collect()]
+    assert k == pytest.approx([0.1, 0.1, 0.075, 0.05, 0.025 - 0.026 / 0.165 * 0.015, 0.01])
+
+
+def test_stationarity_verdicts(spark):
+    from tidewater.operators import stats as st
+    r = np.random.default_rng(12)
+    noise, walk = r.normal(size=400), np.cumsum(r.normal(size=400))
+    rows = [(k, i, float(v)) for k, x in (("noise", noise), ("walk", walk), ("flat", np.ones(400))) for i, v in enumerate(x)]
+    out = {x.k: x for x in st.stationarity_verdict(spark.createDataFrame(rows, "k string, t int, x double"), "x", ["k"], "t").collect()}
+    assert (out["noise"].verdict, out["walk"].verdict, out["flat"].verdict) == ("Stationary", "NON-STATIONARY", "Constant")
+    assert out["flat"].adf_p is None and out["noise"].adf_p < 0.01
+
+
+def test_average_linkage_is_plain_agglomeration(spark):
+    from tidewater.operators import stats as st
+    r = np.random.default_rng(13)
+
+    def plain(d, cut):
+        groups = [[i] for i in range(len(d))]
+        while len(groups) > 1:
+            pairs = [(np.mean([d[x, y] for x in a for y in b]), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j]
+            h, i, j = min(pairs)
+            if h > cut:
+                break
+            groups[i] += groups.pop(j)
+        return sorted(sorted(g) for g in groups)
+
+    for n in (1, 2, 9, 25):
+        d = r.random((n, n))
+        d = (d + d.T) / 2
+        names = [f"f{i:02d}" for i in range(n)]
+        pairs = spark.createDataFrame([(names[i], names[j], float(1 - d[i, j])) for i in range(n) for j in range(i + 1, n)] or [("x", "y", 0.1)],
+                                      "f1 string, f2 string, spearman_r double")
+        scores = spark.createDataFrame([(f, float(k % 4)) for k, f in enumerate(names)], "feature string, research_score double")
+        for cut in (0.2, 0.4, 0.6):
+            rows = st.feature_clusters(pairs, scores, cut).collect()
+            got = {}
+            for x in rows:
+                got.setdefault(x.cluster, []).append(names.index(x.feature))
+            assert sorted(sorted(g) for g in got.values()) == plain(d, cut)
+            for x in rows:
+                best = max(got[x.cluster], key=lambda i: (i % 4, -i))
+                assert x.selected == (names.index(x.feature) == best)
+
+
+def test_random_draws_are_seeded_and_searched(spark):
+    from tidewater.operators import learn as ln
+    space = {"regParam": ("loguniform", 1e-4, 1.0), "maxIter": ("int", 5, 9), "elasticNetParam": [0.0, 1.0], "tol": ("uniform", 1e-6, 1e-3)}
+    draws = ln.draw_params(space, 50, 3)
+    assert draws == ln.draw_params(space, 50, 3) != ln.draw_params(space, 50, 4)
+    assert all(1e-4 <= d["regParam"] <= 1 and d["maxIter"] in range(5, 10) and d["elasticNetParam"] in (0.0, 1.0) for d in draws)
+    r = np.random.default_rng(14)
+    x = r.normal(size=(240, 2))
+    pdf = pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": (x[:, 0] + 0.3 * r.normal(size=240) > 0).astype(int), "date": pd.date_range("2024-01-01", periods=240)})
+    out = ln.random_search(spark.createDataFrame(pdf), ["a", "b"], "y", "logreg", {"regParam": ("loguniform", 1e-3, 0.1)}, 2, n_splits=2).collect()
+    assert len(out) == 2 and all(o.folds == 2 and o.CV_F1_macro > 0.8 for o in out)

@@ -26,15 +26,12 @@ def digamma(n: Column) -> Column:
 
 
 def _nearest(rows: DataFrame, keys: list[str], value: str, ids: Sequence[str], k: int) -> DataFrame:
-    """Adds ``before`` and ``after``: the k values on either side in the order (value, ids) within the keys, nearest
-    first, null where there are fewer.  Two scans in buckets of the value; borders carry k values."""
+    """Adds ``before`` and ``after``: up to k values on either side in the order (value, ids) within the keys, nearest
+    first.  Two scans in buckets of the value; borders carry k values."""
     order, vb = [value, *ids], F.col("__vb")
     rows = value_bucket(rows, keys, value)
-    names = [f"__n{j}" for j in range(1, k + 1)]
-    for out, back in (("before", False), ("after", True)):
-        rows = running(rows, {n: ("lag", value, j + 1) for j, n in enumerate(names)}, keys, order, bucket=vb, descending=back)
-        rows = rows.withColumn(out, F.array(*names)).drop(*names)
-    return rows.drop("__vb")
+    rows = running(rows, {"before": ("before", value, k)}, keys, order, bucket=vb)
+    return running(rows, {"after": ("before", value, k)}, keys, order, bucket=vb, descending=True).drop("__vb")
 
 
 def knn_mutual_information(long: DataFrame, group: Sequence[str], value: str, label: str, ids: Sequence[str],

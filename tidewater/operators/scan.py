@@ -181,8 +181,8 @@ def running(df: DataFrame, specs: dict[str, tuple], keys="series_id", order="dat
     """Associative scans of a series that no task has to sort as a whole.
 
     ``specs`` names the outputs: ``(kind, column)`` with kind sum, count, product, max, min or last (the last
-    non-null value so far, this row included), ``("row",)`` for the row number from 1, and ``("lag", column, k, default)`` for the value
-    k rows before.  Rows are scanned inside (keys, bucket); one row per bucket carries the result of the
+    non-null value so far, this row included), ``("row",)`` for the row number from 1, ``("lag", column, k, default)`` for the value
+    k rows before and ``("before", column, k)`` for the array of up to k values before, the nearest first.  Rows are scanned inside (keys, bucket); one row per bucket carries the result of the
     buckets before.  ``bucket`` is a column that never falls along ``order``; without it buckets hold about
     ``rows`` rows.  All outputs share one sort.  The carrying window sees one row per bucket only.
     ``descending`` scans from the end.  Null keys are a series; nulls of the first order column come first (last when descending).
@@ -198,6 +198,9 @@ def running(df: DataFrame, specs: dict[str, tuple], keys="series_id", order="dat
     w = Window.partitionBy(*keys, "__b").orderBy(*by)
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     local, total = {}, []
+    if any(specs[o][0] in ("lag", "before") for o in names):
+        back = [F.col(c).asc() if descending else F.col(c).desc() for c in order]
+        local = {"__p0": F.row_number().over(w), "__e0": F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(*back))}
     for i, o in enumerate(names):
         kind, x = specs[o][0], F.col(f"__x{i}")
         if kind == "row":
@@ -207,14 +210,11 @@ def running(df: DataFrame, specs: dict[str, tuple], keys="series_id", order="dat
             local[f"__l{i}"] = F.last(x, ignorenulls=True).over(so_far)
             at = F.struct(*[F.col(c) for c in order], x.alias("__v"))
             total.append((F.min if descending else F.max)(F.when(x.isNotNull(), at))["__v"].alias(f"__t{i}"))
-        elif kind == "lag":
-            k = specs[o][2]
-            local[f"__l{i}"] = F.lag(F.struct(x.alias("v")), k).over(w)
-            local[f"__p{i}"] = F.row_number().over(w)
-            local[f"__e{i}"] = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(
-                *[F.col(c).asc() if descending else F.col(c).desc() for c in order]))
+        elif kind in ("lag", "before"):
+            k, cell = specs[o][2], F.struct(x.alias("v"))
+            local[f"__l{i}"] = F.lag(cell, k).over(w) if kind == "lag" else F.collect_list(cell).over(w.rowsBetween(-k, -1))
             # the last k rows of a bucket, first to last
-            tail = F.sort_array(F.collect_list(F.when(F.col(f"__e{i}") <= k, F.struct((-F.col(f"__e{i}")).alias("e"), x.alias("v")))))
+            tail = F.sort_array(F.collect_list(F.when(F.col("__e0") <= k, F.struct((-F.col("__e0")).alias("e"), x.alias("v")))))
             total.append(tail.alias(f"__t{i}"))
         else:
             local[f"__l{i}"] = _MONOIDS[kind][0](x).over(so_far)
@@ -228,7 +228,7 @@ def running(df: DataFrame, specs: dict[str, tuple], keys="series_id", order="dat
         kind, t = specs[o][0], F.col(f"__t{i}")
         if kind == "last":
             carry.append(F.last(t, ignorenulls=True).over(before))
-        elif kind == "lag":  # each bucket has a row at least, so the k rows before lie in the k buckets before
+        elif kind in ("lag", "before"):  # each bucket has a row at least, so the k rows before lie in the k buckets before
             carry.append(F.flatten(F.collect_list(t).over(of_key.rowsBetween(-specs[o][2], -1))))
         else:
             carry.append((F.sum if kind == "row" else _MONOIDS[kind][1])(t).over(before))
@@ -244,9 +244,12 @@ def running(df: DataFrame, specs: dict[str, tuple], keys="series_id", order="dat
             out[o] = F.coalesce(here, prior)
         elif kind == "lag":
             _, _, k, *default = specs[o]
-            at = F.size(prior) - k + F.col(f"__p{i}")  # from 1, in the tail of the rows before
+            at = F.size(prior) - k + F.col("__p0")  # from 1, in the tail of the rows before
             far = F.when(at >= 1, F.get(prior, at - 1)["v"]).otherwise(F.lit(default[0] if default else None))
-            out[o] = F.when(F.col(f"__p{i}") > k, here["v"]).otherwise(far)
+            out[o] = F.when(F.col("__p0") > k, here["v"]).otherwise(far)
+        elif kind == "before":
+            value_of = lambda a: F.transform(a, lambda c: c["v"])
+            out[o] = F.slice(F.reverse(F.concat(value_of(prior), value_of(here))), 1, specs[o][2])
         else:
             out[o] = _MONOIDS[kind][2](prior, here)
     d = d.withColumns({f"__o{i}": out[o] for i, o in enumerate(names)})

@@ -335,13 +335,13 @@ def kpss_level(df: DataFrame, x: str, keys: Sequence[str] = ("series_id",), orde
     base = d.groupBy(*keys).agg(F.first("__n").alias("n"), F.first("__L").alias("lags"),
                                 F.sum(F.col("__S") * F.col("__S")).alias("__ss"),
                                 F.sum(F.col("__e") * F.col("__e")).alias("__g0"))
-    a = d.select(*keys, "__rn", "__e", F.explode(F.sequence(F.lit(1), F.greatest(F.col("__L"), F.lit(1)))).alias("k"),
+    a = d.select(*keys, "__rn", "__e", F.explode(F.sequence(F.lit(1), F.greatest(F.col("__L"), F.lit(1)))).alias("__k"),
                  "__L")
-    a = a.where(F.col("k") <= F.col("__L")).withColumn("__rb", F.col("__rn") - F.col("k"))
+    a = a.where(F.col("__k") <= F.col("__L")).withColumn("__rb", F.col("__rn") - F.col("__k"))
     b = d.select(*keys, F.col("__rn").alias("__rb"), F.col("__e").alias("__eb"))
-    g = a.join(b, keys + ["__rb"]).groupBy(*keys, "k").agg(F.sum(F.col("__e") * F.col("__eb")).alias("__gk"),
+    g = a.join(b, keys + ["__rb"]).groupBy(*keys, "__k").agg(F.sum(F.col("__e") * F.col("__eb")).alias("__gk"),
                                                             F.first("__L").alias("__L"))
-    wsum = g.groupBy(*keys).agg(F.sum((F.lit(1.0) - F.col("k") / (F.col("__L") + 1.0)) * F.col("__gk")).alias("__wg"))
+    wsum = g.groupBy(*keys).agg(F.sum((F.lit(1.0) - F.col("__k") / (F.col("__L") + 1.0)) * F.col("__gk")).alias("__wg"))
     r = base.join(wsum, keys, "left").fillna(0.0, ["__wg"])
     nn = F.col("n").cast("double")
     s2 = (F.col("__g0") + F.lit(2.0) * F.col("__wg")) / nn

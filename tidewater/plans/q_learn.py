@@ -65,6 +65,14 @@ def q_cv_search(spark, sf):
                                        {"regParam": [0.0, 0.1]}, n_splits=3))
 
 
+@register("random_search")
+def q_random_search(spark, sf):
+    """Seeded draws of the penalty and its mix, scored on expanding-window folds by concurrent fits."""
+    fm = inputs.feature_matrix(spark, sf).where(F.col("split") == "train")
+    return finish(ln.random_search(fm, inputs.FEATURES, "direction", "logreg",
+                                   {"regParam": ("loguniform", 1e-4, 1.0), "elasticNetParam": [0.0, 0.5, 1.0]}, n_iter=4, n_splits=3))
+
+
 @register("pca_variance")
 def q_pca_variance(spark, sf):
     """T-18: explained / cumulative variance and components per threshold."""
