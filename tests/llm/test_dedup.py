@@ -137,6 +137,23 @@ def test_exact_groups_across_partitions(spark, make):
     assert sorted(map(tuple, got), key=str) == plain_exact(list(enumerate(texts)))
 
 
+def test_exact_groups_are_texts_even_where_digests_are_equal(spark, make):
+    """All digests forced equal, all texts with one start: only the comparison of whole texts tells them apart."""
+    rng = random.Random(8)
+    texts = ["the same start of every text, longer than its key " + rng.choice("abcde") for _ in range(300)]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = exact.duplicate_groups(make(texts, 5), digest=lambda body: F.lit("0" * 64)).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    first, size = {}, {}
+    for i, t in enumerate(texts):
+        first.setdefault(t, i)
+        size[t] = size.get(t, 0) + 1
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == {(i, first[t], size[t]) for i, t in enumerate(texts)}
+
+
 def test_exact_odd_rows(odd, empty):
     rows = [tuple(r) for r in odd.select("doc_id", "text").collect()]
     assert sorted(map(tuple, exact.duplicate_groups(odd).collect()), key=str) == plain_exact(rows)

@@ -1,4 +1,4 @@
-"""Exact dedup by content sort: range partitioning on sampled splitters, an external sort and
+"""Exact dedup by content sort: range partitioning on sampled splitters, an external sort of whole texts and
 comparison of neighbours."""
 
 from __future__ import annotations
@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import shared_table, text_slices
@@ -23,13 +23,22 @@ def normalised(text: Column) -> Column:
 
 
 def _runs(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Over one sorted partition: a row per document with its run (equal neighbours), and at the end
-    a row for the first and the last run, with the text, for comparison across partitions."""
+    """Over one partition sorted by whole text and id: a row per document with its run (equal neighbours), and at the
+    end a row, with the text, for the runs of the least and of the greatest partition key (start of the text,
+    digest): only these can go on in other partitions."""
     part = TaskContext.get().partitionId()
-    text, sha, ids, run, edges = None, None, [], -1, []
-
-    def closed() -> tuple:
-        return part, run, sha, ids[0], len(ids)
+    text, key, ids, run = None, None, [], -1
+    low: list[tuple] = []
+    high: list[tuple] = []
+
+    def close() -> tuple:
+        meta = part, run, key[1], ids[0], len(ids)
+        for ends, beyond in ((low, not low or key < low[0][0]), (high, not high or key > high[0][0])):
+            if beyond:
+                ends.clear()
+            if not ends or key == ends[0][0]:
+                ends.append((key, meta, text))
+        return meta
 
     def rows(runs: list[tuple[tuple, list]]) -> pa.RecordBatch:
         flat = [(i, *meta) for meta, members in runs for i in members]
@@ -42,63 +51,59 @@ def _runs(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[p
     for batch in batches:
         for piece in text_slices(batch, 1, SLICE_BYTES):
             done = []
-            for i, body, digest in zip(*(c.to_pylist() for c in piece.columns)):
+            for i, body, digest, start in zip(*(c.to_pylist() for c in piece.columns)):
                 if body != text:
                     if text is not None:
-                        done.append((closed(), ids))
-                        if run == 0:
-                            edges.append((closed(), text))
-                    text, sha, ids, run = body, digest, [], run + 1
+                        done.append((close(), ids))
+                    text, key, ids, run = body, (start, digest), [], run + 1
                 ids.append(i)
             if done:
                 yield rows(done)
     if text is not None:
-        yield rows([(closed(), ids)])
-        edges.append((closed(), text))
-        cols = list(zip(*((*meta, body) for meta, body in edges)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(["edge"] * len(edges)), pa.nulls(len(edges), id_type), pa.array(cols[0], pa.int32()),
-             pa.array(cols[1], pa.int64()), pa.array(cols[2]), pa.array(cols[3], id_type),
-             pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.binary())], names=_NAMES)
+        yield rows([(close(), ids)])
+        for meta, body in {meta[1]: (meta, body) for _, meta, body in low + high}.values():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(["edge"]), pa.nulls(1, id_type), pa.array([meta[0]], pa.int32()), pa.array([meta[1]], pa.int64()), pa.array([meta[2]]),
+                 pa.array([meta[3]], id_type), pa.array([meta[4]], pa.int64()), pa.array([body], pa.binary())], names=_NAMES)
 
 
 _NAMES = ["kind", "id", "part", "run", "sha", "first", "n", "body"]
 
 
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sha256(body: Column) -> Column:
+    return F.sha2(body, 256)
+
+
+def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256) -> DataFrame:
     """One row per input row: id, ``keep_id`` (smallest id of the rows with an equal normalised
     text), ``group_size``, ``kept`` and ``text_sha256`` (of the normalised UTF-8 text).
 
-    Rows are range-partitioned by (start of the text, digest, id) and sorted by it, so equal texts are
-    neighbours, neighbours are compared in full, and a text that any share of the rows has spreads over
-    as many partitions as it fills; only the first and last run of each partition meet again,
-    two rows a partition.  Null and empty texts are equal.  Ids sort before null; a group with no id
+    Rows are range-partitioned by (start of the text, digest, id), splitters of bounded size, and sorted by whole text
+    and id inside a partition, so equal texts are neighbours, neighbours are compared in full (equal digests
+    don't make texts equal), and a text that any share of the rows has spreads over
+    as many partitions as it fills.  Only the outermost runs of partitions meet again, grouped by whole text.
+    Ids are long, int, short or string.  Null and empty texts are equal.  Ids sort before null; a group with no id
     keeps null.  Of repeated rows of the smallest id all are marked kept, as they are one
     document.  An empty table gives an empty result; other columns are ignored.
     """
-    base = (docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("body"))
-            .withColumn("sha", F.sha2("body", 256)))
+    base = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("body")).withColumn("sha", digest(F.col("body")))
     kind = base.schema["id"].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    # the text's order, cut to keys of bounded size: splitters are sampled rows that go to the driver
-    order = [F.substring("body", 1, PREFIX).asc(), F.col("sha").asc(), F.col("id").asc_nulls_last()]
-    ordered = (base.repartitionByRange(*order).sortWithinPartitions(*order)
-               .select("id", F.col("body").cast("binary").alias("body"), "sha"))
+    arrow = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "string": pa.string()}[kind]
+    # splitters are sampled rows that go to the driver, so they hold the start of a text and its digest
+    base = base.withColumn("start", F.substring("body", 1, PREFIX).cast("binary")).withColumn("body", F.col("body").cast("binary"))
+    ordered = (base.repartitionByRange("start", "sha", F.col("id").asc_nulls_last())
+               .sortWithinPartitions("body", F.col("id").asc_nulls_last()).select("id", "body", "sha", "start"))
     out = shared_table(
         ordered.mapInArrow(lambda it: _runs(it, arrow),
                            f"kind string, id {kind}, part int, run long, sha string, first {kind}, n long, body binary"),
         "exact", ("kind",))
     rows = out.where("kind = 'row'").select("id", "part", "run", "sha", "first", "n")
 
-    along = Window.orderBy("part", "run")
-    edges = (out.where("kind = 'edge'").select("part", "run", "body", "first", "n")
-             # the last run of a partition continues nothing of its own partition
-             .withColumn("starts", F.coalesce((F.lag("part").over(along) == F.col("part"))
-                                              | (F.lag("body").over(along) != F.col("body")), F.lit(True)))
-             .drop("body").withColumn("group", F.sum(F.col("starts").cast("long")).over(along)))
-    whole = edges.groupBy("group").agg(F.min("first").alias("all_first"), F.sum("n").alias("all_n"))
-    # two rows a partition at most: a size bound that does not depend on the rows
-    fixed = F.broadcast(edges.join(whole, "group").select("part", "run", "all_first", "all_n"))
+    # outermost runs with equal whole texts are one group; a group lists its runs, without the text
+    groups = out.where("kind = 'edge'").groupBy("body").agg(
+        F.min("first").alias("all_first"), F.sum("n").alias("all_n"), F.collect_list(F.struct("part", "run")).alias("runs"))
+    # two rows a partition: a size bound that does not depend on the rows
+    fixed = F.broadcast(groups.where(F.size("runs") > 1).select("all_first", "all_n", F.explode("runs").alias("r")).select("all_first", "all_n", "r.part", "r.run"))
     return (rows.join(fixed, ["part", "run"], "left")
             .select(F.col("id").alias(id_col),
                     F.when(F.col("all_n").isNotNull(), F.col("all_first")).otherwise(F.col("first")).alias("keep_id"),
