@@ -3,9 +3,8 @@
 Documents become sequences of benchmark word numbers.  Passages (windows of words) and pieces of benchmark items are
 TF-IDF vectors over the benchmark's words.  A randomised singular value decomposition of the passage matrix, computed by
 sums over all tasks, gives a latent basis; a random projection of what the basis leaves out
-keeps products right on average however many pieces there are.  A window meets the pieces of the latent buckets nearest to
-it, and the pieces of which it has one of the rarest words (so many of them that nothing that the check accepts can lack them
-all).  Of these, candidates are the pieces whose latent product with the window is a large enough part of the piece's own
+keeps products right on average however many pieces there are.  Pieces are indexed by their rarest words, so many of them
+that nothing that the check accepts can lack them all; a window meets the pieces of which it has one.  Of these, candidates are the pieces whose latent product with the window is a large enough part of the piece's own
 square: the cosine without the window's length, so that neither other words of the window nor the popularity of a
 piece matter.  A candidate counts when the longest common subsequence of words covers enough of the piece, and
 enough of its answer (its last sentence), so edits and paraphrases are found and shared vocabulary alone is not.
@@ -30,15 +29,13 @@ WINDOW, STRIDE = 64, 32
 #: Benchmark words in one piece; longer items are cut into pieces that are searched alone.
 PIECE = 48
 #: Dimensions of the latent basis, and of the random projection of the rest.
-RANK, REST = 64, 64
+RANK, REST = 48, 32
 #: Columns of the passage matrix; more benchmark words than that share columns by number.
 MOST_COLUMNS = 1 << 16
-#: Buckets of pieces that a window visits, of about the square root of all pieces.
-PROBES = 2
 #: Pairs of window and piece whose products are taken at a time.
 PAIRS = 50_000
 #: Part of a piece's own square that its product with a window has to reach.
-NEAR = 0.35
+NEAR = 0.4
 COVER, ANSWER = 0.6, 0.5
 SLICE_BYTES = 2 << 20
 SLICE_WORDS = 100_000
@@ -146,7 +143,7 @@ def _summed(coded: DataFrame, width: int, add) -> np.ndarray:
 
 
 class Basis:
-    """Latent space of passages and pieces, and the buckets of the pieces."""
+    """Latent space of passages and pieces, and the index of the pieces' rarest words."""
 
     def __init__(self, bench: Benchmark, frequency: np.ndarray, passages: float, near: float):
         self.bench, self.least = bench, near
@@ -156,6 +153,9 @@ class Basis:
         rows = [np.unique(ids) for _, ids, _ in bench.pieces]
         self.own = np.array([(self.weight[r] ** 2).sum() for r in rows])
         self.rows = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
+        self.need = np.array([needed(len(ids)) for _, ids, _ in bench.pieces])
+        self.stretch = np.array([stretch_length(len(ids)) for _, ids, _ in bench.pieces])
+        self.held = self.rows[0] * bench.terms + self.rows[1]  # ascending: (piece, word)
         # a stretch with ``needed`` words of a piece lacks fewer distinct ones than this, so it has one of its rarest
         rarest = [r[np.argsort(frequency[r], kind="stable")[:min(len(r), int(len(ids) - needed(len(ids))) + 1)]]
                   for r, (_, ids, _) in zip(rows, bench.pieces)]
@@ -179,50 +179,36 @@ class Basis:
             row, term = row[order], term[order]
             column = term % self.width
             first = np.flatnonzero(np.concatenate([[True], column[1:] != column[:-1]]))
-            held[column[first]] += np.add.reduceat(values[row] * self.weight[term][:, None], first, axis=0)
+            held[column[first]] += np.add.reduceat(values[row] * self.weight[term].astype(values.dtype)[:, None], first, axis=0)
 
     def fit(self, coded: DataFrame, shared_self) -> None:
-        """Randomised range finder with one power step over the passages, and the principal directions of its range.
-        Pieces join the passage matrix with the weight of the corpus."""
+        """Randomised range finder over the passages, and the principal directions of its range.  Pieces join the
+        passage matrix with the weight of the corpus, and what the range leaves out is projected at random, so one pass
+        over the passages is enough."""
         rank = min(RANK, self.width)
         rng = np.random.default_rng(SEED)
-        space = rng.normal(size=(self.width, rank))
-        size = self.width * rank
-        for _ in range(2):
-            sent = coded.sparkSession.sparkContext.broadcast(space)
-
-            def add(held: np.ndarray, ids: np.ndarray) -> None:
-                basis, at = shared_self.value, np.flatnonzero(ids >= 0)
-                row, term = at // WINDOW, ids[at]
-                basis.back(row, term, basis.products(row, term, len(ids) // WINDOW, sent.value), held[:-1].reshape(-1, sent.value.shape[1]))
-                held[-1] += (basis.weight[term] ** 2).sum()
-
-            summed = _summed(coded, size + 1, add)
-            drawn = summed[:-1].reshape(self.width, rank)
-            boost = max(1.0, summed[-1] / max(1e-9, self.own.sum()))
-            self.back(*self.rows, boost * self.products(*self.rows, len(self.own), space), drawn)
-            space, triangle = np.linalg.qr(drawn)
+        space = rng.normal(size=(self.width, rank)).astype(np.float32)
+        sent = coded.sparkSession.sparkContext.broadcast(space)
+
+        def add(held: np.ndarray, ids: np.ndarray) -> None:
+            basis, at = shared_self.value, np.flatnonzero(ids >= 0)
+            row, term = at // WINDOW, ids[at]
+            basis.back(row, term, basis.products(row, term, len(ids) // WINDOW, sent.value), held[:-1].reshape(-1, sent.value.shape[1]))
+            held[-1] += (basis.weight[term] ** 2).sum()
+
+        summed = _summed(coded, self.width * rank + 1, add)
+        drawn = summed[:-1].reshape(self.width, rank)
+        boost = max(1.0, summed[-1] / max(1e-9, self.own.sum()))
+        self.back(*self.rows, boost * self.products(*self.rows, len(self.own), space), drawn)
+        space, triangle = np.linalg.qr(drawn)
         space = space @ np.linalg.svd(triangle)[0]
         rest = rng.normal(size=(self.width, REST)) / math.sqrt(REST)
         self.aim(np.hstack([space, rest - space @ (space.T @ rest)]))
 
     def aim(self, space: np.ndarray) -> None:
-        """Pieces in the space, divided by their own squares, and their buckets (spherical k-means)."""
+        """Pieces in the space, divided by their own squares."""
         self.space = space.astype(np.float32)
-        pieces = self.products(*self.rows, len(self.own), space)
-        self.near = (pieces / np.maximum(self.own, 1e-12)[:, None]).astype(np.float32)
-        unit = pieces / np.maximum(np.linalg.norm(pieces, axis=1), 1e-12)[:, None]
-        n = math.isqrt(len(unit) - 1) + 1
-        centre = unit[np.linspace(0, len(unit) - 1, n).astype(int)]
-        for _ in range(8):
-            bucket = (unit @ centre.T).argmax(axis=1)
-            for k in range(n):
-                if (bucket == k).any():
-                    mean = unit[bucket == k].mean(axis=0)
-                    centre[k] = mean / max(np.linalg.norm(mean), 1e-12)
-        bucket = (unit @ centre.T).argmax(axis=1)
-        self.centres = centre.astype(np.float32)
-        self.members = [np.flatnonzero(bucket == k) for k in range(n)]
+        self.near = (self.products(*self.rows, len(self.own), space) / np.maximum(self.own, 1e-12)[:, None]).astype(np.float32)
 
     def met(self, at: np.ndarray, term: np.ndarray) -> np.ndarray:
         """(stride, piece) numbers as stride * pieces + piece, where the stride has one of the piece's rarest words."""
@@ -239,25 +225,37 @@ class Basis:
         windows = parts.copy()
         for k in range(1, WINDOW // STRIDE):
             windows[:-k] += parts[k:]
-        some = np.flatnonzero(windows.any(axis=1))
-        if not len(some):
-            return []
         keys = self.met(at, term)
         keys = [keys - k * pieces for k in range(WINDOW // STRIDE)]  # windows that hold the stride
-        probes = min(PROBES, len(self.members))
-        nearest = np.argpartition(-(windows[some] @ self.centres.T), probes - 1, axis=1)[:, :probes]
-        for k, members in enumerate(self.members):
-            rows = some[(nearest == k).any(axis=1)]
-            keys.append((rows[:, None] * pieces + members).ravel())
         keys = np.unique(np.concatenate(keys))
         keys = keys[keys >= 0]
         out = []
         for a in range(0, len(keys), PAIRS):
             row, piece = np.divmod(keys[a:a + PAIRS], pieces)
             near = np.einsum("ij,ij->i", windows[row], self.near[piece]) >= self.least
-            out += zip((row[near] * STRIDE).tolist(), piece[near].tolist())
+            row, piece = row[near], piece[near]
+            enough = self.words_around(ids, row, piece) >= self.need[piece]  # fewer can't be in order
+            out += zip((row[enough] * STRIDE).tolist(), piece[enough].tolist())
         return out
 
+    def words_around(self, ids: np.ndarray, row: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Most words of the piece in any stretch of its verified length around each window."""
+        before, after = WINDOW // 2 // STRIDE, (WINDOW + WINDOW // 2) // STRIDE
+        width = (before + after) * STRIDE
+        padded = np.full(width + -(-len(ids) // STRIDE) * STRIDE, -1, dtype=np.int64)
+        padded[before * STRIDE:before * STRIDE + len(ids)] = ids
+        around = np.lib.stride_tricks.sliding_window_view(padded, width)[::STRIDE][row]
+        key = np.where(around >= 0, piece[:, None] * self.bench.terms + around, -1)
+        slot = np.minimum(np.searchsorted(self.held, key), len(self.held) - 1)
+        count = np.zeros((len(row), width + 1), dtype=np.int32)
+        np.cumsum(self.held[slot] == key, axis=1, out=count[:, 1:])
+        size = np.minimum(self.stretch[piece], width)
+        best = np.zeros(len(row), dtype=np.int64)
+        for n in np.unique(size):
+            some = np.flatnonzero(size == n)
+            best[some] = (count[some, n:] - count[some, :width + 1 - n]).max(axis=1)
+        return best
+
 
 # ------------------------------------------------------------------ verification
 def needed(size: int) -> float:
@@ -265,6 +263,11 @@ def needed(size: int) -> float:
     return max(COVER * size, min(8, size))
 
 
+def stretch_length(size: int) -> int:
+    """Words of the stretch in which a piece of ``size`` words is looked for."""
+    return size * 3 // 2 + 4
+
+
 def lcs(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence, bit-parallel over ``a``."""
     where: dict[int, int] = {}
@@ -278,23 +281,41 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
-def verify(piece: np.ndarray, tail: int, ids: np.ndarray, start: int) -> tuple[float, float, int] | None:
-    """(share of the piece, share of its answer, place) in the stretch of about one and a half piece
-    lengths around the window that has most of the piece's words."""
+def stretch(piece: np.ndarray, ids: np.ndarray, start: int) -> tuple[int, np.ndarray, int] | None:
+    """(words of the piece in order, the stretch, its place) for the stretch of about one and a half piece
+    lengths around the window that has most of the piece's words; None where they are too few."""
     low, high = max(0, start - WINDOW // 2), min(len(ids), start + WINDOW + WINDOW // 2)
     near = ids[low:high]
-    size = min(len(near), len(piece) * 3 // 2 + 4)
+    size = min(len(near), stretch_length(len(piece)))
     hits = np.concatenate([[0], np.cumsum((near[:, None] == piece).any(axis=1))])
     at = int((hits[size:] - hits[:len(hits) - size]).argmax())
-    region = near[at:at + size]
     need = needed(len(piece))
     if hits[at + size] - hits[at] < need:
         return None
-    found = lcs(piece, region)
-    if found < need:
+    found = lcs(piece, near[at:at + size])
+    return (found, near[at:at + size], low + at) if found >= need else None
+
+
+def answered(piece: np.ndarray, tail: int, region: np.ndarray) -> float:
+    """Share of the piece's answer in the stretch (1 where the piece holds none)."""
+    return lcs(piece[-tail:], region) / tail if tail else 1.0
+
+
+def verify(piece: np.ndarray, tail: int, ids: np.ndarray, start: int) -> tuple[float, float, int] | None:
+    """(share of the piece, share of its answer, place) where both are large enough around the window."""
+    got = stretch(piece, ids, start)
+    if got is None:
         return None
-    answer = lcs(piece[-tail:], region) / tail if tail else 1.0
-    return (found / len(piece), answer, low + at) if answer >= ANSWER else None
+    answer = answered(piece, tail, got[1])
+    return (got[0] / len(piece), answer, got[2]) if answer >= ANSWER else None
+
+
+def verify_around(piece: np.ndarray, tail: int, ids: np.ndarray, start: int) -> tuple[float, float, int] | None:
+    """``verify``; where only the answer is missing, also at the neighbouring windows, whose stretch may hold it."""
+    got = verify(piece, tail, ids, start)
+    if got is None and stretch(piece, ids, start) is not None:
+        got = next(filter(None, (verify(piece, tail, ids, s) for s in (start + STRIDE, start - STRIDE) if s >= 0)), None)
+    return got
 
 
 # ------------------------------------------------------------------ operator
@@ -359,9 +380,7 @@ def _search(docs: DataFrame, bench: Benchmark, id_col: str, text_col: str, schem
                     k = int(np.searchsorted(starts, at, side="right")) - 1
                     item, own, tail = b.bench.pieces[piece]
                     text = ids[starts[k]:starts[k] + len(packed[first + k]) // 4]
-                    start = at - int(starts[k])
-                    # the stretch of a neighbouring window may hold more of the answer
-                    got = next(filter(None, (verify(own, tail, text, s) for s in (start, start + STRIDE, start - STRIDE) if s >= 0)), None)
+                    got = verify_around(own, tail, text, at - int(starts[k]))
                     if got:
                         out.append((first + k, b.bench.items[item][0], *got))
             if out:
