@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.joins import join_null_safe
+from tidewater.operators.calendar import time_bucket
 from tidewater.operators.scan import running
 
 __all__ = [
@@ -55,7 +56,7 @@ def simulate(df: DataFrame, keys: Sequence[str], order: str, score: str, actual:
     keys, signal = list(keys), threshold_signal(score, threshold)
     # the position and the one before it are both lags of the signal
     d = running(df.withColumn("raw_signal", signal),
-                {"position": ("lag", "raw_signal", lag_days, 0), "__held": ("lag", "raw_signal", lag_days + 1, 0)}, keys, order)
+                {"position": ("lag", "raw_signal", lag_days, 0), "__held": ("lag", "raw_signal", lag_days + 1, 0)}, keys, order, bucket=_stretch(order))
     d = d.withColumn("turnover", F.abs(F.col("position") - F.col("__held"))).drop("__held")
     d = d.withColumns({"gross_return": F.col("position") * F.col(actual),
                        "cost": F.col("turnover") * F.lit(float(cost_rate))})
@@ -63,10 +64,16 @@ def simulate(df: DataFrame, keys: Sequence[str], order: str, score: str, actual:
     return _curves(d, keys, order)
 
 
+def _stretch(order: str) -> Column:
+    """Trading days are bounded by the calendar, so scans are cut by year and need no counts of rows."""
+    return time_bucket(order, "year")
+
+
 def _curves(d: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Net and zero-cost equity: running products of max(0, 1 + r), in one scan."""
     growth = lambda r: F.greatest(F.lit(0.0), F.lit(1.0) + F.col(r))
-    return running(d, {"equity": ("product", growth("net_return")), "zero_cost_equity": ("product", growth("gross_return"))}, keys, order)
+    return running(d, {"equity": ("product", growth("net_return")), "zero_cost_equity": ("product", growth("gross_return"))}, keys, order,
+                   bucket=_stretch(order))
 
 
 def strategy_metrics(daily: DataFrame, keys: Sequence[str], order: str = "date", ret: str = "net_return",
@@ -76,7 +83,7 @@ def strategy_metrics(daily: DataFrame, keys: Sequence[str], order: str = "date",
     equity value, plus trades, turnover, exposure, zero-cost return and cost
     drag."""
     keys = list(keys)
-    d = running(daily, {"__peak": ("max", equity)}, keys, order)
+    d = running(daily, {"__peak": ("max", equity)}, keys, order, bucket=_stretch(order))
     d = d.withColumn("__dd", F.when(F.col("__peak") > 0, F.col(equity) / F.col("__peak") - F.lit(1.0)))
     r = F.col(ret)
     down = F.least(r, F.lit(0.0))

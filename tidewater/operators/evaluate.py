@@ -282,9 +282,9 @@ def ensemble_average(preds: DataFrame, members: DataFrame, keys: Sequence[str],
 
 def decision_log(preds: DataFrame, keys: Sequence[str], order: str, label="target", score="proba_up",
                  threshold: float = 0.5) -> DataFrame:
-    """First row per date with its decision, correctness and margin."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    d = preds.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    """First row per group of ``keys`` (in ``order``) with its decision, correctness and margin."""
+    rest = [c for c in preds.columns if c not in keys]
+    d = preds.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("__first")).select(*keys, "__first.*")
     pred = (F.col(score) >= threshold).cast("int")
     return d.withColumns({"decision": F.when(pred == 1, "UP").otherwise("DOWN"),
                           "correct": (pred == F.col(label)).cast("int"),

@@ -15,16 +15,15 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions.joins import join_null_safe
 from tidewater.functions.scalar import cyclical, eps_ratio, null_safe_flag, regime_code
 from tidewater.functions.windows import rolling, series_window
 from tidewater.operators.scan import alpha_from_span, ewm_mean
-from tidewater.operators.scan import running
+from tidewater.operators.scan import running, volume_bucket
 
 __all__ = [
     "pct_change", "diff", "add_returns", "add_lags", "add_forward_target", "add_rolling",
     "zscore_fallback", "rolling_quantile_flag", "rsi", "macd", "bollinger", "momentum",
-    "technical_features", "streak_runs", "streak_summary", "equity_curve", "recency_weights",
+    "technical_features", "streak_runs", "streak_summary", "equity_curve", "recency_weights", "recency_weight_set",
     "rolling_origin_folds", "sliding_sequences", "lag_consistency", "autocorrelation",
     "cyclical_calendar", "regime_series", "rolling_corr", "corr_expr", "pair_mask",
 ]
@@ -220,8 +219,11 @@ def streak_runs(df: DataFrame, label: str, keys="series_id", order="date") -> Da
     Returns one row per run: keys, run_id, label, length, start, end.
     """
     keys = _k(keys)
-    d = running(df.where(F.col(label).isNotNull()), {"__was": ("lag", label, 1)}, keys, order)
-    d = running(d.withColumn("__chg", F.when(F.col("__was") == F.col(label), 0).otherwise(1)), {"run_id": ("sum", "__chg")}, keys, order)
+    first = [order] if isinstance(order, str) else list(order)
+    d = volume_bucket(df.where(F.col(label).isNotNull()), keys, first[0], out="__stretch")
+    d = running(d, {"__was": ("lag", label, 1)}, keys, order, bucket=F.col("__stretch"))
+    d = d.withColumn("__chg", F.when(F.col("__was") == F.col(label), 0).otherwise(1))
+    d = running(d, {"run_id": ("sum", "__chg")}, keys, order, bucket=F.col("__stretch"))
     return d.groupBy(*keys, "run_id").agg(F.first(label).alias(label), F.count(F.lit(1)).alias("length"),
                                           F.min(order).alias("start"), F.max(order).alias("end"))
 
@@ -238,9 +240,11 @@ def equity_curve(df: DataFrame, ret: str, keys="series_id", order="date", equity
     """equity = running product of max(0, 1+r); drawdown vs running
     peak, the peak starting at the first equity value (not 1).  Two scans."""
     growth = F.greatest(F.lit(0.0), F.lit(1.0) + F.coalesce(F.col(ret), F.lit(0.0)))
-    d = running(running(df, {equity: ("product", growth)}, keys, order), {"__peak": ("max", equity)}, keys, order)
+    first = [order] if isinstance(order, str) else list(order)
+    d = running(volume_bucket(df, keys, first[0], out="__stretch"), {equity: ("product", growth)}, keys, order, bucket=F.col("__stretch"))
+    d = running(d, {"__peak": ("max", equity)}, keys, order, bucket=F.col("__stretch"))
     peak = F.col("__peak")
-    return d.withColumn(drawdown, F.when(peak > 0, F.col(equity) / peak - F.lit(1.0)).otherwise(F.lit(0.0))).drop("__peak")
+    return d.withColumn(drawdown, F.when(peak > 0, F.col(equity) / peak - F.lit(1.0)).otherwise(F.lit(0.0))).drop("__peak", "__stretch")
 
 
 def recency_weights(df: DataFrame, scheme: str, keys="series_id", order="date", out: str = "weight",
@@ -251,23 +255,36 @@ def recency_weights(df: DataFrame, scheme: str, keys="series_id", order="date",
     exponential: exp(-ln2/h*(n-1-i)); linear: min+(1-min)*i/(n-1);
     step: recent_weight from int(n*(1-r)) on; uniform: 1.
     """
+    return recency_weight_set(df, {out: dict(scheme=scheme, half_life=half_life, min_weight=min_weight, recent_ratio=recent_ratio,
+                                             recent_weight=recent_weight)}, keys, order)
+
+
+def recency_weight_set(df: DataFrame, weights: dict[str, dict], keys="series_id", order="date") -> DataFrame:
+    """Several weights of ``recency_weights`` (its arguments by output name) from one scan.  The means that
+    normalise them follow from the number of rows."""
     keys = _k(keys)
-    d = running(df, {"__i": ("row",)}, keys, order).withColumn("__i", (F.col("__i") - 1).cast("double"))
-    d = join_null_safe(d, df.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("__n")), keys)
-    i, n = F.col("__i"), F.col("__n")
-    if scheme == "exponential":
-        raw = F.exp(F.lit(-math.log(2.0) / half_life) * (n - F.lit(1.0) - i))
-    elif scheme == "linear":
-        raw = F.when(n > 1, F.lit(min_weight) + F.lit(1.0 - min_weight) * i / (n - F.lit(1.0))).otherwise(F.lit(min_weight))
-    elif scheme == "step":
-        raw = F.when(i >= F.floor(n * F.lit(1.0 - recent_ratio)), F.lit(recent_weight)).otherwise(F.lit(1.0))
-    elif scheme == "uniform":
-        raw = F.lit(1.0)
-    else:
+    first = [order] if isinstance(order, str) else list(order)
+    d = volume_bucket(df, keys, first[0], out="__stretch", count="__rows")
+    d = running(d, {"__at": ("row",)}, keys, order, bucket=F.col("__stretch"))
+    i, n = (F.col("__at") - 1).cast("double"), F.col("__rows").cast("double")
+
+    def weight(scheme: str, half_life: float = 250.0, min_weight: float = 0.1, recent_ratio: float = 0.5, recent_weight: float = 2.0) -> Column:
+        if scheme == "exponential":
+            rate = math.log(2.0) / half_life
+            mean = -F.expm1(F.lit(-rate) * n) / (n * F.lit(-math.expm1(-rate)))
+            return F.exp(F.lit(-rate) * (n - F.lit(1.0) - i)) / mean
+        if scheme == "linear":
+            raw = F.lit(min_weight) + F.lit(1.0 - min_weight) * i / (n - F.lit(1.0))
+            return F.when(n > 1, raw / F.lit((1.0 + min_weight) / 2.0)).otherwise(F.lit(1.0))
+        if scheme == "step":
+            start = F.floor(n * F.lit(1.0 - recent_ratio))
+            mean = (start + (n - start) * F.lit(recent_weight)) / n
+            return F.when(i >= start, F.lit(recent_weight)).otherwise(F.lit(1.0)) / mean
+        if scheme == "uniform":
+            return F.lit(1.0)
         raise ValueError(f"unknown scheme {scheme}")
-    d = d.withColumn("__raw", raw)
-    d = join_null_safe(d, d.groupBy(*keys).agg(F.avg("__raw").alias("__mean")), keys)
-    return d.withColumn(out, F.col("__raw") / F.col("__mean")).drop("__i", "__n", "__raw", "__mean")
+
+    return d.withColumns({out: weight(**w) for out, w in weights.items()}).drop("__at", "__rows", "__stretch")
 
 
 def rolling_origin_folds(df: DataFrame, n_splits: int = 5, keys="series_id", order="date") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.joins import join_null_safe
 from tidewater.operators.scan import running
 from tidewater.operators.stats import value_bucket
+from tidewater.session import cut_lineage
 
 __all__ = ["digamma", "knn_mutual_information"]
 
@@ -46,7 +47,7 @@ def knn_mutual_information(long: DataFrame, group: Sequence[str], value: str, la
     group, ids = list(group), list(ids)
     rows = long.where(F.col(value).isNotNull() & F.col(label).isNotNull()).select(*group, *ids, label, F.col(value).cast("double").alias("v"))
     sizes = rows.groupBy(*group, label).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    rows = join_null_safe(rows, sizes, [*group, label])
+    rows = cut_lineage(join_null_safe(rows, sizes, [*group, label]))  # read by the cuts and by the scans
     near = _nearest(rows, [*group, label], "v", ids, k).withColumn("k", F.least(F.lit(k), F.col("size") - 1).cast("int"))
     v = F.col("v")
     gaps = F.concat(F.transform("before", lambda x: v - x), F.transform("after", lambda x: x - v))
@@ -55,7 +56,7 @@ def knn_mutual_information(long: DataFrame, group: Sequence[str], value: str, la
     # the neighbour at distance d bounds its side by its own value; the other side by v -+ d
     left = F.coalesce(F.get(F.filter("before", lambda x: v - x == F.col("d")), F.lit(0)), v - F.col("d"))
     right = F.coalesce(F.get(F.filter("after", lambda x: x - v == F.col("d")), F.lit(0)), v + F.col("d"))
-    near = near.select(*group, label, *ids, "v", "k", "size", "d", left.alias("lo"), right.alias("hi"))
+    near = cut_lineage(near.select(*group, label, *ids, "v", "k", "size", "d", left.alias("lo"), right.alias("hi")))
     values = near.groupBy(*group, "v").agg(F.count(F.lit(1)).alias("n"))
     # counts below hi (asked before equal values) and up to lo (asked after them); with d = 0 the row's own value counts
     zero = F.col("d") == 0
@@ -65,7 +66,7 @@ def knn_mutual_information(long: DataFrame, group: Sequence[str], value: str, la
     known = values.select(*group, F.lit(None).cast(near.schema[label].dataType).alias(label),
                           *[F.lit(None).cast(near.schema[c].dataType).alias(c) for c in ids], F.lit(None).cast("int").alias("k"),
                           F.lit(None).cast("long").alias("size"), F.col("v").alias("x"), F.lit(1).alias("at"), F.lit(0).alias("sign"), "n")
-    both = value_bucket(asked.unionByName(known), group, "x")
+    both = cut_lineage(value_bucket(asked.unionByName(known), group, "x"))
     counted = running(both, {"upto": ("sum", "n")}, group, ["x", "at"], bucket=F.col("__vb")).where("sign <> 0")
     m = counted.groupBy(*group, label, *ids, "k", "size").agg(F.sum(F.col("upto") * F.col("sign")).alias("m"))
     out = m.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg(digamma(F.col("k")) - digamma(F.col("size")) - digamma(F.col("m"))).alias("mean"))

@@ -114,14 +114,15 @@ def evaluate_candidate(df: DataFrame, features: Sequence[str], label: str, kind:
     test = predict_proba(m2, df.where(F.col(split) == "test"), kind).withColumn("target", F.col(label))
     preds = (val.withColumn("Split", F.lit("val")).unionByName(test.withColumn("Split", F.lit("test")))
              .withColumn("Model", F.lit(name)))
-    preds = join_null_safe(preds, best, [])  # a scalar
+    # four reports read the predictions: both models score once
+    preds = cut_lineage(join_null_safe(preds, best, []).select("Model", "Split", *keys, "target", "proba_up", "best_threshold"))
     at_best = ev.classification_metrics(preds, ["Model", "Split"], threshold=F.col("best_threshold")) \
         .withColumn("ThresholdMode", F.lit("val_best"))
     at_half = ev.classification_metrics(preds, ["Model", "Split"], threshold=0.5) \
         .withColumn("ThresholdMode", F.lit("fixed_0.5"))
     auc = ev.roc_auc(preds, ["Model", "Split"])
     rows = at_best.unionByName(at_half).join(auc, ["Model", "Split"])
-    return rows, preds.select("Model", "Split", *keys, "target", "proba_up", "best_threshold")
+    return rows, preds
 
 
 def date_folds(df: DataFrame, date: str, n_splits: int = 5) -> DataFrame:

@@ -110,7 +110,8 @@ def fit_yeo_johnson(long: DataFrame, fit_where: Column | None = None, group=("fe
 
     The likelihood has one maximum, so it is bracketed: every round evaluates ``points`` equally spaced lambdas of
     each group's bracket in one aggregation over all groups and keeps the two intervals around the best one,
-    until a bracket is narrower than ``tolerance`` (7 rounds by default).  Fit rows are written once; rows don't fan out.
+    until a bracket is narrower than ``tolerance`` (7 rounds by default).  Fit rows are written once; a round's trials fan out inside
+    its map stage and collapse in the partial aggregation.
     """
     group = list(group)
     d = cut_lineage(_fit_rows(long, fit_where, value).select(*group, F.col(value).cast("double").alias("__x")))
@@ -119,15 +120,16 @@ def fit_yeo_johnson(long: DataFrame, fit_where: Column | None = None, group=("fe
     width = high - low
     while width > tolerance:
         step = (F.col("__hi") - F.col("__lo")) / (points - 1)
-        trial = [F.col("__lo") + step * j for j in range(points)]
-        j = join_null_safe(d, brackets, group)  # a row per group
-        spread = j.groupBy(*group).agg(*[F.var_pop(yeo_johnson(F.col("__x"), t)).alias(f"__v{i}") for i, t in enumerate(trial)])
-        both = join_null_safe(brackets, spread, group)
-        fits = [F.struct(F.when(F.col(f"__v{i}") > 0, -F.col("__n") / 2.0 * F.log(F.col(f"__v{i}")) + (t - 1.0) * F.col("__s")).alias("ll"),
-                         (-t).alias("t")) for i, t in enumerate(trial)]
-        best = -F.array_max(F.array(*fits))["t"]
-        brackets = cut_lineage(both.select(*group, "__n", "__s", F.greatest("__lo", best - step).alias("__lo"),
-                                           F.least("__hi", best + step).alias("__hi")))
+        trial = F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda j: F.col("__lo") + step * j))
+        # a row per group meets the rows; trials are summed up before anything is shuffled
+        spread = (join_null_safe(d, brackets.withColumn("__step", step), group).withColumn("__lam", trial)
+                  .groupBy(*group, "__lam").agg(F.var_pop(yeo_johnson(F.col("__x"), F.col("__lam"))).alias("__v"),
+                                                *[F.first(c).alias(c) for c in ("__n", "__s", "__lo", "__hi", "__step")]))
+        fit = F.when(F.col("__v") > 0, -F.col("__n") / 2.0 * F.log("__v") + (F.col("__lam") - 1.0) * F.col("__s"))
+        best = F.max(F.struct(fit.alias("fit"), (-F.col("__lam")).alias("lam"), "__n", "__s", "__lo", "__hi", "__step")).alias("b")
+        lam = -F.col("b.lam")
+        brackets = cut_lineage(spread.groupBy(*group).agg(best).select(
+            *group, "b.__n", "b.__s", F.greatest("b.__lo", lam - F.col("b.__step")).alias("__lo"), F.least("b.__hi", lam + F.col("b.__step")).alias("__hi")))
         width = width * 2 / (points - 1)
     best = brackets.select(*group, ((F.col("__lo") + F.col("__hi")) / 2).alias("lambda"))
     # standardisation parameters of the transformed train values

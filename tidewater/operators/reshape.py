@@ -74,21 +74,20 @@ def argmax_row(df: DataFrame, group: Sequence[str], key: Column) -> DataFrame:
     return best.select(*group, "__b.*")
 
 
-def pick_examples(df: DataFrame, id_col: str, rules: Sequence[tuple[str, Column, Column, bool]]) -> DataFrame:
+def pick_examples(df: DataFrame, id_col: str, rules: Sequence[tuple[str, Column, Column, bool]], group: Sequence[str] = ()) -> DataFrame:
     """Each rule (name, predicate, key, descending) independently picks
-    its best row (highest / lowest key, smallest numeric id on ties) with a
-    ``max_by`` / ``min_by`` aggregate — no global sort; then a pick whose id
-    was already picked by an earlier rule is dropped (priority order)."""
-    cols = df.columns
-    picks = None
-    for pri, (name, pred, key, desc) in enumerate(rules):
-        row = F.struct(*[F.col(c) for c in cols])
-        best = (F.max_by(row, F.struct(key, -F.col(id_col))) if desc
-                else F.min_by(row, F.struct(key, F.col(id_col))))
-        one = df.where(pred).agg(best.alias("__b")).where(F.col("__b").isNotNull()) \
-            .select(F.lit(name).alias("example"), F.lit(pri).alias("__pri"), "__b.*")
-        picks = one if picks is None else picks.unionByName(one)
-    w = Window.partitionBy(id_col).orderBy("__pri")  # at most len(rules) rows
+    its best row of every group (highest / lowest key, smallest numeric id on ties), all rules in
+    one aggregation; then a pick whose id was already picked by an earlier rule is dropped (priority order)."""
+    group = list(group)
+    row = F.struct(*[F.col(c) for c in df.columns if c not in group])
+    best = [F.max_by(row, F.when(pred, F.struct(key, -F.col(id_col)))) if desc else F.min_by(row, F.when(pred, F.struct(key, F.col(id_col))))
+            for _, pred, key, desc in rules]
+    picked = df.groupBy(*group).agg(*[b.alias(f"__p{i}") for i, b in enumerate(best)])
+    each = F.explode(F.array(*[F.struct(F.lit(r[0]).alias("example"), F.lit(i).alias("pri"), F.col(f"__p{i}").alias("row"))
+                               for i, r in enumerate(rules)]))
+    picks = picked.select(*group, each.alias("__e")).where(F.col("__e.row").isNotNull())
+    picks = picks.select(*group, F.col("__e.example").alias("example"), F.col("__e.pri").alias("__pri"), "__e.row.*")
+    w = Window.partitionBy(*group, id_col).orderBy("__pri")  # at most len(rules) rows
     return picks.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k", "__pri")
 
 

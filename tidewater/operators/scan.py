@@ -150,20 +150,23 @@ def monotone(df: DataFrame, col: str) -> Column:
     return c.cast("double")
 
 
-def volume_bucket(df: DataFrame, keys: Sequence[str], order: str, rows: int = ROWS_PER_BUCKET, out: str = "__b") -> DataFrame:
+def volume_bucket(df: DataFrame, keys: Sequence[str], order: str, rows: int = ROWS_PER_BUCKET, out: str = "__b",
+                  count: str | None = None) -> DataFrame:
     """Adds ``out``: buckets of the order column, rising with it, of about ``rows`` rows in every key.
 
     Only keys with more than ``rows`` rows are cut (into equal stretches of the order column), so the joined
     table has at most one row per ``rows`` input rows; all rows of another key are bucket 0, those
-    without an order value bucket -1."""
-    x = monotone(df, order)
-    heavy = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min(x).alias("__lo"), F.max(x).alias("__hi"))
-             .where(F.col("__n") > rows).withColumn("__parts", F.ceil(F.col("__n") / rows)).drop("__n"))
-    d = join_null_safe(df, heavy, list(keys), "left")
-    part = F.floor(F.try_divide(x - F.col("__lo"), F.col("__hi") - F.col("__lo")) * F.col("__parts"))
-    bucket = F.when(x.isNull(), F.lit(-1)).when(F.col("__parts").isNull(), F.lit(0)).otherwise(
-        F.coalesce(F.least(part, F.col("__parts") - 1), F.lit(0)))
-    return d.withColumn(out, bucket.cast("long")).drop("__lo", "__hi", "__parts")
+    without an order value bucket -1.  With ``count`` the rows of each key are added under that name, and the joined
+    table has a row per key."""
+    x, keys = monotone(df, order), _keys(keys)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min(x).alias("__lo"), F.max(x).alias("__hi"))
+    d = join_null_safe(df, sizes if count else sizes.where(F.col("__n") > rows), keys, "left")
+    parts = F.ceil(F.col("__n") / rows)
+    part = F.floor(F.try_divide(x - F.col("__lo"), F.col("__hi") - F.col("__lo")) * parts)
+    bucket = F.when(x.isNull(), F.lit(-1)).when(F.col("__n").isNull() | (F.col("__n") <= rows), F.lit(0)).otherwise(
+        F.coalesce(F.least(part, parts - 1), F.lit(0)))
+    d = d.withColumn(out, bucket.cast("long"))
+    return (d.withColumn(count, F.col("__n")) if count else d).drop("__lo", "__hi", "__n")
 
 
 #: kind -> (local aggregate over the rows so far, aggregate of a bucket, how the buckets before and the bucket combine)

@@ -186,9 +186,8 @@ SELECT series_id, date, e / avg(e) OVER (PARTITION BY series_id) AS w_exp,
 FROM raw""", dbl="w_exp w_linear w_step")
 def q_recency_weights(spark, sf):
     p = inputs.daily_panel(spark, sf).select("series_id", "date")
-    p = ft.recency_weights(p, "exponential", out="w_exp", half_life=250.0)
-    p = ft.recency_weights(p, "linear", out="w_linear", min_weight=0.1)
-    p = ft.recency_weights(p, "step", out="w_step", recent_ratio=0.5, recent_weight=2.0)
+    p = ft.recency_weight_set(p, {"w_exp": dict(scheme="exponential", half_life=250.0), "w_linear": dict(scheme="linear", min_weight=0.1),
+                                  "w_step": dict(scheme="step", recent_ratio=0.5, recent_weight=2.0)})
     return finish(p)
 
 

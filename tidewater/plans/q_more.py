@@ -217,18 +217,18 @@ EXAMPLE_RULES_SQL = [
 
 
 @register("pick_examples", with_(PREDICTIONS) + """,
-t AS (SELECT o_orderkey, date, proba_up, target, CAST(proba_up >= 0.5 AS INTEGER) AS pred,
-             abs(proba_up - 0.5) AS margin FROM preds WHERE Model = 'm1' AND Split = 'test'),
+t AS (SELECT Model, o_orderkey, date, proba_up, target, CAST(proba_up >= 0.5 AS INTEGER) AS pred,
+             abs(proba_up - 0.5) AS margin FROM preds WHERE Split = 'test'),
 c AS (""" + "\n      UNION ALL\n      ".join(
-    f"(SELECT '{n}' AS example, {i} AS pri, * FROM t WHERE {cond} ORDER BY {order}, o_orderkey LIMIT 1)"
+    f"(SELECT '{n}' AS example, {i} AS pri, * FROM t WHERE {cond} QUALIFY row_number() OVER (PARTITION BY Model ORDER BY {order}, o_orderkey) = 1)"
     for i, (n, cond, order) in enumerate(EXAMPLE_RULES_SQL)) + """)
-SELECT example, o_orderkey, date, proba_up, target FROM c
-QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY pri) = 1""", dbl="proba_up")
+SELECT Model, example, o_orderkey, date, proba_up, target FROM c
+QUALIFY row_number() OVER (PARTITION BY Model, o_orderkey ORDER BY pri) = 1""", dbl="proba_up")
 def q_pick_examples(spark, sf):
     """Showcase predictions — best confident hits, a coin flip, false
     signals and the most recent actual UP/DOWN — de-duplicated by id."""
-    p = inputs.predictions(spark, sf).where((F.col("Model") == "m1") & (F.col("Split") == "test"))
-    p = p.select("o_orderkey", "date", "proba_up", "target",
+    p = inputs.predictions(spark, sf).where(F.col("Split") == "test")
+    p = p.select("Model", "o_orderkey", "date", "proba_up", "target",
                  (F.col("proba_up") >= 0.5).cast("int").alias("pred"), F.abs(F.col("proba_up") - 0.5).alias("margin"))
     pred, tgt, m = F.col("pred"), F.col("target"), F.col("margin")
     rules = [("confident_up_correct", (pred == 1) & (pred == tgt), m, True),
@@ -238,8 +238,8 @@ def q_pick_examples(spark, sf):
              ("false_down", (pred == 0) & (pred != tgt), m, True),
              ("recent_up", tgt == 1, F.col("date"), True),
              ("recent_down", tgt == 0, F.col("date"), True)]
-    ex = rs.pick_examples(p, "o_orderkey", rules)
-    return finish(ex.select("example", "o_orderkey", "date", "proba_up", "target"))
+    ex = rs.pick_examples(p, "o_orderkey", rules, ["Model"])
+    return finish(ex.select("Model", "example", "o_orderkey", "date", "proba_up", "target"))
 
 
 @register("lookup_fallback", with_(PANEL) + """
@@ -304,11 +304,11 @@ def q_group_stats_by_class(spark, sf):
 
 
 @register("replay_by_id", with_(PREDICTIONS) + """
-SELECT r.l_orderkey AS o_orderkey, p.proba_up, p.target, CASE WHEN p.o_orderkey IS NULL THEN 0 ELSE 1 END AS found
+SELECT r.l_orderkey AS o_orderkey, p.Model, p.proba_up, p.target, CASE WHEN p.o_orderkey IS NULL THEN 0 ELSE 1 END AS found
 FROM (SELECT DISTINCT l_orderkey FROM lineitem) r
-LEFT JOIN (SELECT * FROM preds WHERE Model = 'm1') p ON p.o_orderkey = r.l_orderkey""", dbl="proba_up")
+LEFT JOIN preds p ON p.o_orderkey = r.l_orderkey""", dbl="proba_up")
 def q_replay_by_id(spark, sf):
-    """Replay the stored m1 prediction for every order id referenced by lineitem (found flag, no error)."""
+    """Replay every model's stored prediction for every order id referenced by lineitem (found flag, no error)."""
     req = read_table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
-    stored = inputs.predictions(spark, sf).where(F.col("Model") == "m1").select("o_orderkey", "proba_up", "target")
+    stored = inputs.predictions(spark, sf).select("o_orderkey", "Model", "proba_up", "target")
     return finish(rs.replay(req, stored, "o_orderkey"))

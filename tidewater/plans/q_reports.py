@@ -91,15 +91,15 @@ def q_corr_top_pairs(spark, sf):
 
 
 @register("decision_log", with_(PREDICTIONS) + """
-SELECT date, o_orderkey, target, proba_up,
+SELECT Model, date, o_orderkey, target, proba_up,
        CASE WHEN proba_up >= 0.5 THEN 'UP' ELSE 'DOWN' END AS decision,
        CAST(CAST(proba_up >= 0.5 AS INTEGER) = target AS INTEGER) AS correct, abs(proba_up - 0.5) AS margin
-FROM preds WHERE Model = 'm1' AND Split = 'test'
-QUALIFY row_number() OVER (PARTITION BY date ORDER BY o_orderkey) = 1""", dbl="proba_up margin")
+FROM preds WHERE Split = 'test'
+QUALIFY row_number() OVER (PARTITION BY Model, date ORDER BY o_orderkey) = 1""", dbl="proba_up margin")
 def q_decision_log(spark, sf):
-    p = inputs.predictions(spark, sf).where((F.col("Model") == "m1") & (F.col("Split") == "test"))
-    d = ev.decision_log(p, ["date"], "o_orderkey")
-    return finish(d.select("date", "o_orderkey", "target", "proba_up", "decision", "correct", "margin"))
+    p = inputs.predictions(spark, sf).where(F.col("Split") == "test")
+    d = ev.decision_log(p, ["Model", "date"], "o_orderkey")
+    return finish(d.select("Model", "date", "o_orderkey", "target", "proba_up", "decision", "correct", "margin"))
 
 
 BH_SQL = f"""
