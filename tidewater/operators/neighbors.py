@@ -210,7 +210,9 @@ def knn_topk(refs: DataFrame, queries: DataFrame, k: int, id_col: str, vec: str,
                     best = np.lexsort((ids[rows], d))[:kk]  # ties of the distance break on the id
                     keep = best[d[best] <= m["bound"] * (1 + SLACK) + SLACK]
                     out = pd.DataFrame({"__qid": [m["i"]] * len(keep), "__rid": ids[rows][keep], "distance": d[keep], "__y": y[rows][keep]})
-                    yield out[out["__rid"] != m["s"]] if self_id is not None else out
+                    out = out[out["__rid"] != m["s"]] if self_id is not None else out
+                    if len(out):  # an empty text column does not go through Arrow
+                        yield out
 
     schema = f"__qid {_type(queries, query_id)}, __rid {_type(refs, id_col)}, distance double, __y {_type(refs, outcome)}"
     w = Window.partitionBy("__qid").orderBy("distance", "__rid")  # <= visited blocks x k rows per query
