@@ -180,6 +180,30 @@ def test_resample_equals_plain_features(spark, make, n):
     assert rows == plain_resample(docs, target, n, 97, 30, 4)
 
 
+def test_resampling_query_weighs_by_the_floored_mean(spark, tmp_path):
+    from tidewater.llm import queries
+    r = random.Random(8)
+    vocabulary = ["the", "cat", "Sat", "on", "mat", "déjà", "7", "Z"]
+    texts = [*TEXTS, *(" ".join(r.choices(vocabulary, k=r.randint(0, 60))) for _ in range(80))]
+    docs, target = [*enumerate(texts), (3, "the cat sat " * 9), (None, "no id at all here")], ["the cat sat on\nthe mat", "déjà vu", None]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([*enumerate(target)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    each = [(i, *plain_features(t, 1, 10_000)) for i, t in docs]
+    s, t = sum((f for *_, f in each), Counter()), sum((plain_features(x, 1, 10_000)[1] for x in target), Counter())
+    big_s, big_t = s.total() + 10_000, t.total() + 10_000
+    rows = []
+    for i, n, f in each:
+        gains = sum(math.floor(1000 * math.log((t[b] + 1) * big_s / ((s[b] + 1) * big_t))) * c for b, c in f.items())
+        h = int(hashlib.sha256(f"2024:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        weight = gains // n if n else 0
+        rows.append((i, n, weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))))
+    able = sorted((x for x in rows if x[1] >= 20), key=lambda x: (-x[3], x[0] is not None, x[0] or 0))
+    want = Counter([(*x, k + 1 if k < len(able) // 10 else None) for k, x in enumerate(able)] + [(*x, None) for x in rows if x[1] < 20])
+    got = queries.op11_resampling(spark, str(tmp_path)).select("doc_id", "n_features", "weight", "score", "rank")
+    assert {kind for _, kind in got.dtypes} == {"bigint"}
+    assert any(x[2] < 0 for x in rows) and Counter(tuple(x) for x in got.collect()) == want
+
+
 def test_resample_empty_tables(spark, make, empty):
     assert importance.resample(empty, make(["a b"])).collect() == []
     only = importance.resample(make(["a b", "c"]), empty, min_words=1, percent=50).collect()
