@@ -107,6 +107,33 @@ def test_pivot_join_odd_tables(spark):
     assert nb.knn_topk(refs, queries.limit(0), 3, "id", "v", "y").count() == 0
 
 
+def test_a_query_travels_once_to_a_slab_in_rows_of_its_own(spark):
+    """No row holds a group, and what is shuffled follows the slabs and chunks, not the cells (30 here)."""
+    x = cloud()
+    refs = spark.createDataFrame([(i, v.tolist(), float(i % 2)) for i, v in enumerate(x)], "id long, v array<double>, y double")
+    queries = refs.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("id").alias("own"), "v")
+    meet, _ = nb._meetings(refs, queries, 5, "id", "v", "y", "query_id", True, "own", nb.QUERY_ROWS, nb.REF_ROWS)
+    assert not [t for _, t in meet.dtypes if "struct" in t]
+    assert meet.count() == len(x) + queries.count()
+
+
+def test_neighbours_beyond_a_slab_with_null_outcomes_and_text_ids(spark):
+    x = cloud(n=480, dims=5)
+    rows = [(f"r{i:03d}", v.tolist(), None if i % 7 == 0 else i) for i, v in enumerate(x)]
+    refs = spark.createDataFrame(rows, "id string, v array<float>, y long")
+    queries = refs.where("y % 20 = 0").select(F.col("id").alias("query_id"), F.col("id").alias("own"), "v")
+    got = nb.knn_topk(refs, queries, 130, "id", "v", "y", self_id="own", ref_rows=25, query_rows=4).toPandas()
+    f = x.astype(np.float32).astype(float)
+    z = (f - f.mean(axis=0)) / f.std(axis=0)
+    for q, part in got.groupby("query_id"):
+        d = np.sqrt(((z - z[int(q[1:])]) ** 2).mean(axis=1))
+        want = [i for i in np.lexsort((np.arange(len(x)), np.round(d, 12))) if i != int(q[1:])][:130]
+        have = part.sort_values("rank")
+        np.testing.assert_allclose(have["distance"], d[want], atol=1e-12)
+        assert all((int(r.id[1:]) % 7 == 0) == np.isnan(r.y) for r in have.itertuples())
+    assert got["query_id"].nunique() == queries.count()
+
+
 # ---------------------------------------------------------------- sketches
 def test_sketches_keep_their_bounds_when_merged(spark):
     r = np.random.default_rng(5)
