@@ -269,3 +269,14 @@ def test_line_query_reports_the_document_without_an_id(spark, make, tmp_path):
     got = {r.doc_id: r for r in queries.op9_line_dedup(spark, str(tmp_path)).collect()}
     assert {i: r.lines for i, r in got.items()} == {0: 1, None: 3, 2: 1}
     assert (got[None].dropped_lines, got[None].class_doc_ids, got[None].class_lines) == ([0, 2], [0, 0], [0, 0])
+
+
+def test_simhash_keys_are_not_broadcast(spark):
+    """A fingerprint makes up to 48 keys, which Spark's estimate leaves out: a table of any size is shuffled."""
+    fps = [(x, x) for x in (7, 6, 31 << 40, (31 << 40) + 3)]
+    nodes = spark.createDataFrame(fps, "fp long, first long")
+    pairs = simhash.links(nodes)
+    assert "Broadcast" not in pairs._jdf.queryExecution().toString()
+    assert {tuple(r) for r in pairs.collect()} == {(6, 7), (31 << 40, (31 << 40) + 3)}
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (None, "x")], "doc_id long, text string")
+    assert sorted(r["component_id"] or 0 for r in simhash.near_duplicates(docs).collect()) == [0, 1, 1]

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import shared_table, text_slices
+from tidewater.llm.common import shared_table, text_slices, unsent
 from tidewater.llm.components import component_labels
 
 SEED = 42
@@ -197,7 +197,7 @@ def links(nodes: DataFrame, max_bits: int = 3) -> DataFrame:
     if not 0 <= max_bits <= 3:
         raise ValueError("the key construction covers at most 3 differing bits")
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits
-    pairs = _keyed(nodes, False, "u").join(_keyed(nodes, True, "v"), "key").where((F.col("u") != F.col("v")) & near)
+    pairs = unsent(_keyed(nodes, False, "u")).join(unsent(_keyed(nodes, True, "v")), "key").where((F.col("u") != F.col("v")) & near)
     return pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
 
@@ -222,12 +222,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = shared_table(links(nodes, max_bits), "simhash-links")
     label = component_labels(found)
     ends = found.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("links"))
-    node = (nodes.join(label.withColumnRenamed("node", "fp"), "fp", "left").join(ends, "fp", "left")
+    node = (nodes.join(unsent(label.withColumnRenamed("node", "fp")), "fp", "left").join(unsent(ends), "fp", "left")
             .select("fp", "first", F.coalesce("label", "fp").alias("label"),
                     F.coalesce("links", F.lit(0).cast("long")).alias("links")))
     least = node.groupBy("label").agg(F.min("first").alias("component_id"))
     node = node.join(least, "label").select("fp", "component_id", "links")
-    return (table.join(node, "fp")
+    return (unsent(table).join(unsent(node), "fp")
             .select(F.col("id").alias(id_col), hex16(F.col("fp")).alias("fingerprint"), "component_id", "links"))
 
 
