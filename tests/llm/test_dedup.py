@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidewater.llm import exact, linedup, queries, simhash
+from tidewater.llm.common import shared_table
 from tidewater.llm.components import component_labels
 
 SF = "/root/testdata/sf0.001"
@@ -274,9 +275,26 @@ def test_line_query_reports_the_document_without_an_id(spark, make, tmp_path):
 def test_simhash_keys_are_not_broadcast(spark):
     """A fingerprint makes up to 48 keys, which Spark's estimate leaves out: a table of any size is shuffled."""
     fps = [(x, x) for x in (7, 6, 31 << 40, (31 << 40) + 3)]
-    nodes = spark.createDataFrame(fps, "fp long, first long")
+    nodes = shared_table(spark.createDataFrame(fps, "fp long, first long"), "test-nodes")
     pairs = simhash.links(nodes)
     assert "Broadcast" not in pairs._jdf.queryExecution().toString()
     assert {tuple(r) for r in pairs.collect()} == {(6, 7), (31 << 40, (31 << 40) + 3)}
     docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (None, "x")], "doc_id long, text string")
     assert sorted(r["component_id"] or 0 for r in simhash.near_duplicates(docs).collect()) == [0, 1, 1]
+
+
+def test_line_tables_are_not_broadcast(spark, monkeypatch):
+    """Each line makes up to 19 rows of segments and repeated lines pack well, so estimates say little of the size."""
+    plans = {}
+
+    def written(df, tag, *more):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        return shared_table(df, tag, *more)
+
+    monkeypatch.setattr(linedup, "shared_table", written)
+    docs = spark.createDataFrame([(1, "The same long line of text here\nanother one, quite different"),
+                                  (2, "The same long line of test here\nsomething else"), (3, None)], "doc_id long, text string")
+    rows = shared_table(linedup.repeated_lines(shared_table(docs, "test-docs")), "test-lines")
+    assert sorted(tuple(r) for r in rows.collect()) == [(1, 0, 1, 0, 1), (1, 1, 1, 1, 0), (2, 0, 1, 0, 1), (2, 1, 2, 1, 0)]
+    assert {t for t, plan in plans.items() if "Broadcast" in plan} <= {"line-texts"}
+    assert plans["line-candidates"].count("SortMergeJoin") >= 2 and plans["line-links"].count("SortMergeJoin") >= 2

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import discard, shared_table, text_slices
+from tidewater.llm.common import discard, shared_table, text_slices, unsent
 from tidewater.llm.components import component_labels
 
 MAX_EDITS = 2
@@ -256,7 +256,7 @@ def line_links(docs: DataFrame, text_col: str = "text", max_edits: int = MAX_EDI
     own, probes = side(slice(1, 1 + n_index)), side(slice(1 + n_index, None))
     # each edit flips at most four parities
     near = F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= 4 * max_edits
-    met = [own.alias("x").join(other.alias("y"), F.col("x.key") == F.col("y.key"))
+    met = [unsent(own).alias("x").join(other.alias("y"), F.col("x.key") == F.col("y.key"))
            .where((F.col("x.h") < F.col("y.h") if other is own else F.col("x.h") != F.col("y.h")) & near)
            .select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")) for other in (own, probes)]
     pairs = shared_table(met[0].union(met[1]).distinct(), "line-candidates")
@@ -269,8 +269,8 @@ def line_links(docs: DataFrame, text_col: str = "text", max_edits: int = MAX_EDI
 
     texts = shared_table(_distinct_lines(docs, text_col, bodies, "h1 long, body string", wanted)
                          .join(ends.distinct(), "h1", "left_semi").dropDuplicates(["h1"]), "line-texts")
-    both = (pairs.join(texts.select(F.col("h1").alias("a"), F.col("body").alias("x")), "a")
-            .join(texts.select(F.col("h1").alias("b"), F.col("body").alias("y")), "b"))
+    both = (unsent(pairs).join(texts.select(F.col("h1").alias("a"), F.col("body").alias("x")), "a")
+            .join(unsent(texts.select(F.col("h1").alias("b"), F.col("body").alias("y"))), "b"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,12 +298,12 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ends = found.select(F.explode(F.array("a", "b")).alias("h1")).groupBy("h1").agg(F.count(F.lit(1)).alias("links"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "line")
     first = lines.groupBy("h1", "h2").agg(F.min(place).alias("place"))
-    first = (first.join(label.withColumnRenamed("node", "h1"), "h1", "left").join(ends, "h1", "left")
+    first = (first.join(unsent(label.withColumnRenamed("node", "h1")), "h1", "left").join(unsent(ends), "h1", "left")
              # exact copies alone share both hashes; linked lines share the label of the first hash
              .withColumn("c1", F.coalesce("label", "h1")).withColumn("c2", F.when(F.col("label").isNull(), F.col("h2")).otherwise(0)))
     least = first.groupBy("c1", "c2").agg(F.min("place").alias("least"))
     first = first.join(least, ["c1", "c2"]).select("h1", "h2", "least", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
-    return lines.join(first, ["h1", "h2"]).select(
+    return unsent(lines).join(first, ["h1", "h2"]).select(
         F.col("id").alias(id_col), "line", F.col("least.id").alias("first_id"), F.col("least.line").alias("first_line"), "links")
 
 
@@ -323,5 +323,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept = F.filter(line, lambda _, i: ~F.array_contains(F.col("__drop"), i))
     text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     # the list of drops has no size bound, so it is not broadcast
-    return (docs.join(drop.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    return (docs.join(unsent(drop), F.col(id_col).eqNullSafe(F.col("__id")), "left")
             .withColumn(text_col, text).select(*names))
