@@ -144,6 +144,77 @@ def test_attribution_and_surrogate_take_every_twentieth_vector(spark, tmp_path):
     assert {r.query_id for r in fits} == set(at.tolist()) and {r.n for r in fits} == {120}
 
 
+def test_masked_queries_are_not_shuffled(spark, monkeypatch):
+    """Masked copies are made inside the tasks: vectors travel once a chunk (references) or once a group (queries)."""
+    rng = np.random.default_rng(8)
+    ref = rng.normal(size=(300, 16))
+    refs = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(ref)], "id long, v array<double>, y int")
+    queries = refs.limit(40).select(F.col("id").alias("query_id"), F.col("id").alias("own"), "v")
+    rows, frame = [], type(refs)
+    plain = frame.repartition
+
+    def counted(self, *args):
+        if "v" in self.columns:
+            rows.append(self.count())
+        return plain(self, *args)
+
+    monkeypatch.setattr(frame, "repartition", counted)
+    assert nb.loo_attribution(refs, queries, 5, "id", "v", "y", self_id="own").count() == 40 * 10
+    assert sum(rows) <= 300 + 40
+
+
+def test_masked_neighbours_are_exact(spark, monkeypatch):
+    """Against brute force: several chunks and groups, copies of vectors, text ids, repeated, missing and foreign ids."""
+    rng = np.random.default_rng(9)
+    ref = np.round(rng.normal(size=(900, 5)), 1)
+    ref[300:500] = ref[0]  # copies
+    ids = [f"r{i * 7 % 900:03d}" for i in range(900)]
+    rows = [(n, v.tolist(), None if i % 9 == 0 else i % 3) for i, (n, v) in enumerate(zip(ids, ref))]
+    refs = spark.createDataFrame([*rows, ("none", None, 1)], "id string, v array<double>, y int").repartition(3)
+    asked = [*range(0, 900, 30), 2, 2]
+    q = [(i, ids[i] if i % 60 else None, ref[i].tolist()) for i in asked]
+    q += [(-1, "r000", [0.0, None, 0.0, 0.0, 0.0]), (-2, "r001", None), (2, None, None)]
+    queries = spark.createDataFrame(q, "query_id long, own string, v array<double>").repartition(2)
+    monkeypatch.setattr(nb, "LEAST_ROWS", 100)
+    monkeypatch.setattr(nb, "KEPT_ROWS", 50)
+    monkeypatch.setattr(nb, "BLOCK", 700)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        got = nb.masked_topk(refs, queries, 4, "id", "v", "y", self_id="own", masked_rows=80).collect()
+        att = nb.loo_attribution(refs, queries, 4, "id", "v", "y", self_id="own", top=5).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    mu, sd = ref.mean(axis=0), ref.std(axis=0)
+    z = (ref - mu) / sd
+    want, wanted_scores = {}, {}
+    for i in dict.fromkeys(asked):
+        for dim in range(-1, 5):
+            a = z[i].copy()
+            if dim >= 0:
+                a[dim] = 0
+            d = np.sqrt(((a - z) ** 2).mean(axis=1))
+            near = sorted((round(x, 9), n, y) for x, (n, _, y) in zip(d, rows) if not (i % 60 and n == ids[i]))
+            near = [x for x in near for _ in range(asked.count(i))][:4]  # rows of one id count as one query
+            want[i, dim] = near
+            wgt = [1 / max(x, 0.05) for x, _, _ in near]
+            wanted_scores[i, dim] = sum(w * y for w, (_, _, y) in zip(wgt, near) if y is not None) / sum(wgt) if any(
+                y is not None for _, _, y in near) else None
+    have = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        have.setdefault((r.query_id, r.dim), []).append((round(r.distance, 9), r.id, r.y))
+    assert have.keys() == want.keys()
+    assert all([x[1:] for x in have[key]] == [x[1:] for x in want[key]] for key in want)
+    assert all(abs(x[0] - y[0]) < 1e-7 for key in want for x, y in zip(have[key], want[key]))
+    assert {r.query_id for r in att} == set(asked)
+    # three rows name query 2, so each of its dimensions is there nine times
+    assert len(att) == 5 * len(set(asked)) and {r.dim for r in att if r.query_id == 2} == {att_dim for att_dim in [
+        r.dim for r in sorted(att, key=lambda r: r["rank"]) if r.query_id == 2][:1]}
+    for r in att:
+        for have_score, dim in ((r.base_score, -1), (r.masked_score, r.dim)):
+            score = wanted_scores[r.query_id, dim]
+            assert (have_score is None) == (score is None) and (score is None or abs(have_score - score) < 1e-6)
+
+
 def test_feature_scores_by_hand(spark):
     rows = [("a", 0.5, -0.04, 0.02, 0.4, 1.0, 0.2), ("b", -1.0, 0.8, 0.04, 0.2, 0.5, 0.4), ("c", 0.25, 0.4, 0.005, 0.1, 0.25, 0.1),
             ("d", 0.0, 0.0, 0.0, 0.0, 0.0, None)]
